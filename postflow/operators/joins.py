@@ -2,7 +2,7 @@
 
 import math
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 HOT_SHARE = 0.001  # a key with at least this share of the rows is hot, so at most 1,000 are
 SALTS = 256
@@ -39,22 +39,21 @@ def require_unique(df: DataFrame, key: str) -> None:
 def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, at_least: int = 100_000) -> list:
     """Keys with at least `share` of the non-null rows, and `at_least` rows.
 
-    Counts are combined before the shuffle, and no more than `1 / share` keys can qualify, so
-    the list on the driver is bounded whatever the data.
+    One job counts the keys and, as the rollup's last row, all of them; counts are combined
+    before the shuffle. No more than `1 / share` keys can qualify, so the list on the driver is
+    bounded whatever the data.
     """
-    rows = Observation()
     counts = (
         df.where(F.col(key).isNotNull())
-        .select(key)
-        .observe(rows, F.count(F.lit(1)).alias("n"))
-        .groupBy(key)
-        .count()
-        .where(F.col("count") >= at_least)
+        .rollup(key)
+        .agg(F.count("*").alias("rows"), F.grouping_id().alias("is_total"))
+        .where((F.col("rows") >= at_least) | (F.col("is_total") == 1))
+        .orderBy(F.desc("rows"))
+        .limit(math.ceil(1 / share) + 1)
+        .collect()
     )
-    top = counts.orderBy(F.desc("count")).limit(math.ceil(1 / share)).collect()
-    if not top:
-        return []
-    return [r[0] for r in top if r["count"] >= share * rows.get["n"]]
+    total = sum(r.rows for r in counts if r.is_total)
+    return [r[key] for r in counts if not r.is_total and r.rows >= share * total]
 
 
 def salted_join(

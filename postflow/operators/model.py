@@ -9,18 +9,19 @@ from postflow.functions.text import tokens
 
 
 def fit_sentiment(
-    posts: DataFrame, labels: DataFrame, toxic_weight: float = 7.0, features: int = 1 << 14
+    posts: DataFrame, labels: DataFrame, path: str, toxic_weight: float = 7.0, features: int = 1 << 14
 ) -> PipelineModel:
-    """Fit a sparse logistic regression on labelled posts, in batch.
+    """Fit a sparse logistic regression on labelled posts, in batch, and store it at `path`.
 
-    Toxic posts are rare, so they weigh more; the L1 penalty keeps the few telling words.
+    Toxic posts are rare, so they weigh more; the L1 penalty keeps the few telling words. The
+    model is read back for use: the fitted one drags its training data's plan into every task.
     """
     train = _with_terms(posts.join(labels.select("id", "toxic"), "id")).select(
         "_terms",
         F.col("toxic").cast("double").alias("toxic"),
         F.when(F.col("toxic") == 1, toxic_weight).otherwise(1.0).alias("weight"),
     )
-    return Pipeline(stages=[
+    fitted = Pipeline(stages=[
         HashingTF(inputCol="_terms", outputCol="_features", numFeatures=features, binary=True),
         LogisticRegression(
             featuresCol="_features", labelCol="toxic", weightCol="weight",
@@ -28,6 +29,8 @@ def fit_sentiment(
             elasticNetParam=1.0, regParam=0.05,
         ),
     ]).fit(train)
+    fitted.write().overwrite().save(path)
+    return PipelineModel.load(path)
 
 
 def label_with_model(posts: DataFrame, model: PipelineModel) -> DataFrame:

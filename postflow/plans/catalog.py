@@ -228,7 +228,8 @@ def sentiment_lexicon(spark, sf_dir):
 
 def sentiment_model(spark, sf_dir):
     posts = enriched_posts(spark, sf_dir).select("id", "cleaned_text")
-    labelled = label_with_model(posts, fit_sentiment(posts, post_labels(spark, sf_dir)))
+    model = fit_sentiment(posts, post_labels(spark, sf_dir), new_folder(spark, "sentiment-model"))
+    labelled = label_with_model(posts, model)
     return labelled.select(
         "id",
         F.array_join("sentiment_result", ",").alias("label"),
