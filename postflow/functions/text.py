@@ -1,5 +1,7 @@
 """Text cleaning, tokens and term tests."""
 
+import functools
+import operator
 import re
 
 from pyspark.sql import Column, functions as F
@@ -8,7 +10,7 @@ from pyspark.sql import Column, functions as F
 NOISE = r"http\S+|@\S+|#\S+"  # links, mentions and hashtags, each up to the next whitespace
 TOKEN = r"[\p{L}\p{N}]+"
 
-_NOT_TOKEN = r"[^\p{L}\p{N}]"
+_TOKEN_CHAR = r"[\p{L}\p{N}]"
 
 
 def clean_text(text: Column) -> Column:
@@ -30,12 +32,18 @@ def normal_terms(terms) -> list[str]:
     return found
 
 
-def has_term(text: Column, term: str) -> Column:
-    """True where `term` is one of the tokens of `text`.
+def has_terms(text: Column, terms: list[str], every: bool) -> Column:
+    """True where any, or every one, of the terms is a token of `text`.
 
-    The substring test is cheap and fails on most rows, so the pattern runs on few of them and
-    no token array is built.
+    Each pattern starts with the term itself, so the engine looks for a literal and tests its
+    surroundings only where it occurs; no token array is built. The one-element array binds the
+    text: an expression behind it is computed once, not once per term.
     """
-    lowered = F.lower(text)
-    whole = f"(^|{_NOT_TOKEN}){term}({_NOT_TOKEN}|\\z)"
-    return lowered.contains(term) & lowered.rlike(whole)
+
+    def test(lowered: Column) -> Column:
+        found = [
+            lowered.rlike(f"{t}(?!{_TOKEN_CHAR})(?<!{_TOKEN_CHAR}{t})") for t in terms
+        ]
+        return functools.reduce(operator.and_ if every else operator.or_, found)
+
+    return F.exists(F.array(F.lower(text)), test)

@@ -6,7 +6,9 @@ from postflow.functions.text import tokens
 from postflow.operators.joins import salted_join
 from postflow.staging import stage
 
-INLINE_TERMS = 20_000  # up to here a lexicon travels inside the plan
+INLINE_TERMS = 5_000  # up to here a lexicon travels inside the plan
+BROADCAST_BYTES = 64 << 20  # of term text; up to here it is broadcast, beyond it is shuffled
+TERM_SALTS = 64
 
 
 def derive_lexicon(
@@ -37,10 +39,10 @@ def label_posts(posts: DataFrame, lexicon: DataFrame, inline_terms: int = INLINE
     is read more than once. A small one goes inside the plan, a larger one is joined; the
     labels are the same.
     """
-    terms = lexicon.select("term", "polarity").limit(inline_terms + 1).collect()
-    if len(terms) <= inline_terms:
-        return label_inline(posts, {t.term: t.polarity for t in terms})
-    return label_by_join(posts, lexicon)
+    if lexicon.count() > inline_terms:
+        return label_by_join(posts, lexicon)
+    terms = lexicon.select("term", "polarity").collect()
+    return label_inline(posts, {t.term: t.polarity for t in terms})
 
 
 def label_inline(posts: DataFrame, polarities: dict[str, int]) -> DataFrame:
@@ -65,14 +67,12 @@ def polarity_case(variable: str, polarities: dict[str, int]) -> str:
     return f"CASE WHEN {members(1)} THEN 1 WHEN {members(-1)} THEN -1 ELSE 0 END"
 
 
-def label_by_join(posts: DataFrame, lexicon: DataFrame, term_salts: int = 64) -> DataFrame:
+def label_by_join(posts: DataFrame, lexicon: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Label with a lexicon of any size.
 
     Terms are exploded and joined, and polarities summed per distinct text: the label depends
     on the text alone, so ids may repeat or be null. A text that occurs k times sums to k times
-    its polarity, which has the same sign. The join takes the lexicon's stored size to choose
-    between broadcast and shuffle; for the latter every term is salted, as common words fill a
-    large share of the rows.
+    its polarity, which has the same sign.
 
     The sums come back to the posts through a written table, whose counts of copies tell which
     texts are hot.
@@ -82,13 +82,9 @@ def label_by_join(posts: DataFrame, lexicon: DataFrame, term_salts: int = 64) ->
         digest.alias("_digest"),
         F.posexplode_outer(F.array_distinct(tokens(F.col("cleaned_text")))).alias("_pos", "term"),
     )
-    salt = F.explode(F.sequence(F.lit(0), F.lit(term_salts - 1)))
-    matched = occurrences.withColumn(
-        "_salt", F.pmod(F.spark_partition_id(), F.lit(term_salts))
-    ).join(lexicon.withColumn("_salt", salt), ["term", "_salt"], "left")
     first = F.coalesce(F.col("_pos"), F.lit(0)) == 0
     sums = stage(
-        matched.groupBy("_digest").agg(
+        _with_polarity(occurrences, lexicon, broadcast_bytes).groupBy("_digest").agg(
             F.coalesce(F.sum("polarity"), F.lit(0)).alias("_polarity"),
             F.count_if(first).alias("_copies"),
         ),
@@ -100,6 +96,20 @@ def label_by_join(posts: DataFrame, lexicon: DataFrame, term_salts: int = 64) ->
     return scored.withColumn("sentiment_result", _label(F.col("_polarity"))).drop("_digest", "_polarity")
 
 
+def _with_polarity(occurrences: DataFrame, lexicon: DataFrame, broadcast_bytes: int) -> DataFrame:
+    """Left join on `term`: broadcast where the lexicon's measured size allows, else shuffled.
+
+    In the shuffle every term is salted by the task it comes from, as common words fill a large
+    share of the rows; the lexicon is repeated once per salt.
+    """
+    size = lexicon.agg(F.sum(F.octet_length("term"))).first()[0] or 0
+    if size <= broadcast_bytes:
+        return occurrences.join(F.broadcast(lexicon), "term", "left")
+    salted = occurrences.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(TERM_SALTS)))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(TERM_SALTS - 1)))
+    return salted.join(lexicon.withColumn("_salt", salts), ["term", "_salt"], "left")
+
+
 def hot_texts(sums: DataFrame, share: float = 0.001, at_least: int = 100_000) -> list[str]:
     """Digests of texts that make up at least `share` of the rows; at most `1 / share`."""
     total = sums.agg(F.sum("_copies")).first()[0] or 0

@@ -1,13 +1,11 @@
 """Searches over text, time, space and hashtags: filters that keep the rows they match."""
 
 import datetime as dt
-import functools
-import operator
 
 from pyspark.sql import DataFrame, functions as F
 
 from postflow.functions.geo import box_around, distance_km, in_box
-from postflow.functions.text import has_term, normal_terms
+from postflow.functions.text import has_terms, normal_terms
 from postflow.functions.times import instant, instant_literal
 
 
@@ -15,8 +13,7 @@ def text_search(df: DataFrame, terms, mode: str = "any", text: str = "text") ->
     """Rows whose tokens hold any, or all, of the terms."""
     if mode not in ("any", "all"):
         raise ValueError(f"mode must be 'any' or 'all', got {mode!r}")
-    tests = [has_term(F.col(text), t) for t in normal_terms(terms)]
-    return df.where(functools.reduce(operator.or_ if mode == "any" else operator.and_, tests))
+    return df.where(has_terms(F.col(text), normal_terms(terms), every=mode == "all"))
 
 
 def time_range(df: DataFrame, start, end) -> DataFrame:

@@ -5,7 +5,7 @@ import operator
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from postflow.functions.text import has_term, normal_terms, tokens
+from postflow.functions.text import has_terms, normal_terms, tokens
 
 BUCKETS = 256
 
@@ -71,7 +71,7 @@ def ranked_search(df: DataFrame, terms, k: int, text: str = "text") -> DataFrame
     words = F.col("_tokens")
     counts = [f"_tf{i}" for i in range(len(wanted))]
     hits = (
-        df.where(functools.reduce(operator.or_, [has_term(F.col(text), t) for t in wanted]))
+        df.where(has_terms(F.col(text), wanted, every=False))
         .select("id", tokens(F.col(text)).alias("_tokens"))
         .select("id", *[_occurrences(words, t).alias(c) for t, c in zip(wanted, counts)])
         .groupBy("id")

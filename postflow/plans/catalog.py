@@ -57,7 +57,8 @@ def raw_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.concat(F.lit("tag"), n % 13)
     second = F.when(n % 3 == 0, F.concat(F.lit("tag"), n % 7))
     tag = lambda t: F.struct(t.alias("text"), F.lit(None).cast("array<bigint>").alias("indices"))
-    return docs.join(events, F.col("event_id") == n).select(
+    # Both tables grow with the data, so neither is broadcast.
+    return docs.join(events.hint("merge"), F.col("event_id") == n).select(
         n.alias("id"),
         F.date_format("ts", "EEE MMM dd HH:mm:ss '+0000' yyyy").alias("created_at"),
         F.concat(
