@@ -4,8 +4,7 @@ from pyspark.sql import Column, functions as F
 
 # What a label counts, and the characters trimmed around it.
 LABEL_VALUES = {"pos": 1, "neg": -1}
-TRIMMED = r"^[\x00-\x20]+|[\x00-\x20]+\z"
-BRACKETS = r"^\[|\]\z"
+TRIMMED = "".join(map(chr, range(0x21)))
 
 
 def sentiment_score(labels: Column) -> Column:
@@ -19,11 +18,11 @@ def sentiment_score(labels: Column) -> Column:
     )
 
     def value(piece: Column) -> Column:
-        label = F.regexp_replace(F.regexp_replace(piece, TRIMMED, ""), BRACKETS, "")
-        return (
-            F.when(label == "pos", LABEL_VALUES["pos"])
-            .when(label == "neg", LABEL_VALUES["neg"])
-            .otherwise(0)
-        )
+        label = F.trim(piece, F.lit(TRIMMED))
+        counted = F.lit(0)
+        for name, number in LABEL_VALUES.items():
+            spellings = [name, f"[{name}", f"{name}]", f"[{name}]"]
+            counted = F.when(label.isin(spellings), number).otherwise(counted)
+        return counted
 
     return F.aggregate(pieces, F.lit(0), lambda total, piece: total + value(piece))

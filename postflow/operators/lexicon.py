@@ -11,19 +11,17 @@ BROADCAST_BYTES = 64 << 20  # of term text; up to here it is broadcast, beyond i
 TERM_SALTS = 64
 
 
-def derive_lexicon(
-    posts: DataFrame, labels: DataFrame, toxic_weight: int = 7, min_posts: int = 3
-) -> DataFrame:
-    """`(term, polarity)` from labelled posts.
-
-    `posts` has `id, cleaned_text`, `labels` has `id, toxic`. A term's polarity is the sign of
-    its non-toxic posts minus `toxic_weight` times its toxic ones; terms in fewer than
-    `min_posts` posts, or with polarity 0, are left out.
+def derive_lexicon(labelled: DataFrame, toxic_weight: int = 7, min_posts: int = 3) -> DataFrame:
+    """`(term, polarity)` from posts with `cleaned_text` and a label `toxic`, 0 or 1.
+
+    A term's polarity is the sign of its non-toxic posts minus `toxic_weight` times its toxic
+    ones; terms in fewer than `min_posts` posts, or with polarity 0, are left out.
     """
     vote = F.when(F.col("toxic") == 1, -toxic_weight).otherwise(1)
     return (
-        posts.join(labels.select("id", "toxic"), "id")
-        .select(vote.alias("vote"), F.explode(F.array_distinct(tokens(F.col("cleaned_text")))).alias("term"))
+        labelled.select(
+            vote.alias("vote"), F.explode(F.array_distinct(tokens(F.col("cleaned_text")))).alias("term")
+        )
         .groupBy("term")
         .agg(F.sum("vote").alias("net"), F.count("*").alias("posts"))
         .where((F.col("posts") >= min_posts) & (F.col("net") != 0))
@@ -78,10 +76,12 @@ def label_by_join(posts: DataFrame, lexicon: DataFrame, broadcast_bytes: int = B
     texts are hot.
     """
     digest = F.md5("cleaned_text")
-    occurrences = posts.where(F.col("cleaned_text").isNotNull()).select(
-        digest.alias("_digest"),
-        F.posexplode_outer(F.array_distinct(tokens(F.col("cleaned_text")))).alias("_pos", "term"),
+    # The digest is computed ahead of the explode, which would otherwise copy and hash the text
+    # for every term.
+    texts = posts.select(
+        digest.alias("_digest"), F.array_distinct(tokens(F.col("cleaned_text"))).alias("_terms")
     )
+    occurrences = texts.select("_digest", F.posexplode_outer("_terms").alias("_pos", "term"))
     first = F.coalesce(F.col("_pos"), F.lit(0)) == 0
     sums = stage(
         _with_polarity(occurrences, lexicon, broadcast_bytes).groupBy("_digest").agg(

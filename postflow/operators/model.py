@@ -1,35 +1,39 @@
 """A learned sentiment model with the same output as the lexicon."""
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.sql import DataFrame, functions as F
 
 from postflow.functions.text import tokens
+from postflow.staging import stage
 
 
 def fit_sentiment(
-    posts: DataFrame, labels: DataFrame, path: str, toxic_weight: float = 7.0, features: int = 1 << 14
+    labelled: DataFrame, path: str, toxic_weight: float = 7.0, features: int = 1 << 14
 ) -> PipelineModel:
-    """Fit a sparse logistic regression on labelled posts, in batch, and store it at `path`.
+    """Fit a sparse logistic regression on posts with `cleaned_text` and a label `toxic`, 0 or 1,
+    in batch, and store it at `path`.
 
     Toxic posts are rare, so they weigh more; the L1 penalty keeps the few telling words. The
     model is read back for use: the fitted one drags its training data's plan into every task.
     """
-    train = _with_terms(posts.join(labels.select("id", "toxic"), "id")).select(
-        "_terms",
-        F.col("toxic").cast("double").alias("toxic"),
-        F.when(F.col("toxic") == 1, toxic_weight).otherwise(1.0).alias("weight"),
-    )
-    fitted = Pipeline(stages=[
-        HashingTF(inputCol="_terms", outputCol="_features", numFeatures=features, binary=True),
-        LogisticRegression(
-            featuresCol="_features", labelCol="toxic", weightCol="weight",
-            rawPredictionCol="_raw", probabilityCol="_probability", predictionCol="_toxic",
-            elasticNetParam=1.0, regParam=0.05,
+    hashing = HashingTF(inputCol="_terms", outputCol="_features", numFeatures=features, binary=True)
+    # Written once, as every iteration of the fit may read the features again.
+    train = stage(
+        hashing.transform(_with_terms(labelled)).select(
+            "_features",
+            F.col("toxic").cast("double").alias("toxic"),
+            F.when(F.col("toxic") == 1, toxic_weight).otherwise(1.0).alias("weight"),
         ),
-    ]).fit(train)
-    fitted.write().overwrite().save(path)
+        "sentiment-features",
+    )
+    regression = LogisticRegression(
+        featuresCol="_features", labelCol="toxic", weightCol="weight",
+        rawPredictionCol="_raw", probabilityCol="_probability", predictionCol="_toxic",
+        elasticNetParam=1.0, regParam=0.05,
+    )
+    PipelineModel([hashing, regression.fit(train)]).write().overwrite().save(path)
     return PipelineModel.load(path)
 
 

@@ -6,6 +6,7 @@ import operator
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from postflow.functions.text import has_terms, normal_terms, tokens
+from postflow.staging import stage
 
 BUCKETS = 256
 
@@ -64,20 +65,21 @@ def posts_with(posting_rows: DataFrame, terms, mode: str = "any") -> DataFrame:
 def ranked_search(df: DataFrame, terms, k: int, text: str = "text") -> DataFrame:
     """The `k` best posts by sum over terms of tf * ln((N + 1) / (df + 1)); ties by id.
 
-    Works on the posts directly. One column per term holds its count, so the text is read once,
-    for the posts that hold a term, and the counts of posts come from that same shuffle.
+    Works on the posts directly. One column per term holds its count in each post that has any;
+    these few numbers are written once, so the text is read once although both the document
+    counts and the scores need them.
     """
     wanted = normal_terms(terms)
     words = F.col("_tokens")
     counts = [f"_tf{i}" for i in range(len(wanted))]
-    hits = (
+    hits = stage(
         df.where(has_terms(F.col(text), wanted, every=False))
         .select("id", tokens(F.col(text)).alias("_tokens"))
         .select("id", *[_occurrences(words, t).alias(c) for t, c in zip(wanted, counts)])
         .groupBy("id")
-        .agg(*[F.sum(c).alias(c) for c in counts])
+        .agg(*[F.sum(c).alias(c) for c in counts]),
+        "hits",
     )
-    # All counts are used in both branches, so Spark reuses the one exchange for both.
     posts_with_term = hits.agg(F.array(*[F.count_if(F.col(c) > 0) for c in counts]).alias("dfs"))
     total = df.agg(F.count("*").alias("n"))
     weights = [

@@ -47,9 +47,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def raw_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with the event of the same number, in the schema of a raw post."""
+def raw_posts(spark: SparkSession, sf_dir: str, ids: DataFrame | None = None) -> DataFrame:
+    """Documents with the event of the same number, in the schema of a raw post; all of them, or
+    those in a table of ids, in which case no other text leaves the scan."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    if ids is not None:
+        docs = docs.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
     events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
     n = F.col("doc_id")
     lat = ((n * 37) % 180).cast("double") - 89.5
@@ -90,10 +93,15 @@ def post_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "toxic")
 
 
+def labelled_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned posts that have a label."""
+    labels = post_labels(spark, sf_dir)
+    posts = raw_posts(spark, sf_dir, labels).select("id", clean_text(F.col("text")).alias("cleaned_text"))
+    return posts.join(labels, "id")
+
+
 def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive_lexicon(
-        enriched_posts(spark, sf_dir).select("id", "cleaned_text"), post_labels(spark, sf_dir)
-    )
+    return derive_lexicon(labelled_posts(spark, sf_dir))
 
 
 def labeller(spark: SparkSession, sf_dir: str):
@@ -228,9 +236,8 @@ def sentiment_lexicon(spark, sf_dir):
 
 
 def sentiment_model(spark, sf_dir):
-    posts = enriched_posts(spark, sf_dir).select("id", "cleaned_text")
-    model = fit_sentiment(posts, post_labels(spark, sf_dir), new_folder(spark, "sentiment-model"))
-    labelled = label_with_model(posts, model)
+    model = fit_sentiment(labelled_posts(spark, sf_dir), new_folder(spark, "sentiment-model"))
+    labelled = label_with_model(enriched_posts(spark, sf_dir).select("id", "cleaned_text"), model)
     return labelled.select(
         "id",
         F.array_join("sentiment_result", ",").alias("label"),

@@ -1,0 +1,106 @@
+"""Lexicon and learned labels."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import plan_of
+from postflow.operators.lexicon import _with_polarity, derive_lexicon, label_by_join, label_inline, label_posts
+from postflow.operators.model import fit_sentiment, label_with_model
+from postflow.plans import catalog
+from postflow.staging import new_folder, stage
+
+SF = "/root/testdata/sf0.001"
+
+
+def lexicon(spark):
+    return spark.createDataFrame([("good", 1), ("bad", -1), ("awful", -1)], "term string, polarity int")
+
+
+TEXTS = [
+    (1, "Good good BAD", "neutral"),  # distinct terms count
+    (2, "good", "pos"), (3, "bad, awful good", "neg"), (4, "nothing", "neutral"), (5, "", "neutral"),
+    (5, "good", "pos"), (None, "awful!", "neg"), (6, None, None), (None, None, None),
+]
+
+
+def forms(spark):
+    df = spark.createDataFrame([t[:2] for t in TEXTS], "id long, cleaned_text string")
+    terms = {r.term: r.polarity for r in lexicon(spark).collect()}
+    yield label_inline(df, terms)
+    yield label_by_join(df, lexicon(spark))
+    yield label_by_join(df, lexicon(spark), broadcast_bytes=0)
+    yield label_posts(df, lexicon(spark))
+    yield label_posts(df, lexicon(spark), inline_terms=0)
+
+
+def test_all_forms_give_the_same_labels(spark):
+    want = sorted((repr(i), repr(t), l) for i, t, l in TEXTS if l) + [("x", "x", "x")]
+    for labelled in forms(spark):
+        rows = labelled.collect()
+        assert labelled.columns == ["id", "cleaned_text", "sentiment_result"]
+        got = sorted((repr(r.id), repr(r.cleaned_text), r.sentiment_result[0]) for r in rows if r.sentiment_result)
+        assert got == want[:-1]
+        assert sum(r.sentiment_result is None for r in rows) == 2
+
+
+def test_copies_of_a_hot_text(spark, monkeypatch):
+    """A third of the posts are one text; it is found hot, salted, and labelled once per post."""
+    from postflow.operators import lexicon as module
+
+    seen = []
+    real = module.hot_texts
+    monkeypatch.setattr(module, "hot_texts", lambda sums: seen.append(real(sums, at_least=100)) or seen[-1])
+    df = spark.range(0, 3000, 1, 12).select(
+        "id", F.when(F.col("id") % 3 == 0, "all good").otherwise(F.concat(F.lit("bad "), "id")).alias("cleaned_text")
+    )
+    counts = label_by_join(df, lexicon(spark)).groupBy(F.col("sentiment_result")[0].alias("l")).count().collect()
+    assert {r.l: r["count"] for r in counts} == {"pos": 1000, "neg": 2000}
+    assert len(seen[0]) == 1
+
+
+def test_empty_lexicon(spark):
+    none = lexicon(spark).where("false")
+    df = spark.createDataFrame([(1, "good")], "id long, cleaned_text string")
+    assert label_posts(df, none).first().sentiment_result == ["neutral"]
+    assert label_by_join(df, none).first().sentiment_result == ["neutral"]
+
+
+def test_large_lexicon_is_shuffled_not_broadcast(spark, conf):
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    words = spark.createDataFrame([("d", 0, "good")], "_digest string, _pos int, term string")
+    assert "BroadcastHashJoin" in plan_of(_with_polarity(words, lexicon(spark), 1 << 20))
+    shuffled = plan_of(_with_polarity(words, lexicon(spark), 1))
+    assert "BroadcastHashJoin" not in shuffled and "_salt" in shuffled
+
+
+def test_lexicon_words_are_checked(spark):
+    with pytest.raises(ValueError):
+        label_inline(spark.createDataFrame([("x",)], "cleaned_text string"), {"it's": 1})
+
+
+def test_derived_lexicon(spark):
+    rows = [("a b", 0)] * 3 + [("a c c", 1)] * 3 + [("b rare", 0)] * 2 + [("d", 0)] * 7 + [("d", 1)]
+    df = spark.createDataFrame(rows, "cleaned_text string, toxic int")
+    got = {r.term: r.polarity for r in derive_lexicon(df).collect()}
+    assert got == {"a": -1, "b": 1, "c": -1}  # d is balanced, rare is in two posts
+
+
+def test_model_finds_toxic_posts(spark):
+    """Fit on some labelled posts, and look at both classes of the others."""
+    labelled = stage(catalog.labelled_posts(spark, "/root/testdata/sf0.01"), "labelled")
+    part = F.pmod(F.xxhash64("id"), F.lit(4))
+    model = fit_sentiment(labelled.where(part != 0), new_folder(spark, "model"))
+    done = label_with_model(labelled.where(part == 0), model)
+    counts = {(r.toxic, r.l): r["count"] for r in done.groupBy("toxic", F.col("sentiment_result")[0].alias("l")).count().collect()}
+    toxic = counts.get((1, "neg"), 0) + counts.get((1, "pos"), 0)
+    clean = counts.get((0, "neg"), 0) + counts.get((0, "pos"), 0)
+    assert toxic and counts.get((1, "neg"), 0) / toxic >= 0.3
+    assert counts.get((0, "neg"), 0) / clean <= 0.1
+
+
+def test_model_on_null_text(spark):
+    labelled = catalog.labelled_posts(spark, SF)
+    model = fit_sentiment(labelled, new_folder(spark, "model"))
+    df = spark.createDataFrame([(1, None), (2, "")], "id long, cleaned_text string")
+    rows = {r.id: r.sentiment_result for r in label_with_model(df, model).collect()}
+    assert rows[1] is None and rows[2] in (["pos"], ["neg"])
