@@ -7,7 +7,8 @@ from postflow.operators.joins import salted_join
 from postflow.staging import stage
 
 INLINE_TERMS = 5_000  # up to here a lexicon travels inside the plan
-BROADCAST_BYTES = 64 << 20  # of term text; up to here it is broadcast, beyond it is shuffled
+BROADCAST_BYTES = 64 << 20  # up to here it is broadcast, beyond it is shuffled
+ENTRY_BYTES = 48  # what a broadcast entry takes besides its text
 TERM_SALTS = 64
 
 
@@ -102,7 +103,7 @@ def _with_polarity(occurrences: DataFrame, lexicon: DataFrame, broadcast_bytes:
     In the shuffle every term is salted by the task it comes from, as common words fill a large
     share of the rows; the lexicon is repeated once per salt.
     """
-    size = lexicon.agg(F.sum(F.octet_length("term"))).first()[0] or 0
+    size = lexicon.agg(F.sum(F.octet_length("term") + ENTRY_BYTES)).first()[0] or 0
     if size <= broadcast_bytes:
         return occurrences.join(F.broadcast(lexicon), "term", "left")
     salted = occurrences.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(TERM_SALTS)))

@@ -1,6 +1,7 @@
 """Inverted index and ranked search."""
 
 import functools
+import math
 import operator
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -80,34 +81,35 @@ def ranked_search(df: DataFrame, terms, k: int, text: str = "text") -> DataFrame
         .agg(*[F.sum(c).alias(c) for c in counts]),
         "hits",
     )
-    posts_with_term = hits.agg(F.array(*[F.count_if(F.col(c) > 0) for c in counts]).alias("dfs"))
-    total = df.agg(F.count("*").alias("n"))
-    weights = [
-        F.log((total.scalar() + 1) / (F.get(posts_with_term.scalar(), F.lit(i)) + 1))
-        for i in range(len(wanted))
-    ]
+    dfs = hits.agg(*[F.count_if(F.col(c) > 0).alias(c) for c in counts]).first()
+    total = df.count()
+    weights = [_idf(total, n) for n in dfs]
     score = functools.reduce(operator.add, [F.col(c) * w for c, w in zip(counts, weights)])
     return _best(hits.select("id", score.alias("score")), k)
 
 
 def ranked_search_stored(
-    posting_rows: DataFrame, term_counts: DataFrame, total: int | Column, terms, k: int
+    posting_rows: DataFrame, term_counts: DataFrame, total: int, terms, k: int
 ) -> DataFrame:
     """As `ranked_search`, from postings and document counts; `total` is the number of posts."""
     wanted = normal_terms(terms)
-    n = F.lit(total) if isinstance(total, int) else total
-    weights = term_counts.where(F.col("term").isin(wanted)).select(
-        "term", F.log((n + 1) / (F.col("df") + 1)).alias("weight")
+    # At most one count per search term.
+    dfs = {r.term: r.df for r in term_counts.where(F.col("term").isin(wanted)).collect()}
+    weight = functools.reduce(
+        lambda case, t: case.when(F.col("term") == t, _idf(total, dfs.get(t, 0))), wanted, F.when(F.lit(False), 0.0)
     )
     scored = (
         posting_rows.where(F.col("term").isin(wanted))
-        .join(F.broadcast(weights), "term")  # at most one row per search term
         .groupBy("id")
-        .agg(F.sum(F.col("tf") * F.col("weight")).alias("score"))
+        .agg(F.sum(F.col("tf") * weight).alias("score"))
     )
     return _best(scored, k)
 
 
+def _idf(total: int, posts: int) -> float:
+    return math.log((total + 1) / (posts + 1))
+
+
 def _best(scored: DataFrame, k: int) -> DataFrame:
     return (
         scored.withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), F.asc("id")).limit(k)

@@ -113,17 +113,29 @@ def processed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return process(enriched_posts(spark, sf_dir), labeller(spark, sf_dir))
 
 
-_stored_tables: dict[tuple[str, str], str] = {}
+_stored: dict[tuple[str, str, str], str] = {}
+
+
+def _built_once(spark: SparkSession, sf_dir: str, label: str, write) -> str:
+    """The path of a stored table; `write(path)` runs once per application and input."""
+    key = (spark.sparkContext.applicationId, sf_dir, label)
+    if key not in _stored:
+        path = new_folder(spark, label)
+        write(path)
+        _stored[key] = path
+    return _stored[key]
 
 
 def processed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The processed posts in the query-ready layout, built once per application and input."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _stored_tables:
-        path = new_folder(spark, "processed")
-        write_layout(processed(spark, sf_dir), path)
-        _stored_tables[key] = path
-    return read_layout(spark, _stored_tables[key])
+    """The processed posts in the query-ready layout."""
+    write = lambda path: write_layout(processed(spark, sf_dir), path)
+    return read_layout(spark, _built_once(spark, sf_dir, "processed", write))
+
+
+def postings_table(spark: SparkSession, sf_dir: str, terms: list[str]) -> DataFrame:
+    """The stored inverted index, of these terms."""
+    write = lambda path: write_postings(inverted_index(spark, sf_dir), path)
+    return read_postings(spark, _built_once(spark, sf_dir, "postings", write), terms)
 
 
 def epoch(name: str = "created_at"):
@@ -279,20 +291,15 @@ def ranked_search(spark, sf_dir):
     return rank(enriched_posts(spark, sf_dir), RANK_TERMS, 50, "cleaned_text")
 
 
-def stored_postings(spark, sf_dir, terms):
-    path = new_folder(spark, "postings")
-    write_postings(inverted_index(spark, sf_dir), path)
-    return read_postings(spark, path, terms)
-
-
 def index_search(spark, sf_dir):
-    return posts_with(stored_postings(spark, sf_dir, ALL_TERMS), ALL_TERMS, "all")
+    return posts_with(postings_table(spark, sf_dir, ALL_TERMS), ALL_TERMS, "all")
 
 
 def index_ranked_search(spark, sf_dir):
-    stored = stored_postings(spark, sf_dir, RANK_TERMS)
-    total = raw_posts(spark, sf_dir).agg(F.count("*")).scalar()
-    return ranked_search_stored(stored, doc_counts(stored), total, RANK_TERMS, 50)
+    stored = postings_table(spark, sf_dir, RANK_TERMS)
+    return ranked_search_stored(
+        stored, doc_counts(stored), raw_posts(spark, sf_dir).count(), RANK_TERMS, 50
+    )
 
 
 def time_range(spark, sf_dir):

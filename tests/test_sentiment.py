@@ -86,16 +86,17 @@ def test_derived_lexicon(spark):
 
 
 def test_model_finds_toxic_posts(spark):
-    """Fit on some labelled posts, and look at both classes of the others."""
-    labelled = stage(catalog.labelled_posts(spark, "/root/testdata/sf0.01"), "labelled")
+    """Fit on some labelled posts, and look at both classes of the others. The smaller tables
+    hold too few toxic posts (51 of 399) for a stable share."""
+    labelled = stage(catalog.labelled_posts(spark, "/root/testdata/sf0.1"), "labelled")
     part = F.pmod(F.xxhash64("id"), F.lit(4))
     model = fit_sentiment(labelled.where(part != 0), new_folder(spark, "model"))
     done = label_with_model(labelled.where(part == 0), model)
     counts = {(r.toxic, r.l): r["count"] for r in done.groupBy("toxic", F.col("sentiment_result")[0].alias("l")).count().collect()}
     toxic = counts.get((1, "neg"), 0) + counts.get((1, "pos"), 0)
     clean = counts.get((0, "neg"), 0) + counts.get((0, "pos"), 0)
-    assert toxic and counts.get((1, "neg"), 0) / toxic >= 0.3
-    assert counts.get((0, "neg"), 0) / clean <= 0.1
+    assert toxic and counts.get((1, "neg"), 0) / toxic >= 0.5
+    assert counts.get((0, "neg"), 0) / clean <= 0.05
 
 
 def test_model_on_null_text(spark):
