@@ -4,11 +4,15 @@ import datetime as dt
 
 from pyspark.sql import Column, functions as F
 
-# The parts of a post timestamp, and the zone names of RFC 822.
+# The form of a post timestamp, its names, and the zone names of RFC 822.
 POST_TIME = (
-    r"^([A-Za-z]+) ([A-Za-z]+) 0*(\d{1,2}) 0*(\d{1,2}:\d{1,2}:\d{1,2})"
-    r" ([+-]\d{4}|[A-Za-z]+) (\d{4})(?!\d)(?s:.*)"
+    r"^[A-Za-z]+ [A-Za-z]+ \d+ \d+:\d+:\d+ (?:[+-]\d{4}|[A-Za-z]+) \d{4}(?!\d)"
 )
+WEEKDAYS = ["sunday", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday"]
+MONTHS = [
+    "january", "february", "march", "april", "may", "june",
+    "july", "august", "september", "october", "november", "december",
+]
 ZONES = {
     "GMT": "+0000", "UTC": "+0000",
     "EST": "-0500", "EDT": "-0400",
@@ -26,32 +30,34 @@ def parse_post_time(text: Column) -> Column:
     the default parser policy, in any session zone.
     """
     parts = F.split(text, " ")
-    weekday, month, zone = (F.lower(F.get(parts, F.lit(i))) for i in (0, 1, 4))
-    offset = F.coalesce(
-        F.try_element_at(
-            F.create_map(*[F.lit(v) for pair in ZONES.items() for v in pair]), F.upper(zone)
-        ),
-        zone,
-    )
-    short_month = F.substring(month, 1, 3)
-    day_time_year = F.regexp_replace(text, POST_TIME, "$3 $4 $6")
+    weekday, month, day, time, zone, year = (F.get(parts, F.lit(i)) for i in range(6))
+    names = F.create_map(*[F.lit(v) for pair in ZONES.items() for v in pair])
+    offset = F.when(zone.rlike("^[+-]"), zone).otherwise(F.try_element_at(names, F.upper(zone)))
     instant = F.try_to_timestamp(
-        F.concat_ws(" ", short_month, day_time_year, offset), F.lit("MMM d H:m:s yyyy Z")
-    )
-    day = F.try_to_date(
-        F.concat_ws(" ", short_month, F.regexp_replace(text, POST_TIME, "$3 $6")), "MMM d yyyy"
+        F.concat_ws(" ", F.substring(month, 1, 3), day, time, F.substring(year, 1, 4), offset),
+        F.lit("MMM d H:m:s yyyy Z"),
     )
+    months = [m[:3] for m in MONTHS] + MONTHS
     return F.when(
-        text.rlike(POST_TIME) & _named(weekday, day, "EEE") & _named(month, day, "MMM"),
+        text.rlike(POST_TIME)
+        & F.lower(month).isin(months)
+        & _is_weekday(F.lower(weekday), _date(year, month, day)),
         instant,
     )
 
 
-def _named(word: Column, day: Column, pattern: str) -> Column:
-    """True where `word` is the short or the long name that `pattern` gives for `day`."""
-    return (word == F.lower(F.date_format(day, pattern))) | (
-        word == F.lower(F.date_format(day, pattern + pattern[0]))
-    )
+def _date(year: Column, month: Column, day: Column) -> Column:
+    """The date of a year, a month's name and a day, without a date pattern; null if there is none."""
+    first_letters = F.lit("".join(m[:3] for m in MONTHS))
+    number = F.ceil(F.instr(first_letters, F.lower(F.substring(month, 1, 3))) / 3)
+    return F.concat_ws("-", F.substring(year, 1, 4), number, day.try_cast("int")).try_cast("date")
+
+
+def _is_weekday(word: Column, day: Column) -> Column:
+    """True where `word` is the short or the long name of the date's weekday."""
+    number = F.dayofweek(day) - 1
+    short, long = (F.array(*[F.lit(d[:n]) for d in WEEKDAYS]) for n in (3, None))
+    return (word == F.get(short, number)) | (word == F.get(long, number))
 
 
 def utc_date(instant: Column) -> Column:

@@ -1,12 +1,15 @@
 """Sentiment labels from a table of terms with polarities."""
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from postflow.functions.text import tokens
 from postflow.operators.joins import salted_join
 from postflow.staging import stage
 
-INLINE_TERMS = 5_000  # up to here a lexicon travels inside the plan
+INLINE_TERMS = 100_000  # up to here a lexicon travels inside the plan
 BROADCAST_BYTES = 64 << 20  # up to here it is broadcast, beyond it is shuffled
 ENTRY_BYTES = 48  # what a broadcast entry takes besides its text
 TERM_SALTS = 64
@@ -30,40 +33,66 @@ def derive_lexicon(labelled: DataFrame, toxic_weight: int = 7, min_posts: int =
     )
 
 
-def label_posts(posts: DataFrame, lexicon: DataFrame, inline_terms: int = INLINE_TERMS) -> DataFrame:
-    """`posts` with `sentiment_result`, an array of one label.
+def labeller(lexicon: DataFrame, inline_terms: int = INLINE_TERMS) -> Callable[[DataFrame], DataFrame]:
+    """A function that adds `sentiment_result`, an array of one label, to posts.
 
     The label is the sign of the summed polarities of the distinct terms of `cleaned_text`:
     pos, neg, or neutral; null text has a null array. `lexicon` should be a stored table, as it
-    is read more than once. A small one goes inside the plan, a larger one is joined; the
-    labels are the same.
+    is read more than once. Up to `inline_terms` it is read here, once, and goes inside the
+    plan; a larger one is joined each time. The labels are the same.
     """
-    if lexicon.count() > inline_terms:
-        return label_by_join(posts, lexicon)
-    terms = lexicon.select("term", "polarity").collect()
-    return label_inline(posts, {t.term: t.polarity for t in terms})
+    terms = lexicon.count()
+    if terms > inline_terms:
+        return lambda posts: label_by_join(posts, lexicon)
+    polarity = inline_polarity(lexicon, terms)
+    return lambda posts: _label_by_row(posts, polarity)
 
 
-def label_inline(posts: DataFrame, polarities: dict[str, int]) -> DataFrame:
-    """Label row by row with a small lexicon: no join, no shuffle, and it works on a stream."""
-    total = F.expr(f"aggregate(_terms, 0, (sum, t) -> sum + {polarity_case('t', polarities)})")
-    return (
-        posts.withColumn("_terms", F.array_distinct(tokens(F.col("cleaned_text"))))
-        .withColumn("sentiment_result", _label(total))
-        .drop("_terms")
-    )
+def label_posts(posts: DataFrame, lexicon: DataFrame, inline_terms: int = INLINE_TERMS) -> DataFrame:
+    return labeller(lexicon, inline_terms)(posts)
 
 
-def polarity_case(variable: str, polarities: dict[str, int]) -> str:
-    """A SQL expression for the polarity of a term; the lists become hash sets in the plan."""
+def inline_polarity(lexicon: DataFrame, terms: int) -> Callable[[Column], Column]:
+    """A lookup of a term's polarity, 0 for unknown ones, that needs no join.
+
+    The lexicon becomes a constant array of hash buckets, of about one term each: a long IN list
+    or a map constant would be slow to plan or to search.
+    """
+    buckets = max(1, terms)
+
+    def bucket(term: Column) -> Column:
+        return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+    tables = {1: [[] for _ in range(buckets)], -1: [[] for _ in range(buckets)]}
+    for row in lexicon.select(bucket(F.col("term")).alias("bucket"), "term", "polarity").collect():
+        tables[row.polarity][row.bucket].append(row.term)
+    # Spark folds the parsed text into one constant.
+    constants = {
+        sign: F.from_json(F.lit(json.dumps(table)), "array<array<string>>")
+        for sign, table in tables.items()
+    }
+
+    def polarity(term: Column) -> Column:
+        at = bucket(term)
+        return (
+            F.when(F.array_contains(F.get(constants[1], at), term), 1)
+            .when(F.array_contains(F.get(constants[-1], at), term), -1)
+            .otherwise(0)
+        )
+
+    return polarity
 
-    def members(sign: int) -> str:
-        quoted = [f"'{t}'" for t, p in polarities.items() if p == sign]
-        return f"{variable} IN ({', '.join(quoted)})" if quoted else "false"
 
-    if not all(t.isalnum() for t in polarities):
-        raise ValueError("lexicon terms must be single words")
-    return f"CASE WHEN {members(1)} THEN 1 WHEN {members(-1)} THEN -1 ELSE 0 END"
+def _label_by_row(posts: DataFrame, polarity: Callable[[Column], Column]) -> DataFrame:
+    """No join and no shuffle, on a batch or a stream."""
+    total = F.aggregate("_terms", F.lit(0), lambda total, term: total + polarity(term))
+    # A column of its own: the label looks at the total several times.
+    return (
+        posts.withColumn("_terms", F.array_distinct(tokens(F.col("cleaned_text"))))
+        .withColumn("_polarity", total)
+        .withColumn("sentiment_result", _label(F.col("_polarity")))
+        .drop("_terms", "_polarity")
+    )
 
 
 def label_by_join(posts: DataFrame, lexicon: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:

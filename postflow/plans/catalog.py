@@ -15,7 +15,7 @@ from postflow.functions.times import parse_post_time
 from postflow.operators import reports, search
 from postflow.operators.dense_index import dense_index as add_dense_index
 from postflow.operators.joins import enrich_join as lookup, replay_join as replay
-from postflow.operators.lexicon import derive_lexicon, label_posts
+from postflow.operators.lexicon import derive_lexicon, labeller
 from postflow.operators.model import fit_sentiment, label_with_model
 from postflow.operators.text_index import (
     doc_counts, postings, posts_with, ranked_search as rank, ranked_search_stored,
@@ -104,13 +104,12 @@ def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive_lexicon(labelled_posts(spark, sf_dir))
 
 
-def labeller(spark: SparkSession, sf_dir: str):
-    stored = stage(lexicon(spark, sf_dir), "lexicon")
-    return lambda posts: label_posts(posts, stored)
+def stored_labeller(spark: SparkSession, sf_dir: str):
+    return labeller(stage(lexicon(spark, sf_dir), "lexicon"))
 
 
 def processed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return process(enriched_posts(spark, sf_dir), labeller(spark, sf_dir))
+    return process(enriched_posts(spark, sf_dir), stored_labeller(spark, sf_dir))
 
 
 _stored: dict[tuple[str, str, str], str] = {}
@@ -243,7 +242,7 @@ def envelope_rejects(spark, sf_dir):
 
 def sentiment_lexicon(spark, sf_dir):
     posts = enriched_posts(spark, sf_dir).select("id", "cleaned_text")
-    labelled = labeller(spark, sf_dir)(posts)
+    labelled = stored_labeller(spark, sf_dir)(posts)
     return labelled.select("id", F.array_join("sentiment_result", ",").alias("label"))
 
 
@@ -395,7 +394,7 @@ def processed_batches(spark, sf_dir) -> str:
     values = ingested(spark, stream_posts(spark, json_posts(spark, sf_dir)))
     folder = new_folder(spark, "batches")
     _finish(run_process(
-        read_envelopes(spark, "text", path=values), labeller(spark, sf_dir),
+        read_envelopes(spark, "text", path=values), stored_labeller(spark, sf_dir),
         f"{folder}/posts", f"{folder}/rejects", f"{folder}/checkpoint", NOW,
     ))
     return f"{folder}/posts"

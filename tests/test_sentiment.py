@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import plan_of
-from postflow.operators.lexicon import _with_polarity, derive_lexicon, label_by_join, label_inline, label_posts
+from postflow.operators.lexicon import _with_polarity, derive_lexicon, inline_polarity, label_by_join, label_posts, labeller
 from postflow.operators.model import fit_sentiment, label_with_model
 from postflow.plans import catalog
 from postflow.staging import new_folder, stage
@@ -25,8 +25,6 @@ TEXTS = [
 
 def forms(spark):
     df = spark.createDataFrame([t[:2] for t in TEXTS], "id long, cleaned_text string")
-    terms = {r.term: r.polarity for r in lexicon(spark).collect()}
-    yield label_inline(df, terms)
     yield label_by_join(df, lexicon(spark))
     yield label_by_join(df, lexicon(spark), broadcast_bytes=0)
     yield label_posts(df, lexicon(spark))
@@ -73,9 +71,18 @@ def test_large_lexicon_is_shuffled_not_broadcast(spark, conf):
     assert "BroadcastHashJoin" not in shuffled and "_salt" in shuffled
 
 
-def test_lexicon_words_are_checked(spark):
-    with pytest.raises(ValueError):
-        label_inline(spark.createDataFrame([("x",)], "cleaned_text string"), {"it's": 1})
+def test_inline_lookup(spark):
+    """The lexicon is one constant of the plan, and every term is found in it."""
+    words = [f"w{i}" for i in range(300)] + ["it's", '"', "\\", "é", ""]
+    stored = spark.createDataFrame([(w, 1 if i % 2 else -1) for i, w in enumerate(words)], "term string, polarity int")
+    df = spark.createDataFrame([(w,) for w in words + ["absent", "W1"]], "w string")
+    found = df.select("w", inline_polarity(stored, len(words))(F.col("w")).alias("p"))
+    assert [tuple(r) for r in found.collect()] == [
+        *((w, 1 if i % 2 else -1) for i, w in enumerate(words)), ("absent", 0), ("W1", 0)]
+    posts = df.withColumnRenamed("w", "cleaned_text")
+    plan = plan_of(labeller(stored)(posts))
+    physical = plan[plan.index("== Physical Plan =="):]
+    assert "from_json" not in physical and "Join" not in physical and "Exchange" not in physical
 
 
 def test_derived_lexicon(spark):

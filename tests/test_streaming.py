@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from postflow.operators.dense_index import dense_index
 from postflow.operators.joins import replay_join
-from postflow.operators.lexicon import label_inline
+from postflow.operators.lexicon import label_posts
 from postflow.operators.reports import time_histogram
 from postflow.plans.posts import enrich, process
 from postflow.sources.readers import read_envelopes, read_posts, stream_posts, stream_ticks
@@ -19,7 +19,7 @@ UTC = dt.timezone.utc
 
 
 def label(df):
-    return label_inline(df, {"good": 1, "bad": -1})
+    return label_posts(df, df.sparkSession.createDataFrame([("good", 1), ("bad", -1)], "term string, polarity int"))
 
 
 def rows(df):
