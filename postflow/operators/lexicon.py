@@ -1,5 +1,6 @@
 """Sentiment labels from a table of terms with polarities."""
 
+import collections
 import json
 from collections.abc import Callable
 
@@ -55,30 +56,28 @@ def label_posts(posts: DataFrame, lexicon: DataFrame, inline_terms: int = INLINE
 def inline_polarity(lexicon: DataFrame, terms: int) -> Callable[[Column], Column]:
     """A lookup of a term's polarity, 0 for unknown ones, that needs no join.
 
-    The lexicon becomes a constant array of hash buckets, of about one term each: a long IN list
-    or a map constant would be slow to plan or to search.
+    For each polarity, 1 and -1 as a rule, the terms become a constant array of hash buckets, of
+    about one term each: a long IN list or a map constant would be slow to plan or to search.
     """
     buckets = max(1, terms)
 
     def bucket(term: Column) -> Column:
         return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
-    tables = {1: [[] for _ in range(buckets)], -1: [[] for _ in range(buckets)]}
+    tables = collections.defaultdict(lambda: [[] for _ in range(buckets)])
     for row in lexicon.select(bucket(F.col("term")).alias("bucket"), "term", "polarity").collect():
         tables[row.polarity][row.bucket].append(row.term)
     # Spark folds the parsed text into one constant.
     constants = {
-        sign: F.from_json(F.lit(json.dumps(table)), "array<array<string>>")
-        for sign, table in tables.items()
+        value: F.from_json(F.lit(json.dumps(table)), "array<array<string>>")
+        for value, table in tables.items()
     }
 
     def polarity(term: Column) -> Column:
-        at = bucket(term)
-        return (
-            F.when(F.array_contains(F.get(constants[1], at), term), 1)
-            .when(F.array_contains(F.get(constants[-1], at), term), -1)
-            .otherwise(0)
-        )
+        at, found = bucket(term), F.lit(0)
+        for value, table in constants.items():
+            found = F.when(F.array_contains(F.get(table, at), term), value).otherwise(found)
+        return found
 
     return polarity
 

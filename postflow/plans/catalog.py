@@ -23,10 +23,10 @@ from postflow.operators.text_index import (
 )
 from postflow.plans.posts import compat_columns as five_columns, enrich, process
 from postflow.sources.layout import compact, read_layout, write_layout
-from postflow.sources.readers import read_envelopes, read_posts, stream_posts, stream_ticks
-from postflow.sources.sinks import read_batches
+from postflow.sources.readers import read_envelopes, read_posts, stream_posts
+from postflow.sources.sinks import envelope_files, read_batches
 from postflow.staging import new_folder, stage
-from postflow.streaming.flows import run_histogram, run_ingest, run_process
+from postflow.streaming.flows import run_histogram, run_ingest, run_process, run_replay
 
 ANY_TERMS = ["worthless", "trash", "idiot"]
 ALL_TERMS = ["the", "and", "trash"]
@@ -416,7 +416,10 @@ def stream_replay(spark, sf_dir):
     ticks = new_folder(spark, "ticks")
     table(spark, sf_dir, "events").select(F.col("event_id").alias("value")).write.parquet(ticks)
     stream = spark.readStream.schema("value bigint").parquet(ticks)
-    values = ingested(spark, replay(stream, indexed_posts(spark, sf_dir)))
+    folder = new_folder(spark, "topic")
+    values = f"{folder}/values"
+    indexed = stage(indexed_posts(spark, sf_dir), "indexed")
+    _finish(run_replay(stream, indexed, envelope_files(values), f"{folder}/checkpoint", NOW))
     decoded = restore_time(decode(read_envelopes(spark, "text", stream=False, path=values)))
     return decoded.select("id", epoch(), "cleaned_text")
 

@@ -1,5 +1,7 @@
 """Where envelopes, processed posts and rejects go."""
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -20,6 +22,16 @@ def write_envelopes(
     return (writer.trigger(**trigger) if trigger else writer).start()
 
 
+def envelope_files(path: str) -> Callable[[DataFrame, int], None]:
+    """A writer of micro-batches of envelopes to text files; a replayed batch replaces itself."""
+    return lambda values, batch_id: values.write.mode("overwrite").text(f"{path}/batch_id={batch_id}")
+
+
+def envelope_topic(format: str, **options) -> Callable[[DataFrame, int], None]:
+    """A writer of micro-batches of envelopes to a topic, with its settings from the caller."""
+    return lambda values, batch_id: values.write.format(format).options(**options).save()
+
+
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     """Store one micro-batch under its id; a replayed batch replaces itself.
 

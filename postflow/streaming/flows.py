@@ -1,14 +1,15 @@
-"""The two streaming queries, and the streaming histogram.
+"""The streaming queries: ingest or replay, process, and the histogram.
 
 Nothing here blocks: each function returns the running query and the caller awaits it.
 """
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from postflow.functions.envelope import accepted, decode, encode, rejected, restore_time
+from postflow.operators.joins import replay_join
 from postflow.operators.reports import time_histogram
 from postflow.plans.posts import Labeller, enrich, process
 from postflow.sources.sinks import write_batch, write_envelopes
@@ -17,10 +18,34 @@ from postflow.sources.sinks import write_batch, write_envelopes
 def run_ingest(
     raw: DataFrame, format: str, checkpoint: str, trigger: dict | None = None, **options
 ) -> StreamingQuery:
-    """Enrich a stream of raw posts, or of replayed ones, and write their envelopes."""
+    """Enrich a stream of raw posts and write their envelopes."""
     return write_envelopes(encode(enrich(raw)), format, checkpoint, trigger, **options)
 
 
+def run_replay(
+    ticks: DataFrame,
+    indexed: DataFrame,
+    write: Callable[[DataFrame, int], None],
+    checkpoint: str,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Replay indexed posts, stored with their `index`, and write their envelopes.
+
+    A stream joined to the table would read all of it in every micro-batch. Here each one first
+    looks at the span of its ticks and reads only the row groups that hold those indexes.
+    `write` takes the envelopes and the batch id, as `envelope_files` and `envelope_topic` do.
+    """
+
+    def replay(batch: DataFrame, batch_id: int) -> None:
+        first, last = batch.agg(F.min("value"), F.max("value")).first()
+        if first is not None:
+            posts = indexed.where(F.col("index").between(first, last))
+            write(encode(enrich(replay_join(batch, posts))), batch_id)
+
+    writer = ticks.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+    return (writer.trigger(**trigger) if trigger else writer).foreachBatch(replay).start()
+
+
 def run_process(
     envelopes: DataFrame,
     label: Labeller,

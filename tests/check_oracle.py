@@ -34,7 +34,7 @@ def main() -> int:
     sf_dir = f"/root/testdata/sf{sf}"
     spark = (
         SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g").getOrCreate()
+        .config("spark.sql.shuffle.partitions", os.environ.get("SHUFFLE", "8")).config("spark.driver.memory", "8g").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     con, bad = duck(sf_dir), 0

@@ -4,14 +4,17 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from conftest import plan_of
+from postflow.functions.envelope import encode
 from postflow.operators.dense_index import dense_index
 from postflow.operators.joins import replay_join
 from postflow.operators.lexicon import label_posts
 from postflow.operators.reports import time_histogram
 from postflow.plans.posts import enrich, process
 from postflow.sources.readers import read_envelopes, read_posts, stream_posts, stream_ticks
-from postflow.sources.sinks import read_batches, write_batch
-from postflow.streaming.flows import run_histogram, run_ingest, run_process
+from postflow.sources.sinks import envelope_files, read_batches, write_batch
+from postflow.staging import stage
+from postflow.streaming.flows import run_histogram, run_ingest, run_process, run_replay
 from test_posts import post, write_json
 
 NOW = {"availableNow": True}
@@ -102,6 +105,30 @@ def test_replay_stream_equals_batch(spark, tmp_path):
     assert got.count() == 30 and got.distinct().count() == 30
 
 
+def test_replay_by_slices_equals_the_stream_join(spark, tmp_path):
+    raw = read_posts(spark, source(tmp_path / "in"))
+    indexed = stage(dense_index(raw, ["retweet_count", "id"]), "indexed")
+    ticks = tmp_path / "ticks"
+    for part in range(5):  # the last ticks are past the last post
+        spark.range(part * 10, part * 10 + 10).select(F.col("id").alias("value")).coalesce(1).write.mode("append").parquet(str(ticks))
+    stream = spark.readStream.schema("value bigint").option("maxFilesPerTrigger", 1).parquet(str(ticks))
+    out, sizes = str(tmp_path), []
+    files = envelope_files(f"{out}/topic")
+
+    def write(values, batch_id):
+        sizes.append(values.count())
+        files(values, batch_id)
+
+    run_replay(stream, indexed, write, f"{out}/c", NOW).awaitTermination()
+    assert sorted(sizes) == [0, 0, 10, 10, 10]
+    got = read_envelopes(spark, "text", stream=False, path=f"{out}/topic")
+    assert rows(got) == rows(encode(enrich(raw)))
+    files(encode(enrich(raw)).limit(0), 0)
+    assert read_envelopes(spark, "text", stream=False, path=f"{out}/topic").count() == 20
+    slice_plan = plan_of(indexed.where(F.col("index").between(3, 5)))
+    assert "PushedFilters: [IsNotNull(index), GreaterThanOrEqual(index,3), LessThanOrEqual(index,5)]" in slice_plan
+
+
 def test_tick_source_schema(spark):
     ticks = stream_ticks(spark, format="rate-micro-batch", rowsPerBatch=5)
     assert [f.simpleString() for f in ticks.schema] == ["timestamp:timestamp", "value:bigint"]
