@@ -11,8 +11,9 @@ from postflow.operators.joins import replay_join
 from postflow.operators.lexicon import label_posts
 from postflow.operators.reports import time_histogram
 from postflow.plans.posts import enrich, process
+from postflow.schema import PROCESSED
 from postflow.sources.readers import read_envelopes, read_posts, stream_posts, stream_ticks
-from postflow.sources.sinks import envelope_files, read_batches, write_batch
+from postflow.sources.sinks import envelope_files, read_batches, write_batch, write_batch_to_store
 from postflow.staging import stage
 from postflow.streaming.flows import run_histogram, run_ingest, run_process, run_replay
 from test_posts import post, write_json
@@ -91,6 +92,8 @@ def test_a_connector_can_replace_the_writer(spark, tmp_path):
     run_process(read_envelopes(spark, "text", path=str(topic)), label, f"{out}/p", f"{out}/r", f"{out}/c", NOW,
                 store=lambda df, batch_id: stored.extend(df.collect())).awaitTermination()
     assert [r.sentiment_score for r in stored] == [1]
+    write_batch_to_store(spark.createDataFrame(stored, PROCESSED), "json", path=f"{out}/store")
+    assert spark.read.schema(PROCESSED).json(f"{out}/store").collect() == stored
 
 
 def test_replay_stream_equals_batch(spark, tmp_path):
