@@ -267,15 +267,15 @@ def compat_columns(spark, sf_dir):
     )
 
 
-# --- search -------------------------------------------------------------------------------
+# --- search, on the processed table or the stored index -----------------------------------
 
 
 def text_search_any(spark, sf_dir):
-    return search.text_search(enriched_posts(spark, sf_dir), ANY_TERMS, "any", "cleaned_text").select("id")
+    return search.text_search(processed_table(spark, sf_dir), ANY_TERMS, "any").select("id")
 
 
 def text_search_all(spark, sf_dir):
-    return search.text_search(enriched_posts(spark, sf_dir), ALL_TERMS, "all", "cleaned_text").select("id")
+    return search.text_search(processed_table(spark, sf_dir), ALL_TERMS, "all").select("id")
 
 
 def inverted_index(spark, sf_dir):
@@ -287,7 +287,7 @@ def term_counts(spark, sf_dir):
 
 
 def ranked_search(spark, sf_dir):
-    return rank(enriched_posts(spark, sf_dir), RANK_TERMS, 50, "cleaned_text")
+    return rank(processed_table(spark, sf_dir), RANK_TERMS, 50)
 
 
 def index_search(spark, sf_dir):
@@ -297,7 +297,7 @@ def index_search(spark, sf_dir):
 def index_ranked_search(spark, sf_dir):
     stored = postings_table(spark, sf_dir, RANK_TERMS)
     return ranked_search_stored(
-        stored, doc_counts(stored), raw_posts(spark, sf_dir).count(), RANK_TERMS, 50
+        stored, doc_counts(stored), processed_table(spark, sf_dir).count(), RANK_TERMS, 50
     )
 
 
@@ -306,20 +306,20 @@ def time_range(spark, sf_dir):
 
 
 def bbox_search(spark, sf_dir):
-    return search.box_search(placed(enriched_posts(spark, sf_dir)), *BOX).select("id", "lat", "lon")
+    return search.box_search(processed_table(spark, sf_dir), *BOX).select("id", "lat", "lon")
 
 
 def bbox_search_dateline(spark, sf_dir):
-    return search.box_search(placed(enriched_posts(spark, sf_dir)), *DATELINE_BOX).select("id", "lat", "lon")
+    return search.box_search(processed_table(spark, sf_dir), *DATELINE_BOX).select("id", "lat", "lon")
 
 
 def radius_search(spark, sf_dir):
-    found = search.radius_search(placed(enriched_posts(spark, sf_dir)), *CENTER, RADIUS_KM)
+    found = search.radius_search(processed_table(spark, sf_dir), *CENTER, RADIUS_KM)
     return found.select("id", F.round("distance_km", 3).alias("distance_km"))
 
 
 def hashtag_search(spark, sf_dir):
-    return search.hashtag_search(enriched_posts(spark, sf_dir), TAG).select("id", joined())
+    return search.hashtag_search(processed_table(spark, sf_dir), TAG).select("id", joined())
 
 
 def combined_search(spark, sf_dir):
@@ -329,7 +329,7 @@ def combined_search(spark, sf_dir):
     return flat(found)
 
 
-# --- reports ------------------------------------------------------------------------------
+# --- reports, on the processed table ------------------------------------------------------
 
 
 def time_histogram(spark, sf_dir):
@@ -343,7 +343,7 @@ def grid_counts(spark, sf_dir):
 
 
 def hashtag_counts(spark, sf_dir):
-    return reports.hashtag_counts(enriched_posts(spark, sf_dir), 10)
+    return reports.hashtag_counts(processed_table(spark, sf_dir), 10)
 
 
 def _with_rounded_mean(df):

@@ -49,9 +49,12 @@ def test_results_do_not_depend_on_the_session_zone(spark, con, conf):
         assert normal(got) == normal(con.execute(contract.oracle_sql()[name]).df())
 
 
-def test_unused_columns_are_not_read(spark):
-    plan = plan_of(catalog.bbox_search(spark, SF))
-    assert "ReadSchema: struct<doc_id:bigint>" in plan and "text" not in plan.split("== Physical Plan ==")[1]
+def test_only_needed_columns_are_read(spark):
+    plan = plan_of(catalog.post_coordinates(spark, SF)).split("== Physical Plan ==")[1]
+    assert "ReadSchema: struct<doc_id:bigint>" in plan and "text" not in plan
+    plan = plan_of(catalog.bbox_search(spark, SF)).split("== Physical Plan ==")[1]
+    assert "ReadSchema: struct<id:bigint,lat:double,lon:double>" in plan
+    assert "PushedFilters: [IsNotNull(lat), IsNotNull(lon), GreaterThanOrEqual(lat" in plan
 
 
 def test_shared_folder_comes_from_the_session(spark):
