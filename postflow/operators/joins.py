@@ -1,32 +1,48 @@
-"""Replay join, lookup join, and the salting both fall back on for hot keys."""
+"""Replay join and lookup join, and how both split keys that many rows have."""
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from postflow.staging import stage
 
 HOT_SHARE = 0.001  # a key with at least this share of the rows is hot, so at most 1,000 are
-SALTS = 256
+HOT_ROWS = 100_000  # and this many rows
+HOT_BYTES = 64 << 20  # up to here the dimension rows of hot keys are broadcast
 
 
-def replay_join(ticks: DataFrame, indexed: DataFrame) -> DataFrame:
+def replay_join(ticks: DataFrame, indexed: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Each tick picks the post of that index; ticks past the last post pick none.
 
-    `ticks` has the column `value`, batch or stream; `indexed` comes from `dense_index`.
-    Indexes are unique, so no key is hot unless ticks repeat.
+    `ticks` has the column `value`, batch or stream; `indexed` comes from `dense_index`. Indexes
+    are unique; a tick that repeats very often is split as a hot key, except in a stream, where
+    it cannot be counted ahead.
     """
-    return ticks.select(F.col("value").cast("long").alias("index")).join(indexed, "index")
+    wanted = ticks.select(F.col("value").cast("long").alias("index"))
+    if wanted.isStreaming:
+        return wanted.join(indexed, "index")
+    return _counted_join(wanted, indexed, "index", "inner", None, hot_rows, HOT_BYTES)
 
 
 def enrich_join(
-    facts: DataFrame, dimension: DataFrame, key: str, how: str = "inner", hot: list | None = None
+    facts: DataFrame, dimension: DataFrame, key: str, how: str = "inner", hot: list | None = None,
+    hot_rows: int = HOT_ROWS, hot_bytes: int = HOT_BYTES,
 ) -> DataFrame:
     """Look `key` up in a dimension that has each key once.
 
     A dimension with a repeated key is an error, since it would multiply facts. `hot` names the
-    keys to salt; by default they are counted.
+    keys to split; by default they are counted, and facts that have any are written once.
     """
     require_unique(dimension, key)
-    return salted_join(facts, dimension, key, hot_keys(facts, key) if hot is None else hot, how)
+    return _counted_join(facts, dimension, key, how, hot, hot_rows, hot_bytes)
+
+
+def _counted_join(facts, dimension, key, how, hot, hot_rows, hot_bytes) -> DataFrame:
+    if hot is None:
+        hot = hot_keys(facts, key, at_least=hot_rows)
+        # The facts are read twice below. Written, they are computed no more than twice in all.
+        facts = stage(facts, "facts") if hot else facts
+    return split_join(facts, dimension, key, hot, how, hot_bytes)
 
 
 def require_unique(df: DataFrame, key: str) -> None:
@@ -56,29 +72,26 @@ def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, at_least: int =
     return [r[key] for r in counts if not r.is_total and r.rows >= share * total]
 
 
-def salted_join(
-    facts: DataFrame, dimension: DataFrame, key: str, hot: list, how: str = "inner", salts: int = SALTS
+def split_join(
+    facts: DataFrame, dimension: DataFrame, key: str, hot: list, how: str = "inner", hot_bytes: int = HOT_BYTES
 ) -> DataFrame:
-    """Inner or left join on `key`, with the facts of hot keys spread over `salts` tasks.
+    """Inner or left join on `key`, where the facts of hot keys stay out of the shuffle on it.
 
-    The salt is the task a fact comes from: it splits even exact copies, and a retried task
-    gives its rows the same salts again. Only the dimension rows of hot keys are repeated. In a
-    left join the facts without a key, which match nothing, are spread the same way.
+    The dimension has a key once, so the rows of the hot keys are as few as those. They are
+    broadcast after their size is checked, to facts that are first dealt evenly over the tasks,
+    as they may come from a shuffle on the same key. Larger ones are joined as the others are,
+    and left to the adaptive skew join. In a left join the facts without a key are dealt evenly too.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"how must be 'inner' or 'left', got {how!r}")
-    if not hot and how == "inner":
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False)) if hot else F.lit(False)
+    few = dimension.where(is_hot)
+    size = few.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0 if hot else 0
+    if size > hot_bytes:
+        is_hot = F.lit(False)
+    apart = is_hot | F.col(key).isNull() if how == "left" else is_hot
+    if (not hot or size > hot_bytes) and how == "inner":
         return facts.join(dimension, key)
-    spread = _is_in(key, hot) | F.col(key).isNull() if how == "left" else _is_in(key, hot)
-    salted_facts = facts.withColumn(
-        "_salt", F.when(spread, F.pmod(F.spark_partition_id(), F.lit(salts))).otherwise(0)
-    )
-    copies = F.when(_is_in(key, hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-        F.array(F.lit(0))
-    )
-    salted_dimension = dimension.withColumn("_salt", F.explode(copies))
-    return salted_facts.join(salted_dimension, [key, "_salt"], how).drop("_salt")
-
-
-def _is_in(key: str, values: list) -> Column:
-    return F.col(key).isin(values) if values else F.lit(False)
+    cold = facts.where(~apart).join(dimension, key, how)
+    dealt = facts.where(apart).repartition(facts.sparkSession.sparkContext.defaultParallelism)
+    return cold.unionByName(dealt.join(F.broadcast(few if size <= hot_bytes else few.limit(0)), key, how).select(cold.columns))

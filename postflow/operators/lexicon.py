@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from postflow.functions.text import tokens
-from postflow.operators.joins import salted_join
+from postflow.operators.joins import HOT_BYTES, HOT_ROWS, split_join
 from postflow.staging import stage
 
-INLINE_TERMS = 100_000  # up to here a lexicon travels inside the plan
-BROADCAST_BYTES = 64 << 20  # up to here it is broadcast, beyond it is shuffled
+BROADCAST_BYTES = 64 << 20  # up to here a lexicon is broadcast, beyond it is shuffled
 ENTRY_BYTES = 48  # what a broadcast entry takes besides its text
 TERM_SALTS = 64
+ROUTES = ("join", "inline")
 
 
 def derive_lexicon(labelled: DataFrame, toxic_weight: int = 7, min_posts: int = 3) -> DataFrame:
@@ -34,23 +34,37 @@ def derive_lexicon(labelled: DataFrame, toxic_weight: int = 7, min_posts: int =
     )
 
 
-def labeller(lexicon: DataFrame, inline_terms: int = INLINE_TERMS) -> Callable[[DataFrame], DataFrame]:
+def normal_lexicon(lexicon: DataFrame) -> DataFrame:
+    """`(term, polarity)` with every term once: repeated terms add up, as whole numbers, and 0 is left out."""
+    return (
+        lexicon.where(F.col("term").isNotNull())
+        .groupBy("term")
+        .agg(F.sum("polarity").cast("bigint").alias("polarity"))
+        .where(F.col("polarity") != 0)
+    )
+
+
+def labeller(lexicon: DataFrame, route: str = "join", bias: int = 0, **limits) -> Callable[[DataFrame], DataFrame]:
     """A function that adds `sentiment_result`, an array of one label, to posts.
 
-    The label is the sign of the summed polarities of the distinct terms of `cleaned_text`:
-    pos, neg, or neutral; null text has a null array. `lexicon` should be a stored table, as it
-    is read more than once. Up to `inline_terms` it is read here, once, and goes inside the
-    plan; a larger one is joined each time. The labels are the same.
+    The label is the sign of `bias` plus the summed polarities of the distinct terms of
+    `cleaned_text`: pos, neg, or neutral; null text has a null array. The lexicon is normalised
+    and written once, so both routes give the same labels. `route` is the caller's choice:
+    `join` takes a lexicon of any size, broadcast or shuffled by its measured size (`limits` are
+    those of `label_by_join`); `inline` puts it into the plan, for one that fits the driver, and
+    needs no join or shuffle.
     """
-    terms = lexicon.count()
-    if terms > inline_terms:
-        return lambda posts: label_by_join(posts, lexicon)
-    polarity = inline_polarity(lexicon, terms)
-    return lambda posts: _label_by_row(posts, polarity)
+    if route not in ROUTES:
+        raise ValueError(f"route must be one of {ROUTES}, got {route!r}")
+    stored = stage(normal_lexicon(lexicon), "normal-lexicon")
+    if route == "join":
+        return lambda posts: label_by_join(posts, stored, bias, **limits)
+    polarity = inline_polarity(stored, stored.count())
+    return lambda posts: _label_by_row(posts, polarity, bias)
 
 
-def label_posts(posts: DataFrame, lexicon: DataFrame, inline_terms: int = INLINE_TERMS) -> DataFrame:
-    return labeller(lexicon, inline_terms)(posts)
+def label_posts(posts: DataFrame, lexicon: DataFrame, route: str = "join", bias: int = 0) -> DataFrame:
+    return labeller(lexicon, route, bias)(posts)
 
 
 def inline_polarity(lexicon: DataFrame, terms: int) -> Callable[[Column], Column]:
@@ -74,17 +88,17 @@ def inline_polarity(lexicon: DataFrame, terms: int) -> Callable[[Column], Column
     }
 
     def polarity(term: Column) -> Column:
-        at, found = bucket(term), F.lit(0)
+        at, found = bucket(term), F.lit(0).cast("bigint")
         for value, table in constants.items():
-            found = F.when(F.array_contains(F.get(table, at), term), value).otherwise(found)
+            found = F.when(F.array_contains(F.get(table, at), term), F.lit(value).cast("bigint")).otherwise(found)
         return found
 
     return polarity
 
 
-def _label_by_row(posts: DataFrame, polarity: Callable[[Column], Column]) -> DataFrame:
+def _label_by_row(posts: DataFrame, polarity: Callable[[Column], Column], bias: int) -> DataFrame:
     """No join and no shuffle, on a batch or a stream."""
-    total = F.aggregate("_terms", F.lit(0), lambda total, term: total + polarity(term))
+    total = F.aggregate("_terms", F.lit(bias).cast("bigint"), lambda total, term: total + polarity(term))
     # A column of its own: the label looks at the total several times.
     return (
         posts.withColumn("_terms", F.array_distinct(tokens(F.col("cleaned_text"))))
@@ -94,12 +108,14 @@ def _label_by_row(posts: DataFrame, polarity: Callable[[Column], Column]) -> Dat
     )
 
 
-def label_by_join(posts: DataFrame, lexicon: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Label with a lexicon of any size.
+def label_by_join(
+    posts: DataFrame, lexicon: DataFrame, bias: int = 0, broadcast_bytes: int = BROADCAST_BYTES,
+    hot_rows: int = HOT_ROWS, hot_bytes: int = HOT_BYTES,
+) -> DataFrame:
+    """Label with a normal lexicon of any size.
 
     Terms are exploded and joined, and polarities summed per distinct text: the label depends
-    on the text alone, so ids may repeat or be null. A text that occurs k times sums to k times
-    its polarity, which has the same sign.
+    on the text alone, so ids may repeat or be null. Each distinct text counts once.
 
     The sums come back to the posts through a written table, whose counts of copies tell which
     texts are hot.
@@ -107,39 +123,42 @@ def label_by_join(posts: DataFrame, lexicon: DataFrame, broadcast_bytes: int = B
     digest = F.md5("cleaned_text")
     # The digest is computed ahead of the explode, which would otherwise copy and hash the text
     # for every term.
-    texts = posts.select(
-        digest.alias("_digest"), F.array_distinct(tokens(F.col("cleaned_text"))).alias("_terms")
+    texts = (
+        posts.where(F.col("cleaned_text").isNotNull())
+        .select(digest.alias("_digest"), F.array_distinct(tokens(F.col("cleaned_text"))).alias("_terms"))
     )
     occurrences = texts.select("_digest", F.posexplode_outer("_terms").alias("_pos", "term"))
     first = F.coalesce(F.col("_pos"), F.lit(0)) == 0
-    sums = stage(
-        _with_polarity(occurrences, lexicon, broadcast_bytes).groupBy("_digest").agg(
-            F.coalesce(F.sum("polarity"), F.lit(0)).alias("_polarity"),
-            F.count_if(first).alias("_copies"),
-        ),
-        "text-polarity",
+    summed = _with_polarity(occurrences, lexicon, broadcast_bytes).groupBy("_digest").agg(
+        F.coalesce(F.sum("polarity"), F.lit(0)).alias("_sum"), F.count_if(first).alias("_copies")
+    )
+    # Copies of a text add up to a multiple of its own sum.
+    per_text = (F.col("_sum") / F.col("_copies")).cast("bigint") + F.lit(bias)
+    sums = stage(summed.select("_digest", per_text.alias("_polarity"), "_copies"), "text-polarity")
+    scored = split_join(
+        posts.withColumn("_digest", digest), sums.drop("_copies"), "_digest", hot_texts(sums, at_least=hot_rows), "left", hot_bytes
     )
-    scored = salted_join(
-        posts.withColumn("_digest", digest), sums.drop("_copies"), "_digest", hot_texts(sums), "left"
+    return scored.withColumn("sentiment_result", _label(F.col("_polarity"))).drop("_digest", "_polarity").select(
+        *posts.columns, "sentiment_result"
     )
-    return scored.withColumn("sentiment_result", _label(F.col("_polarity"))).drop("_digest", "_polarity")
 
 
 def _with_polarity(occurrences: DataFrame, lexicon: DataFrame, broadcast_bytes: int) -> DataFrame:
     """Left join on `term`: broadcast where the lexicon's measured size allows, else shuffled.
 
-    In the shuffle every term is salted by the task it comes from, as common words fill a large
-    share of the rows; the lexicon is repeated once per salt.
+    In the shuffle every term is salted by its text and the task it comes from, as common words
+    fill a large share of the rows; the lexicon is repeated once per salt.
     """
     size = lexicon.agg(F.sum(F.octet_length("term") + ENTRY_BYTES)).first()[0] or 0
     if size <= broadcast_bytes:
         return occurrences.join(F.broadcast(lexicon), "term", "left")
-    salted = occurrences.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(TERM_SALTS)))
+    salt = F.pmod(F.xxhash64("_digest", F.spark_partition_id()), F.lit(TERM_SALTS)).cast("int")
+    salted = occurrences.withColumn("_salt", salt)
     salts = F.explode(F.sequence(F.lit(0), F.lit(TERM_SALTS - 1)))
     return salted.join(lexicon.withColumn("_salt", salts), ["term", "_salt"], "left")
 
 
-def hot_texts(sums: DataFrame, share: float = 0.001, at_least: int = 100_000) -> list[str]:
+def hot_texts(sums: DataFrame, share: float = 0.001, at_least: int = HOT_ROWS) -> list[str]:
     """Digests of texts that make up at least `share` of the rows; at most `1 / share`."""
     total = sums.agg(F.sum("_copies")).first()[0] or 0
     least = max(at_least, int(total * share))

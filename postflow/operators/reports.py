@@ -11,8 +11,7 @@ from postflow.functions.times import utc_date
 
 
 def time_histogram(df: DataFrame, width: str = "1 day") -> DataFrame:
-    """Posts and mean score per tumbling bucket, aligned in UTC. Batch or stream; a stream needs
-    a watermark on `created_at` and gives a bucket once it has closed."""
+    """Posts and mean score per tumbling bucket, aligned in UTC."""
     return (
         df.where(F.col("created_at").isNotNull())
         .groupBy(F.window("created_at", width).alias("bucket"))

@@ -7,12 +7,18 @@ from pyspark.sql import DataFrame, functions as F
 from postflow.functions.geo import box_around, distance_km, in_box
 from postflow.functions.text import has_terms, normal_terms
 from postflow.functions.times import instant, instant_literal
+from postflow.operators.text_index import TextIndex
 
 
-def text_search(df: DataFrame, terms, mode: str = "any", text: str = "text") -> DataFrame:
-    """Rows whose tokens hold any, or all, of the terms."""
+def text_search(df: DataFrame, terms, mode: str = "any", text: str = "text", index: TextIndex | None = None) -> DataFrame:
+    """Rows whose tokens hold any, or all, of the terms.
+
+    With an `index` of these posts their ids come from its postings, and no text is searched.
+    """
     if mode not in ("any", "all"):
         raise ValueError(f"mode must be 'any' or 'all', got {mode!r}")
+    if index is not None:
+        return df.join(index.posts_with(terms, mode), "id", "left_semi").select(df.columns)
     return df.where(has_terms(F.col(text), normal_terms(terms), every=mode == "all"))
 
 
@@ -50,14 +56,15 @@ def hashtag_search(df: DataFrame, tag: str) -> DataFrame:
 
 
 def combined_search(
-    df: DataFrame, terms=None, mode: str = "any", between=None, box=None, text: str = "text"
+    df: DataFrame, terms=None, mode: str = "any", between=None, box=None, text: str = "text",
+    index: TextIndex | None = None,
 ) -> DataFrame:
-    """Text, time and box searches in one; each is optional. Dates prune first, text comes last."""
+    """Text, time and box searches in one; each is optional. Dates prune first, text comes last, by `index` if given."""
     found = df
     if between is not None:
         found = time_range(found, *between)
     if box is not None:
         found = box_search(found, *box)
     if terms is not None:
-        found = text_search(found, terms, mode, text)
+        found = text_search(found, terms, mode, text, index)
     return found

@@ -3,6 +3,7 @@
 import functools
 import math
 import operator
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -29,12 +30,14 @@ def doc_counts(posting_rows: DataFrame) -> DataFrame:
     return posting_rows.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def write_postings(posting_rows: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Store postings in folders by term bucket, sorted by term.
+def write_index(posting_rows: DataFrame, posts: int, path: str, buckets: int = BUCKETS) -> None:
+    """Store postings in folders by term bucket, the document counts likewise, and what reading needs.
 
     The rows are range-partitioned on `(bucket, term, id)`, so a term that fills a third of the
-    index is written by a third of the tasks.
+    index is written by a third of the tasks. `posts` is the number of indexed posts. The bucket
+    count and it are written last: an index without them is unfinished.
     """
+    spark = posting_rows.sparkSession
     order = ["bucket", "term", "id"]
     (
         posting_rows.withColumn("bucket", _bucket(F.col("term"), buckets))
@@ -42,22 +45,58 @@ def write_postings(posting_rows: DataFrame, path: str, buckets: int = BUCKETS) -
         .sortWithinPartitions(*order)
         .write.partitionBy("bucket")
         .mode("overwrite")
-        .parquet(path)
+        .parquet(f"{path}/postings")
     )
+    stored = spark.read.schema(_POSTINGS).parquet(f"{path}/postings")
+    counts = stored.groupBy("term", "bucket").agg(F.count("*").alias("df"))
+    counts.repartitionByRange("bucket", "term").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/counts")
+    about = spark.createDataFrame([(buckets, posts)], "buckets int, posts bigint")
+    about.coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
 
 
-def read_postings(spark: SparkSession, path: str, terms=None, buckets: int = BUCKETS) -> DataFrame:
-    """Stored postings, of all terms or only of those given; then only their folders are read."""
-    stored = spark.read.schema("term string, id bigint, tf bigint, bucket int").parquet(path)
-    if terms is not None:
+_POSTINGS = "term string, id bigint, tf bigint, bucket int"
+
+
+@dataclass(frozen=True)
+class TextIndex:
+    """A stored index; reading terms touches only their folders."""
+
+    spark: SparkSession
+    path: str
+    buckets: int
+    posts: int
+
+    def postings(self, terms=None) -> DataFrame:
+        return self._rows("postings", _POSTINGS, terms).select("term", "id", "tf")
+
+    def counts(self, terms=None) -> DataFrame:
+        return self._rows("counts", "term string, df bigint, bucket int", terms).select("term", "df")
+
+    def posts_with(self, terms, mode: str = "any") -> DataFrame:
+        return posts_with(self.postings(terms), terms, mode)
+
+    def ranked_search(self, terms, k: int) -> DataFrame:
+        return ranked_search_stored(self.postings(terms), self.counts(terms), self.posts, terms, k)
+
+    def _rows(self, folder: str, schema: str, terms) -> DataFrame:
+        stored = self.spark.read.schema(schema).parquet(f"{self.path}/{folder}")
+        if terms is None:
+            return stored
         wanted = normal_terms(terms)
-        folders = [_bucket(F.lit(t), buckets) for t in wanted]
-        stored = stored.where(F.col("bucket").isin(*folders) & F.col("term").isin(wanted))
-    return stored.select("term", "id", "tf")
+        folders = [_bucket(F.lit(t), self.buckets) for t in wanted]
+        return stored.where(F.col("bucket").isin(*folders) & F.col("term").isin(wanted))
+
+
+def read_index(spark: SparkSession, path: str) -> TextIndex:
+    """An index as `write_index` left it, with the bucket count it was written with."""
+    about = spark.read.parquet(f"{path}/about").first()
+    return TextIndex(spark, path, about["buckets"], about["posts"])
 
 
 def posts_with(posting_rows: DataFrame, terms, mode: str = "any") -> DataFrame:
     """Ids of posts with any, or all, of the terms, from postings."""
+    if mode not in ("any", "all"):
+        raise ValueError(f"mode must be 'any' or 'all', got {mode!r}")
     wanted = normal_terms(terms)
     per_post = posting_rows.where(F.col("term").isin(wanted)).groupBy("id").agg(F.count("*").alias("n"))
     return per_post.where(F.col("n") >= (len(wanted) if mode == "all" else 1)).select("id")

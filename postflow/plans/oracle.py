@@ -13,7 +13,7 @@ posts as (
          case when d.doc_id % 5 = 0 then null else cast((d.doc_id * 91) % 360 as double) - 179.5 end as lon,
          concat('tag', d.doc_id % 13) as h1,
          case when d.doc_id % 3 = 0 then concat('tag', d.doc_id % 7) end as h2
-  from documents d join events e on e.event_id = d.doc_id
+  from documents d left join events e on e.event_id = d.doc_id
 ),
 enriched as (
   select id, retweet_count, lat, lon, h1, h2,
@@ -114,6 +114,7 @@ ORACLE = {
     "clean_text": _with("select id, cleaned_text from enriched"),
     "parse_time": _with("select id, created_epoch from enriched"),
     "json_scan": _with(f"select {ENRICHED_COLUMNS} from enriched"),
+    "json_rejects": """select '{"id":' || doc_id || ',"text":"cut' as line from documents""",
     "dense_index": _with(f"select id, retweet_count, {_INDEX} as index from enriched"),
     "replay_join": _with(f"select p.index, p.id, p.created_epoch, p.cleaned_text from {_REPLAY}"),
     "stream_replay": _with(f"select p.id, p.created_epoch, p.cleaned_text from {_REPLAY}"),
@@ -127,11 +128,40 @@ ORACLE = {
         """select id, case sentiment_score when 1 then 'pos' when -1 then 'neg' else 'neutral' end as label
         from processed"""
     ),
+    "sentiment_lexicon_joined": _scored(
+        """select id, case sentiment_score when 1 then 'pos' when -1 then 'neg' else 'neutral' end as label
+        from processed"""
+    ),
     "sentiment_score": _with(
-        """select w.id, cast(sum(coalesce(x.polarity, 0)) as bigint) as score
-        from words w left join lexicon x on x.term = w.term group by w.id""",
+        """select e.id, cast(sum(coalesce(x.polarity, 0)) as bigint) as score
+        from enriched e left join words w on w.id = e.id left join lexicon x on x.term = w.term group by e.id""",
         LEXICON,
     ),
+    "sentiment_model": _with(
+        """select e.id,
+          case when s.total > 0 then 'pos' when s.total < 0 then 'neg' else 'neutral' end as label,
+          cast(sign(s.total) as integer) as sentiment_score
+        from enriched e join (
+          select e.id, any_value(b.bias) + coalesce(sum(m.polarity), 0) as total
+          from enriched e cross join bias b left join (select distinct id, term from words) w on w.id = e.id
+          left join bayes m on m.term = w.term group by e.id) s on s.id = e.id""",
+        """learned as (select doc_id, toxic from labels join enriched on id = doc_id where (doc_id * 7919) % 4 <> 0),
+        sizes as (select count(*) filter (where toxic = 1) as toxic, count(*) filter (where toxic = 0) as other from learned),
+        bias as (select cast(round(ln((other + 1) / (toxic + 1)) * 1000000) as bigint) as bias from sizes),
+        seen as (
+          select term, count(*) filter (where l.toxic = 0) as good, count(*) filter (where l.toxic = 1) as bad
+          from (select distinct id, term from words) w join learned l on l.doc_id = w.id group by term having count(*) >= 3),
+        bayes as (
+          select term, cast(round((ln((good + 100 * (good + bad) / (toxic + other)) / (other + 100))
+            - ln((bad + 100 * (good + bad) / (toxic + other)) / (toxic + 100))) * 1000000) as bigint) as polarity
+          from seen cross join sizes)""",
+    ),
+    "annotation_labels": _with(
+        """select id, case when h1 = 'tag3' then 'neg' else 'pos' end
+            || case when h2 is null then '' when h2 = 'tag3' then ',neg' else ',pos' end as labels,
+          case when h1 = 'tag3' then -1 else 1 end + case when h2 is null then 0 when h2 = 'tag3' then -1 else 1 end as score
+        from enriched"""
+    ),
     "processed_posts": _scored(f"select {FLAT_COLUMNS} from processed"),
     "stream_processed_posts": _scored(f"select {FLAT_COLUMNS} from processed"),
     "compat_columns": _scored(
@@ -174,14 +204,15 @@ ORACLE = {
         f"""select {FLAT_COLUMNS} from processed
         where {_between(FROM, TO)} and {_box(*BOX)} and list_has_all({_token_list()}, {_list(ALL_TERMS[:2])})"""
     ),
+    "combined_search_indexed": _scored(
+        f"""select {FLAT_COLUMNS} from processed
+        where {_between(FROM, TO)} and {_box(*BOX)} and list_has_all({_token_list()}, {_list(ALL_TERMS[:2])})"""
+    ),
     "layout_search": _scored(
         f"select {FLAT_COLUMNS} from processed where {_between(FROM, TO)} and {_box(*DATELINE_BOX)}"
     ),
     "time_histogram": _scored(_HISTOGRAM),
-    "stream_time_histogram": _scored(
-        f"""select * from ({_HISTOGRAM})
-        where bucket_epoch + 21600 <= (select max(created_epoch) - 3600 from processed)"""
-    ),
+    "stream_time_histogram": _scored(_HISTOGRAM),
     "grid_counts": _scored(
         f"""select {_CELLS}, count(*) as posts, round(avg(sentiment_score), 6) as mean_score
         from processed where lat is not null group by 1, 2"""

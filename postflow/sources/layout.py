@@ -1,11 +1,14 @@
-"""The query-ready layout: one folder per day, files sorted by place."""
+"""The query-ready layout: a folder per run and day, files sorted by place."""
+
+import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from postflow.functions.geo import cell
 from postflow.functions.times import utc_date
 from postflow.schema import PROCESSED
-from postflow.sources.sinks import read_batches
+from postflow.sources.sinks import committed, read_batches
+from postflow.staging import discard, matching, new_folder
 
 CELL_DEGREES = 1.0
 
@@ -15,44 +18,84 @@ def write_layout(processed: DataFrame, path: str, run: str = "all", degrees: flo
 
     Range partitioning on (day, cell, id, input task) splits a day, a cell, or even copies of
     one post over as many tasks as their share of the rows needs, and gives the files of a day
-    disjoint cells, so box searches skip files by their statistics. Each `run` owns its folders
-    inside the days and replaces only those when repeated.
+    disjoint cells, so box searches skip files by their statistics. The posts are written once
+    ahead, as finding the ranges reads them, too. Each `run` owns its folder and replaces all of
+    it when repeated, whatever days it had before.
     """
+    spark = processed.sparkSession
+    ahead = new_folder(spark, "layout-input")
+    processed.select(*PROCESSED.fieldNames()).write.parquet(ahead)
     lat_cell, lon_cell = cell(F.col("lat"), F.col("lon"), degrees)
-    keyed = processed.select(
-        *PROCESSED.fieldNames(),
-        utc_date(F.col("created_at")).alias("created_date"),
-        F.lit(run).alias("run"),
-        lat_cell,
-        lon_cell,
+    keyed = spark.read.schema(PROCESSED).parquet(ahead).select(
+        "*", utc_date(F.col("created_at")).alias("created_date"), lat_cell, lon_cell
     ).withColumn("_origin", F.spark_partition_id())
     order = ["created_date", "cell_lat", "cell_lon", "id", "_origin"]
     (
         keyed.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .drop("_origin")
-        .write.partitionBy("created_date", "run")
+        .write.partitionBy("created_date")
         .mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .parquet(path)
+        .parquet(f"{path}/run={run}")
     )
+    discard(spark, ahead)
 
 
-def compact(spark: SparkSession, batches: str, path: str, first: int, last: int) -> None:
-    """Move the micro-batches `first..last` into the layout; repeating it changes nothing.
+def compact(spark: SparkSession, batches: str, path: str, first: int = 0, last: int | None = None) -> str | None:
+    """Move the committed micro-batches `first..last`, or all from `first` on, into the layout.
 
-    Only the folders of these batches are read, so each run costs what is new.
+    The run is named after the batches that were there; its name is returned, None if there were
+    none. Repeating a run changes nothing, and one that overlaps another is an error. A post that
+    arrived more than once, by its `id`, is stored once: as its last batch has it, and not again if
+    an earlier run has it already. Posts without an id are all kept.
     """
-    new = read_batches(spark, batches).where(F.col("batch_id").between(first, last))
-    write_layout(new, path, run=f"{first}-{last}")
+    folders = {}
+    for folder in committed(spark, batches):
+        query, batch = folder.rsplit("/", 2)[1:]
+        number = int(batch.partition("=")[2])
+        if number >= first and (last is None or number <= last):
+            folders.setdefault(number, []).append(folder)
+    if not folders:
+        return None
+    run = f"{min(folders)}-{max(folders)}"
+    others = [r for r in _runs(spark, path) if r != run]
+    for other in others:
+        a, b = map(int, other.split("-"))
+        if a <= max(folders) and b >= min(folders):
+            raise ValueError(f"batches {run} overlap the stored run {other}")
+    new = read_batches(spark, batches, [f for many in folders.values() for f in many])
+    posts = _once(new)
+    if others:
+        stored = spark.read.schema(_SCHEMA).option("basePath", path).parquet(*[f"{path}/run={r}" for r in others])
+        posts = posts.join(stored.select("id"), "id", "left_anti")
+    write_layout(posts, path, run)
+    return run
+
+
+def _once(batches: DataFrame) -> DataFrame:
+    """Every id once, from its last batch; rows without an id stay. Combined before the shuffle."""
+    columns = PROCESSED.fieldNames()
+    last = (
+        batches.where(F.col("id").isNotNull())
+        .groupBy("id")
+        .agg(F.max(F.struct("batch_id", "query", *columns)).alias("_last"))
+        .select("_last.*")
+    )
+    return last.select(columns).unionByName(batches.where(F.col("id").isNull()).select(columns))
+
+
+def _runs(spark: SparkSession, path: str) -> list[str]:
+    return [p.rpartition("run=")[2] for p in matching(spark, f"{path}/run=*") if re.fullmatch(r"\d+-\d+", p.rpartition("run=")[2])]
+
+
+_SCHEMA = T.StructType([
+    *PROCESSED.fields,
+    T.StructField("cell_lat", T.LongType()),
+    T.StructField("cell_lon", T.LongType()),
+    T.StructField("run", T.StringType()),
+    T.StructField("created_date", T.DateType()),
+])
 
 
 def read_layout(spark: SparkSession, path: str) -> DataFrame:
-    schema = T.StructType([
-        *PROCESSED.fields,
-        T.StructField("cell_lat", T.LongType()),
-        T.StructField("cell_lon", T.LongType()),
-        T.StructField("created_date", T.DateType()),
-        T.StructField("run", T.StringType()),
-    ])
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(_SCHEMA).parquet(path)

@@ -1,18 +1,55 @@
 """Where posts, ticks and envelopes come from."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from postflow.schema import POST
 
 
+_BROKEN = "_broken"
+_LINE = T.StructType([*POST.fields, T.StructField(_BROKEN, T.StringType())])
+
+
+def parse_posts(lines: DataFrame) -> DataFrame:
+    """Raw posts out of JSON lines in `value`, batch or stream; blank and malformed lines are left out.
+
+    A line is malformed if it is not JSON, not an object, or a field is not of its declared type.
+    """
+    return _parsed(lines).where(~_malformed()).select("post.*").drop(_BROKEN)
+
+
+def malformed_lines(lines: DataFrame) -> DataFrame:
+    """The malformed lines themselves, in `line`; what `parse_posts` leaves out but blank lines."""
+    return _parsed(lines).where(_malformed()).select(F.col("value").alias("line"))
+
+
+def _parsed(lines: DataFrame) -> DataFrame:
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN}
+    some = lines.where(F.trim("value") != "")
+    return some.select("value", F.from_json("value", _LINE, options).alias("post"))
+
+
+def _malformed() -> Column:
+    return F.col("post").isNull() | F.col(f"post.{_BROKEN}").isNotNull()
+
+
 def read_posts(spark: SparkSession, path: str) -> DataFrame:
     """Raw posts from JSON lines; the declared schema saves the pass that would infer it."""
-    return spark.read.schema(POST).json(path)
+    return parse_posts(spark.read.text(path))
+
+
+def read_malformed(spark: SparkSession, path: str) -> DataFrame:
+    """The lines that `read_posts` has to leave out, for a table of rejects."""
+    return malformed_lines(spark.read.text(path))
+
+
+def stream_lines(spark: SparkSession, path: str, **options) -> DataFrame:
+    """Lines of text files as they arrive, for `parse_posts` and `malformed_lines`."""
+    return spark.readStream.options(**options).text(path)
 
 
 def stream_posts(spark: SparkSession, path: str, **options) -> DataFrame:
     """Raw posts from a folder of JSON files as they arrive."""
-    return spark.readStream.schema(POST).options(**options).json(path)
+    return parse_posts(stream_lines(spark, path, **options))
 
 
 def stream_ticks(spark: SparkSession, rows_per_second: int = 1, format: str = "rate", **options) -> DataFrame:

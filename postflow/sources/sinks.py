@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from postflow.schema import PROCESSED
+from postflow.staging import matching
 
 
 def write_envelopes(
@@ -22,9 +23,18 @@ def write_envelopes(
     return (writer.trigger(**trigger) if trigger else writer).start()
 
 
+def query_id(df: DataFrame) -> str:
+    """Inside a micro-batch: the id that its query keeps as long as its checkpoint; else `none`."""
+    return df.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "none"
+
+
 def envelope_files(path: str) -> Callable[[DataFrame, int], None]:
     """A writer of micro-batches of envelopes to text files; a replayed batch replaces itself."""
-    return lambda values, batch_id: values.write.mode("overwrite").text(f"{path}/batch_id={batch_id}")
+
+    def write(values: DataFrame, batch_id: int) -> None:
+        values.write.mode("overwrite").text(f"{path}/query={query_id(values)}/batch_id={batch_id}")
+
+    return write
 
 
 def envelope_topic(format: str, **options) -> Callable[[DataFrame, int], None]:
@@ -33,11 +43,12 @@ def envelope_topic(format: str, **options) -> Callable[[DataFrame, int], None]:
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """Store one micro-batch under its id; a replayed batch replaces itself.
+    """Store one micro-batch of a query under both their ids; a replayed batch replaces itself.
 
-    Ids are unique per checkpoint only, so a path belongs to one checkpoint.
+    A query keeps its id as long as its checkpoint, so another checkpoint never overwrites what
+    is there.
     """
-    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    df.write.mode("overwrite").parquet(f"{path}/query={query_id(df)}/batch_id={batch_id}")
 
 
 def write_batch_to_store(df: DataFrame, format: str, **options) -> None:
@@ -48,7 +59,18 @@ def write_batch_to_store(df: DataFrame, format: str, **options) -> None:
     df.write.format(format).mode("append").options(**options).save()
 
 
-def read_batches(spark: SparkSession, path: str) -> DataFrame:
-    """All stored micro-batches, with their `batch_id`."""
-    schema = T.StructType([*PROCESSED.fields, T.StructField("batch_id", T.LongType())])
-    return spark.read.schema(schema).parquet(path)
+def committed(spark: SparkSession, path: str) -> list[str]:
+    """Folders of the micro-batches whose write has ended."""
+    done = matching(spark, f"{path}/query=*/batch_id=*/_SUCCESS")
+    return [d.rpartition("/")[0] for d in done]
+
+
+def read_batches(spark: SparkSession, path: str, folders: list[str] | None = None) -> DataFrame:
+    """Stored micro-batches with their `query` and `batch_id`: all committed ones, or those in `folders`."""
+    schema = T.StructType([
+        *PROCESSED.fields, T.StructField("query", T.StringType()), T.StructField("batch_id", T.LongType())
+    ])
+    found = committed(spark, path) if folders is None else folders
+    if not found:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", path).parquet(*found)

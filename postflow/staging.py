@@ -37,3 +37,28 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _files(spark: SparkSession, path: str):
+    """Spark's own file system for `path`, and the path in its form."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder made by `new_folder` that nothing needs any more."""
+    files, place = _files(spark, path)
+    files.delete(place, True)
+
+
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a pattern, sorted; none if its folder does not exist."""
+    files, place = _files(spark, pattern)
+    return sorted(s.getPath().toString() for s in files.globStatus(place) or [])
+
+
+def mark(spark: SparkSession, path: str) -> tuple:
+    """Bytes, number of files and time of change of a stored table; differs once files were added or replaced."""
+    files, place = _files(spark, path)
+    summary = files.getContentSummary(place)
+    return summary.getLength(), summary.getFileCount(), files.getFileStatus(place).getModificationTime()

@@ -5,14 +5,13 @@ Nothing here blocks: each function returns the running query and the caller awai
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from postflow.functions.envelope import accepted, decode, encode, rejected, restore_time
 from postflow.operators.joins import replay_join
-from postflow.operators.reports import time_histogram
 from postflow.plans.posts import Labeller, enrich, process
-from postflow.sources.sinks import write_batch, write_envelopes
+from postflow.sources.sinks import committed, write_batch, write_envelopes
 
 
 def run_ingest(
@@ -78,19 +77,32 @@ def run_process(
 
 
 def run_histogram(
-    processed: DataFrame,
-    path: str,
-    checkpoint: str,
-    width: str = "1 day",
-    delay: str = "1 hour",
-    trigger: dict | None = None,
+    processed: DataFrame, path: str, checkpoint: str, width: str = "1 day", trigger: dict | None = None
 ) -> StreamingQuery:
-    """Append each bucket of the histogram once the watermark, `delay` behind, has passed it."""
-    buckets = time_histogram(processed.withWatermark("created_at", delay), width)
-    writer = (
-        buckets.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
+    """Store each micro-batch's counts and sums per bucket; `read_histogram` adds them up.
+
+    Exact whatever the order in which posts arrive or the input is cut into micro-batches: no post
+    is late. A replayed batch replaces its own counts.
+    """
+
+    def count(batch: DataFrame, batch_id: int) -> None:
+        partial = (
+            batch.where(F.col("created_at").isNotNull())
+            .groupBy(F.window("created_at", width).start.alias("bucket_start"))
+            .agg(F.count("*").alias("posts"), F.count("sentiment_score").alias("scored"), F.sum("sentiment_score").alias("score_sum"))
+        )
+        write_batch(partial, path, batch_id)
+
+    writer = processed.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+    return (writer.trigger(**trigger) if trigger else writer).foreachBatch(count).start()
+
+
+def read_histogram(spark: SparkSession, path: str) -> DataFrame:
+    """`(bucket_start, posts, mean_score)` over all committed micro-batches of `run_histogram`."""
+    schema = "bucket_start timestamp, posts bigint, scored bigint, score_sum bigint"
+    found = committed(spark, path)
+    partial = spark.read.schema(schema).parquet(*found) if found else spark.createDataFrame([], schema)
+    return partial.groupBy("bucket_start").agg(
+        F.sum("posts").alias("posts"),
+        (F.sum("score_sum") / F.nullif(F.sum("scored"), F.lit(0))).alias("mean_score"),
     )
-    return (writer.trigger(**trigger) if trigger else writer).start()

@@ -1,6 +1,7 @@
 """Every registered query against its SQL, and what its plan must not hold."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from check_oracle import duck, normal
@@ -9,7 +10,8 @@ from postflow.plans import catalog
 from postflow.staging import shared_dir
 
 SF = "/root/testdata/sf0.001"
-NO_SQL = {"sentiment_model"}
+# The queries of the other subpackage have their own tests.
+OWN = list(catalog.QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -18,20 +20,16 @@ def con():
 
 
 def test_all_queries_have_sql():
-    assert set(contract.queries()) - set(contract.oracle_sql()) == NO_SQL
-    assert set(contract.oracle_sql()) <= set(contract.queries())
+    assert set(OWN) <= set(contract.oracle_sql()) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", OWN)
 def test_query(spark, con, name):
     df = contract.queries()[name](spark, SF)
     plan = plan_of(df)
     for word in ("PythonUDF", "BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "NestedLoop"):
         assert word not in plan
     got = df.toPandas()
-    if name in NO_SQL:
-        assert len(got) == 200 and set(got.label) <= {"pos", "neg"}
-        return
     want = con.execute(contract.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert len(got) > 0
@@ -59,3 +57,27 @@ def test_only_needed_columns_are_read(spark):
 
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_scores_are_computed_row_by_row(spark):
+    """No shuffle but the one that makes posts of documents and events."""
+    physical = plan_of(catalog.sentiment_score_query(spark, SF)).split("== Physical Plan ==")[1]
+    top = physical[:physical.index("SortMergeJoin")] if "SortMergeJoin" in physical else physical[:physical.index("Join")]
+    assert "Exchange" not in top and "Generate" not in top
+
+
+def test_searches_with_an_index_read_few_folders(spark):
+    plan = plan_of(catalog.combined_search_indexed(spark, SF)).split("== Physical Plan ==")[1]
+    assert "PartitionFilters: [bucket" in plan or "PartitionFilters: [isnotnull(bucket" in plan
+    ranked = plan_of(catalog.index_ranked_search(spark, SF)).split("== Physical Plan ==")[1]
+    assert "sentiment_score" not in ranked and "cleaned_text" not in ranked
+
+
+def test_stored_tables_follow_their_inputs(spark, tmp_path):
+    for name in ("documents", "events", "labels"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(20).write.parquet(str(tmp_path / f"{name}.parquet"))
+    docs, first = str(tmp_path / "documents.parquet"), catalog.processed_table(spark, str(tmp_path)).count()
+    assert first == catalog.processed_table(spark, str(tmp_path)).count() == 20
+    spark.read.parquet(docs).limit(1).withColumn("doc_id", F.lit(10**9)).write.mode("append").parquet(docs)
+    assert catalog.processed_table(spark, str(tmp_path)).count() == 21  # its event is missing, it is not
+    assert catalog.text_index(spark, str(tmp_path)).posts == 21

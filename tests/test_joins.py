@@ -1,4 +1,4 @@
-"""Dense index, replay join, lookup join and salting."""
+"""Dense index, replay join, lookup join and hot keys."""
 
 import random
 
@@ -9,7 +9,7 @@ from pyspark.sql import Window, functions as F
 from conftest import plan_of
 from postflow.operators import joins
 from postflow.operators.dense_index import dense_index
-from postflow.operators.joins import enrich_join, hot_keys, replay_join, salted_join
+from postflow.operators.joins import enrich_join, hot_keys, replay_join, split_join
 
 
 @settings(max_examples=8, deadline=None)
@@ -74,8 +74,20 @@ def test_hot_keys(spark):
     assert hot_keys(df, "k", share=0.5, at_least=100) == []
 
 
+def counting(spark, df):
+    """`df` with a column that counts how often its rows are computed, and the counter."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def touch(_):
+        seen.add(1)
+        return 0
+
+    return df.withColumn("touched", touch.asNondeterministic()(F.lit(0))), seen
+
+
 @pytest.mark.parametrize("how", ["inner", "left"])
-def test_salted_join_equals_the_plain_join(spark, conf, how):
+def test_split_join_equals_the_plain_join(spark, conf, how):
     conf("spark.sql.autoBroadcastJoinThreshold", "-1")
     rng = random.Random(5)
     keys = [rng.choice([1, 1, 1, None, rng.randrange(50)]) for _ in range(2000)]
@@ -83,21 +95,55 @@ def test_salted_join_equals_the_plain_join(spark, conf, how):
     dim = spark.createDataFrame([(k, f"v{k}") for k in range(40)], "k long, v string")
     plain = facts.join(dim, "k", how)
     for hot in ([], [1], [1, 2, 99]):
-        salted = salted_join(facts, dim, "k", hot, how, salts=8)
-        assert sorted(map(repr, salted.collect())) == sorted(map(repr, plain.collect()))
+        for size in (0, 1 << 20):
+            split = split_join(facts, dim, "k", hot, how, hot_bytes=size)
+            assert split.columns == plain.columns
+            assert sorted(map(repr, split.collect())) == sorted(map(repr, plain.collect()))
+
+
+def spread(df):
+    return df.select(F.spark_partition_id().alias("t")).distinct().count()
+
 
+def test_a_hot_key_spreads_even_after_a_shuffle_on_it(spark, conf):
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    conf("spark.sql.adaptive.enabled", "false")
+    facts = spark.range(0, 24_000, 1, 24).select(F.when(F.col("id") % 4 == 0, F.col("id")).otherwise(1).alias("k"))
+    shuffled = facts.repartition(8, "k")
+    dim = spark.range(0, 24_000).select(F.col("id").alias("k"), F.lit("a").alias("v"))
+    assert spread(shuffled.where("k = 1")) == 1
+    assert spread(enrich_join(shuffled, dim, "k", hot_rows=1000).where("k = 1")) >= 4
+    assert enrich_join(shuffled, dim, "k", hot_rows=1000).count() == 24_000
 
-def test_salt_spreads_a_hot_key(spark, conf):
+
+def test_repeated_ticks_spread(spark, conf):
     conf("spark.sql.autoBroadcastJoinThreshold", "-1")
     conf("spark.sql.adaptive.enabled", "false")
-    facts = spark.range(0, 24_000, 1, 24).select((F.col("id") % 1 + 1).alias("k"))
-    dim = spark.createDataFrame([(1, "a")], "k long, v string")
-    tasks = salted_join(facts, dim, "k", [1]).select(F.spark_partition_id().alias("t")).distinct().count()
-    assert tasks >= 4
-    assert facts.join(dim, "k").select(F.spark_partition_id().alias("t")).distinct().count() == 1
+    indexed = dense_index(spark.range(50).withColumn("n", -F.col("id")), ["n"])
+    ticks = spark.range(0, 8000, 1, 8).select(F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id") % 60).alias("value")).repartition(8, "value")
+    got = replay_join(ticks, indexed, hot_rows=1000)
+    assert spread(got.where("index = 7")) >= 4
+    assert got.count() == ticks.where("value < 50").count()
+
+
+def test_inputs_are_computed_at_most_twice(spark):
+    facts = spark.range(0, 4000, 1, 4).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("k"))
+    dim = spark.range(4000).select(F.col("id").alias("k"), F.lit("v").alias("v"))
+    for hot_rows in (100, 100_000):
+        counted, seen = counting(spark, facts)
+        enrich_join(counted, dim, "k", hot_rows=hot_rows).write.format("noop").mode("overwrite").save()
+        assert 0 < seen.value <= 2 * 4000
+
+
+def test_index_computes_its_input_once(spark, tmp_path):
+    counted, seen = counting(spark, spark.range(0, 1000, 1, 4).withColumn("n", F.col("id") % 7))
+    path = str(tmp_path / "index")
+    dense_index(counted, ["n", "id"], path=path).write.format("noop").mode("overwrite").save()
+    assert seen.value == 1000
+    assert spark.read.parquet(path).count() == 1000
 
 
 def test_join_kinds(spark):
     df = spark.range(3).withColumnRenamed("id", "k")
     with pytest.raises(ValueError):
-        joins.salted_join(df, df, "k", [], "outer")
+        joins.split_join(df, df, "k", [], "outer")

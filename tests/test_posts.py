@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from postflow.functions.envelope import accepted, decode, encode, rejected, restore_time
 from postflow.plans.posts import annotation_labels, compat_columns, enrich, enrich_by_lookup, process
 from postflow.schema import ENVELOPE, POST, PROCESSED
-from postflow.sources.readers import read_posts
+from postflow.sources.readers import read_malformed, read_posts
 
 UTC = dt.timezone.utc
 
@@ -42,7 +42,8 @@ def test_scan_and_enrich(spark, tmp_path):
     assert rows[1].coordinates == [40.0, -105.0] and rows[1].created_at is not None
     assert rows[2].hashtags == [] and rows[2].coordinates is None
     assert rows[3].hashtags is None and rows[3].created_at is None
-    assert enrich(raw).where("id is null").count() == 1  # the broken line stays, as a row of nulls
+    assert raw.count() == 3
+    assert sorted(r.line for r in read_malformed(spark, path).collect()) == ["[]", "{broken"]
 
 
 def test_lookup_gives_the_same_as_the_projection(spark):

@@ -11,9 +11,7 @@ from pyspark.sql import functions as F
 
 from conftest import plan_of
 from postflow.operators import reports, search
-from postflow.operators.text_index import (
-    doc_counts, posts_with, postings, ranked_search, ranked_search_stored, read_postings, write_postings,
-)
+from postflow.operators.text_index import doc_counts, posts_with, postings, ranked_search, read_index, write_index
 from postflow.schema import PROCESSED
 from postflow.sources.layout import compact, read_layout, write_layout
 from postflow.sources.sinks import read_batches, write_batch
@@ -98,20 +96,29 @@ def test_postings_and_index_search(spark, df, tmp_path):
     in_posts = collections.Counter(t for t, _ in tf)
     assert {r.term: r.df for r in doc_counts(rows).collect()} == in_posts
     path = str(tmp_path / "index")
-    write_postings(rows, path, buckets=8)
-    assert {(r.term, r.id): r.tf for r in read_postings(spark, path, buckets=8).collect()} == tf
+    write_index(rows, len(ROWS), path, buckets=8)
+    index = read_index(spark, path)  # which knows its bucket count
+    assert (index.buckets, index.posts) == (8, len(ROWS))
+    assert {(r.term, r.id): r.tf for r in index.postings().collect()} == tf
+    assert {r.term: r.df for r in index.counts().collect()} == in_posts
     terms = ["rain", "the"]
-    stored = read_postings(spark, path, terms, buckets=8)
-    assert "PartitionFilters: [isnotnull(bucket" in plan_of(stored) or "PartitionFilters: [bucket" in plan_of(stored)
+    assert "PartitionFilters: [isnotnull(bucket" in plan_of(index.postings(terms)) or "PartitionFilters: [bucket" in plan_of(index.postings(terms))
     for mode, test in (("any", any), ("all", all)):
-        assert ids(posts_with(stored, terms, mode)) == [r[0] for r in ROWS if test((t, r[0]) in tf for t in terms)]
+        want = [r[0] for r in ROWS if test((t, r[0]) in tf for t in terms)]
+        assert ids(index.posts_with(terms, mode)) == want
+        assert ids(search.text_search(df, terms, mode, index=index)) == want
+        with_box = dict(terms=terms, mode=mode, box=(-45, -90, 45, 90))
+        assert ids(search.combined_search(df, **with_box, index=index)) == ids(search.combined_search(df, **with_box))
+    for mode in ("ALL", "some"):
+        with pytest.raises(ValueError):
+            posts_with(rows, terms, mode)
     score = {
         r[0]: round(sum(tf[t, r[0]] * math.log((len(ROWS) + 1) / (in_posts[t] + 1)) for t in terms), 6)
         for r in ROWS if any((t, r[0]) in tf for t in terms)
     }
     want = sorted(score.items(), key=lambda p: (-p[1], p[0]))[:20]
     assert [tuple(r) for r in ranked_search(df, terms, 20).collect()] == want
-    assert [tuple(r) for r in ranked_search_stored(stored, doc_counts(stored), len(ROWS), terms, 20).collect()] == want
+    assert [tuple(r) for r in index.ranked_search(terms, 20).collect()] == want
 
 
 def test_ranked_search_without_hits(df):
@@ -187,13 +194,71 @@ def test_layout_splits_a_hot_day(spark, conf, tmp_path):
     assert len(stored.inputFiles()) >= 2
 
 
+def test_layout_computes_its_input_once(spark, df, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def touch(score):
+        seen.add(1)
+        return score
+
+    write_layout(df.withColumn("sentiment_score", touch.asNondeterministic()("sentiment_score")), str(tmp_path / "layout"))
+    assert seen.value == len(ROWS)
+
+
+def test_a_corrected_day_replaces_the_old_one(spark, df, tmp_path):
+    path = str(tmp_path / "layout")
+    one = df.where("id = 0")
+    write_layout(one, path)
+    write_layout(one.withColumn("created_at", F.col("created_at") + F.expr("interval 9 days")), path)
+    assert ids(read_layout(spark, path)) == [0]
+
+
+def stored(df, batches, *numbers):
+    for n in numbers:
+        write_batch(df.where(F.col("id") % 3 == n), batches, n)
+
+
 def test_compaction_repeats_safely(spark, df, tmp_path):
     batches, path = str(tmp_path / "batches"), str(tmp_path / "table")
-    for batch_id in range(3):
-        write_batch(df.where(F.col("id") % 3 == batch_id), batches, batch_id)
-    write_batch(df.where(F.col("id") % 3 == 1), batches, 1)  # a replay replaces itself
+    stored(df, batches, 0, 1, 2, 1)  # a replay replaces itself
     assert read_batches(spark, batches).count() == len(ROWS)
-    compact(spark, batches, path, 0, 1)
-    compact(spark, batches, path, 2, 2)
-    compact(spark, batches, path, 0, 1)
+    assert compact(spark, batches, path, 0, 1) == "0-1"
+    assert compact(spark, batches, path, 2) == "2-2"
+    assert compact(spark, batches, path, 0, 1) == "0-1"
+    assert compact(spark, batches, path, 3) is None
     assert ids(read_layout(spark, path)) == [r[0] for r in ROWS]
+
+
+def test_overlapping_compaction_is_refused(spark, df, tmp_path):
+    batches, path = str(tmp_path / "batches"), str(tmp_path / "table")
+    stored(df, batches, 0, 1)
+    compact(spark, batches, path, 0, 0)
+    with pytest.raises(ValueError, match="overlap"):
+        compact(spark, batches, path, 0, 1)
+    compact(spark, batches, path, 1)
+    assert ids(read_layout(spark, path)) == [r[0] for r in ROWS if r[0] % 3 < 2]
+
+
+def test_unfinished_batches_are_not_read(spark, df, tmp_path):
+    batches = tmp_path / "batches"
+    stored(df, str(batches), 0, 1)
+    (batches / "query=none" / "batch_id=1" / "_SUCCESS").unlink()
+    assert ids(read_batches(spark, str(batches))) == [r[0] for r in ROWS if r[0] % 3 == 0]
+    compact(spark, str(batches), str(tmp_path / "table"))
+    assert ids(read_layout(spark, str(tmp_path / "table"))) == [r[0] for r in ROWS if r[0] % 3 == 0]
+
+
+def test_a_post_sent_twice_is_stored_once(spark, df, tmp_path):
+    batches, path = str(tmp_path / "batches"), str(tmp_path / "table")
+    some = df.where("id < 20")
+    write_batch(some.unionByName(some), batches, 0)
+    write_batch(some.where("id < 5").withColumn("text", F.lit("newer")), batches, 1)
+    write_batch(some.where("id < 9").unionByName(df.where("id between 30 and 33")), batches, 2)
+    write_batch(some.limit(2).withColumn("id", F.lit(None).cast("long")), batches, 3)
+    compact(spark, batches, path, 0, 1)
+    rows = {r.id: r.text for r in read_layout(spark, path).collect()}
+    assert sorted(rows) == list(range(20)) and {rows[i] for i in range(5)} == {"newer"}
+    compact(spark, batches, path, 2)
+    known = read_layout(spark, path)
+    assert ids(known.where("id is not null")) == [*range(20), *range(30, 34)] and known.where("id is null").count() == 2

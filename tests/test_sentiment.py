@@ -1,11 +1,13 @@
 """Lexicon and learned labels."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import plan_of
 from postflow.operators.lexicon import _with_polarity, derive_lexicon, inline_polarity, label_by_join, label_posts, labeller
-from postflow.operators.model import fit_sentiment, label_with_model
+from postflow.operators.model import fit_naive_bayes, fit_sentiment, label_with_model
 from postflow.plans import catalog
 from postflow.staging import new_folder, stage
 
@@ -28,7 +30,8 @@ def forms(spark):
     yield label_by_join(df, lexicon(spark))
     yield label_by_join(df, lexicon(spark), broadcast_bytes=0)
     yield label_posts(df, lexicon(spark))
-    yield label_posts(df, lexicon(spark), inline_terms=0)
+    yield label_posts(df, lexicon(spark), "inline")
+    yield label_by_join(df, lexicon(spark), hot_rows=0)
 
 
 def test_all_forms_give_the_same_labels(spark):
@@ -41,17 +44,43 @@ def test_all_forms_give_the_same_labels(spark):
         assert sum(r.sentiment_result is None for r in rows) == 2
 
 
+LEXICONS = [
+    ([("good", 1.0), ("good", 1.0), ("bad", -1.0)], {"good bad": "pos", "good": "pos", "bad": "neg"}),
+    ([("good", 1.0), ("good", -1.0), ("bad", -1.0)], {"good bad": "neg", "good": "neutral", "bad": "neg"}),
+    ([("good", 2.0), ("bad", -1.0), (None, 5.0)], {"good bad": "pos", "bad": "neg", "other": "neutral"}),
+]
+
+
+@pytest.mark.parametrize("kind", ["int", "double"])
+@pytest.mark.parametrize("terms, want", LEXICONS)
+def test_labels_do_not_depend_on_the_route(spark, terms, want, kind):
+    stored = spark.createDataFrame(terms, "term string, polarity double").withColumn("polarity", F.col("polarity").cast(kind))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(want)], "id long, cleaned_text string")
+    for options in ({"route": "inline"}, {}, {"broadcast_bytes": 0}, {"hot_rows": 0}):
+        got = {r.cleaned_text: r.sentiment_result[0] for r in labeller(stored, **options)(df).collect()}
+        assert got == want
+    with pytest.raises(ValueError):
+        labeller(stored, "guess")
+
+
+def test_bias(spark):
+    df = spark.createDataFrame([(1, "good"), (2, "none"), (3, "good good"), (3, "good good")], "id long, cleaned_text string")
+    for route in ("inline", "join"):
+        got = [r.sentiment_result[0] for r in label_posts(df, lexicon(spark), route, bias=-1).orderBy("id").collect()]
+        assert got == ["neutral", "neg", "neutral", "neutral"]
+
+
 def test_copies_of_a_hot_text(spark, monkeypatch):
-    """A third of the posts are one text; it is found hot, salted, and labelled once per post."""
+    """A third of the posts are one text; it is found hot, split, and labelled once per post."""
     from postflow.operators import lexicon as module
 
     seen = []
     real = module.hot_texts
-    monkeypatch.setattr(module, "hot_texts", lambda sums: seen.append(real(sums, at_least=100)) or seen[-1])
+    monkeypatch.setattr(module, "hot_texts", lambda sums, at_least: seen.append(real(sums, at_least=at_least)) or seen[-1])
     df = spark.range(0, 3000, 1, 12).select(
         "id", F.when(F.col("id") % 3 == 0, "all good").otherwise(F.concat(F.lit("bad "), "id")).alias("cleaned_text")
     )
-    counts = label_by_join(df, lexicon(spark)).groupBy(F.col("sentiment_result")[0].alias("l")).count().collect()
+    counts = label_by_join(df, lexicon(spark), hot_rows=100).groupBy(F.col("sentiment_result")[0].alias("l")).count().collect()
     assert {r.l: r["count"] for r in counts} == {"pos": 1000, "neg": 2000}
     assert len(seen[0]) == 1
 
@@ -80,7 +109,7 @@ def test_inline_lookup(spark):
     assert [tuple(r) for r in found.collect()] == [
         *((w, 1 if i % 2 else -1) for i, w in enumerate(words)), ("absent", 0), ("W1", 0)]
     posts = df.withColumnRenamed("w", "cleaned_text")
-    plan = plan_of(labeller(stored)(posts))
+    plan = plan_of(labeller(stored, "inline")(posts))
     physical = plan[plan.index("== Physical Plan =="):]
     assert "from_json" not in physical and "Join" not in physical and "Exchange" not in physical
 
@@ -92,6 +121,25 @@ def test_derived_lexicon(spark):
     assert got == {"a": -1, "b": 1, "c": -1}  # d is balanced, rare is in two posts
 
 
+def test_naive_bayes_by_hand(spark):
+    rows = [("a b", 0), ("a", 0), ("b c", 1), ("c c", 1), ("a", 0), (None, 1), ("d", None)]
+    terms, bias = fit_naive_bayes(spark.createDataFrame(rows, "cleaned_text string, toxic int"), smoothing=10, min_posts=2)
+    odds = lambda good, bad: round((math.log((good + 2 * (good + bad)) / 13) - math.log((bad + 2 * (good + bad)) / 12)) * 1e6)
+    assert {r.term: r.polarity for r in terms.collect()} == {"a": odds(3, 0), "b": odds(1, 1), "c": odds(0, 2)}
+    assert bias == round(math.log(4 / 3) * 1e6)
+
+
+def test_naive_bayes_finds_both_classes(spark):
+    labelled = stage(catalog.labelled_posts(spark, "/root/testdata/sf0.1"), "labelled")
+    terms, bias = fit_naive_bayes(catalog.learned(labelled))
+    held_out = labelled.join(catalog.learned(labelled).select("id"), "id", "left_anti")
+    done = labeller(terms, bias=bias)(held_out).groupBy("toxic", F.col("sentiment_result")[0].alias("l")).count().collect()
+    counts = {(r.toxic, r.l): r["count"] for r in done}
+    recall = lambda toxic, label: counts.get((toxic, label), 0) / sum(n for (t, _), n in counts.items() if t == toxic)
+    print("recall", recall(1, "neg"), recall(0, "pos"))
+    assert recall(1, "neg") >= 0.5 and recall(0, "pos") >= 0.9
+
+
 def test_model_finds_toxic_posts(spark):
     """Fit on some labelled posts, and look at both classes of the others. The smaller tables
     hold too few toxic posts (51 of 399) for a stable share."""
