@@ -122,12 +122,18 @@ def fit_languages(
     allowed = F.coalesce(learn, F.lit(False)) if learn is not None else F.lit(True)
     rows = documents.where(allowed).select(F.col(key).alias("_key"), "lang", F.col("text").cast("string").alias("text"))
     short = rows.where(F.col("lang").isNotNull() & (F.octet_length("text") <= bounds.text_bytes))
-    # Chosen from narrow rows; the texts of the chosen ones are read afterwards.
+    # Chosen from narrow rows; the texts of the chosen ones are read afterwards. Of a frequent
+    # language only the rows with the least hashes, four times as many as are wanted, are ranked.
     narrow = short.select("lang", "_key", F.xxhash64(F.lit(7), "_key").alias("_hash"))
-    common = narrow.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(bounds.languages).select("lang")
+    common = narrow.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(bounds.languages)
+    least = F.lit(False)
+    for r in common.collect():
+        share = min(1.0, 4 * bounds.texts / r["n"])
+        limit = (1 << 63) - 1 if share == 1.0 else int(share * (1 << 64)) - (1 << 63)
+        least = least | ((F.col("lang") == r["lang"]) & (F.col("_hash") <= limit))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("_hash", "_key"))
-    ranked = narrow.withColumn("_rank", rank).where(F.col("_rank") <= bounds.texts)
-    chosen = ranked.join(F.broadcast(common), "lang", "left_semi").select("_key").distinct()
+    ranked = narrow.where(least).withColumn("_rank", rank).where(F.col("_rank") <= bounds.texts)
+    chosen = ranked.select("_key").distinct()
     # At most texts x languages keys.
     texts = short.join(F.broadcast(chosen), "_key", "left_semi")
     counted = (

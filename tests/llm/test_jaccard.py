@@ -1,0 +1,151 @@
+import re
+
+import numpy as np
+import pytest
+
+from postflow.llm import jaccard
+from postflow.llm.components import components
+from postflow.llm.support import read, shingle_sets
+import pyarrow as pa
+
+SF = "/root/testdata/sf0.001"
+
+
+def plain_set(text):
+    words = [w.translate({c: c + 32 for c in range(65, 91)}) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+    if len(words) < 5:
+        return {tuple(words)} if words else set()
+    return {tuple(words[i:i + 5]) for i in range(len(words) - 4)}
+
+
+def brute(rows, percent=80):
+    """{id: (size, component)} by comparing everything with everything."""
+    sets = [(i, plain_set(t)) for i, t in rows]
+    parent = {i: i for i, _ in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for x, (i, a) in enumerate(sets):
+        for j, b in sets[:x]:
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                p, q = root(i), root(j)
+                parent[max(p, q)] = min(p, q)
+    return {i: (len(s), root(i)) for i, s in sets}
+
+
+def found(df, **kw):
+    return {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(df, **kw).collect()}
+
+
+def edited(rng, words, share):
+    out = list(words)
+    for _ in range(max(1, int(len(out) * share))):
+        at = rng.integers(len(out))
+        out[at] = f"w{rng.integers(10**6)}" if rng.random() < 0.7 else out[at]
+    return out
+
+
+def test_sets_are_those_of_the_contract():
+    texts = ["", " \n", "One", "one two", "a b c d e", "A b  C\td\ne F\x0bg\x0ch", "é É ß x y z é É ß x y z", None, "a\xa0b c d e f g"]
+    got = list(shingle_sets(pa.array(texts)))
+    assert [len(s) for s in got] == [len(plain_set(t)) for t in texts]
+    same = list(shingle_sets(pa.array(["a B c d e f", "A b\tc  d\r\ne f", "a b c d e", "É b c d e f", "é b c d e f"])))
+    assert (same[0] == same[1]).all() and len(np.intersect1d(same[0], same[2])) == 1
+    assert not len(np.intersect1d(same[3][:1], same[4])) or len(np.intersect1d(same[3], same[4])) == 1
+
+
+def test_similar_sets_share_a_signature():
+    """Just above the limit, for all sizes up to 300 and some larger ones."""
+    rng = np.random.default_rng(1)
+    for size in [*range(4, 300), 500, 1000, 3000]:
+        for _ in range(6):
+            base = rng.integers(0, 1 << 63, size * 2, dtype=np.uint64)
+            both = size - int(rng.integers(0, size // 5 + 1))
+            a = np.unique(base[:size])
+            extra = int(rng.integers(0, size // 4 + 1))
+            b = np.unique(np.concatenate([base[size - both:size], base[size:size + extra]]))
+            shared = len(np.intersect1d(a, b))
+            if 100 * shared >= 80 * (len(a) + len(b) - shared) and not np.array_equal(a, b):
+                assert len(np.intersect1d(jaccard.signatures(a), jaccard.signatures(b))), (len(a), len(b), shared)
+
+
+def test_no_signature_without_shingles_joins_strangers():
+    rng = np.random.default_rng(2)
+    seen = np.concatenate([jaccard.signatures(np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)))
+                           for n in range(4, 120) for _ in range(30)])
+    assert len(np.unique(seen)) == len(seen)
+
+
+def test_against_brute_force_on_near_copies(spark, documents):
+    rng = np.random.default_rng(4)
+    rows, n = [], 0
+    for size in (5, 6, 9, 14, 25, 60, 150, 400):
+        for family in range(4):
+            base = [f"w{rng.integers(10**6)}" for _ in range(size)]
+            for copy in range(5):
+                words = edited(rng, base, 0.04) if copy else base
+                if copy == 4:
+                    words = words + [f"w{rng.integers(10**6)}" for _ in range(size // 12)]
+                rows.append((n, " ".join(words)))
+                n += 1
+    # A chain: each is near the next, the ends are not near each other.
+    chain = [f"c{i}" for i in range(200)]
+    for step in range(12):
+        rows.append((n, " ".join(chain)))
+        chain = chain[15:] + [f"c{200 + 15 * step + i}" for i in range(15)]
+        n += 1
+    rng.shuffle(rows)
+    rows = [(int(i), t) for i, t in rows]
+    want = brute(rows)
+    assert found(documents(rows)) == want
+    assert len({c for _, c in want.values()}) < len(rows) - 20
+
+
+def test_whole_table_against_brute_force(spark):
+    df = read(spark, SF, "documents")
+    assert found(df) == brute([(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()])
+
+
+def test_families_that_share_a_passage(spark, documents):
+    rng = np.random.default_rng(6)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join(passage + [f"w{rng.integers(10**6)}" for _ in range(40)])) for i in range(60)]
+    rows += [(100 + i, " ".join(passage + [f"x{i}"])) for i in range(40)]
+    assert found(documents(rows)) == brute(rows)
+
+
+def test_odd_rows(odd_documents):
+    got = found(odd_documents)
+    assert got[0] == (0, 0) and got[1] == (0, 1) and got[2] == (0, 2)
+    assert got[3] == (1, 3) and got[10] == (1, 10) and got[11] == (1, 10)
+    rows = [(r["doc_id"], r["text"]) for r in odd_documents.collect()]
+    assert got == brute(rows)
+    assert jaccard.jaccard_components(odd_documents).count() == len(rows)
+    assert jaccard.jaccard_components(odd_documents.where("false")).count() == 0
+
+
+def test_another_threshold(spark, documents):
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join(edited(rng, base, 0.03))) for i in range(30)]
+    assert found(documents(rows), percent=90) == brute(rows, 90)
+
+
+@pytest.mark.parametrize("shape", ["chain", "star", "random"])
+def test_components(spark, shape):
+    rng = np.random.default_rng(9)
+    edges = {"chain": [(i, i + 1) for i in range(60)], "star": [(500, i) for i in range(300)],
+             "random": [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))]}[shape]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    label = {x: x for e in edges for x in e}
+    for _ in label:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    assert got == {k: v for k, v in label.items() if any(k in e and e[0] != e[1] for e in edges)}
+
+
+def test_no_links(spark):
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0

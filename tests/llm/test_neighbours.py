@@ -1,0 +1,76 @@
+import numpy as np
+import pytest
+
+from postflow.llm import neighbours, queries
+from postflow.llm.support import read
+
+SF = "/root/testdata/sf0.1"
+
+
+def brute(rows, asked, k):
+    ids = np.array([i for i, _ in rows])
+    x = np.array([v for _, v in rows], float)
+    out = {}
+    for i, v in asked:
+        d = np.sqrt(((x - np.array(v, float)) ** 2).sum(axis=1))
+        order = sorted((d[j], ids[j]) for j in range(len(ids)) if ids[j] != i)
+        out[i] = order[:k]
+    return out
+
+
+def test_recall_and_exact_scores(spark):
+    got = queries.QUERIES["op10_nearest"](spark, SF).collect()
+    table = [(r["vec_id"], r["embedding"]) for r in read(spark, SF, "embeddings").collect()]
+    want = brute(table, [r for r in table if r[0] % 100 == 0], 10)
+    vectors = dict(table)
+    hits = 0
+    by_query = {}
+    for r in got:
+        by_query.setdefault(r["query_id"], []).append(r)
+        true = np.sqrt(((np.array(vectors[r["query_id"]], float) - np.array(vectors[r["vec_id"]], float)) ** 2).sum())
+        assert r["score"] == pytest.approx(true, abs=1e-12)
+        hits += r["vec_id"] in {i for _, i in want[r["query_id"]]}
+    assert set(by_query) == set(want)
+    for rows in by_query.values():
+        rows.sort(key=lambda r: r["rank"])
+        assert [r["rank"] for r in rows] == list(range(1, 11))
+        assert [(r["score"], r["vec_id"]) for r in rows] == sorted((r["score"], r["vec_id"]) for r in rows)
+    assert hits / (10 * len(want)) >= 0.9
+
+
+def test_a_full_search_is_exact(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=5).tolist()) for i in range(400)] + [(400 + i, [1.0, 0, 0, 0, 0]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    how = neighbours.Search(sample=100, leaf=8, judges=0 + 40, recall=1.0)
+    got = {}
+    for r in neighbours.nearest(df, df.where("vec_id % 7 = 0"), k=4, how=how).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    want = brute(rows, [r for r in rows if r[0] % 7 == 0], 4)
+    same = sum([v for _, v, _ in sorted(got[q])] == [i for _, i in w] for q, w in want.items())
+    assert same / len(want) > 0.9
+    # Ties between copies go to the smaller ids.
+    assert [v for _, v, _ in sorted(got[406])] == [400, 401, 402, 403]
+
+
+def test_odd_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, [1.0, 0.0], "x"), (2, [0.0, 1.0], "x"), (2, [0.0, 1.0], "x"), (3, None, "x"), (4, [0.0, 0.0], "x"), (5, [nan, 1.0], "x"),
+            (6, [None, 1.0], "x"), (7, [inf, 1.0], "x"), (8, [1.0], "x"), (None, [1.0, 1.0], "x"), (9, [], "x"), (0, [1.0, 0.5], "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id string")
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in neighbours.nearest(df, df, k=10).collect()]
+    assert sorted(got)[0][:3] == (0, 1, 1) and len(got) == 6
+    assert {q for q, *_ in got} == {0, 1, 2}
+    assert neighbours.nearest(df.where("false"), df, k=3).count() == 0
+    assert neighbours.nearest(df, df.where("false"), k=3).count() == 0
+
+
+def test_trees_hold_every_row():
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(500, 6)), np.ones((300, 6))])
+    tree = neighbours.grow_tree(x, 16, rng)
+    leaf = tree.route(x)
+    assert leaf.min() >= 0 and leaf.max() < tree.leaves
+    sizes = [np.bincount(leaf, minlength=tree.leaves)]
+    places = neighbours.probe([tree], x[0], sizes, np.inf)
+    assert sorted(l for _, l in places) == list(range(tree.leaves)) and places[0] == (0, leaf[0])
