@@ -16,7 +16,7 @@ def components(edges: DataFrame) -> DataFrame:
     links = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links, before = settle(links, "links"), None
     while True:
-        links = settle(_small_star(settle(_large_star(links), "large-star")), "small-star")
+        links = settle(_small_star(_large_star(links)), "stars")
         state = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break

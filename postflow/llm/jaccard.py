@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -23,10 +24,13 @@ from postflow.llm.support import mix, settle, shingle_sets
 
 SHINGLE = 5
 PERCENT = 80
-SMALL = 64  # up to this size subsets of 2 out of 3 parts are signatures, above it single parts
 SIGNATURES_A_PART = 1_000_000
 FLUSH = 1_000_000
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 5  # at most; a round that links less than WORTH of the open members is the last
+WORTH = 0.01
+PROFILE = 256
+FEW = 32
+BLOCK = 1_000
 RECENT = 50_000
 
 
@@ -70,12 +74,11 @@ def signatures(shingles: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 
 
 def _in_band(shingles: np.ndarray, band: Band) -> np.ndarray:
-    if band.most > SMALL:
-        return _single_parts(shingles, band)
     # Groups of 3 parts: with more than k / 2 groups, one has at most 1 part that differs, so
-    # the other 2 agree. Subsets without any shingle would join strangers and are left out; where
-    # that leaves too few groups that cannot be empty, single parts are added.
-    groups = (band.k + 1) // 2 + 1
+    # the other 2 agree. Subsets without any shingle would join strangers and are left out; the
+    # groups beyond k / 2 make up for those that may be empty, and where they are too few, single
+    # parts are added.
+    groups = band.k // 2 + 1 + band.k // 40 + 1
     sums, filled = _parts(shingles, groups * 3, _tag(band, 99))
     dense, has = np.zeros(groups * 3, np.uint64), np.zeros(groups * 3, bool)
     dense[filled], has[filled] = sums, True
@@ -86,7 +89,7 @@ def _in_band(shingles: np.ndarray, band: Band) -> np.ndarray:
             some = has[:, a] | has[:, b]
             tag = mix(group * np.uint64(9) + np.uint64(3 * a + b) + _tag(band, 98))
             out.append(mix(mix(dense[:, a] + tag) * np.uint64(3) + mix(dense[:, b] ^ tag) + tag)[some])
-    if 2 * int((has.sum(axis=1) >= 2).sum()) <= band.k:
+    if int((has.sum(axis=1) >= 2).sum()) <= band.k // 2:
         out.append(_single_parts(shingles, band))
     return np.concatenate(out)
 
@@ -274,8 +277,8 @@ def jaccard_components(
     total = classes.agg(F.sum("n")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SIGNATURES_A_PART))
     buckets = settle(shared_signatures(documents, parts, percent, size, key).distinct(), "signatures")
-    texts = _candidate_texts(documents, classes, buckets, key)
-    found = _links(buckets, texts, percent, size)
+    candidates = _candidates(documents, classes, buckets, size, key)
+    found = _links(buckets, candidates, percent, size)
     joined = components(found)
     named = classes.join(joined, F.col("rep") == F.col("node"), "left").select(
         "d1", "d2", F.coalesce("component", "rep").alias("component_id")
@@ -287,56 +290,149 @@ def jaccard_components(
     return linked.select(*columns).unionByName(alone.select(*columns))
 
 
-def _candidate_texts(documents: DataFrame, classes: DataFrame, buckets: DataFrame, key: str) -> DataFrame:
-    """`(cls, rep, text)` of the classes that share a signature; one document stands for its class."""
+def _candidates(documents: DataFrame, classes: DataFrame, buckets: DataFrame, size: int, key: str) -> DataFrame:
+    """`(cls, rep, text, n, profile)` of the classes that share a signature; one document stands for its class.
+
+    The profile counts the set's shingles in `PROFILE` ranges of their hashes.
+    """
     named = classes.join(buckets.select("cls").distinct(), "cls", "left_semi").select("cls", "rep")
     texts = _texts(documents, key).join(named, F.col("id") == F.col("rep")).select("cls", "rep", "text")
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, profiles = [], []
+            for s in shingle_sets(batch.column("text"), size):
+                n.append(len(s))
+                counts = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=PROFILE)
+                profiles.append(np.minimum(counts, 255).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in ("cls", "rep", "text")], pa.array(n, pa.int64()), pa.array(profiles, pa.binary())],
+                names=["cls", "rep", "text", "n", "profile"],
+            )
+
     # A key that is repeated with different texts stands for its class once.
-    return settle(texts.dropDuplicates(["cls", "rep"]), "candidates")
+    once = texts.dropDuplicates(["cls", "rep"])
+    return settle(once.mapInArrow(describe, "cls long, rep long, text string, n long, profile binary"), "candidates")
+
 
+def _links(buckets: DataFrame, candidates: DataFrame, percent: int, size: int) -> DataFrame:
+    """`(a, b)`: links between class representatives, enough of them to connect every component.
 
-def _links(buckets: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
-    """`(a, b)`: links between class representatives, enough of them to connect every component."""
-    members = settle(buckets.join(texts.select("cls", "rep"), "cls").select("sig", F.col("rep").alias("node")), "members")
-    tested = found = None
-    alive = members.withColumn("component", F.col("node"))
-    for turn in range(LEADER_ROUNDS + 1):
-        if turn < LEADER_ROUNDS:
-            pairs = _with_leaders(alive, turn)
+    In a leader round every member is compared with the one leader that it shares the most
+    signatures with. Rounds go on, with other leaders, while they link enough; what is then left
+    open is settled pair by pair.
+    """
+    members = settle(
+        buckets.join(candidates.select("cls", "rep"), "cls").select("sig", F.col("rep").alias("node")), "members"
+    )
+    found, turn, alive = None, 0, members.withColumn("component", F.col("node"))
+    while True:
+        last = turn == LEADER_ROUNDS
+        if last:
+            pairs = _across(alive, candidates, percent)
         else:
-            one, other = alive.alias("one"), alive.alias("other")
-            pairs = one.join(other, (F.col("one.sig") == F.col("other.sig")) & (F.col("one.component") < F.col("other.component")))
-            pairs = pairs.select(F.col("one.node").alias("a"), F.col("other.node").alias("b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        fresh = pairs if tested is None else pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        compared = settle(_compare(fresh, texts, percent, size), "compared")
-        tested = compared if tested is None else settle(tested.unionByName(compared), "tested")
-        found = tested.where("linked").select("a", "b")
-        if turn == LEADER_ROUNDS:
+            pairs = _plausible(_with_leaders(alive, turn), candidates, percent)
+        compared = settle(_compare(pairs, candidates, percent, size), "compared")
+        linked = compared.where("linked").select("a", "b")
+        found = linked if found is None else settle(found.unionByName(linked), "links")
+        if last:
             return found
         labels = components(found)
         labelled = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         open_ = labelled.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
         alive = settle(labelled.join(open_.select("sig"), "sig", "left_semi"), "alive")
-        if alive.isEmpty():
+        nodes = alive.select("node").distinct().count()
+        if not nodes:
             return found
+        turn = turn + 1 if linked.count() > nodes * WORTH else LEADER_ROUNDS
 
 
 def _with_leaders(alive: DataFrame, turn: int) -> DataFrame:
-    """Each member with a leader of one of its signatures: the least one first, later by a new order each time."""
-    order = F.col("node") if turn == 0 else F.xxhash64(F.lit(turn), "node")
-    leaders = alive.groupBy("sig").agg(F.min_by(F.struct("node", "component"), order).alias("leader"))
+    """Each member with one leader of another component: of the leaders of its signatures the most frequent.
+
+    A signature's leader is its least member by an order that is another one in each round.
+    """
+    order = F.xxhash64(F.lit(turn), "component", "node")
+    leaders = alive.groupBy("sig").agg(F.min(F.struct(order, "node", "component")).alias("leader"))
     met = alive.join(leaders, "sig").where(F.col("component") != F.col("leader.component"))
-    pairs = met.select(F.col("leader.node").alias("a"), F.col("node").alias("b"))
-    if turn == 0:
-        return pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    return pairs
+    support = met.groupBy("node", F.col("leader.node").alias("leader")).agg(F.count("*").alias("n"))
+    best = support.groupBy("node").agg(F.max(F.struct("n", F.col("leader"))).alias("best"))
+    return _pairs(best.select(F.col("node").alias("a"), F.col("best.leader").alias("b")))
+
+
+def _across(alive: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of different components that share a signature and whose profiles allow a link.
+
+    Of a signature with few members all pairs are made, no more than `FEW` for a member. A larger
+    one, such as a passage that very many documents hold, is cut into blocks of members, and each
+    task compares the profiles of two blocks and passes on what may be linked.
+    """
+    crowds = alive.groupBy("sig").agg(F.count("*").alias("m")).where(F.col("m") > FEW)
+    few = alive.join(crowds.select("sig"), "sig", "left_anti")
+    one, other = few.alias("one"), few.alias("other")
+    met = one.join(other, (F.col("one.sig") == F.col("other.sig")) & (F.col("one.component") < F.col("other.component")))
+    small = _plausible(_pairs(met.select(F.col("one.node").alias("a"), F.col("other.node").alias("b"))), candidates, percent)
+
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    cut = alive.join(crowds, "sig").withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    dealt = (
+        cut.withColumn("met", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .select("sig", "component", "own", F.col("node").alias("rep"), F.least("own", "met").alias("lo"), F.greatest("own", "met").alias("hi"))
+        .join(candidates.select("rep", "n", "profile"), "rep")
+    )
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = rows["lo"].iloc[0], rows["hi"].iloc[0]
+        sides = [rows[rows["own"] == lo], rows[rows["own"] == hi]]
+        count = [np.frombuffer(b"".join(s["profile"]), np.uint8).reshape(-1, PROFILE).astype(np.int16) for s in sides]
+        node, group, size = ([s[c].to_numpy() for s in sides] for c in ("rep", "component", "n"))
+        found = []
+        for at in range(0, len(count[0]), 16):
+            part = slice(at, at + 16)
+            apart = np.abs(count[0][part, None, :] - count[1][None, :, :]).sum(axis=2, dtype=np.int64)
+            able = apart * (100 + percent) <= (size[0][part, None] + size[1][None, :]) * (100 - percent)
+            i, j = np.nonzero(able & (group[0][part, None] != group[1][None, :]))
+            found.append(np.stack([node[0][part][i], node[1][j]], axis=1))
+        pairs = np.concatenate(found)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    large = dealt.groupBy("sig", "lo", "hi").applyInPandas(compare, "a long, b long")
+    return _pairs(small.unionByName(large))
+
+
+def _pairs(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _with_both(pairs: DataFrame, candidates: DataFrame, columns: list[str]) -> DataFrame:
+    """`pairs` with the `columns` of both ends, as `<column>_a` and `<column>_b`; the rows of one `a` follow each other."""
+    end = lambda e: candidates.select(F.col("rep").alias(e), *[F.col(c).alias(f"{c}_{e}") for c in columns])
+    return pairs.join(end("b"), "b").join(end("a"), "a").select("a", "b", *[f"{c}_{e}" for c in columns for e in "ab"])
+
+
+def _plausible(pairs: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
+    """`pairs` without those whose profiles differ in more places than similar sets of their sizes can.
+
+    Each shingle that only one set has changes one count by one, and no count above 255 adds to the
+    difference, so this leaves out no link.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [
+                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, PROFILE).astype(np.int16)
+                for c in ("profile_a", "profile_b")
+            ]
+            apart = np.abs(counts[0] - counts[1]).sum(axis=1, dtype=np.int64)
+            sizes = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            keep = pa.array(apart * (100 + percent) <= sizes * (100 - percent))
+            yield batch.select(["a", "b"]).filter(keep)
+
+    return _with_both(pairs, candidates, ["n", "profile"]).mapInArrow(compare, "a long, b long")
 
 
-def _compare(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
+def _compare(pairs: DataFrame, candidates: DataFrame, percent: int, size: int) -> DataFrame:
     """`(a, b, linked)`: the exact comparison of the sets of each pair."""
-    second = pairs.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
-    both = second.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, its = None, None
@@ -353,4 +449,4 @@ def _compare(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> Dat
             last = a[-1] if a else last
             yield pa.RecordBatch.from_arrays([batch.column("a"), b, pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long, linked boolean")
+    return _with_both(pairs, candidates, ["text"]).mapInArrow(compare, "a long, b long, linked boolean")

@@ -149,3 +149,14 @@ def test_components(spark, shape):
 
 def test_no_links(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_crowded_signatures_are_settled_in_blocks(documents, monkeypatch, rounds):
+    monkeypatch.setattr(jaccard, "FEW", 2)
+    monkeypatch.setattr(jaccard, "BLOCK", 7)
+    monkeypatch.setattr(jaccard, "LEADER_ROUNDS", rounds)
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(70)]
+    rows = [(i, " ".join(edited(rng, base, rng.choice([0.01, 0.03, 0.05, 0.09])))) for i in range(90)]
+    assert found(documents(rows)) == brute(rows)
