@@ -169,7 +169,8 @@ def _model(counts) -> ContextModel:
     none = np.full(width, 8.0, np.float32)
     for order in range(ORDER + 1):
         rows = counts[counts["size"] == order]
-        runs = np.unique(rows["run"].to_numpy(np.uint32))
+        # The run of START alone precedes every text and so is a context, too.
+        runs = np.union1d(rows["run"].to_numpy(np.uint32), np.uint32([START]))
         seen = np.zeros((len(runs), width))
         at = np.searchsorted(runs, rows["run"].to_numpy(np.uint32))
         seen[at, np.searchsorted(languages, rows["lang"].to_numpy(str))] = rows["n"].to_numpy()
@@ -183,9 +184,8 @@ def _model(counts) -> ContextModel:
             leave = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0)
             own = -np.log2(seen / (total + kinds)[of])
         if order == 0:
-            left, leaving = none, leave[0] if len(contexts) else np.zeros(width)
-            none = (none + leaving).astype(np.float32)
-            below = left[None, :]
+            below = none[None, :]
+            none = (none + leave[0]).astype(np.float32)
         else:
             # A run's last bytes form a run one shorter, which was seen wherever the run was.
             shorter, known = _find(codes[order - 1], runs & np.uint32((1 << 8 * order) - 1))
@@ -194,7 +194,7 @@ def _model(counts) -> ContextModel:
             place, known = _find(codes[order - 1], contexts)
             out[place[known]] = leave[known]
             escapes.append(out)
-        resolved = np.where(seen > 0, own, leave[of] + below) if len(runs) else seen
+        resolved = np.where(seen > 0, own, leave[of] + below)
         codes.append(runs)
         bits.append(resolved.astype(np.float32))
     return ContextModel(languages, codes, bits, escapes, none)

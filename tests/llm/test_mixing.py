@@ -6,8 +6,12 @@ from pyspark.sql import functions as F
 
 from postflow.llm import mixing
 
-LEVELS = {"lang": F.col("lang"), "source": F.col("source")}
-WEIGHTS = {"lang": F.expr("case lang when 'en' then 3 else 1 end"), "source": F.expr("case source when 'none' then 0 else 1 end")}
+def levels():
+    return {"lang": F.col("lang"), "source": F.col("source")}
+
+
+def weights():
+    return {"lang": F.expr("case lang when 'en' then 3 else 1 end"), "source": F.expr("case source when 'none' then 0 else 1 end")}
 
 
 def fill(budget, children):
@@ -53,7 +57,7 @@ def brute(rows, share, epochs, seed):
 
 
 def mixed(df, share, epochs, seed=5):
-    out = mixing.mix_copies(df, LEVELS, WEIGHTS, F.length("text"), share=share, max_epochs=epochs, seed=seed)
+    out = mixing.mix_copies(df, levels(), weights(), F.length("text"), share=share, max_epochs=epochs, seed=seed)
     return {r["doc_id"]: r["copies"] for r in out.collect()}
 
 
@@ -73,13 +77,13 @@ def test_shortage_goes_to_siblings_before_ancestors(documents):
 
 
 def test_odd_rows(odd_documents):
-    out = mixing.mix_copies(odd_documents, LEVELS, WEIGHTS, F.length("text"), share=1.0, max_epochs=1)
+    out = mixing.mix_copies(odd_documents, levels(), weights(), F.length("text"), share=1.0, max_epochs=1)
     assert sorted(out.columns) == sorted(odd_documents.columns) and out.count() == odd_documents.count()
     assert {r["copies"] for r in out.where("doc_id = 0").collect()} == {1}
-    assert mixing.mix_copies(odd_documents.where("false"), LEVELS, WEIGHTS, F.length("text")).count() == 0
+    assert mixing.mix_copies(odd_documents.where("false"), levels(), weights(), F.length("text")).count() == 0
 
 
 def test_no_python_in_the_plan(odd_documents):
-    out = mixing.mix_copies(odd_documents, LEVELS, WEIGHTS, F.length("text"))
+    out = mixing.mix_copies(odd_documents, levels(), weights(), F.length("text"))
     plan = out._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
