@@ -24,8 +24,8 @@ from postflow.llm.support import mix, settle, shingle_sets
 
 SHINGLE = 5
 PERCENT = 80
-SIGNATURES_A_PART = 1_000_000
-FLUSH = 1_000_000
+SHINGLES_A_PART = 500_000
+FLUSH = 300_000
 LEADER_ROUNDS = 5  # at most; a round that links less than WORTH of the open members is the last
 WORTH = 0.01
 PROFILE = 256
@@ -69,32 +69,35 @@ def signatures(shingles: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     if not len(shingles):
         return np.zeros(0, np.uint64)
     own = int(np.searchsorted(_limits(percent), len(shingles)))
-    out = [_in_band(shingles, band) for band in bands(percent)[own:own + 2] if band.k]
+    mixed = mix(shingles)
+    out = [_in_band(shingles, mixed, band) for band in bands(percent)[own:own + 2] if band.k]
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _in_band(shingles: np.ndarray, band: Band) -> np.ndarray:
+_LEFT, _RIGHT = np.array([0, 0, 1]), np.array([1, 2, 2])
+
+
+def _in_band(shingles: np.ndarray, mixed: np.ndarray, band: Band) -> np.ndarray:
     # Groups of 3 parts: with more than k / 2 groups, one has at most 1 part that differs, so
     # the other 2 agree. Subsets without any shingle would join strangers and are left out; the
     # groups beyond k / 2 make up for those that may be empty, and where they are too few, single
     # parts are added.
     groups = band.k // 2 + 1 + band.k // 40 + 1
-    sums, filled = _parts(shingles, groups * 3, _tag(band, 99))
+    sums, filled = _parts(shingles, mixed, groups * 3)
     dense, has = np.zeros(groups * 3, np.uint64), np.zeros(groups * 3, bool)
     dense[filled], has[filled] = sums, True
     dense, has = dense.reshape(-1, 3), has.reshape(-1, 3)
-    group, out = np.arange(groups, dtype=np.uint64), []
+    place = np.arange(groups * 3, dtype=np.uint64).reshape(-1, 3) + _tag(band, 99)
     with np.errstate(over="ignore"):
-        for a, b in ((0, 1), (0, 2), (1, 2)):
-            some = has[:, a] | has[:, b]
-            tag = mix(group * np.uint64(9) + np.uint64(3 * a + b) + _tag(band, 98))
-            out.append(mix(mix(dense[:, a] + tag) * np.uint64(3) + mix(dense[:, b] ^ tag) + tag)[some])
+        left, right = dense[:, _LEFT], dense[:, _RIGHT]
+        subsets = mix((left ^ (right * np.uint64(0xD6E8FEB86659FD93) + (right >> np.uint64(32)))) + place * np.uint64(0xA0761D6478BD642F))
+    out = subsets[has[:, _LEFT] | has[:, _RIGHT]]
     if int((has.sum(axis=1) >= 2).sum()) <= band.k // 2:
-        out.append(_single_parts(shingles, band))
-    return np.concatenate(out)
+        return np.concatenate([out, _single_parts(shingles, mixed, band)])
+    return out
 
 
-def _single_parts(shingles: np.ndarray, band: Band) -> np.ndarray:
+def _single_parts(shingles: np.ndarray, mixed: np.ndarray, band: Band) -> np.ndarray:
     """Each filled part of the domain, in finer and finer partitions until more than k parts are filled.
 
     If one of two sets fills more than k parts, they agree on a filled one. A set that fills
@@ -102,7 +105,7 @@ def _single_parts(shingles: np.ndarray, band: Band) -> np.ndarray:
     """
     out, level, parts = [], 0, band.k + band.k // 3 + 3
     while True:
-        sums, filled = _parts(shingles, parts, _tag(band, level))
+        sums, filled = _parts(shingles, mixed, parts)
         with np.errstate(over="ignore"):
             out.append(mix(sums + mix(filled.astype(np.uint64) + _tag(band, level))))
         if len(filled) > band.k or len(filled) == len(shingles):
@@ -114,21 +117,21 @@ def _tag(band: Band, level: int) -> np.uint64:
     return np.uint64((band.number * 128 + level + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
 
 
-def _parts(shingles: np.ndarray, parts: int, tag: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+def _parts(shingles: np.ndarray, mixed: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """Sums over the shingles in each filled part, and which parts those are. Sorted hashes lie in order of parts."""
     part = ((shingles >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-    heads = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-    with np.errstate(over="ignore"):
-        return np.add.reduceat(mix(shingles ^ tag), heads), part[heads].astype(np.int64)
+    heads = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1])
+    return np.add.reduceat(mixed, heads), part[heads].astype(np.int64)
 
 
 def digests(shingles: np.ndarray) -> tuple[int, int]:
-    """Two independent 63-bit digests of a set; 0 for the empty one. The first names the class in signatures."""
+    """Two 63-bit digests of a set; 0 for the empty one. The first names the class in signatures."""
     if not len(shingles):
         return 0, 0
     with np.errstate(over="ignore"):
-        first = mix(mix(shingles).sum(dtype=np.uint64) + np.uint64(len(shingles)))
-        second = mix(mix(shingles ^ np.uint64(0x6A09E667F3BCC908)).sum(dtype=np.uint64))
+        mixed = mix(shingles)
+        sums = np.array([mixed.sum(dtype=np.uint64), (mixed * (mixed >> np.uint64(7))).sum(dtype=np.uint64)])
+        first, second = mix(sums + np.uint64(len(shingles)))
     return int(first >> np.uint64(1)) | 1, int(second >> np.uint64(1))
 
 
@@ -275,7 +278,7 @@ def jaccard_components(
         "classes",
     )
     total = classes.agg(F.sum("n")).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SIGNATURES_A_PART))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHINGLES_A_PART))
     buckets = settle(shared_signatures(documents, parts, percent, size, key).distinct(), "signatures")
     candidates = _candidates(documents, classes, buckets, size, key)
     found = _links(buckets, candidates, percent, size)
@@ -386,7 +389,7 @@ def _across(alive: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
         sides = [rows[rows["own"] == lo], rows[rows["own"] == hi]]
         count = [np.frombuffer(b"".join(s["profile"]), np.uint8).reshape(-1, PROFILE).astype(np.int16) for s in sides]
         node, group, size = ([s[c].to_numpy() for s in sides] for c in ("rep", "component", "n"))
-        found = []
+        found = [np.zeros((0, 2), np.int64)]
         for at in range(0, len(count[0]), 16):
             part = slice(at, at + 16)
             apart = np.abs(count[0][part, None, :] - count[1][None, :, :]).sum(axis=2, dtype=np.int64)

@@ -114,28 +114,34 @@ def words_of(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return first, last, owner, hashes
 
 
-def shingles_of(hashes: np.ndarray, size: int = 5) -> np.ndarray:
-    """Distinct hashes, sorted, of the runs of `size` words; the whole sequence where it is shorter."""
-    n = len(hashes)
-    if not n:
-        return np.zeros(0, np.uint64)
-    with np.errstate(over="ignore"):
-        width = min(size, n)
-        total = np.zeros(n - width + 1, np.uint64)
-        for k in range(width):
-            total = mix(total + hashes[k:n - width + 1 + k] + np.uint64(k + 1))
-    return np.unique(total)
-
-
 def shingle_sets(texts: pa.Array, size: int = 5) -> Iterator[np.ndarray]:
-    """For each text, its set of shingles over ASCII-lower-cased words, as sorted hashes."""
+    """For each text the distinct hashes, sorted, of its runs of `size` ASCII-lower-cased words.
+
+    A text with fewer words has its whole sequence as its one run, and none without words.
+    """
     data, starts = text_bytes(texts)
     for a, b in slices(starts):
         part = LOWER[data[starts[a]:starts[b]]]
         _, _, owner, hashes = words_of(part, starts[a:b + 1] - starts[a])
         cuts = np.searchsorted(owner, np.arange(b - a + 1))
+        runs = _runs(hashes, size)
         for i in range(b - a):
-            yield shingles_of(hashes[cuts[i]:cuts[i + 1]], size)
+            first, last = cuts[i], cuts[i + 1]
+            if last - first >= size:
+                yield np.unique(runs[first:last - size + 1])
+            else:
+                yield _runs(hashes[first:last], last - first)
+
+
+def _runs(hashes: np.ndarray, size: int) -> np.ndarray:
+    """One hash for each run of `size` words."""
+    if not size or len(hashes) < size:
+        return np.zeros(0, np.uint64)
+    total = np.zeros(len(hashes) - size + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(size):
+            total = (total ^ (total >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25) + hashes[k:len(hashes) - size + 1 + k]
+    return mix(total + np.uint64(size))
 
 
 def ranked(df: DataFrame, group: str, order: list[str], rank: str) -> DataFrame:
