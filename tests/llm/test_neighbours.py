@@ -40,7 +40,7 @@ def test_recall_and_exact_scores(spark):
 
 def test_a_full_search_is_exact(spark):
     rng = np.random.default_rng(3)
-    rows = [(i, rng.normal(size=5).tolist()) for i in range(400)] + [(400 + i, [1.0, 0, 0, 0, 0]) for i in range(60)]
+    rows = [(i, rng.normal(size=5).tolist()) for i in range(400)] + [(400 + i, [1.0, 0.0, 0.0, 0.0, 0.0]) for i in range(60)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     how = neighbours.Search(sample=100, leaf=8, judges=0 + 40, recall=1.0)
     got = {}
