@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from postflow.llm.support import ranked, settle
 
 BRICKS_A_SHARD = 128
+MOST_BRICKS = 200_000
 GROUPS_A_TASK = 100_000
 
 
@@ -109,13 +110,15 @@ def pack_groups(groups: DataFrame, shards: int | None = None, capacity: int | No
     """`groups` `(group, bytes)` with `shard`, each group whole: `shards` of near equal bytes, or as few as `capacity` allows.
 
     Small groups go by hash to tasks, which pack them into bricks; a row per brick and per group
-    larger than a brick reaches the driver. A null group is a group; an empty table stays empty.
+    larger than a brick reaches the driver, or per shard where those are more. A null group is a group; an empty table stays empty.
     """
     if (shards is None) == (capacity is None):
         raise ValueError("give either shards or capacity")
     spark = groups.sparkSession
     total, n = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count("*")).first()
-    brick = max(1, math.ceil((total / shards if shards else capacity) / BRICKS_A_SHARD))
+    share = math.ceil((total / shards if shards else capacity) / BRICKS_A_SHARD)
+    # With very many shards bricks are larger shares, up to whole ones, so that their number stays bounded.
+    brick = max(1, share if shards else min(capacity, max(share, total // MOST_BRICKS)))
     tasks = max(1, math.ceil(n / GROUPS_A_TASK))
     kind = dict(groups.dtypes)["group"]
     small = groups.where(F.col("bytes") <= brick).withColumn("_task", F.pmod(F.xxhash64("group"), F.lit(tasks)))
