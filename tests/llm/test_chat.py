@@ -3,6 +3,7 @@ import random
 
 from postflow.llm import chat
 from pyspark.sql import functions as F
+from llm_fixtures import importable  # noqa: F401
 
 PARTS = "conv_id long, turn long, role string, parts array<struct<kind:string,text:string,ref:string,units:double>>, formatted string"
 

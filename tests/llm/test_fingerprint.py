@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postflow.llm import fingerprint
+from llm_fixtures import documents, odd_documents, importable  # noqa: F401
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 

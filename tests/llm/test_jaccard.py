@@ -7,6 +7,7 @@ from postflow.llm import jaccard
 from postflow.llm.components import components
 from postflow.llm.support import read, shingle_sets
 import pyarrow as pa
+from llm_fixtures import documents, odd_documents, importable  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

@@ -6,6 +6,7 @@ import pytest
 
 from postflow.llm import language, queries
 from postflow.llm.support import read
+from llm_fixtures import documents, odd_documents, importable  # noqa: F401
 
 SF = "/root/testdata/sf0.01"
 

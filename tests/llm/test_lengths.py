@@ -2,6 +2,7 @@ import pytest
 
 from postflow.llm import lengths
 from postflow.llm.tokens import BYTE_BPE, BYTE_BPE_RANKS, _SLOW, _tokenizer, encode, place
+from llm_fixtures import documents, odd_documents, importable  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

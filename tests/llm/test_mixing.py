@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postflow.llm import mixing
+from llm_fixtures import documents, odd_documents, importable  # noqa: F401
 
 def levels():
     return {"lang": F.col("lang"), "source": F.col("source")}

@@ -3,6 +3,7 @@ import pytest
 
 from postflow.llm import neighbours, queries
 from postflow.llm.support import read
+from llm_fixtures import importable  # noqa: F401
 
 SF = "/root/testdata/sf0.1"
 

@@ -7,6 +7,7 @@ import pytest
 from postflow.llm import packing
 from postflow.llm.support import read
 from postflow.llm.tokens import BYTE_BPE, _tokenizer, place
+from llm_fixtures import documents, odd_documents, importable  # noqa: F401
 
 
 def plain_pieces(rows, size, end=2):

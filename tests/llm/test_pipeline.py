@@ -9,6 +9,7 @@ from conftest import plan_of
 from postflow.llm import language, quality
 from postflow.llm.queries import ORACLE, QUERIES
 from postflow.llm.support import read, settle
+from llm_fixtures import documents, odd_documents, importable  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 NATIVE = ["op1_chat_format", "op5_fingerprints", "op6_source_mix"]

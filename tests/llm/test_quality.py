@@ -4,6 +4,7 @@ import pytest
 
 from postflow.llm import quality, queries
 from postflow.llm.support import read
+from llm_fixtures import documents, odd_documents, importable  # noqa: F401
 
 SF = "/root/testdata/sf0.1"
 NAMES = {n: i for i, n in enumerate(quality.FEATURES)}

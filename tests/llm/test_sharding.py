@@ -5,6 +5,7 @@ import pytest
 
 from postflow.llm import sharding
 from postflow.llm.support import read
+from llm_fixtures import documents, odd_documents, importable  # noqa: F401
 
 
 def plain_best_fit(sizes, capacity):
