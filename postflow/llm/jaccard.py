@@ -27,7 +27,7 @@ PERCENT = 80
 SHINGLES_A_PART = 500_000
 FLUSH = 300_000
 LEADER_ROUNDS = 5  # at most; a round that links less than WORTH of the open members is the last
-WORTH = 0.01
+WORTH = 0.05
 PROFILE = 256
 FEW = 32
 BLOCK = 1_000
@@ -366,21 +366,23 @@ def _with_leaders(alive: DataFrame, turn: int) -> DataFrame:
 def _across(alive: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
     """Pairs of members of different components that share a signature and whose profiles allow a link.
 
-    Of a signature with few members all pairs are made, no more than `FEW` for a member. A larger
-    one, such as a passage that very many documents hold, is cut into blocks of members, and each
-    task compares the profiles of two blocks and passes on what may be linked.
+    Of a signature with few members all pairs are made, no more than `FEW` for a member. The
+    members of larger ones, such as those of a passage that very many documents hold, meet by the
+    signature's least member, so that a family meets a few times and not once per signature. They
+    are cut into blocks; each task compares the profiles of two and passes on what may be linked.
     """
-    crowds = alive.groupBy("sig").agg(F.count("*").alias("m")).where(F.col("m") > FEW)
+    crowds = alive.groupBy("sig").agg(F.count("*").alias("m"), F.min("node").alias("least")).where(F.col("m") > FEW)
     few = alive.join(crowds.select("sig"), "sig", "left_anti")
     one, other = few.alias("one"), few.alias("other")
     met = one.join(other, (F.col("one.sig") == F.col("other.sig")) & (F.col("one.component") < F.col("other.component")))
     small = _plausible(_pairs(met.select(F.col("one.node").alias("a"), F.col("other.node").alias("b"))), candidates, percent)
 
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    cut = alive.join(crowds, "sig").withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    crowd = settle(alive.join(crowds, "sig").select("least", "node", "component").distinct(), "crowds")
+    sizes = crowd.groupBy("least").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    cut = crowd.join(sizes, "least").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = (
-        cut.withColumn("met", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("sig", "component", "own", F.col("node").alias("rep"), F.least("own", "met").alias("lo"), F.greatest("own", "met").alias("hi"))
+        cut.withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("least", "component", "own", F.col("node").alias("rep"), F.least("own", "met").alias("lo"), F.greatest("own", "met").alias("hi"))
         .join(candidates.select("rep", "n", "profile"), "rep")
     )
 
@@ -399,7 +401,7 @@ def _across(alive: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
         pairs = np.concatenate(found)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    large = dealt.groupBy("sig", "lo", "hi").applyInPandas(compare, "a long, b long")
+    large = dealt.groupBy("least", "lo", "hi").applyInPandas(compare, "a long, b long")
     return _pairs(small.unionByName(large))
 
 

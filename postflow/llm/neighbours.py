@@ -37,7 +37,7 @@ class Search:
 
 @dataclass(frozen=True)
 class Tree:
-    """Node i sends a vector to `high[i]` if its projection exceeds `limit[i]`, else to `low[i]`; a leaf is -1 - its number."""
+    """Node i sends a vector to `high[i]` if its projection on a unit plane exceeds `limit[i]`, else to `low[i]`; a leaf is -1 - its number."""
 
     planes: np.ndarray
     limit: np.ndarray
@@ -69,6 +69,7 @@ def grow_tree(x: np.ndarray, leaf: int, rng: np.random.Generator) -> Tree:
             for _ in range(3):
                 a, b = rng.choice(rows, 2, replace=False)
                 plane = x[a] - x[b]
+                plane = plane / (np.linalg.norm(plane) or 1.0)
                 along = x[rows] @ plane
                 cut = np.median(along)
                 above = along > cut
@@ -90,7 +91,6 @@ def probe(forest: list[Tree], query: np.ndarray, sizes: list[np.ndarray], budget
     """Leaves `(tree, leaf)` in the order of the shared queue, until they hold `budget` rows."""
     queue = [(0.0, t, 0 if len(tree.limit) else -1) for t, tree in enumerate(forest)]
     projected = [tree.planes @ query - tree.limit if len(tree.limit) else np.zeros(0) for tree in forest]
-    norms = [np.sqrt((tree.planes ** 2).sum(axis=1)) for tree in forest]
     taken, found = 0, []
     heapq.heapify(queue)
     while queue and taken < budget:
@@ -98,7 +98,7 @@ def probe(forest: list[Tree], query: np.ndarray, sizes: list[np.ndarray], budget
         while node >= 0:
             tree, side = forest[t], projected[t][node]
             near, far = (tree.high[node], tree.low[node]) if side > 0 else (tree.low[node], tree.high[node])
-            heapq.heappush(queue, (max(margin, abs(side) / (norms[t][node] or 1.0)), t, int(far)))
+            heapq.heappush(queue, (max(margin, abs(side)), t, int(far)))
             node = int(near)
         found.append((t, -1 - node))
         taken += sizes[t][-1 - node]

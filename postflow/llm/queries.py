@@ -34,7 +34,8 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def remainder(n: int):
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+    """Of the CRC of the id as text; -1 without an id."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n)), F.lit(-1))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
