@@ -25,7 +25,7 @@ from postflow.llm.support import mix, settle, shingle_sets
 SHINGLE = 5
 PERCENT = 80
 SHINGLES_A_PART = 500_000
-FLUSH = 300_000
+FLUSH = 200_000
 LEADER_ROUNDS = 5  # at most; a round that links less than WORTH of the open members is the last
 WORTH = 0.05
 PROFILE = 256

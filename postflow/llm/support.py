@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from postflow.staging import stage
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-SLICE_BYTES = 1 << 20  # texts are worked on in slices of about this size
+SLICE_BYTES = 1 << 18  # texts are worked on in slices of about this size
 RANK_ROWS, RANK_PARTS = 1_000, 50_000
 
 # The white space that separates words, and ASCII upper case.
