@@ -14,11 +14,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from postflow.llm.support import slices, text_bytes
+from postflow.llm.support import settle, slices, text_bytes
 
 ORDER = 3  # bytes of context at most
 START = 0  # stands before a text's first byte
 
+# The limit on a language's bits a byte: so many times what this share of its texts stays below,
+# and bits that any text may cost beyond it (about what an e-mail address and a key take).
+MARGIN, USUAL, SPARE = 2.6, 0.75, 256
+
 
 @dataclass(frozen=True)
 class Bounds:
@@ -119,6 +123,56 @@ def fit_languages(
     The chosen texts are counted where they are; only the counts of byte runs reach the driver,
     and there are no more of them than bytes in the chosen texts.
     """
+    return _model(_counted(_chosen(documents, learn, bounds, key), "lang").toPandas())
+
+
+def fit_limits(
+    documents: DataFrame, learn: Column | None = None, bounds: Bounds = Bounds(), key: str = "doc_id"
+) -> tuple[ContextModel, dict[str, float]]:
+    """The model of `fit_languages`, and for each language the bits a byte that its texts stay below by far.
+
+    The chosen texts are dealt into two halves by their hash, so that copies stay together, and
+    each half is measured by a model of the other in the language of its label: `MARGIN` times
+    what `USUAL` of them need at most. A language with texts in one half only has no limit.
+    """
+    half = F.pmod(F.xxhash64(F.lit(11), "text"), F.lit(2)).cast("int")
+    texts = settle(_chosen(documents, learn, bounds, key).withColumn("_half", half), "language-texts")
+    counts = _counted(texts, "_half", "lang").toPandas()
+    whole = _model(counts.groupby(["lang", "size", "run"], as_index=False)["n"].sum())
+    halves = [_model(counts[counts["_half"] != h].drop(columns="_half")) for h in (0, 1)]
+    shared = documents.sparkSession.sparkContext.broadcast(halves)  # bounded by `Bounds`
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, starts = text_bytes(batch.column("text"))
+            langs = batch.column("lang").to_pylist()
+            held = np.array(batch.column("_half").to_pylist(), np.int64)
+            rate = np.full(len(langs), np.nan)
+            for h, model in enumerate(shared.value):
+                of = {lang: i for i, lang in enumerate(model.languages)}
+                mine = np.array([i for i in np.flatnonzero(held == h) if langs[i] in of and starts[i + 1] > starts[i]], np.int64)
+                if len(mine):
+                    bits = model.code_lengths(data, starts)[mine, [of[langs[i]] for i in mine]]
+                    rate[mine] = bits / np.diff(starts)[mine]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(rate, mask=np.isnan(rate))], names=["lang", "rate"])
+
+    lettered = texts.where(F.col("text").rlike(r"\p{L}"))
+    rates = lettered.select("lang", "_half", F.lower("text").alias("text")).mapInArrow(measure, "lang string, rate double")
+    usual = rates.where(F.col("rate").isNotNull()).groupBy("lang").agg(F.percentile("rate", F.lit(USUAL)).alias("rate"))
+    return whole, {r["lang"]: MARGIN * r["rate"] for r in usual.collect()}
+
+
+def keeps_limit(found: Column, text: Column, limits: dict[str, float]) -> Column:
+    """Whether a text found to be in a language costs no more bits than that language's limit, and `SPARE` ones."""
+    limit = F.lit(float("inf"))
+    for lang, rate in limits.items():
+        limit = F.when(found["lang_pred"] == lang, F.lit(rate)).otherwise(limit)
+    size = F.greatest(F.octet_length(F.lower(text.cast("string"))), F.lit(1))
+    return found["bits_per_byte"] <= limit + F.lit(float(SPARE)) / size
+
+
+def _chosen(documents: DataFrame, learn: Column | None, bounds: Bounds, key: str) -> DataFrame:
+    """`(lang, text)` of the rows to learn from."""
     allowed = F.coalesce(learn, F.lit(False)) if learn is not None else F.lit(True)
     rows = documents.where(allowed).select(F.col(key).alias("_key"), "lang", F.col("text").cast("string").alias("text"))
     short = rows.where(F.col("lang").isNotNull() & (F.octet_length("text") <= bounds.text_bytes))
@@ -135,29 +189,34 @@ def fit_languages(
     ranked = narrow.where(least).withColumn("_rank", rank).where(F.col("_rank") <= bounds.texts)
     chosen = ranked.select("_key").distinct()
     # At most texts x languages keys.
-    texts = short.join(F.broadcast(chosen), "_key", "left_semi")
-    counted = (
-        texts.select("lang", F.lower("text").alias("text"))
-        .mapInArrow(_count_runs, "lang string, size int, run long, n long")
-        .groupBy("lang", "size", "run").agg(F.sum("n").alias("n"))
+    return short.join(F.broadcast(chosen), "_key", "left_semi").select("lang", "text")
+
+
+def _counted(texts: DataFrame, *by: str) -> DataFrame:
+    """How often each byte run of each size occurs in the texts of each language, or of each half and language."""
+    kinds = dict(texts.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in by)
+    return (
+        texts.select(*by, F.lower("text").alias("text"))
+        .mapInArrow(_count_runs, f"{schema}, size int, run long, n long")
+        .groupBy(*by, "size", "run").agg(F.sum("n").alias("n"))
     )
-    return _model(counted.toPandas())
 
 
 def _count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        langs = np.array(batch.column("lang").to_pylist(), dtype=object)
+        by = [name for name in batch.schema.names if name != "text"]
+        groups = list(zip(*(batch.column(name).to_pylist() for name in by)))
         data, starts = text_bytes(batch.column("text"))
-        for lang in sorted(set(langs)):
-            mine = np.flatnonzero(langs == lang)
-            parts = [data[starts[i]:starts[i + 1]] for i in mine]
+        for group in sorted(set(groups)):
+            parts = [data[starts[i]:starts[i + 1]] for i, g in enumerate(groups) if g == group]
             edges = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
             for size, runs in enumerate(_runs(np.concatenate(parts), edges)):
                 values, counts = np.unique(runs, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(values), pa.string()), pa.array(np.full(len(values), size, np.int32)),
-                     pa.array(values.astype(np.int64)), pa.array(counts.astype(np.int64))],
-                    names=["lang", "size", "run", "n"],
+                    [pa.array([value] * len(values), batch.schema.field(name).type) for name, value in zip(by, group)]
+                    + [pa.array(np.full(len(values), size, np.int32)), pa.array(values.astype(np.int64)), pa.array(counts.astype(np.int64))],
+                    names=[*by, "size", "run", "n"],
                 )
 
 

@@ -1,5 +1,7 @@
 """The registered queries of the subpackage against SQL, and the pipeline against plain work stage by stage."""
 
+import base64
+
 import pytest
 
 import __spark_entry__ as contract
@@ -95,3 +97,28 @@ def test_run_over_odd_and_empty_tables(spark, odd_documents, tmp_path):
         read(spark, SF, "labels").write.parquet(str(tmp_path / name / "labels.parquet"))
         got = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
         assert bool(got) == (name == "odd")
+
+
+FOREIGN = {
+    -1: "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью",
+    -2: "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心，并应以兄弟关系的精神相对待。",
+    -3: "Wszyscy ludzie rodzą się wolni i równi w swojej godności i w swoich prawach. Są obdarzeni rozumem i sumieniem",
+    -4: "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto",
+    -5: "xq zvkpw jfgh qqlz wvbn xkcd pzzj mqvw hrtx gkkf zqjx vvwp kljq xzbn wqpf jjhx kvzq tzxw " * 3,
+    -6: base64.b64encode(bytes(i * i * 7 % 251 for i in range(400))).decode(),
+}
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])  # on sf0.001, with 17 texts of a language, limits are wider
+def test_language_stage_tells_foreign_text_and_noise_from_real_documents(spark, sf):
+    real = read(spark, f"/root/testdata/{sf}", "documents")
+    strange = spark.createDataFrame([(i, t, None, "src0", len(t)) for i, t in FOREIGN.items()], real.schema)
+    kept = ids(corpus_pipeline.language_id(spark, real.unionByName(strange), sf))
+    found = language.identify_languages(real, language.fit_languages(real))
+    assert kept == ids(found.where("lang_pred <> 'und' and score >= 0.5"))
+
+
+def test_language_without_a_second_text_has_no_limit(spark, documents):
+    docs = documents([(1, "one text of its own language", "xx"), (2, "one text of its own language", "xx")])
+    assert language.fit_limits(docs)[1] == {}
+    assert ids(corpus_pipeline.language_id(spark, docs, SF)) == {1, 2}
