@@ -2,8 +2,9 @@
 
 Trees are fitted on a bounded sample and every row is sent down all of them. A query walks the
 forest through one priority queue, nearest margin first, and takes leaves until they hold as many
-rows as a calibration against brute force asks for. Leaves are cut into blocks; a block's rows meet
-the queries that took the leaf, and are ranked by exact distance.
+rows as a calibration against brute force asks for. Equal queries walk once. A leaf's rows and the
+queries that took it are both cut into blocks; every block of rows meets every block of queries,
+and is ranked by exact distance.
 """
 
 import heapq
@@ -17,12 +18,16 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from postflow.llm.support import settle
 
+CELLS = 1 << 18  # distances that are held at once
+SALTS = 16  # over which the queries of one vector are dealt
+
 
 @dataclass(frozen=True)
 class Search:
     """Bounds of the fit, and what the search has to reach.
 
     `sample` rows fit the trees and `judges` queries calibrate the search; every row is indexed.
+    A group holds about `block` rows and `asking` queries.
     `recall` is what the judges must reach, above the 0.9 that is promised.
     """
 
@@ -32,6 +37,7 @@ class Search:
     judges: int = 200
     recall: float = 0.96
     block: int = 4_000
+    asking: int = 4_000
     seed: int = 5
 
 
@@ -157,7 +163,8 @@ def nearest(
     """
     spark = vectors.sparkSession
     rows = settle(without_spare_copies(usable(vectors, column, key), k), "vectors")
-    asked = settle(usable(queries, column, key).groupBy("id").agg(F.min("v").alias("v")), "vector-queries")
+    asked = usable(queries, column, key).groupBy("id").agg(F.min("v").alias("v"))
+    asked = settle(asked.withColumn("_digest", F.md5(F.to_json("v").cast("binary"))), "vector-queries")
     shuffled = F.xxhash64(F.lit(how.seed), "id")
     picked = rows.orderBy(shuffled, "id").limit(how.sample).collect()
     sample = np.array([r["v"] for r in picked])
@@ -181,61 +188,91 @@ def nearest(
     judges = [(r["id"], np.array(r["v"])) for r in asked.orderBy(shuffled, "id").limit(how.judges).collect()]
     budget = _calibrate(routed, judges, forest, sizes, k, how)
 
-    per_block = how.block
-    blocks = [np.maximum(-(-s // per_block), 1) for s in sizes]
-    buckets = max(16, int(sum(s.sum() for s in sizes)) // per_block)
-    known = spark.sparkContext.broadcast((sizes, blocks))
+    known = spark.sparkContext.broadcast(sizes)
 
     def to_probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        all_sizes, all_blocks = known.value
         for batch in batches:
-            x, row, tree, leaf, block = _matrix(batch.column("v")), [], [], [], []
-            for i in range(len(x)):
-                for t, l in probe(shared.value, x[i], all_sizes, budget):
-                    for b in range(all_blocks[t][l]):
-                        row.append(i); tree.append(t); leaf.append(l); block.append(b)  # noqa: E702
-            at = pa.array(row, pa.int64())
+            x = _matrix(batch.column("v"))
+            took = [[f"{t} {l}" for t, l in probe(shared.value, q, known.value, budget)] for q in x]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(at), batch.column("v").take(at), pa.array(tree, pa.int32()),
-                 pa.array(leaf, pa.int64()), pa.array(block, pa.int64())],
-                names=["id", "v", "tree", "leaf", "block"],
+                [batch.column("id"), batch.column("v"), pa.array(took, pa.list_(pa.string()))], names=["id", "v", "took"]
             )
 
-    probes = asked.mapInArrow(to_probes, "id long, v array<double>, tree int, leaf long, block long")
-    parts = spark.createDataFrame(
-        [(t, l, int(n)) for t, per in enumerate(blocks) for l, n in enumerate(per)], "tree int, leaf long, _blocks long"
+    # Of equal queries the one of the least id walks and is answered, with one result more for its own id.
+    walking = asked.groupBy("_digest").agg(F.min("id").alias("id"), F.first("v").alias("v"))
+    walked = settle(walking.select("id", "v").mapInArrow(to_probes, "id long, v array<double>, took array<string>"), "vector-probes")
+    place = F.split("took", " ")
+    probes = walked.select("id", "v", F.explode("took").alias("took")).select(
+        "id", "v", place[0].cast("int").alias("tree"), place[1].cast("long").alias("leaf")
     )
-    held = entries.join(F.broadcast(parts), ["tree", "leaf"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("_blocks")))
-    bucket = F.pmod(F.xxhash64("tree", "leaf", "block"), F.lit(buckets)).alias("bucket")
-    columns = ["tree", "leaf", "block", "id", "v", bucket]
+    # A row per leaf.
+    asking = {(r["tree"], r["leaf"]): r["count"] for r in probes.groupBy("tree", "leaf").count().collect()}
+    groups = _groups(sizes, asking, how)
+    # Made for each side, as a table that both sides had joined would make the columns of a group ambiguous.
+    parts = lambda: F.broadcast(spark.createDataFrame(groups, "tree int, leaf long, group int, _blocks long, _askings long"))
+    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    held = entries.join(parts(), ["tree", "leaf"]).withColumn("block", part("_blocks")).withColumn("asking", every("_askings"))
+    probes = probes.join(parts(), ["tree", "leaf"]).withColumn("asking", part("_askings")).withColumn("block", every("_blocks"))
+    columns, group = ["tree", "leaf", "id", "v", "group", "block", "asking"], ["group", "block", "asking"]
 
     def meet(candidates: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         found = []
-        where = candidates.groupby(["tree", "leaf", "block"]).indices
-        for place, at in asking.groupby(["tree", "leaf", "block"]).indices.items():
+        where = candidates.groupby(["tree", "leaf"]).indices
+        for place, at in asking.groupby(["tree", "leaf"]).indices.items():
             if place in where:
                 c, q = candidates.iloc[where[place]], asking.iloc[at]
-                found.append(_closest(q["id"].to_numpy(), np.stack(q["v"]), c["id"].to_numpy(), np.stack(c["v"]), k))
+                found.append(_closest(q["id"].to_numpy(), np.stack(q["v"]), c["id"].to_numpy(), np.stack(c["v"]), k + 1, own=True))
         if not found:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        best = pd.concat(found).drop_duplicates(["query_id", "vec_id"]).sort_values(["query_id", "score", "vec_id"])
-        return best.groupby("query_id").head(k)
+        best = pd.concat(found).sort_values(["query_id", "score", "vec_id"]).drop_duplicates(["query_id", "vec_id"])
+        return best.groupby("query_id").head(k + 1)
 
-    met = held.select(*columns).groupBy("bucket").cogroup(probes.select(*columns).groupBy("bucket"))
+    met = held.select(*columns).groupBy(*group).cogroup(probes.select(*columns).groupBy(*group))
     found = met.applyInPandas(meet, "query_id long, vec_id long, score double")
     pairs = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _closest(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
-    """Each query's `k` nearest of `x` by exact distance; a product of matrices only picks whom to measure."""
+    best = pairs.withColumn("_rank", rank).where(F.col("_rank") <= k + 1)
+    answers = best.groupBy(F.col("query_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("score", "vec_id"))).alias("_near"))
+    # Back to all queries of a vector: an answer a salt, so that a frequent vector does not land in one task.
+    answers = answers.join(walking.select("id", "_digest"), "id").select("_digest", "_near", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    salted = asked.select(F.col("id").alias("query_id"), "_digest", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("_salt"))
+    others = F.slice(F.filter("_near", lambda r: r["vec_id"] != F.col("query_id")), 1, k)
+    listed = salted.join(answers, ["_digest", "_salt"]).select("query_id", F.posexplode(others).alias("_at", "_r"))
+    return listed.select("query_id", (F.col("_at") + 1).alias("rank"), "_r.vec_id", "_r.score")
+
+
+def _groups(sizes: list[np.ndarray], asking: dict[tuple[int, int], int], how: Search) -> list[tuple[int, int, int, int, int]]:
+    """`(tree, leaf, group, blocks, askings)` of every leaf that was taken: small leaves share a group, a larger one has its own."""
+    out, group, rows, queries = [], 0, 0, 0
+    for (t, l), n in sorted(asking.items()):
+        size = int(sizes[t][l])
+        if rows + size > how.block or queries + n > how.asking:
+            group, rows, queries = group + 1, 0, 0
+        rows, queries = rows + size, queries + n
+        out.append((t, l, group, max(-(-size // how.block), 1), max(-(-n // how.asking), 1)))
+    return out
+
+
+def _closest(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, own: bool = False) -> pd.DataFrame:
+    """Each query's `k` nearest of `x` by exact distance, its own id only if `own`; `CELLS` distances at a time."""
+    step = max(1, CELLS // max(len(ids), 1))
+    found = [_closest_slice(query_ids[a:a + step], q[a:a + step], ids, x, k, own) for a in range(0, len(q), step)]
+    return pd.concat(found) if found else _closest_slice(query_ids, q, ids, x, k, own)
+
+
+def _closest_slice(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, own: bool) -> pd.DataFrame:
+    """A product of matrices only picks whom to measure."""
     rough = (q ** 2).sum(axis=1)[:, None] + (x ** 2).sum(axis=1)[None, :] - 2.0 * (q @ x.T)
-    rough[query_ids[:, None] == ids[None, :]] = np.inf
+    if not own:
+        rough[query_ids[:, None] == ids[None, :]] = np.inf
     reach = np.partition(rough, k - 1, axis=1)[:, k - 1] if len(ids) > k else np.full(len(q), np.inf)
     slack = 1e-9 * ((q ** 2).sum(axis=1) + (x ** 2).sum(axis=1).max())
     row, col = np.nonzero((rough <= (reach + slack)[:, None]) & (rough < np.inf))
-    score = np.sqrt(((q[row] - x[col]) ** 2).sum(axis=1))
+    score = np.empty(len(row))
+    step = max(1, 16 * CELLS // max(x.shape[1], 1))
+    for a in range(0, len(row), step):
+        score[a:a + step] = np.sqrt(((q[row[a:a + step]] - x[col[a:a + step]]) ** 2).sum(axis=1))
     found = pd.DataFrame({"query_id": query_ids[row], "vec_id": ids[col], "score": score})
     return found.sort_values(["query_id", "score", "vec_id"]).groupby("query_id").head(k)
 

@@ -75,3 +75,38 @@ def test_trees_hold_every_row():
     sizes = [np.bincount(leaf, minlength=tree.leaves)]
     places = neighbours.probe([tree], x[0], sizes, np.inf)
     assert sorted(l for _, l in places) == list(range(tree.leaves)) and places[0] == (0, leaf[0])
+
+
+def test_blocks_of_queries_change_no_result_and_bound_a_group(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 4)))] + [(300 + i, [2.0, 0.0, 0.0, 0.0]) for i in range(90)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    table = lambda how: sorted(map(tuple, neighbours.nearest(df, df, k=3, how=how).collect()))
+    small = neighbours.Search(sample=100, leaf=8, judges=40, recall=1.0, block=20, asking=15)
+    assert table(small) == table(neighbours.Search(sample=100, leaf=8, judges=40, recall=1.0))
+    # A leaf with more queries than a group may hold is asked in parts.
+    sizes = [np.array([50, 5, 5])]
+    groups = neighbours._groups(sizes, {(0, 0): 100, (0, 1): 4, (0, 2): 4}, small)
+    assert groups[0][3:] == (3, 7) and groups[1][2] == groups[2][2] != groups[0][2]
+
+
+def test_distances_are_held_in_slices(monkeypatch):
+    rng = np.random.default_rng(6)
+    q, x = rng.normal(size=(50, 3)), rng.normal(size=(40, 3))
+    whole = neighbours._closest(np.arange(50), q, np.arange(40), x, 5)
+    monkeypatch.setattr(neighbours, "CELLS", 80)
+    shapes, partition = [], np.partition
+    monkeypatch.setattr(neighbours.np, "partition", lambda a, *r, **w: shapes.append(a.size) or partition(a, *r, **w))
+    sliced = neighbours._closest(np.arange(50), q, np.arange(40), x, 5)
+    assert max(shapes) <= 80 and len(shapes) == 25
+    assert sorted(map(tuple, whole.to_numpy())) == sorted(map(tuple, sliced.to_numpy()))
+
+
+def test_equal_queries_walk_once_and_leave_out_their_own_id(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(30)] + [(100 + i, [0.0, float(i + 1)]) for i in range(5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(df, df, k=3).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    for i in range(30):
+        assert sorted(got[i]) == list(enumerate([j for j in range(5) if j != i][:3], 1))
