@@ -122,3 +122,13 @@ def test_language_without_a_second_text_has_no_limit(spark, documents):
     docs = documents([(1, "one text of its own language", "xx"), (2, "one text of its own language", "xx")])
     assert language.fit_limits(docs)[1] == {}
     assert ids(corpus_pipeline.language_id(spark, docs, SF)) == {1, 2}
+
+
+def test_duplicates_stage_keeps_rows_without_an_id_and_all_texts_of_an_id(spark, documents):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(60))
+    docs = documents([
+        (None, text("a")), (None, text("a") + " end"), (None, text("b")), (7, text("b") + " end"), (None, text("c")),
+        (5, text("d")), (5, text("e")), (5, text("e")), (6, text("d") + " end"), (None, " "), (None, None),
+    ])
+    out = [(r["doc_id"], (r["text"] or "-")[:1]) for r in corpus_pipeline.ngram_jaccard_join(spark, docs, SF).collect()]
+    assert sorted(out, key=str) == sorted([(None, "a"), (7, "b"), (None, "c"), (5, "d"), (5, "e"), (None, " "), (None, "-")], key=str)
