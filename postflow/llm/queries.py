@@ -2,7 +2,9 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postflow.llm import chat, fingerprint, jaccard, language, lengths, mixing, neighbours, packing, quality, sharding
+from postflow.llm import (
+    centroids, chat, fingerprint, jaccard, language, lengths, merkle, mixing, neighbours, packing, quality, sharding, suffixes,
+)
 from postflow.llm.support import on_path, read
 
 BOTH = "</s>[INST] ok [/INST]"  # a conversation of control strings only
@@ -103,6 +105,28 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = merkle.build_manifest(read(spark, sf_dir, "documents"), claim=merkle.tampered_leaf())
+    proved = merkle.prove(manifest, manifest.leaves)
+    folded = proved.select(
+        "doc_id", "leaf", "subroot", F.lit(manifest.root).alias("root"), merkle.proof_digest(F.col("proof")).alias("proof_sha256"),
+        merkle.fold(F.coalesce("claim", "leaf"), F.col("proof")).alias("folded_root"),
+    )
+    return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.repeated_spans(read(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256"
+    )
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read(spark, sf_dir, "embeddings"))
+
+
 def _importable(query):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         on_path(spark)
@@ -115,7 +139,8 @@ QUERIES = {
     q.__name__: _importable(q)
     for q in (
         op1_chat_format, op2_token_counts, op3_language_id, op4_ngram_jaccard, op5_fingerprints, op6_source_mix,
-        op7_sharding, op8_best_fit_packing, op9_quality, op10_nearest,
+        op7_sharding, op8_best_fit_packing, op9_quality, op10_nearest, op11_merkle_manifest, op12_suffix_dedup,
+        op13_centroid_clusters,
     )
 }
 
@@ -126,7 +151,98 @@ for _found, _put in [("\\", "\\e"), *[(c, chat.ESCAPE + chat.CODES[c[0]] + c[1:]
 _SHINGLES = """list_filter(regexp_split_to_array(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"""
 
+_FIELD = "coalesce(strlen({0}::varchar) || ':' || {0}, '-')"
+_LEAF = "sha256({})".format(" || ".join(_FIELD.format(c) for c in merkle.FIELDS))
+_CLAIM = "sha256({})".format(
+    " || ".join(_FIELD.format(c) for c in [*merkle.FIELDS[:-1], f"translate(text, '{merkle.UPPER}', '{merkle.LOWER}')"])
+)
+# The CRC of a decimal number, bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::ubigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::ubigint)),
+    lambda crc, c: list_reduce(list_prepend(xor(crc, c), [0::ubigint, 0, 0, 0, 0, 0, 0, 0]),
+        lambda r, z: xor(r >> 1, case when r & 1 = 1 then 3988292384::ubigint else 0::ubigint end))))"""
+
+
+def _climb(name: str, group: str, levels: int) -> str:
+    """CTEs `<name>1`, ... of nodes (group, pos, d, kids) from `<name>0` (group, pos, d); a single node stays as it is."""
+    return ",".join(f"""
+        {name}{n + 1} as (select {group}, pos // 16 as pos, list(d order by pos) as kids, bool_or(m > 1) as run,
+            case when bool_or(m > 1) then sha256(string_agg(d, '' order by pos)) else any_value(d) end as d
+            from (select *, count(*) over (partition by {group}) as m from {name}{n}) group by {group}, pos // 16)""" for n in range(levels))
+
+
+def _walk(name: str, before: str, climb: str, group: str, rank: str, levels: int) -> str:
+    """CTEs that lead every row of `before` up one tree, adding siblings and folding its claim."""
+    out = []
+    for n in range(levels):
+        left = f"coalesce(array_to_string(k.kids[1:({rank} >> {4 * n}) & 15], ''), '')"
+        right = f"coalesce(array_to_string(k.kids[(({rank} >> {4 * n}) & 15) + 2:], ''), '')"
+        out.append(f"""
+        {name}{n + 1} as (select w.* exclude (folded, proof), case when k.run then sha256({left} || folded || {right}) else folded end as folded,
+            case when k.run then proof || {left} || {right} else proof end as proof
+            from {before if n == 0 else f'{name}{n}'} w join {climb}{n + 1} k on k.{group} is not distinct from w.{group} and k.pos = w.{rank} >> {4 * n + 4})""")
+    return ",".join(out)
+
+
+_SOURCE_LEVELS, _TOP_LEVELS = 8, 4
+
+
+def _rounds(n: int) -> str:
+    """CTEs of the centroids after each round and the last assignment."""
+    out = []
+    for r in range(n + 1):
+        out.append(f"""
+        near{r} as materialized (select vec_id, row, v, min(struct_pack(distance, num)) as best from (
+            select a.vec_id, a.row, a.v, c.num, list_sum(list_transform(list_zip(a.v, c.c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint as distance
+            from kept a cross join cent{r} c) group by all)""")
+        if r < n:
+            out.append(f"""
+        sums{r} as (select num, i, sum(x)::hugeint as s, count(*)::hugeint as n
+            from (select best.num as num, unnest(v) as x, generate_subscripts(v, 1) as i from near{r}) group by num, i),
+        mean{r} as (select num, list(((s - ((s % n) + n) % n) // n)::bigint order by i) as c from sums{r} group by num),
+        cent{r + 1} as materialized (select o.num, coalesce(m.c, o.c) as c from cent{r} o left join mean{r} m using (num))""")
+    return ",".join(out)
+
+
 ORACLE = {
+    "op11_merkle_manifest": f"""
+        with leaves as (select doc_id, source, {_LEAF} as leaf,
+            case when ({_CRC}) % 5 = 0 then {_CLAIM} end as claim from documents),
+        placed as (select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as rank from leaves),
+        a0 as (select source, rank as pos, leaf as d from placed),{_climb('a', 'source', _SOURCE_LEVELS)},
+        subs as (select source, d as subroot, row_number() over (order by source nulls first) - 1 as s, 0 as g from a{_SOURCE_LEVELS}),
+        b0 as (select g, s as pos, subroot as d from subs),{_climb('b', 'g', _TOP_LEVELS)},
+        w0 as (select p.doc_id, p.source, p.rank, p.leaf, u.subroot, u.s, u.g, coalesce(claim, leaf) as folded, '' as proof
+            from placed p join subs u on u.source is not distinct from p.source),
+        {_walk('w', 'w0', 'a', 'source', 'rank', _SOURCE_LEVELS)},
+        {_walk('x', f'w{_SOURCE_LEVELS}', 'b', 'g', 's', _TOP_LEVELS)}
+        select doc_id, leaf, subroot, d as root, sha256(proof) as proof_sha256, folded as folded_root, folded = d as verified
+        from x{_TOP_LEVELS} cross join b{_TOP_LEVELS}""",
+    "op12_suffix_dedup": """
+        with docs as materialized (select row_number() over () as row, doc_id, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, '')) as n from documents),
+        places as (select row, h, unnest(range(0, n - 199)) as p from docs where n >= 200),
+        twice as (select row, p from (select row, p, count(*) over (partition by k) as times from (
+            select row, p, md5_number(substr(h, 2 * p + 1, 400)) as k from places)) where times > 1),
+        spans as (select row, min(p) as a, max(p) + 200 as b from (
+            select row, p, sum(head) over (partition by row order by p) as run from (
+                select row, p, case when p > lag(p, 1, -201) over (partition by row order by p) + 200 then 1 else 0 end as head from twice))
+            group by row, run),
+        cuts as (select row, list_prepend(0, list(b order by a)) as ends, list(a order by a) as starts, sum(b - a)::bigint as gone, count(*) as n_spans
+            from spans group by row)
+        select doc_id, n as n_bytes, coalesce(gone, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+            sha256(unhex(case when gone is null then h else array_to_string(list_transform(list_zip(ends, list_append(starts, n)),
+                lambda z: substr(h, 2 * z[1] + 1, 2 * (z[2] - z[1]))), '') end)) as kept_sha256
+        from docs left join cuts using (row)""",
+    "op13_centroid_clusters": f"""
+        with kept as materialized (select vec_id, row_number() over () as row,
+            list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v from embeddings
+            where len(embedding) = 64 and len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+        cent0 as materialized (select num, v as c from (
+            select v, row_number() over (order by sha256('3:' || vec_id), v) - 1 as num from kept) where num < 8),
+        {_rounds(centroids.ROUNDS)}
+        select vec_id, best.num::int as cluster, best.distance as distance,
+            sum(best.distance) over (partition by best.num)::bigint as cluster_inertia, sum(best.distance) over ()::bigint as inertia,
+            sha256(array_to_string(c, ',')) as centroid_sha256
+        from near{centroids.ROUNDS} join cent{centroids.ROUNDS} on num = best.num""",
     "op1_chat_format": f"""
         with turns as (
             select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations

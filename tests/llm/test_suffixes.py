@@ -1,0 +1,126 @@
+import collections
+import hashlib
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from postflow.llm import suffixes
+from postflow.llm.queries import op12_suffix_dedup
+from postflow.llm.support import read
+from llm_fixtures import documents, odd_documents, importable  # noqa: F401
+
+SF = "/root/testdata/sf0.001"
+
+
+def brute(rows, length):
+    """[(id, n_bytes, spans, kept)] by counting every string of `length` bytes."""
+    texts = [(i, (t or "").encode()) for i, t in rows]
+    seen = collections.Counter(t[p:p + length] for _, t in texts for p in range(len(t) - length + 1))
+    out = []
+    for i, t in texts:
+        gone = bytearray(len(t))
+        for p in range(len(t) - length + 1):
+            if seen[t[p:p + length]] > 1:
+                gone[p:p + length] = b"\x01" * length
+        edges = [p for p in range(len(t) + 1) if (gone[p - 1] if p else 0) != (gone[p] if p < len(t) else 0)]
+        kept = bytes(c for c, g in zip(t, gone) if not g)
+        out.append((i, len(t), list(zip(edges[::2], edges[1::2])), hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def found(df, length=200):
+    rows = suffixes.repeated_spans(df, length).collect()
+    return sorted(((r["doc_id"], r["n_bytes"], [tuple(s) for s in r["spans"]], r["kept_sha256"]) for r in rows), key=repr)
+
+
+def test_order_of_suffixes():
+    rng = random.Random(1)
+    for _ in range(1500):
+        letters = rng.choice([1, 2, 3, 5, 50])
+        text = [rng.randrange(letters) for _ in range(rng.randrange(40))]
+        text = text * rng.choice([1, 1, 3])
+        assert suffixes.suffix_order(text) == sorted(range(len(text)), key=lambda i: text[i:])
+
+
+def test_equal_windows_have_equal_anchors():
+    rng = np.random.default_rng(2)
+    cut = suffixes.Cut(40)
+    shared = rng.integers(0, 4, 90, dtype=np.uint8)
+    data = np.concatenate([rng.integers(0, 4, 200, dtype=np.uint8), shared, rng.integers(0, 4, 60, dtype=np.uint8), shared])
+    key, at, least, most = suffixes.anchors(data, np.full(len(data), len(data)), cut)
+    of = {int(a - f): (int(k), int(f)) for k, a, lo, hi in zip(key, at, least, most) for f in range(lo, hi + 1)}
+    assert sorted(of) == list(range(len(data) - 39))  # every window has its one anchor
+    assert all(of[200 + i] == of[350 + i] for i in range(51))
+
+
+def test_whole_table_against_brute_force(spark):
+    df = read(spark, SF, "documents")
+    want = brute([(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()], 200)
+    assert found(df) == want
+    got = {tuple(r) for r in op12_suffix_dedup(spark, SF).collect()}
+    assert got == {(i, n, sum(b - a for a, b in s), len(s), kept) for i, n, s, kept in want}
+    assert sum(n for _, _, n, _, _ in got) > 0
+
+
+def woven(rng, n):
+    """Texts of few words, copies with edits, runs of one letter, and passages that several hold."""
+    passage = "".join(rng.choice("abcdé ") for _ in range(150))
+    rows = []
+    for i in range(n):
+        base = "".join(rng.choice("ab") for _ in range(rng.randrange(0, 160)))
+        kind = rng.randrange(6)
+        if kind == 0 and rows:
+            base = rng.choice(rows)[1]
+            at = rng.randrange(len(base) + 1)
+            base = base[:at] + rng.choice(["", "x", "yy"]) + base[at:]
+        elif kind == 1:
+            a = rng.randrange(100)
+            base = base + passage[a:a + rng.randrange(60)] + base[:20]
+        elif kind == 2:
+            base += "-" * rng.randrange(120)
+        elif kind == 3:
+            base = passage[:70] + str(i)
+        rows.append((i, base))
+    return rows
+
+
+@pytest.mark.parametrize("crowd, stretch", [(2_000, 1 << 18), (2, 1 << 18), (2_000, 64)])
+def test_against_brute_force(documents, monkeypatch, crowd, stretch):
+    monkeypatch.setattr(suffixes, "CROWD", crowd)
+    monkeypatch.setattr(suffixes, "STRETCH", stretch)
+    monkeypatch.setattr(suffixes, "SYMBOLS", 500)
+    rng = random.Random(crowd + stretch)
+    for length in (20, 33):
+        rows = woven(rng, 90)
+        assert found(documents(rows), length) == brute(rows, length)
+
+
+def test_odd_rows(odd_documents):
+    rows = [(r["doc_id"], r["text"]) for r in odd_documents.collect()]
+    long = [(i, t) for i, t in rows if t is None or len(t) < 10_000]
+    assert found(odd_documents.where("text is null or length(text) < 10000")) == brute(long, 200)
+    # A sentence over and over: each window has another one in its own text.
+    all_ = {r[0]: r for r in found(odd_documents)}
+    n = max(len(t or "") for _, t in rows)
+    assert all_[4][1:3] == (n, [(0, n)])
+    assert found(odd_documents.where("false")) == []
+
+
+def test_null_and_repeated_keys(documents):
+    text = "".join(chr(97 + i % 26) + str(i) for i in range(200))
+    got = found(documents([(None, text), (None, text), (7, text[:300]), (7, "short"), (8, "é" * 250)]))
+    assert got == brute([(None, text), (None, text), (7, text[:300]), (7, "short"), (8, "é" * 250)], 200)
+
+
+def test_kept_bytes(documents):
+    df = documents([(0, "0123456789" * 30 + "tail"), (1, "head" + "0123456789" * 30), (2, None)])
+    spans = suffixes.repeated_spans(df).select("doc_id", "spans", "kept_sha256")
+    kept = df.join(spans, "doc_id").select("kept_sha256", F.sha2(suffixes.kept_bytes(F.col("text"), F.col("spans")), 256).alias("again"))
+    assert all(r[0] == r[1] for r in kept.collect()) and kept.count() == 3
+
+
+def test_short_strings_are_refused(documents):
+    with pytest.raises(ValueError):
+        suffixes.repeated_spans(documents([(0, "a")]), 19)
