@@ -109,7 +109,7 @@ def _batches(batch: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray]]:
 def moved(vectors: DataFrame, centroids: np.ndarray) -> np.ndarray:
     """One round: every centroid that is nearest to some vector becomes the floor of their mean, component by component.
 
-    Each task adds up its own vectors; the driver gets one row per centroid.
+    Each task adds up its own vectors; the driver gets one number per centroid and component.
     """
     k, dims = centroids.shape
 
@@ -119,9 +119,10 @@ def moved(vectors: DataFrame, centroids: np.ndarray) -> np.ndarray:
 
         def rows():
             own = np.flatnonzero(count)
+            places = np.tile(np.arange(dims), len(own))
             return pa.RecordBatch.from_arrays(
-                [pa.array(own), pa.array(count[own]), *[pa.array(total[own, d]) for d in range(dims)]],
-                names=["cluster", "n", *[f"s{d}" for d in range(dims)]],
+                [pa.array(c) for c in (np.repeat(own, dims), places, np.repeat(count[own], dims), total[own].ravel())],
+                names=["cluster", "place", "n", "total"],
             )
 
         for batch in batches:
@@ -134,11 +135,10 @@ def moved(vectors: DataFrame, centroids: np.ndarray) -> np.ndarray:
                 count[:], total[:] = 0, 0
         yield rows()
 
-    schema = "cluster long, n long, " + ", ".join(f"s{d} long" for d in range(dims))
-    sums = [F.sum(F.col(f"s{d}").cast("decimal(38,0)")).alias(f"s{d}") for d in range(dims)]
+    sums = vectors.select("v").mapInArrow(add, "cluster long, place long, n long, total long").groupBy("cluster", "place")
     out = centroids.copy()
-    for r in vectors.select("v").mapInArrow(add, schema).groupBy("cluster").agg(F.sum("n").alias("n"), *sums).collect():
-        out[r["cluster"]] = [int(r[f"s{d}"]) // r["n"] for d in range(dims)]
+    for r in sums.agg(F.sum("n").alias("n"), F.sum(F.col("total").cast("decimal(38,0)")).alias("total")).collect():
+        out[r["cluster"], r["place"]] = int(r["total"]) // r["n"]
     return out
 
 
