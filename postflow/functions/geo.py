@@ -31,6 +31,13 @@ def distance_km(lat: Column, lon: Column, lat0: float, lon0: float) -> Column:
     return 2 * EARTH_KM * F.asin(F.sqrt(F.least(F.lit(1.0), chord)))
 
 
+def distance_between(lat: Column, lon: Column, lat0: Column, lon0: Column) -> Column:
+    """Great-circle distance between two points."""
+    half_lat, half_lon = F.sin(F.radians(lat - lat0) / 2), F.sin(F.radians(lon - lon0) / 2)
+    chord = half_lat * half_lat + F.cos(F.radians(lat)) * F.cos(F.radians(lat0)) * half_lon * half_lon
+    return 2 * EARTH_KM * F.asin(F.sqrt(F.least(F.lit(1.0), chord)))
+
+
 def box_around(lat0: float, lon0: float, km: float) -> tuple[float, float, float, float]:
     """South, west, north, east of a box that holds every point within `km`."""
     slack = 1e-9

@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, functions as F
 
+from postflow.functions.curve import box_ranges, in_ranges
 from postflow.functions.geo import box_around, distance_km, in_box
 from postflow.functions.text import has_terms, normal_terms
 from postflow.functions.times import instant, instant_literal
@@ -38,6 +39,12 @@ def box_search(df: DataFrame, south: float, west: float, north: float, east: flo
     return df.where(in_box(F.col("lat"), F.col("lon"), south, west, north, east))
 
 
+def curve_box_search(df: DataFrame, south: float, west: float, north: float, east: float, ranges: int = 16) -> DataFrame:
+    """As `box_search`, on a table with the places' `curve` keys: only row groups in the box's ranges of keys are read."""
+    found = box_search(df, south, west, north, east)
+    return found.where(in_ranges(F.col("curve"), box_ranges(south, west, north, east, ranges)))
+
+
 def radius_search(df: DataFrame, lat: float, lon: float, km: float) -> DataFrame:
     """Rows within `km` of a point, with their `distance_km`.
 

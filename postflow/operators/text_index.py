@@ -40,7 +40,7 @@ def write_index(posting_rows: DataFrame, posts: int, path: str, buckets: int = B
     spark = posting_rows.sparkSession
     order = ["bucket", "term", "id"]
     (
-        posting_rows.withColumn("bucket", _bucket(F.col("term"), buckets))
+        posting_rows.withColumn("bucket", term_bucket(F.col("term"), buckets))
         .repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .write.partitionBy("bucket")
@@ -83,7 +83,7 @@ class TextIndex:
         if terms is None:
             return stored
         wanted = normal_terms(terms)
-        folders = [_bucket(F.lit(t), self.buckets) for t in wanted]
+        folders = [term_bucket(F.lit(t), self.buckets) for t in wanted]
         return stored.where(F.col("bucket").isin(*folders) & F.col("term").isin(wanted))
 
 
@@ -122,9 +122,9 @@ def ranked_search(df: DataFrame, terms, k: int, text: str = "text") -> DataFrame
     )
     dfs = hits.agg(*[F.count_if(F.col(c) > 0).alias(c) for c in counts]).first()
     total = df.count()
-    weights = [_idf(total, n) for n in dfs]
+    weights = [idf(total, n) for n in dfs]
     score = functools.reduce(operator.add, [F.col(c) * w for c, w in zip(counts, weights)])
-    return _best(hits.select("id", score.alias("score")), k)
+    return best_posts(hits.select("id", score.alias("score")), k)
 
 
 def ranked_search_stored(
@@ -135,21 +135,21 @@ def ranked_search_stored(
     # At most one count per search term.
     dfs = {r.term: r.df for r in term_counts.where(F.col("term").isin(wanted)).collect()}
     weight = functools.reduce(
-        lambda case, t: case.when(F.col("term") == t, _idf(total, dfs.get(t, 0))), wanted, F.when(F.lit(False), 0.0)
+        lambda case, t: case.when(F.col("term") == t, idf(total, dfs.get(t, 0))), wanted, F.when(F.lit(False), 0.0)
     )
     scored = (
         posting_rows.where(F.col("term").isin(wanted))
         .groupBy("id")
         .agg(F.sum(F.col("tf") * weight).alias("score"))
     )
-    return _best(scored, k)
+    return best_posts(scored, k)
 
 
-def _idf(total: int, posts: int) -> float:
+def idf(total: int, posts: int) -> float:
     return math.log((total + 1) / (posts + 1))
 
 
-def _best(scored: DataFrame, k: int) -> DataFrame:
+def best_posts(scored: DataFrame, k: int) -> DataFrame:
     return (
         scored.withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), F.asc("id")).limit(k)
     )
@@ -159,5 +159,5 @@ def _occurrences(words: Column, term: str) -> Column:
     return F.size(F.filter(words, lambda w: w == term))
 
 
-def _bucket(term: Column, buckets: int) -> Column:
+def term_bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")

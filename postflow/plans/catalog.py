@@ -12,11 +12,13 @@ from postflow.functions.geo import lat_lon
 from postflow.functions.score import sentiment_score
 from postflow.functions.text import clean_text, tokens
 from postflow.functions.times import parse_post_time
-from postflow.operators import reports, search
+from postflow.operators import nearest, reports, search
+from postflow.operators.block_index import BlockIndex, read_blocks, write_blocks
 from postflow.operators.dense_index import dense_index as add_dense_index
 from postflow.operators.joins import enrich_join as lookup, replay_join as replay
 from postflow.operators.lexicon import derive_lexicon, inline_polarity, labeller, normal_lexicon
 from postflow.operators.model import fit_naive_bayes
+from postflow.operators.positions import PositionIndex, position_postings, read_positions, write_positions
 from postflow.operators.text_index import TextIndex, doc_counts, postings, ranked_search as rank, read_index, write_index
 from postflow.plans.posts import annotation_labels as unpack_annotations, compat_columns as five_columns, enrich, process
 from postflow.sources.layout import compact, read_layout, write_layout
@@ -28,9 +30,13 @@ from postflow.streaming.flows import read_histogram, run_histogram, run_ingest,
 ANY_TERMS = ["worthless", "trash", "idiot"]
 ALL_TERMS = ["the", "and", "trash"]
 RANK_TERMS = ["the", "trash", "stupid", "clown"]
+PHRASE = "the and attion"
+NEAR_TERMS, WITHIN = ["the", "and", "is"], 6
 FROM, TO = "2024-01-01T06:00:00", "2024-01-02T18:30:00"
 BOX = (-40.0, -100.0, 45.0, 60.0)
 DATELINE_BOX = (-60.0, 150.0, 60.0, -140.0)
+TALL_BOX = (-85.0, 175.0, 80.0, -170.0)
+NEAREST = 5
 CENTER, RADIUS_KM = (10.0, 170.0), 3000.0
 CELL = 10.0
 TAG = "Tag3"
@@ -140,8 +146,32 @@ def text_index(spark: SparkSession, sf_dir: str) -> TextIndex:
     return read_index(spark, _built_once(spark, sf_dir, "text-index", write))
 
 
+def position_index(spark: SparkSession, sf_dir: str) -> PositionIndex:
+    """The stored positional index."""
+    write = lambda path: write_positions(position_postings(enriched_posts(spark, sf_dir), "cleaned_text"), path)
+    return read_positions(spark, _built_once(spark, sf_dir, "positions", write))
+
+
+def block_index(spark: SparkSession, sf_dir: str) -> BlockIndex:
+    """The stored postings in blocks."""
+
+    def write(path: str) -> None:
+        write_blocks(inverted_index(spark, sf_dir), table(spark, sf_dir, "documents").count(), path)
+
+    return read_blocks(spark, _built_once(spark, sf_dir, "blocks", write))
+
+
+def curve_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The processed posts in the layout along the curve."""
+    write = lambda path: write_layout(processed_table(spark, sf_dir), path, cluster="curve")
+    return read_layout(spark, _built_once(spark, sf_dir, "curve", write))
+
+
 # What searches and reports read, built once; the bench times the building by itself.
-BUILDS = {"processed table": processed_table, "text index": text_index}
+BUILDS = {
+    "processed table": processed_table, "text index": text_index, "positional index": position_index,
+    "block index": block_index, "curve table": curve_table,
+}
 
 
 def epoch(name: str = "created_at"):
@@ -328,6 +358,18 @@ def index_ranked_search(spark, sf_dir):
     return text_index(spark, sf_dir).ranked_search(RANK_TERMS, 50)
 
 
+def phrase_search(spark, sf_dir):
+    return position_index(spark, sf_dir).phrase_search(PHRASE)
+
+
+def near_search(spark, sf_dir):
+    return position_index(spark, sf_dir).near_search(NEAR_TERMS, WITHIN)
+
+
+def block_ranked_search(spark, sf_dir):
+    return block_index(spark, sf_dir).ranked_search(RANK_TERMS, 50).best
+
+
 def time_range(spark, sf_dir):
     return search.time_range(processed_table(spark, sf_dir), FROM, TO).select("id", epoch())
 
@@ -340,6 +382,16 @@ def bbox_search_dateline(spark, sf_dir):
     return search.box_search(processed_table(spark, sf_dir), *DATELINE_BOX).select("id", "lat", "lon")
 
 
+def box_search_curve(spark, sf_dir):
+    return search.curve_box_search(curve_table(spark, sf_dir), *TALL_BOX).select("id", "lat", "lon")
+
+
+def nearest_posts(spark, sf_dir):
+    """Each hundredth post against all."""
+    posts = processed_table(spark, sf_dir).select("id", "lat", "lon")
+    return nearest.nearest_posts(posts, posts.where(F.col("id") % 100 == 1), NEAREST)
+
+
 def radius_search(spark, sf_dir):
     found = search.radius_search(processed_table(spark, sf_dir), *CENTER, RADIUS_KM)
     return found.select("id", F.round("distance_km", 3).alias("distance_km"))
@@ -513,11 +565,16 @@ QUERIES = {
     "ranked_search": ranked_search,
     "index_search": index_search,
     "index_ranked_search": index_ranked_search,
+    "phrase_search": phrase_search,
+    "near_search": near_search,
+    "block_ranked_search": block_ranked_search,
     "time_range": time_range,
     "time_histogram": time_histogram,
     "bbox_search": bbox_search,
     "bbox_search_dateline": bbox_search_dateline,
+    "box_search_curve": box_search_curve,
     "radius_search": radius_search,
+    "nearest_posts": nearest_posts,
     "grid_counts": grid_counts,
     "hashtag_counts": hashtag_counts,
     "hashtag_search": hashtag_search,

@@ -1,6 +1,8 @@
 """DuckDB SQL for the registered queries, written independently of the Spark code."""
 
-from postflow.plans.catalog import ALL_TERMS, ANY_TERMS, BOX, CELL, CENTER, DATELINE_BOX, FROM, RADIUS_KM, RANK_TERMS, TAG, TO
+from postflow.plans.catalog import (
+    ALL_TERMS, ANY_TERMS, BOX, CELL, CENTER, DATELINE_BOX, FROM, NEAR_TERMS, NEAREST, PHRASE, RADIUS_KM, RANK_TERMS, TAG, TALL_BOX, TO, WITHIN,
+)
 from postflow.functions.geo import EARTH_KM
 
 POSTS = r"""
@@ -55,6 +57,12 @@ tags as (
 
 TF = "tf as (select term, id, count(*) as tf from words group by term, id)"
 
+PLACES = r"""
+places as (
+  select id, unnest(t) as term, generate_subscripts(t, 1) as p
+  from (select id, regexp_extract_all(lower(cleaned_text), '[\p{L}\p{N}]+') as t from enriched)
+)"""
+
 ENRICHED_COLUMNS = "id, created_epoch, lat, lon, hashtags, cleaned_text"
 FLAT_COLUMNS = "id, created_epoch, lat, lon, hashtags, cleaned_text as text, sentiment_score"
 BY_SENTIMENT = """count(*) filter (where sentiment_score > 0) as pos,
@@ -92,6 +100,22 @@ def _box(south, west, north, east) -> str:
     return f"lat between {south} and {north} and {lon}"
 
 
+def _phrase(words: list[str]) -> str:
+    joins = " ".join(f"join places w{i} on w{i}.id = w0.id and w{i}.p = w0.p + {i} and w{i}.term = '{w}'" for i, w in enumerate(words) if i)
+    return _with(f"select w0.id, count(*) as hits from places w0 {joins} where w0.term = '{words[0]}' group by w0.id", PLACES)
+
+
+def _near(terms: list[str], within: int) -> str:
+    last = ", ".join(f"max(case when term = '{t}' then p end) over (partition by id order by p) as l{i}" for i, t in enumerate(terms))
+    # `least` takes no account of nulls, so a term that has not come yet must be asked for.
+    seen = " and ".join(f"l{i} is not null" for i in range(len(terms)))
+    return _with(
+        f"""select id, min(p - least({", ".join(f"l{i}" for i in range(len(terms)))}) + 1) as words
+        from (select id, p, {last} from places where term in {_terms(terms)}) where {seen} group by id having words <= {within}""",
+        PLACES,
+    )
+
+
 def _ranked(k: int) -> str:
     return _with(
         f"""select t.id, round(sum(t.tf * ln((n.n + 1) / (d.df + 1))), 6) as score
@@ -178,6 +202,9 @@ ORACLE = {
     "term_counts": _with("select term, count(*) as df from tf group by term", TF),
     "ranked_search": _ranked(50),
     "index_ranked_search": _ranked(50),
+    "block_ranked_search": _ranked(50),
+    "phrase_search": _phrase(PHRASE.split()),
+    "near_search": _near(NEAR_TERMS, WITHIN),
     "index_search": _with(
         f"""select id from tf where term in {_terms(ALL_TERMS)}
         group by id having count(*) = {len(ALL_TERMS)}""",
@@ -186,6 +213,16 @@ ORACLE = {
     "time_range": _with(f"select id, created_epoch from enriched where {_between(FROM, TO)}"),
     "bbox_search": _with(f"select id, lat, lon from enriched where {_box(*BOX)}"),
     "bbox_search_dateline": _with(f"select id, lat, lon from enriched where {_box(*DATELINE_BOX)}"),
+    "box_search_curve": _with(f"select id, lat, lon from enriched where {_box(*TALL_BOX)}"),
+    "nearest_posts": _with(
+        f"""select center_id, rank, id, distance_km from (
+          select c.id as center_id, p.id, p.distance_km, row_number() over (partition by c.id order by p.distance_km, p.id) as rank
+          from (select id, lat, lon from enriched where lat is not null and id % 100 = 1) c, lateral (
+            select id, round(2 * {EARTH_KM} * asin(sqrt(least(1, pow(sin(radians(e.lat - c.lat) / 2), 2)
+              + cos(radians(e.lat)) * cos(radians(c.lat)) * pow(sin(radians(e.lon - c.lon) / 2), 2)))), 6) as distance_km
+            from enriched e where e.lat is not null and e.id <> c.id) p)
+        where rank <= {NEAREST}"""
+    ),
     "radius_search": _with(
         f"""select id, round(km, 3) as distance_km from (
           select id, 2 * {EARTH_KM} * asin(least(1, sqrt(

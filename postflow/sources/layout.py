@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from postflow.functions.curve import curve_key
 from postflow.functions.geo import cell
 from postflow.functions.times import utc_date
 from postflow.schema import PROCESSED
@@ -11,25 +12,33 @@ from postflow.sources.sinks import committed, read_batches
 from postflow.staging import discard, matching, new_folder
 
 CELL_DEGREES = 1.0
+CLUSTERS = {"cell": ["cell_lat", "cell_lon"], "curve": ["curve"]}
 
 
-def write_layout(processed: DataFrame, path: str, run: str = "all", degrees: float = CELL_DEGREES) -> None:
-    """Store processed posts by day, clustered by cell inside the day.
+def write_layout(
+    processed: DataFrame, path: str, run: str = "all", degrees: float = CELL_DEGREES, cluster: str = "cell"
+) -> None:
+    """Store processed posts by day, clustered by place inside the day.
 
-    Range partitioning on (day, cell, id, input task) splits a day, a cell, or even copies of
-    one post over as many tasks as their share of the rows needs, and gives the files of a day
-    disjoint cells, so box searches skip files by their statistics. The posts are written once
+    `cluster` names the order of places: `cell`, rows of cells from south to north, where a box
+    reads the rows that it crosses, or `curve`, along the space-filling curve, where a box reads
+    about its own share whatever its shape. Range partitioning on (day, place, id, input task)
+    splits a day, a place, or even copies of one post over as many tasks as their share of the
+    rows needs, so box searches skip files by their statistics. The posts are written once
     ahead, as finding the ranges reads them, too. Each `run` owns its folder and replaces all of
     it when repeated, whatever days it had before.
     """
+    if cluster not in CLUSTERS:
+        raise ValueError(f"cluster must be one of {sorted(CLUSTERS)}, got {cluster!r}")
     spark = processed.sparkSession
     ahead = new_folder(spark, "layout-input")
     processed.select(*PROCESSED.fieldNames()).write.parquet(ahead)
     lat_cell, lon_cell = cell(F.col("lat"), F.col("lon"), degrees)
     keyed = spark.read.schema(PROCESSED).parquet(ahead).select(
-        "*", utc_date(F.col("created_at")).alias("created_date"), lat_cell, lon_cell
+        "*", utc_date(F.col("created_at")).alias("created_date"), lat_cell, lon_cell,
+        curve_key(F.col("lat"), F.col("lon")).alias("curve"),
     ).withColumn("_origin", F.spark_partition_id())
-    order = ["created_date", "cell_lat", "cell_lon", "id", "_origin"]
+    order = ["created_date", *CLUSTERS[cluster], "id", "_origin"]
     (
         keyed.repartitionByRange(*order)
         .sortWithinPartitions(*order)
@@ -92,6 +101,7 @@ _SCHEMA = T.StructType([
     *PROCESSED.fields,
     T.StructField("cell_lat", T.LongType()),
     T.StructField("cell_lon", T.LongType()),
+    T.StructField("curve", T.LongType()),
     T.StructField("run", T.StringType()),
     T.StructField("created_date", T.DateType()),
 ])

@@ -78,6 +78,6 @@ def test_stored_tables_follow_their_inputs(spark, tmp_path):
         spark.read.parquet(f"{SF}/{name}.parquet").limit(20).write.parquet(str(tmp_path / f"{name}.parquet"))
     docs, first = str(tmp_path / "documents.parquet"), catalog.processed_table(spark, str(tmp_path)).count()
     assert first == catalog.processed_table(spark, str(tmp_path)).count() == 20
-    spark.read.parquet(docs).limit(1).withColumn("doc_id", F.lit(10**9)).write.mode("append").parquet(docs)
+    spark.read.parquet(docs).limit(1).withColumn("doc_id", F.lit(10**9).cast("long")).write.mode("append").parquet(docs)
     assert catalog.processed_table(spark, str(tmp_path)).count() == 21  # its event is missing, it is not
     assert catalog.text_index(spark, str(tmp_path)).posts == 21
