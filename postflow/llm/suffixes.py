@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from postflow.llm.support import _BASE, _INVERSE, _powers_of, mix, settle, slices, text_bytes
+from postflow.llm.support import _BASE, _INVERSE, _powers_of, mix, release, settle, slices, text_bytes
 
 LENGTH = 200
 CELLS = 6  # at least
@@ -446,11 +446,13 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, key: str = "doc_i
     # Copies are one text from here on, which lose all bytes and stand against the others once.
     long = rows.where(F.col("n_bytes") >= length).groupBy("sha").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     texts = settle(long.withColumn("cid", F.monotonically_increasing_id()), "texts")
-    found = settle(_anchors_met_twice(texts, cut), "runs")
+    found = _anchors_met_twice(texts, cut)
     owned = settle(_cut_pieces(texts.select("cid", "text").join(found, "cid"), cut), "pieces")
+    release(found)
     hits = owned.join(_decide(owned, cut), _PIECE).groupBy("cid").agg(F.collect_list(F.struct("at", "cell", "mask")).alias("hits"))
     alone = texts.where("copies = 1").select("cid", "sha", "text").join(hits, "cid").select("sha", "text", "hits")
     cut_texts = settle(_remove(alone, cut), "spans")
+    release(owned)
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.octet_length("text").cast("long").alias("end")))
     copied = texts.where("copies > 1").select("sha", whole.alias("spans"), F.lit(EMPTY).alias("kept_sha256"))
     # A text with a third of the rows is split by the adaptive skew join.
@@ -462,10 +464,18 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, key: str = "doc_i
 
 
 def _anchors_met_twice(texts: DataFrame, cut: Cut) -> DataFrame:
-    """`(cid, runs)`: the anchors of a text that occur at least twice anywhere."""
+    """`(cid, runs)`: the anchors of a text that occur at least twice anywhere.
+
+    The hashes that do are written first: an anchor with a third of all places, such as that of a
+    passage that very many texts hold, is then split by the adaptive skew join.
+    """
     found = settle(_find_anchors(texts, cut), "anchors")
-    often = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    return found.join(often, "key").groupBy("cid").agg(F.collect_list(F.struct("at", "least", "most")).alias("runs"))
+    often = settle(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "anchors-often")
+    runs = found.join(often, "key").groupBy("cid").agg(F.collect_list(F.struct("at", "least", "most")).alias("runs"))
+    kept = settle(runs, "runs")
+    release(found)
+    release(often)
+    return kept
 
 
 def _decide(owned: DataFrame, cut: Cut) -> DataFrame:

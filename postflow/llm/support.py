@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from postflow.staging import stage
+from postflow.staging import discard, stage
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SLICE_BYTES = 1 << 18  # texts are worked on in slices of about this size
@@ -38,6 +38,25 @@ def settle(df: DataFrame, label: str) -> DataFrame:
         conf.set(CLEANUP, before)
 
 
+def release(df: DataFrame) -> None:
+    """Delete a table of `settle` that everything made of it no longer needs, as it is written itself."""
+    files = df.inputFiles()
+    if files:
+        discard(df.sparkSession, files[0].rpartition("/")[0])
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of `df` has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts in a row, and where each begins (one entry more); null is empty."""
     if isinstance(texts, pa.ChunkedArray):
