@@ -30,7 +30,8 @@ LEADER_ROUNDS = 5  # at most; a round that links less than WORTH of the open mem
 WORTH = 0.05
 PROFILE = 256
 FEW = 32
-BLOCK = 1_000
+BLOCK_BYTES = 2 << 20  # of texts; a task compares two blocks
+LEAST_PERCENT = 66
 RECENT = 50_000
 
 
@@ -45,7 +46,7 @@ class Band:
 
 
 @lru_cache(maxsize=4)
-def bands(percent: int = PERCENT, upto: int = 1 << 26) -> list[Band]:
+def bands(percent: int = PERCENT, upto: int = 1 << 40) -> list[Band]:
     """Bands so narrow that a set's partners are in its own band or a neighbouring one."""
     out, least = [], 1
     while least <= upto:
@@ -64,8 +65,10 @@ def _limits(percent: int) -> np.ndarray:
 def signatures(shingles: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """All signatures of a set of hashes: those of its own band and, as the smaller side, of the next.
 
-    Two sets of Jaccard likeness of at least `percent` are equal or share a signature.
+    Two sets of Jaccard likeness of at least `percent` are equal or share a signature. Below 66
+    percent two small sets may differ in as many shingles as they have, so that is refused.
     """
+    _check(percent)
     if not len(shingles):
         return np.zeros(0, np.uint64)
     own = int(np.searchsorted(_limits(percent), len(shingles)))
@@ -74,6 +77,11 @@ def signatures(shingles: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def _check(percent: int) -> None:
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"percent must be {LEAST_PERCENT} to 100, got {percent}")
+
+
 _LEFT, _RIGHT = np.array([0, 0, 1]), np.array([1, 2, 2])
 
 
@@ -267,8 +275,9 @@ def jaccard_components(
     the component is the smallest key reachable by links, its own included. A text with fewer
     words than `size` has its whole sequence as its one shingle. Null, empty and wordless texts
     have no shingle and link with nothing; equal sets link. Repeated keys and rows stay; a null
-    key is kept, with the component of its set. Further columns are ignored.
+    key is kept, with the component of its set. Further columns are ignored. `percent` is 66 to 100.
     """
+    _check(percent)
     spark = documents.sparkSession
     sets = settle(document_sets(documents, size, key), "sets")
     full = sets.where("n_shingles > 0")
@@ -332,11 +341,13 @@ def _links(buckets: DataFrame, candidates: DataFrame, percent: int, size: int) -
     while True:
         last = turn == LEADER_ROUNDS
         if last:
-            pairs = _across(alive, candidates, percent)
+            pairs, forest = _across(alive, candidates, percent, size)
         else:
             pairs = _plausible(_with_leaders(alive, turn), candidates, percent)
         compared = settle(_compare(pairs, candidates, percent, size), "compared")
         linked = compared.where("linked").select("a", "b")
+        if last:
+            linked = linked.unionByName(settle(forest, "forest"))
         found = linked if found is None else settle(found.unionByName(linked), "links")
         if last:
             return found
@@ -363,13 +374,15 @@ def _with_leaders(alive: DataFrame, turn: int) -> DataFrame:
     return _pairs(best.select(F.col("node").alias("a"), F.col("best.leader").alias("b")))
 
 
-def _across(alive: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of different components that share a signature and whose profiles allow a link.
+def _across(alive: DataFrame, candidates: DataFrame, percent: int, size: int) -> tuple[DataFrame, DataFrame]:
+    """Members of different components that share a signature: pairs yet to compare, and links that were found.
 
-    Of a signature with few members all pairs are made, no more than `FEW` for a member. The
-    members of larger ones, such as those of a passage that very many documents hold, meet by the
-    signature's least member, so that a family meets a few times and not once per signature. They
-    are cut into blocks; each task compares the profiles of two and passes on what may be linked.
+    Of a signature with few members all pairs are made whose profiles allow a link, no more than
+    `FEW` for a member. The members of larger ones, such as those of a passage that very many
+    documents hold, meet by the signature's least member, so that a family meets a few times and
+    not once per signature. They are cut into blocks by the bytes of their texts. Each task takes
+    two blocks, compares their sets exactly, and passes on only the links that join what was not
+    joined there yet: fewer than it has members.
     """
     crowds = alive.groupBy("sig").agg(F.count("*").alias("m"), F.min("node").alias("least")).where(F.col("m") > FEW)
     few = alive.join(crowds.select("sig"), "sig", "left_anti")
@@ -377,32 +390,46 @@ def _across(alive: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
     met = one.join(other, (F.col("one.sig") == F.col("other.sig")) & (F.col("one.component") < F.col("other.component")))
     small = _plausible(_pairs(met.select(F.col("one.node").alias("a"), F.col("other.node").alias("b"))), candidates, percent)
 
-    crowd = settle(alive.join(crowds, "sig").select("least", "node", "component").distinct(), "crowds")
-    sizes = crowd.groupBy("least").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sized = candidates.select(F.col("rep").alias("node"), F.octet_length("text").alias("bytes"))
+    crowd = settle(alive.join(crowds, "sig").select("least", "node", "component").distinct().join(sized, "node"), "crowds")
+    sizes = crowd.groupBy("least").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("blocks"))
     cut = crowd.join(sizes, "least").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = (
         cut.withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("least", "component", "own", F.col("node").alias("rep"), F.least("own", "met").alias("lo"), F.greatest("own", "met").alias("hi"))
-        .join(candidates.select("rep", "n", "profile"), "rep")
+        .join(candidates.select("rep", "n", "profile", "text"), "rep")
     )
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = rows["lo"].iloc[0], rows["hi"].iloc[0]
-        sides = [rows[rows["own"] == lo], rows[rows["own"] == hi]]
-        count = [np.frombuffer(b"".join(s["profile"]), np.uint8).reshape(-1, PROFILE).astype(np.int16) for s in sides]
-        node, group, size = ([s[c].to_numpy() for s in sides] for c in ("rep", "component", "n"))
-        found = [np.zeros((0, 2), np.int64)]
-        for at in range(0, len(count[0]), 16):
-            part = slice(at, at + 16)
-            apart = np.abs(count[0][part, None, :] - count[1][None, :, :]).sum(axis=2, dtype=np.int64)
-            able = apart * (100 + percent) <= (size[0][part, None] + size[1][None, :]) * (100 - percent)
-            i, j = np.nonzero(able & (group[0][part, None] != group[1][None, :]))
-            found.append(np.stack([node[0][part][i], node[1][j]], axis=1))
-        pairs = np.concatenate(found)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    large = dealt.groupBy("least", "lo", "hi").applyInPandas(compare, "a long, b long")
-    return _pairs(small.unionByName(large))
+    forest = dealt.groupBy("least", "lo", "hi").applyInPandas(lambda rows: _forest(rows, percent, size), "a long, b long")
+    return _pairs(small), _pairs(forest)
+
+
+def _forest(rows: pd.DataFrame, percent: int, size: int) -> pd.DataFrame:
+    """Links between the members of two blocks, or inside one, that join different components: a tree's worth of each."""
+    lo, hi = rows["lo"].iloc[0], rows["hi"].iloc[0]
+    first = np.flatnonzero(rows["own"].to_numpy() == lo)
+    second = np.flatnonzero(rows["own"].to_numpy() == hi)
+    counts = np.frombuffer(b"".join(rows["profile"]), np.uint8).reshape(-1, PROFILE).astype(np.int16)
+    sets = list(shingle_sets(pa.array(rows["text"], pa.string()), size))
+    node, n = rows["rep"].to_numpy(), rows["n"].to_numpy()
+    tree, group = np.unique(rows["component"].to_numpy(), return_inverse=True)
+    above = np.arange(len(tree))  # each component's own, until links join them
+    found = []
+    for i in first:
+        others = second[second > i] if lo == hi else second
+        others = others[above[group[others]] != above[group[i]]]
+        if not len(others):
+            continue
+        # Similar sets of these sizes differ in no more places of their profiles.
+        apart = np.abs(counts[others] - counts[i]).sum(axis=1, dtype=np.int64)
+        for j in others[apart * (100 + percent) <= (n[i] + n[others]) * (100 - percent)]:
+            if above[group[i]] == above[group[j]]:
+                continue
+            shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * shared >= percent * (len(sets[i]) + len(sets[j]) - shared):
+                above[above == above[group[j]]] = above[group[i]]
+                found.append((node[i], node[j]))
+    pairs = np.array(found, np.int64).reshape(-1, 2)
+    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
 def _pairs(pairs: DataFrame) -> DataFrame:

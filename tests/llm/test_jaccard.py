@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from postflow.llm import jaccard
@@ -155,9 +156,53 @@ def test_no_links(spark):
 @pytest.mark.parametrize("rounds", [0, 2])
 def test_crowded_signatures_are_settled_in_blocks(documents, monkeypatch, rounds):
     monkeypatch.setattr(jaccard, "FEW", 2)
-    monkeypatch.setattr(jaccard, "BLOCK", 7)
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", 3_000)
     monkeypatch.setattr(jaccard, "LEADER_ROUNDS", rounds)
     rng = np.random.default_rng(11)
     base = [f"w{i}" for i in range(70)]
     rows = [(i, " ".join(edited(rng, base, rng.choice([0.01, 0.03, 0.05, 0.09])))) for i in range(90)]
     assert found(documents(rows)) == brute(rows)
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_crowds_pass_on_fewer_links_than_members(order):
+    """Whatever the ids are: a crowd of near copies and strangers that share a passage, in one task."""
+    rng = np.random.default_rng(order)
+    base, passage = [f"w{i}" for i in range(70)], [f"p{i}" for i in range(60)]
+    texts = [" ".join(edited(rng, base, 0.02)) for _ in range(150)]
+    texts += [" ".join(passage + [f"x{rng.integers(10**6)}" for _ in range(30)]) for _ in range(150)]
+    ids = rng.permutation(len(texts))
+    sets = list(shingle_sets(pa.array(texts)))
+    profile = [np.minimum(np.bincount((s >> np.uint64(56)).astype(int), minlength=256), 255).astype(np.uint8).tobytes() for s in sets]
+    rows = pd.DataFrame({"rep": ids, "component": ids, "own": 0, "lo": 0, "hi": 0, "n": [len(s) for s in sets], "profile": profile, "text": texts})
+    links = jaccard._forest(rows, 80, 5)
+    assert 100 < len(links) < len(rows)
+    want = {i: c for i, (_, c) in brute(list(zip(ids.tolist(), texts))).items()}
+    parent = {i: i for i in want}
+    for _ in range(len(want)):
+        for a, b in links.itertuples(index=False):
+            parent[a] = parent[b] = min(parent[a], parent[b])
+    assert parent == want
+
+
+@pytest.mark.parametrize("percent", [66, 80, 90])
+def test_signatures_at_other_limits(percent):
+    rng = np.random.default_rng(percent)
+    for _ in range(3000):
+        size = int(rng.integers(1, 60))
+        base = rng.integers(0, 1 << 63, size * 2 + 2, dtype=np.uint64)
+        a, at = np.unique(base[:size]), int(rng.integers(0, size + 1))
+        b = np.unique(base[at:at + int(rng.integers(1, size + 2))])
+        shared = len(np.intersect1d(a, b))
+        if 100 * shared >= percent * (len(a) + len(b) - shared) and not np.array_equal(a, b):
+            assert len(np.intersect1d(jaccard.signatures(a, percent), jaccard.signatures(b, percent))), (len(a), len(b), shared)
+
+
+def test_limits_that_signatures_cannot_hold_are_refused():
+    for percent in (0, 50, 65, 101):
+        with pytest.raises(ValueError):
+            jaccard.signatures(np.arange(5, dtype=np.uint64), percent)
+
+
+def test_no_set_is_too_large_for_a_band():
+    assert jaccard.bands()[-1].most > 1 << 40
