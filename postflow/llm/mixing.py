@@ -11,7 +11,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from postflow.llm.support import settle
+from postflow.llm.support import settle, unused
 
 ROWS_A_BUCKET = 20_000
 
@@ -134,6 +134,10 @@ def mix_copies(
     decided = settle(
         plan.join(last, names, "left").select(*names, "_epochs", F.coalesce("_last", F.lit("g")).alias("_last")), "mix-ends"
     )
-    rows = documents.drop("copies").select("*", *[c.alias(n) for n, c in named.items()])
-    copies = F.col("_epochs") + F.when(place(F.col(key)) <= F.col("_last"), 1).otherwise(0)
-    return rows.join(decided, names).withColumn("copies", copies.cast("long")).drop(*names, "_epochs", "_last")
+    # The table's own columns are apart from those of the plan, whatever their names are.
+    row, = unused(documents, "row")
+    rows = documents.drop("copies")
+    paths = [c.alias(n) for n, c in named.items()]
+    packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias(row), F.col(key).alias("_key"), *paths)
+    copies = F.col("_epochs") + F.when(place(F.col("_key")) <= F.col("_last"), 1).otherwise(0)
+    return packed.join(decided, names).select(f"{row}.*", copies.cast("long").alias("copies"))
