@@ -28,13 +28,16 @@ MARGIN, USUAL, SPARE = 2.6, 0.75, 256
 class Bounds:
     """How much the model is fitted on: whole texts, chosen by a hash of their key.
 
-    `texts` a language, each of at most `text_bytes` UTF-8 bytes, for the `languages` with the
-    most rows. This bounds the model's size; nothing that is predicted is cut or left out.
+    Every labelled language is learned. It has `texts` texts, or an equal share of `all_texts`
+    (one at least) if there are many languages, each of at most `text_bytes` UTF-8 bytes; a
+    language without any such text has its `long_texts` shortest ones. This bounds the model's
+    size; nothing that is predicted is cut or left out.
     """
 
     texts: int = 400
     text_bytes: int = 64 << 10
-    languages: int = 64
+    all_texts: int = 25_600
+    long_texts: int = 2
 
 
 @dataclass(frozen=True)
@@ -172,24 +175,27 @@ def keeps_limit(found: Column, text: Column, limits: dict[str, float]) -> Column
 
 
 def _chosen(documents: DataFrame, learn: Column | None, bounds: Bounds, key: str) -> DataFrame:
-    """`(lang, text)` of the rows to learn from."""
+    """`(lang, text)` of the rows to learn from. Rows without a key are not learned."""
     allowed = F.coalesce(learn, F.lit(False)) if learn is not None else F.lit(True)
     rows = documents.where(allowed).select(F.col(key).alias("_key"), "lang", F.col("text").cast("string").alias("text"))
-    short = rows.where(F.col("lang").isNotNull() & (F.octet_length("text") <= bounds.text_bytes))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     # Chosen from narrow rows; the texts of the chosen ones are read afterwards. Of a frequent
     # language only the rows with the least hashes, four times as many as are wanted, are ranked.
-    narrow = short.select("lang", "_key", F.xxhash64(F.lit(7), "_key").alias("_hash"))
-    common = narrow.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(bounds.languages)
-    least = F.lit(False)
-    for r in common.collect():
-        share = min(1.0, 4 * bounds.texts / r["n"])
-        limit = (1 << 63) - 1 if share == 1.0 else int(share * (1 << 64)) - (1 << 63)
-        least = least | ((F.col("lang") == r["lang"]) & (F.col("_hash") <= limit))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_hash", "_key"))
-    ranked = narrow.where(least).withColumn("_rank", rank).where(F.col("_rank") <= bounds.texts)
-    chosen = ranked.select("_key").distinct()
-    # At most texts x languages keys.
-    return short.join(F.broadcast(chosen), "_key", "left_semi").select("lang", "text")
+    size = F.octet_length("text")
+    narrow = rows.select("lang", "_key", F.xxhash64(F.lit(7), "_key").alias("_hash"), size.alias("_size"), (size <= bounds.text_bytes).alias("_short"))
+    counted = narrow.where(F.col("_key").isNotNull()).groupBy("lang").agg(F.count_if("_short").alias("_shorts"))
+    counted = settle(counted, "language-counts")
+    texts = max(1, min(bounds.texts, bounds.all_texts // max(1, counted.count())))
+    met = narrow.join(counted, "lang")
+    share = F.lit(4.0 * texts) / F.greatest("_shorts", F.lit(1))
+    early = (F.col("_hash").cast("double") + float(1 << 63)) / float(1 << 64) <= share
+    by_hash = Window.partitionBy("lang").orderBy("_hash", "_key")
+    short = met.where(F.col("_short") & early).withColumn("_rank", F.row_number().over(by_hash)).where(F.col("_rank") <= texts)
+    by_size = Window.partitionBy("lang").orderBy("_size", "_hash", "_key")
+    long = met.where(F.col("_shorts") == 0).withColumn("_rank", F.row_number().over(by_size)).where(F.col("_rank") <= min(texts, bounds.long_texts))
+    chosen = short.select("lang", "_key", "_short").unionByName(long.select("lang", "_key", "_short")).distinct()
+    # At most `all_texts` keys, or one or two a language.
+    return rows.withColumn("_short", size <= bounds.text_bytes).join(F.broadcast(chosen), ["lang", "_key", "_short"], "left_semi").select("lang", "text")
 
 
 def _counted(texts: DataFrame, *by: str) -> DataFrame:

@@ -80,10 +80,28 @@ def test_nothing_learned(spark, odd_documents):
 
 def test_fit_is_bounded(spark, documents):
     rows = [(i, f"word{i} " * 5, "en" if i % 3 else "fr") for i in range(60)]
-    bounds = language.Bounds(texts=4, languages=1)
+    bounds = language.Bounds(texts=4)
     one = language.fit_languages(documents(rows), bounds=bounds)
     again = language.fit_languages(documents(rows[::-1]), bounds=bounds)
-    assert one.languages == ["en"] and all((a == b).all() for a, b in zip(one.codes, again.codes))
+    assert one.languages == ["en", "fr"] and all((a == b).all() for a, b in zip(one.codes, again.codes))
+    chosen = language._chosen(documents(rows), None, bounds, "doc_id").groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] for r in chosen} == {"en": 4, "fr": 4}
+
+
+def test_every_language_is_learned(spark, documents):
+    """Seventy languages that share the budget of texts, one of them with long texts only."""
+    rng = np.random.default_rng(3)
+    words = {f"l{n:02}": ["".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(6)] for n in range(70)}
+    say = lambda lang, n: " ".join(words[lang][k] for k in rng.integers(0, 6, n))
+    rows = [(1000 * i + j, say(lang, 300 if lang == "l69" else 20), lang) for i, lang in enumerate(words) for j in range(5)]
+    bounds = language.Bounds(texts=400, text_bytes=1000, all_texts=140)
+    chosen = language._chosen(documents(rows), None, bounds, "doc_id").groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] for r in chosen} == {lang: 2 for lang in words}
+    model = language.fit_languages(documents(rows), bounds=bounds)
+    assert model.languages == sorted(words)
+    tests = documents([(i, say(lang, 15), lang) for i, lang in enumerate(words)])
+    found = language.identify_languages(tests, model).join(tests.select("doc_id", "lang"), "doc_id").collect()
+    assert all(r["lang_pred"] == r["lang"] for r in found)
 
 
 def test_held_out_accuracy(spark):
