@@ -26,6 +26,8 @@ from postflow.sources.readers import malformed_lines, read_envelopes, read_posts
 from postflow.sources.sinks import envelope_files, read_batches
 from postflow.staging import mark, new_folder, stage
 from postflow.streaming.flows import read_histogram, run_histogram, run_ingest, run_process, run_replay
+from postflow.streaming.tiles import Pyramid, run_tiles
+from postflow.streaming.windows import read_windows, run_windows, sessions, split_late, stream_in_time
 
 ANY_TERMS = ["worthless", "trash", "idiot"]
 ALL_TERMS = ["the", "and", "trash"]
@@ -39,6 +41,7 @@ TALL_BOX = (-85.0, 175.0, 80.0, -170.0)
 NEAREST = 5
 CENTER, RADIUS_KM = (10.0, 170.0), 3000.0
 CELL = 10.0
+GAP, LATENESS = "30 minutes", "100 days"  # no post is late
 TAG = "Tag3"
 NOW = {"availableNow": True}
 
@@ -538,6 +541,38 @@ def stream_time_histogram(spark, sf_dir):
     return buckets.select(F.unix_seconds("bucket_start").alias("bucket_epoch"), "posts", rounded_mean())
 
 
+def _post_stream(spark, sf_dir, label: str, *columns: str):
+    """Columns of the processed posts as a stream of files in any order, some per micro-batch; its folder and schema, too."""
+    source = new_folder(spark, label)
+    posts = processed_table(spark, sf_dir).select(*columns)
+    posts.repartition(STREAM_FILES).write.parquet(source)
+    return spark.readStream.schema(posts.schema).option("maxFilesPerTrigger", BATCH_FILES).parquet(source), source, posts
+
+
+def tile_counts(spark, sf_dir):
+    """Tiles of three levels, kept up to date by micro-batches."""
+    stream, _, _ = _post_stream(spark, sf_dir, "tiles-input", "lat", "lon", "sentiment_score")
+    folder = new_folder(spark, "tiles")
+    pyramid = Pyramid(f"{folder}/tiles", CELL)
+    _finish(run_tiles(stream, pyramid, f"{folder}/checkpoint", NOW))
+    return _with_rounded_mean(pyramid.read(spark))
+
+
+def stream_sessions(spark, sf_dir):
+    """Sessions of every hashtag, closed by a row without hashtags that comes last, long after all posts."""
+    stream, source, posts = _post_stream(spark, sf_dir, "sessions-input", "created_at", "hashtags", "sentiment_score")
+    after = (F.max("created_at") + F.expr("interval 300 days")).alias("created_at")
+    none = [F.lit(None).cast(t).alias(c) for c, t in posts.dtypes if c != "created_at"]
+    posts.agg(after).select("created_at", *none).coalesce(1).write.mode("append").parquet(source)
+    folder = new_folder(spark, "sessions")
+    _finish(split_late(stream, f"{folder}/posts", f"{folder}/late", f"{folder}/split", LATENESS, NOW))
+    in_time = stream_in_time(spark, f"{folder}/posts", posts.schema, maxFilesPerTrigger=2 * BATCH_FILES)
+    _finish(run_windows(in_time, sessions(GAP), f"{folder}/sessions", f"{folder}/checkpoint", LATENESS, NOW))
+    return read_windows(spark, f"{folder}/sessions").select(
+        "hashtag", F.unix_seconds("start").alias("start_epoch"), F.unix_seconds("end").alias("end_epoch"), "posts", rounded_mean()
+    )
+
+
 QUERIES = {
     "post_hashtags": post_hashtags,
     "post_coordinates": post_coordinates,
@@ -587,4 +622,6 @@ QUERIES = {
     "stream_replay": stream_replay,
     "stream_processed_posts": stream_processed_posts,
     "stream_time_histogram": stream_time_histogram,
+    "tile_counts": tile_counts,
+    "stream_sessions": stream_sessions,
 }

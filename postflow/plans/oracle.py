@@ -250,6 +250,24 @@ ORACLE = {
     ),
     "time_histogram": _scored(_HISTOGRAM),
     "stream_time_histogram": _scored(_HISTOGRAM),
+    "tile_counts": _scored(
+        "\nunion all\n".join(
+            f"""select {level}::int as level, cast(floor(lat / {CELL * 2 ** level}) as bigint) as cell_lat,
+            cast(floor(lon / {CELL * 2 ** level}) as bigint) as cell_lon, count(*) as posts, round(avg(sentiment_score), 6) as mean_score
+            from processed where lat is not null group by 1, 2, 3"""
+            for level in range(3)
+        )
+    ),
+    "stream_sessions": _scored(
+        """select hashtag, min(created_epoch) as start_epoch, max(created_epoch) + 1800 as end_epoch, count(*) as posts,
+          round(avg(sentiment_score), 6) as mean_score
+        from (select *, sum(head) over (partition by hashtag order by created_epoch, id rows unbounded preceding) as run from (
+          select tag as hashtag, id, created_epoch, sentiment_score,
+            case when created_epoch - lag(created_epoch) over (partition by tag order by created_epoch, id) <= 1800 then 0 else 1 end as head
+          from (select distinct id, tag from tags) t join processed using (id) where created_epoch is not null))
+        group by hashtag, run""",
+        TAGS,
+    ),
     "grid_counts": _scored(
         f"""select {_CELLS}, count(*) as posts, round(avg(sentiment_score), 6) as mean_score
         from processed where lat is not null group by 1, 2"""
