@@ -262,3 +262,51 @@ def test_a_post_sent_twice_is_stored_once(spark, df, tmp_path):
     compact(spark, batches, path, 2)
     known = read_layout(spark, path)
     assert ids(known.where("id is not null")) == [*range(20), *range(30, 34)] and known.where("id is null").count() == 2
+
+
+def test_runs_without_common_ids_are_not_read(spark, df, tmp_path, monkeypatch):
+    from postflow.sources import layout
+
+    batches, path = str(tmp_path / "batches"), str(tmp_path / "table")
+    read = []
+    real = layout._stored_ids
+    monkeypatch.setattr(layout, "_stored_ids", lambda spark, path, folders: read.append(folders) or real(spark, path, folders))
+    # Batches 0 to 2 hold every third id, so their ranges overlap; 3 repeats some of batch 1.
+    stored(df, batches, 0, 1, 2)
+    write_batch(df.where("id % 30 = 1").unionByName(df.where("id = 5").withColumn("id", F.lit(10**6).cast("long"))), batches, 3)
+    for n in range(3):
+        compact(spark, batches, path, n, n)
+    assert read == []
+    compact(spark, batches, path, 3, 3)
+    assert read == [["1-1.2"]]
+    assert ids(read_layout(spark, path)) == [*[r[0] for r in ROWS], 10**6]
+
+
+def test_half_written_runs_are_invisible(spark, df, tmp_path):
+    import shutil
+
+    batches, path = str(tmp_path / "batches"), tmp_path / "table"
+    stored(df, batches, 0, 1)
+    compact(spark, batches, str(path), 0, 0)
+    # A run that broke off: its files are there, its manifest is not.
+    shutil.copytree(path / "run=0-0.1", path / "run=1-1.2")
+    (path / "manifest" / "version=2").mkdir()
+    want = [r[0] for r in ROWS if r[0] % 3 == 0]
+    assert ids(read_layout(spark, str(path))) == want
+    compact(spark, batches, str(path), 1)
+    assert ids(read_layout(spark, str(path))) == [r[0] for r in ROWS if r[0] % 3 < 2]
+    assert read_layout(spark, str(tmp_path / "nothing")).count() == 0
+
+
+def test_bloom_filter(spark):
+    from postflow.operators.bloom import blocks_for, build_filter, may_hold
+
+    ids = spark.range(0, 40_000, 2).union(spark.createDataFrame([(None,), (-5,)], "id long"))
+    blocks = blocks_for(20_000)
+    held = build_filter(ids, blocks)
+    assert held.count() <= blocks
+    asked = spark.range(-100, 40_000).unionByName(spark.createDataFrame([(None,)], "id long"))
+    found = {r.id for r in may_hold(asked, held, blocks).collect()}
+    assert found >= {*range(0, 40_000, 2), -5} and None not in found
+    assert len(found) - 20_001 < 5
+    assert may_hold(asked, build_filter(ids.where("false"), 1), 1).count() == 0
