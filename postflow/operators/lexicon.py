@@ -4,16 +4,17 @@ import collections
 import json
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from postflow.functions.text import tokens
 from postflow.operators.joins import HOT_BYTES, HOT_ROWS, split_join
-from postflow.staging import stage
+from postflow.staging import discard, new_folder, stage, unused
 
 BROADCAST_BYTES = 64 << 20  # up to here a lexicon is broadcast, beyond it is shuffled
 ENTRY_BYTES = 48  # what a broadcast entry takes besides its text
 TERM_SALTS = 64
 ROUTES = ("join", "inline")
+INLINE_TERMS = 20_000
 
 
 def derive_lexicon(labelled: DataFrame, toxic_weight: int = 7, min_posts: int = 3) -> DataFrame:
@@ -44,23 +45,43 @@ def normal_lexicon(lexicon: DataFrame) -> DataFrame:
     )
 
 
-def labeller(lexicon: DataFrame, route: str = "join", bias: int = 0, **limits) -> Callable[[DataFrame], DataFrame]:
+class Labels:
+    """Adds `sentiment_result`, an array of one label, to posts; made by `labeller`.
+
+    Labelling by join writes the polarity of each text to a folder. Once the labelled posts are
+    stored, `release` deletes what was written for them.
+    """
+
+    def __init__(self, label: Callable[..., DataFrame]):
+        self._label, self._folders = label, []
+
+    def __call__(self, posts: DataFrame) -> DataFrame:
+        return self._label(posts, self._folders)
+
+    def release(self, spark: SparkSession) -> None:
+        for folder in self._folders:
+            discard(spark, folder)
+        self._folders.clear()
+
+
+def labeller(lexicon: DataFrame, route: str = "join", bias: int = 0, **limits) -> Labels:
     """A function that adds `sentiment_result`, an array of one label, to posts.
 
     The label is the sign of `bias` plus the summed polarities of the distinct terms of
     `cleaned_text`: pos, neg, or neutral; null text has a null array. The lexicon is normalised
     and written once, so both routes give the same labels. `route` is the caller's choice:
     `join` takes a lexicon of any size, broadcast or shuffled by its measured size (`limits` are
-    those of `label_by_join`); `inline` puts it into the plan, for one that fits the driver, and
-    needs no join or shuffle.
+    those of `label_by_join`); `inline` puts it into the plan, needs no join or shuffle, and
+    refuses more than `INLINE_TERMS` terms.
     """
     if route not in ROUTES:
         raise ValueError(f"route must be one of {ROUTES}, got {route!r}")
     stored = stage(normal_lexicon(lexicon), "normal-lexicon")
     if route == "join":
-        return lambda posts: label_by_join(posts, stored, bias, **limits)
+        size = lexicon_bytes(stored)
+        return Labels(lambda posts, folders: label_by_join(posts, stored, bias, **{"size": size, "folders": folders, **limits}))
     polarity = inline_polarity(stored, stored.count())
-    return lambda posts: _label_by_row(posts, polarity, bias)
+    return Labels(lambda posts, folders: _label_by_row(posts, polarity, bias))
 
 
 def label_posts(posts: DataFrame, lexicon: DataFrame, route: str = "join", bias: int = 0) -> DataFrame:
@@ -71,8 +92,11 @@ def inline_polarity(lexicon: DataFrame, terms: int) -> Callable[[Column], Column
     """A lookup of a term's polarity, 0 for unknown ones, that needs no join.
 
     For each polarity, 1 and -1 as a rule, the terms become a constant array of hash buckets, of
-    about one term each: a long IN list or a map constant would be slow to plan or to search.
+    about one term each: a long IN list or a map constant would be slow to plan or to search. All
+    of it passes through the driver, so more than `INLINE_TERMS` terms are refused.
     """
+    if terms > INLINE_TERMS:
+        raise ValueError(f"a lexicon of {terms} terms is too large to be inlined, the limit is {INLINE_TERMS}; join it")
     buckets = max(1, terms)
 
     def bucket(term: Column) -> Column:
@@ -98,19 +122,20 @@ def inline_polarity(lexicon: DataFrame, terms: int) -> Callable[[Column], Column
 
 def _label_by_row(posts: DataFrame, polarity: Callable[[Column], Column], bias: int) -> DataFrame:
     """No join and no shuffle, on a batch or a stream."""
-    total = F.aggregate("_terms", F.lit(bias).cast("bigint"), lambda total, term: total + polarity(term))
+    terms, held = unused(posts, "terms", "polarity")
+    total = F.aggregate(terms, F.lit(bias).cast("bigint"), lambda total, term: total + polarity(term))
     # A column of its own: the label looks at the total several times.
     return (
-        posts.withColumn("_terms", F.array_distinct(tokens(F.col("cleaned_text"))))
-        .withColumn("_polarity", total)
-        .withColumn("sentiment_result", _label(F.col("_polarity")))
-        .drop("_terms", "_polarity")
+        posts.withColumn(terms, F.array_distinct(tokens(F.col("cleaned_text"))))
+        .withColumn(held, total)
+        .withColumn("sentiment_result", _label(F.col(held)))
+        .drop(terms, held)
     )
 
 
 def label_by_join(
     posts: DataFrame, lexicon: DataFrame, bias: int = 0, broadcast_bytes: int = BROADCAST_BYTES,
-    hot_rows: int = HOT_ROWS, hot_bytes: int = HOT_BYTES,
+    hot_rows: int = HOT_ROWS, hot_bytes: int = HOT_BYTES, size: int | None = None, folders: list | None = None,
 ) -> DataFrame:
     """Label with a normal lexicon of any size.
 
@@ -118,7 +143,7 @@ def label_by_join(
     on the text alone, so ids may repeat or be null. Each distinct text counts once.
 
     The sums come back to the posts through a written table, whose counts of copies tell which
-    texts are hot.
+    texts are hot. Its folder is added to `folders`; `size` is that of the lexicon, if known.
     """
     digest = F.md5("cleaned_text")
     # The digest is computed ahead of the explode, which would otherwise copy and hash the text
@@ -129,40 +154,53 @@ def label_by_join(
     )
     occurrences = texts.select("_digest", F.posexplode_outer("_terms").alias("_pos", "term"))
     first = F.coalesce(F.col("_pos"), F.lit(0)) == 0
-    summed = _with_polarity(occurrences, lexicon, broadcast_bytes).groupBy("_digest").agg(
-        F.coalesce(F.sum("polarity"), F.lit(0)).alias("_sum"), F.count_if(first).alias("_copies")
-    )
+    joined = with_polarity(occurrences, lexicon, broadcast_bytes, size, salt="_digest")
+    summed = joined.groupBy("_digest").agg(F.coalesce(F.sum("polarity"), F.lit(0)).alias("_sum"), F.count_if(first).alias("_copies"))
     # Copies of a text add up to a multiple of its own sum.
     per_text = (F.col("_sum") / F.col("_copies")).cast("bigint") + F.lit(bias)
-    sums = stage(summed.select("_digest", per_text.alias("_polarity"), "_copies"), "text-polarity")
+    own, held = unused(posts, "digest", "polarity")
+    folder = new_folder(posts.sparkSession, "text-polarity")
+    written = summed.select(F.col("_digest").alias(own), per_text.alias(held), "_copies")
+    written.write.parquet(folder)
+    if folders is not None:
+        folders.append(folder)
+    sums = posts.sparkSession.read.schema(written.schema).parquet(folder)
     scored = split_join(
-        posts.withColumn("_digest", digest), sums.drop("_copies"), "_digest", hot_texts(sums, at_least=hot_rows), "left", hot_bytes
+        posts.withColumn(own, digest), sums.drop("_copies"), own, hot_texts(sums, own, at_least=hot_rows), "left", hot_bytes
     )
-    return scored.withColumn("sentiment_result", _label(F.col("_polarity"))).drop("_digest", "_polarity").select(
+    return scored.withColumn("sentiment_result", _label(F.col(held))).drop(own, held).select(
         *posts.columns, "sentiment_result"
     )
 
 
-def _with_polarity(occurrences: DataFrame, lexicon: DataFrame, broadcast_bytes: int) -> DataFrame:
+def lexicon_bytes(lexicon: DataFrame) -> int:
+    """What a broadcast of the lexicon takes, about."""
+    return lexicon.agg(F.sum(F.octet_length("term") + ENTRY_BYTES)).first()[0] or 0
+
+
+def with_polarity(
+    occurrences: DataFrame, lexicon: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, size: int | None = None, salt: str = "_digest"
+) -> DataFrame:
     """Left join on `term`: broadcast where the lexicon's measured size allows, else shuffled.
 
-    In the shuffle every term is salted by its text and the task it comes from, as common words
-    fill a large share of the rows; the lexicon is repeated once per salt.
+    In the shuffle every term is salted by the column `salt` and the task it comes from, as common
+    words fill a large share of the rows; the lexicon is repeated once per salt.
     """
-    size = lexicon.agg(F.sum(F.octet_length("term") + ENTRY_BYTES)).first()[0] or 0
-    if size <= broadcast_bytes:
+    if (lexicon_bytes(lexicon) if size is None else size) <= broadcast_bytes:
         return occurrences.join(F.broadcast(lexicon), "term", "left")
-    salt = F.pmod(F.xxhash64("_digest", F.spark_partition_id()), F.lit(TERM_SALTS)).cast("int")
-    salted = occurrences.withColumn("_salt", salt)
+    number = F.pmod(F.xxhash64(salt, F.spark_partition_id()), F.lit(TERM_SALTS)).cast("int")
+    salted = occurrences.withColumn("_salt", number)
     salts = F.explode(F.sequence(F.lit(0), F.lit(TERM_SALTS - 1)))
     return salted.join(lexicon.withColumn("_salt", salts), ["term", "_salt"], "left")
 
 
-def hot_texts(sums: DataFrame, share: float = 0.001, at_least: int = HOT_ROWS) -> list[str]:
-    """Digests of texts that make up at least `share` of the rows; at most `1 / share`."""
-    total = sums.agg(F.sum("_copies")).first()[0] or 0
-    least = max(at_least, int(total * share))
-    return [r[0] for r in sums.where(F.col("_copies") >= least).select("_digest").collect()]
+def hot_texts(sums: DataFrame, digest: str, share: float = 0.001, at_least: int = HOT_ROWS) -> list[str]:
+    """Digests of texts that make up at least `share` of the rows; at most `1 / share`. One job if no text has `at_least` rows."""
+    about = sums.agg(F.sum("_copies").alias("rows"), F.max("_copies").alias("most")).first()
+    least = max(at_least, int((about["rows"] or 0) * share))
+    if (about["most"] or 0) < least:
+        return []
+    return [r[0] for r in sums.where(F.col("_copies") >= least).select(digest).collect()]
 
 
 def _label(total: Column) -> Column:

@@ -12,11 +12,11 @@ from postflow.functions.geo import lat_lon
 from postflow.functions.score import sentiment_score
 from postflow.functions.text import clean_text, tokens
 from postflow.functions.times import parse_post_time
-from postflow.operators import nearest, reports, search
+from postflow.operators import nearest, reports, search, trends
 from postflow.operators.block_index import BlockIndex, read_blocks, write_blocks
 from postflow.operators.dense_index import dense_index as add_dense_index
 from postflow.operators.joins import enrich_join as lookup, replay_join as replay
-from postflow.operators.lexicon import derive_lexicon, inline_polarity, labeller, normal_lexicon
+from postflow.operators.lexicon import derive_lexicon, labeller, normal_lexicon, with_polarity
 from postflow.operators.model import fit_naive_bayes
 from postflow.operators.positions import PositionIndex, position_postings, read_positions, write_positions
 from postflow.operators.text_index import TextIndex, doc_counts, postings, ranked_search as rank, read_index, write_index
@@ -41,6 +41,7 @@ TALL_BOX = (-85.0, 175.0, 80.0, -170.0)
 NEAREST = 5
 CENTER, RADIUS_KM = (10.0, 170.0), 3000.0
 CELL = 10.0
+SHARE = 0.08
 GAP, LATENESS = "30 minutes", "100 days"  # no post is late
 TAG = "Tag3"
 NOW = {"availableNow": True}
@@ -112,7 +113,7 @@ def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored_labeller(spark: SparkSession, sf_dir: str, route: str = "join"):
-    return labeller(stage(lexicon(spark, sf_dir), "lexicon"), route)
+    return labeller(lexicon(spark, sf_dir), route)
 
 
 def processed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,20 +216,16 @@ def parse_time(spark, sf_dir):
 
 
 def sentiment_score_query(spark, sf_dir):
-    """Score lists with one label per word, written as one bracketed string; row by row."""
+    """Score lists with one label per word, written as one bracketed string. The words meet the lexicon in a join."""
     stored = stage(normal_lexicon(lexicon(spark, sf_dir)), "lexicon")
-    polarity = inline_polarity(stored, stored.count())
-
-    def label(word):
-        # One element binds the polarity, which is looked at twice.
-        return F.transform(
-            F.array(polarity(word)), lambda p: F.when(p > 0, "pos").when(p < 0, "neg").otherwise("neutral")
-        )[0]
-
-    labels = F.array_join(F.transform(tokens(F.col("cleaned_text")), label), ", ")
-    bracketed = F.array(F.concat(F.lit("["), labels, F.lit("]")))
-    score = F.when(F.col("cleaned_text").isNotNull(), sentiment_score(bracketed))
-    return enriched_posts(spark, sf_dir).select("id", score.cast("bigint").alias("score"))
+    posts = enriched_posts(spark, sf_dir).select("id", tokens(F.col("cleaned_text")).alias("words"))
+    words = posts.select("id", F.col("words").isNotNull().alias("known"), F.posexplode_outer("words").alias("pos", "term"))
+    labelled = with_polarity(words, stored, salt="id")
+    label = F.when(F.col("polarity") > 0, "pos").when(F.col("polarity") < 0, "neg").otherwise("neutral")
+    # A list has as many labels as its post has words.
+    lists = labelled.groupBy("id", "known").agg(F.collect_list(label).alias("labels"))
+    bracketed = F.array(F.concat(F.lit("["), F.array_join("labels", ", "), F.lit("]")))
+    return lists.select("id", F.when(F.col("known"), sentiment_score(bracketed)).cast("bigint").alias("score"))
 
 
 def annotation_labels(spark, sf_dir):
@@ -296,12 +293,13 @@ def _labels(labelled):
 
 def sentiment_lexicon(spark, sf_dir):
     posts = enriched_posts(spark, sf_dir).select("id", "cleaned_text")
-    return _labels(stored_labeller(spark, sf_dir, "inline")(posts))
+    return _labels(stored_labeller(spark, sf_dir)(posts))
 
 
 def sentiment_lexicon_joined(spark, sf_dir):
+    """As for a lexicon that is too large to be broadcast."""
     posts = enriched_posts(spark, sf_dir).select("id", "cleaned_text")
-    return _labels(stored_labeller(spark, sf_dir, "join")(posts))
+    return _labels(labeller(lexicon(spark, sf_dir), broadcast_bytes=0)(posts))
 
 
 def learned(posts):
@@ -558,6 +556,15 @@ def tile_counts(spark, sf_dir):
     return _with_rounded_mean(pyramid.read(spark))
 
 
+def trending_hashtags(spark, sf_dir):
+    """Summaries of micro-batches name the candidates, the stored posts their counts."""
+    stream, _, posts = _post_stream(spark, sf_dir, "trends-input", "created_at", "hashtags")
+    folder = new_folder(spark, "trends")
+    _finish(trends.run_summaries(stream, f"{folder}/summaries", f"{folder}/checkpoint", "6 hours", trigger=NOW))
+    found = trends.trending(trends.read_summaries(spark, f"{folder}/summaries"), posts, "6 hours", SHARE)
+    return found.select(F.unix_seconds("bucket_start").alias("bucket_epoch"), "hashtag", "posts", "uses")
+
+
 def stream_sessions(spark, sf_dir):
     """Sessions of every hashtag, closed by a row without hashtags that comes last, long after all posts."""
     stream, source, posts = _post_stream(spark, sf_dir, "sessions-input", "created_at", "hashtags", "sentiment_score")
@@ -623,5 +630,6 @@ QUERIES = {
     "stream_processed_posts": stream_processed_posts,
     "stream_time_histogram": stream_time_histogram,
     "tile_counts": tile_counts,
+    "trending_hashtags": trending_hashtags,
     "stream_sessions": stream_sessions,
 }

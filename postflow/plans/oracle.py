@@ -1,7 +1,7 @@
 """DuckDB SQL for the registered queries, written independently of the Spark code."""
 
 from postflow.plans.catalog import (
-    ALL_TERMS, ANY_TERMS, BOX, CELL, CENTER, DATELINE_BOX, FROM, NEAR_TERMS, NEAREST, PHRASE, RADIUS_KM, RANK_TERMS, TAG, TALL_BOX, TO, WITHIN,
+    ALL_TERMS, ANY_TERMS, BOX, CELL, CENTER, DATELINE_BOX, FROM, NEAR_TERMS, NEAREST, PHRASE, RADIUS_KM, RANK_TERMS, SHARE, TAG, TALL_BOX, TO, WITHIN,
 )
 from postflow.functions.geo import EARTH_KM
 
@@ -258,6 +258,14 @@ ORACLE = {
             for level in range(3)
         )
     ),
+    "trending_hashtags": _scored(
+        f"""select * from (
+          select (created_epoch // 21600) * 21600 as bucket_epoch, tag as hashtag, count(*) as posts,
+            (sum(count(*)) over (partition by (created_epoch // 21600) * 21600))::bigint as uses
+          from (select distinct id, tag from tags) t join processed using (id) where created_epoch is not null group by 1, 2)
+        where posts >= {SHARE} * uses""",
+        TAGS,
+    ),
     "stream_sessions": _scored(
         """select hashtag, min(created_epoch) as start_epoch, max(created_epoch) + 1800 as end_epoch, count(*) as posts,
           round(avg(sentiment_score), 6) as mean_score

@@ -39,6 +39,18 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of `df` has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def _files(spark: SparkSession, path: str):
     """Spark's own file system for `path`, and the path in its form."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from postflow.functions.envelope import accepted, decode, encode, rejected, restore_time
 from postflow.operators.joins import replay_join
+from postflow.operators.lexicon import Labels
 from postflow.plans.posts import Labeller, enrich, process
 from postflow.sources.sinks import committed, write_batch, write_envelopes
 
@@ -71,6 +72,8 @@ def run_process(
             write_batch(rejected(decoded), rejects_path, batch_id)
         finally:
             decoded.unpersist()
+            if isinstance(label, Labels):
+                label.release(batch.sparkSession)
 
     writer = envelopes.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
     return (writer.trigger(**trigger) if trigger else writer).foreachBatch(write).start()

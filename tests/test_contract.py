@@ -59,11 +59,11 @@ def test_shared_folder_comes_from_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
 
 
-def test_scores_are_computed_row_by_row(spark):
-    """No shuffle but the one that makes posts of documents and events."""
-    physical = plan_of(catalog.sentiment_score_query(spark, SF)).split("== Physical Plan ==")[1]
-    top = physical[:physical.index("SortMergeJoin")] if "SortMergeJoin" in physical else physical[:physical.index("Join")]
-    assert "Exchange" not in top and "Generate" not in top
+def test_the_lexicon_stays_out_of_the_plan(spark):
+    """Both queries join it; no term is a constant."""
+    for name in ("sentiment_score", "sentiment_lexicon"):
+        plan = plan_of(catalog.QUERIES[name](spark, SF))
+        assert "worthless" not in plan and "from_json" not in plan
 
 
 def test_searches_with_an_index_read_few_folders(spark):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import plan_of
-from postflow.operators.lexicon import _with_polarity, derive_lexicon, inline_polarity, label_by_join, label_posts, labeller
+from postflow.operators.lexicon import Labels, derive_lexicon, inline_polarity, label_by_join, label_posts, labeller, with_polarity
 from postflow.operators.model import fit_naive_bayes, fit_sentiment, label_with_model
 from postflow.plans import catalog
 from postflow.staging import new_folder, stage
@@ -76,7 +76,7 @@ def test_copies_of_a_hot_text(spark, monkeypatch):
 
     seen = []
     real = module.hot_texts
-    monkeypatch.setattr(module, "hot_texts", lambda sums, at_least: seen.append(real(sums, at_least=at_least)) or seen[-1])
+    monkeypatch.setattr(module, "hot_texts", lambda sums, digest, at_least: seen.append(real(sums, digest, at_least=at_least)) or seen[-1])
     df = spark.range(0, 3000, 1, 12).select(
         "id", F.when(F.col("id") % 3 == 0, "all good").otherwise(F.concat(F.lit("bad "), "id")).alias("cleaned_text")
     )
@@ -95,8 +95,8 @@ def test_empty_lexicon(spark):
 def test_large_lexicon_is_shuffled_not_broadcast(spark, conf):
     conf("spark.sql.autoBroadcastJoinThreshold", "-1")
     words = spark.createDataFrame([("d", 0, "good")], "_digest string, _pos int, term string")
-    assert "BroadcastHashJoin" in plan_of(_with_polarity(words, lexicon(spark), 1 << 20))
-    shuffled = plan_of(_with_polarity(words, lexicon(spark), 1))
+    assert "BroadcastHashJoin" in plan_of(with_polarity(words, lexicon(spark), 1 << 20))
+    shuffled = plan_of(with_polarity(words, lexicon(spark), 1))
     assert "BroadcastHashJoin" not in shuffled and "_salt" in shuffled
 
 
@@ -160,3 +160,37 @@ def test_model_on_null_text(spark):
     df = spark.createDataFrame([(1, None), (2, "")], "id long, cleaned_text string")
     rows = {r.id: r.sentiment_result for r in label_with_model(df, model).collect()}
     assert rows[1] is None and rows[2] in (["pos"], ["neg"])
+
+
+CLASHES = ["_digest", "digest", "_terms", "terms", "_polarity", "polarity", "_sum", "_copies", "_salt", "term"]
+
+
+@pytest.mark.parametrize("options", [{"route": "inline"}, {}, {"broadcast_bytes": 0}, {"hot_rows": 0}])
+def test_columns_with_names_of_the_labels_stay(spark, options):
+    df = spark.createDataFrame([t[:2] for t in TEXTS], "id long, cleaned_text string")
+    full = df.select("*", *[F.lit("mine").alias(c) for c in CLASHES])
+    labelled = labeller(lexicon(spark), **options)(full)
+    assert labelled.columns == [*full.columns, "sentiment_result"]
+    rows = labelled.collect()
+    assert all(r[c] == "mine" for r in rows for c in CLASHES)
+    got = sorted((repr(r.id), repr(r.cleaned_text), r.sentiment_result[0]) for r in rows if r.sentiment_result)
+    assert got == sorted((repr(i), repr(t), l) for i, t, l in TEXTS if l)
+
+
+def test_large_lexicons_are_not_inlined(spark, monkeypatch):
+    monkeypatch.setattr("postflow.operators.lexicon.INLINE_TERMS", 2)
+    with pytest.raises(ValueError, match="too large"):
+        labeller(lexicon(spark), "inline")
+
+
+def test_what_labelling_wrote_is_released(spark):
+    from postflow.staging import matching, shared_dir
+
+    pattern = f"{shared_dir(spark)}/postflow/text-polarity-*"
+    before = set(matching(spark, pattern))
+    label = labeller(lexicon(spark))
+    assert isinstance(label, Labels)
+    label(spark.createDataFrame([t[:2] for t in TEXTS], "id long, cleaned_text string")).collect()
+    assert len(set(matching(spark, pattern)) - before) == 1
+    label.release(spark)
+    assert set(matching(spark, pattern)) == before
