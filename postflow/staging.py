@@ -27,7 +27,7 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/postflow/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write `df` once and read it back.
 
     The result survives lost executors, never recomputes its inputs, and carries the size of
@@ -35,7 +35,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     left for the owner of the shared folder to expire, as with reliable checkpoints.
     """
     path = new_folder(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
