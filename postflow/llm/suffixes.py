@@ -30,6 +30,7 @@ GRAM = 8  # bytes that are hashed at once
 STRETCH = 1 << 18  # a longer text is worked on in stretches of so many windows
 CROWD = 2_000  # different pieces of one core; with more, each offset is settled by itself
 SYMBOLS = 100_000  # of a suffix array, about
+PIECES_A_PART = 20_000
 LOW = np.uint64((1 << 32) - 1)
 EMPTY = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"  # sha256 of nothing
 
@@ -375,7 +376,9 @@ def _by_suffixes(open_: DataFrame, cut: Cut) -> DataFrame:
         if names:
             yield flush()
 
-    dealt = open_.select(*_PIECE).repartition("h1", "h2").sortWithinPartitions("h1", "h2")
+    # Tasks by the work there is, as the few bytes of it would be put together into few tasks.
+    parts = max(int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-open_.count() // PIECES_A_PART))
+    dealt = open_.select(*_PIECE).repartition(parts, "h1", "h2").sortWithinPartitions("h1", "h2")
     return dealt.mapInArrow(decide, "h1 long, h2 long, lead binary, tail binary, mask long")
 
 
@@ -388,7 +391,8 @@ def _by_offsets(crowds: DataFrame, cut: Cut) -> DataFrame:
         F.expr(f"substring(tail, 1, {cut.width - 1} - o)").alias("far"),
     )
     window = ["h1", "h2", "o", "near", "far"]
-    often = windows.groupBy(*window).agg(F.sum("n").alias("times")).where("times > 1").select(*window)
+    # Written ahead, so that a window with very many pieces is split by the adaptive skew join.
+    often = settle(windows.groupBy(*window).agg(F.sum("n").alias("times")).where("times > 1").select(*window), "windows-often")
     hits = windows.join(often, window)
     return hits.groupBy(*_PIECE).agg(F.sum(F.expr("shiftleft(1L, o)")).alias("mask"))
 
@@ -445,7 +449,7 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, key: str = "doc_i
     )
     # Copies are one text from here on, which lose all bytes and stand against the others once.
     long = rows.where(F.col("n_bytes") >= length).groupBy("sha").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    texts = settle(long.withColumn("cid", F.monotonically_increasing_id()), "texts")
+    texts = settle(long.withColumn("cid", F.monotonically_increasing_id()), "texts", "zstd")
     found = _anchors_met_twice(texts, cut)
     owned = settle(_cut_pieces(texts.select("cid", "text").join(found, "cid"), cut), "pieces")
     release(found)

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from postflow.staging import discard, stage
+from postflow.staging import discard, stage, unused  # noqa: F401
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SLICE_BYTES = 1 << 18  # texts are worked on in slices of about this size
@@ -24,7 +24,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settle(df: DataFrame, label: str) -> DataFrame:
+def settle(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write `df` to the shared folder, read it back, and let go of its shuffle files at once.
 
     The written table outlives lost executors, so the shuffles behind it are not needed again.
@@ -33,7 +33,7 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     before = conf.get(CLEANUP, "false")
     conf.set(CLEANUP, "true")
     try:
-        return stage(df, label)
+        return stage(df, label, compression)
     finally:
         conf.set(CLEANUP, before)
 
@@ -45,18 +45,6 @@ def release(df: DataFrame) -> None:
         discard(df.sparkSession, files[0].rpartition("/")[0])
 
 
-def unused(df: DataFrame, *names: str) -> list[str]:
-    """Names like the given ones that no column of `df` has, whatever its case."""
-    taken = {c.lower() for c in df.columns}
-    out = []
-    for name in names:
-        while name.lower() in taken:
-            name += "_"
-        taken.add(name.lower())
-        out.append(name)
-    return out
-
-
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts in a row, and where each begins (one entry more); null is empty."""
     if isinstance(texts, pa.ChunkedArray):
