@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from postflow.llm.support import settle
 
 CELLS = 1 << 18  # distances that are held at once
-SALTS = 16  # over which the queries of one vector are dealt
+ASKING_A_SALT = 2_000  # queries of one vector that are answered together
 
 
 @dataclass(frozen=True)
@@ -199,7 +199,7 @@ def nearest(
             )
 
     # Of equal queries the one of the least id walks and is answered, with one result more for its own id.
-    walking = asked.groupBy("_digest").agg(F.min("id").alias("id"), F.first("v").alias("v"))
+    walking = asked.groupBy("_digest").agg(F.min("id").alias("id"), F.first("v").alias("v"), F.count("*").alias("_n"))
     walked = settle(walking.select("id", "v").mapInArrow(to_probes, "id long, v array<double>, took array<string>"), "vector-probes")
     place = F.split("took", " ")
     probes = walked.select("id", "v", F.explode("took").alias("took")).select(
@@ -234,9 +234,11 @@ def nearest(
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     best = pairs.withColumn("_rank", rank).where(F.col("_rank") <= k + 1)
     answers = best.groupBy(F.col("query_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("score", "vec_id"))).alias("_near"))
-    # Back to all queries of a vector: an answer a salt, so that a frequent vector does not land in one task.
-    answers = answers.join(walking.select("id", "_digest"), "id").select("_digest", "_near", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    salted = asked.select(F.col("id").alias("query_id"), "_digest", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("_salt"))
+    # Back to all queries of a vector: an answer a salt, as many as its queries need, so that a frequent vector does not land in one task.
+    salts = F.ceil(F.col("_n") / ASKING_A_SALT)
+    answers = answers.join(walking.select("id", "_digest", "_n"), "id").select("_digest", "_near", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("_salt"))
+    asked = asked.join(walking.select("_digest", "_n"), "_digest")
+    salted = asked.select(F.col("id").alias("query_id"), "_digest", F.pmod(F.xxhash64("id"), salts).alias("_salt"))
     others = F.slice(F.filter("_near", lambda r: r["vec_id"] != F.col("query_id")), 1, k)
     listed = salted.join(answers, ["_digest", "_salt"]).select("query_id", F.posexplode(others).alias("_at", "_r"))
     return listed.select("query_id", (F.col("_at") + 1).alias("rank"), "_r.vec_id", "_r.score")
@@ -262,21 +264,36 @@ def _closest(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarra
 
 
 def _closest_slice(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, own: bool) -> pd.DataFrame:
-    """A product of matrices only picks whom to measure."""
-    rough = (q ** 2).sum(axis=1)[:, None] + (x ** 2).sum(axis=1)[None, :] - 2.0 * (q @ x.T)
-    if not own:
-        rough[query_ids[:, None] == ids[None, :]] = np.inf
-    reach = np.partition(rough, k - 1, axis=1)[:, k - 1] if len(ids) > k else np.full(len(q), np.inf)
-    slack = 1e-9 * ((q ** 2).sum(axis=1) + (x ** 2).sum(axis=1).max())
-    row, col = np.nonzero((rough <= (reach + slack)[:, None]) & (rough < np.inf))
-    score = np.empty(len(row))
-    step = max(1, 16 * CELLS // max(x.shape[1], 1))
-    for a in range(0, len(row), step):
-        score[a:a + step] = np.sqrt(((q[row[a:a + step]] - x[col[a:a + step]]) ** 2).sum(axis=1))
+    """A product of matrices only picks whom to measure; whom it cannot place, as squares overflow, is measured."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        rough = (q ** 2).sum(axis=1)[:, None] + (x ** 2).sum(axis=1)[None, :] - 2.0 * (q @ x.T)
+        slack = 1e-9 * ((q ** 2).sum(axis=1) + (x ** 2).sum(axis=1).max())
+        unplaced = ~np.isfinite(rough)
+        rough[unplaced] = np.inf
+        mine = query_ids[:, None] == ids[None, :] if not own else np.zeros((1, 1), bool)
+        rough[np.broadcast_to(mine, rough.shape)] = np.inf
+        reach = np.partition(rough, k - 1, axis=1)[:, k - 1] if len(ids) > k else np.full(len(q), np.inf)
+        row, col = np.nonzero(((rough <= (reach + slack)[:, None]) & (rough < np.inf) | unplaced) & ~mine)
+        score = np.empty(len(row))
+        step = max(1, 16 * CELLS // max(x.shape[1], 1))
+        for a in range(0, len(row), step):
+            score[a:a + step] = distances(q[row[a:a + step]] - x[col[a:a + step]])
     found = pd.DataFrame({"query_id": query_ids[row], "vec_id": ids[col], "score": score})
     return found.sort_values(["query_id", "score", "vec_id"]).groupby("query_id").head(k)
 
 
+def distances(apart: np.ndarray) -> np.ndarray:
+    """The lengths of differences; where squares would overflow or vanish, by way of the largest component."""
+    squares = (apart ** 2).sum(axis=1)
+    out = np.sqrt(squares)
+    odd = ~((squares > 1e-280) & (squares < np.inf))
+    if odd.any():
+        most = np.abs(apart[odd]).max(axis=1, initial=0.0)
+        unit = apart[odd] / np.where(most > 0, most, 1.0)[:, None]
+        out[odd] = most * np.sqrt((unit ** 2).sum(axis=1))
+    return out
+
+
 def _calibrate(
     routed: DataFrame, judges: list[tuple[int, np.ndarray]], forest: list[Tree], sizes: list[np.ndarray], k: int, how: Search
 ) -> float:

@@ -110,3 +110,47 @@ def test_equal_queries_walk_once_and_leave_out_their_own_id(spark):
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
     for i in range(30):
         assert sorted(got[i]) == list(enumerate([j for j in range(5) if j != i][:3], 1))
+
+
+def test_very_large_and_very_small_components(spark):
+    """Squares overflow from 1e154 on and vanish below 1e-162; neither loses a neighbour."""
+    import math
+
+    rows = [(i, [1e200 * (i + 1), 3e199]) for i in range(5)] + [(10 + i, [1e-200 * (i + 1), -1e-200]) for i in range(5)]
+    rows += [(20 + i, [float(i + 1), 0.5]) for i in range(5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(df, df, k=14).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for i, v in rows:
+        want = sorted((math.dist(v, w), j) for j, w in rows if j != i)
+        mine = sorted(got[i])
+        assert [n for n, *_ in mine] == list(range(1, 15))
+        assert sorted(j for _, j, _ in mine) == sorted(j for _, j in want)
+        for (_, j, d) in mine:
+            assert d == pytest.approx(math.dist(v, dict(rows)[j]), rel=1e-12)
+        assert [d for *_, d in mine] == sorted(d for *_, d in mine)
+
+
+def test_a_frequent_query_is_answered_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "ASKING_A_SALT", 7)
+    df = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(50)] + [(100, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, df, k=2).collect()
+    assert len(got) == 51 * 2 and len({(r["query_id"], r["rank"]) for r in got}) == 102
+
+
+@pytest.mark.parametrize("sf", ["sf0.1"])
+def test_recall_on_the_larger_table(spark, sf):
+    df = read(spark, f"/root/testdata/{sf}", "embeddings")
+    rows = df.orderBy("vec_id").collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
+    found = {}
+    for r in neighbours.nearest(df, df.where("vec_id % 100 = 0"), k=10).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = total = 0
+    for i in np.flatnonzero(ids % 100 == 0):
+        far = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        far[i] = np.inf
+        want = set(ids[np.lexsort((ids, far))[:10]].tolist())
+        hits, total = hits + len(want & found[ids[i]]), total + 10
+    assert hits / total >= 0.9
