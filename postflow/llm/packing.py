@@ -17,6 +17,9 @@ from postflow.llm.support import ranked, settle
 from postflow.llm.tokens import BYTE_BPE, BYTE_BPE_RANKS, id_array
 
 
+WEIGHTS = (1.0, 0.5, 0.5)  # of what is left of tokens, document slots and attention, each as a share of its capacity
+
+
 @dataclass(frozen=True)
 class Capacity:
     """What one sequence may hold; attention costs a piece the square of its length."""
@@ -83,7 +86,7 @@ class Placement:
 
 def vector_best_fit(
     histogram: dict[int, int], capacity: Capacity = Capacity(),
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0), measure: str = "norm",
+    weights: tuple[float, float, float] = WEIGHTS, measure: str = "norm",
 ) -> tuple[list[Placement], int]:
     """Pack `{length: pieces}`, longest first; the placements and the number of sequences.
 

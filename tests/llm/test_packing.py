@@ -57,6 +57,18 @@ def test_every_capacity_holds(spark, capacity, measure):
     check_places(got, capacity)
 
 
+def test_the_other_residuals_decide_placements():
+    """Of sequences with equal tokens left, the one whose slots and attention are nearer to full is filled."""
+    rng = random.Random(3)
+    histogram = {n: rng.randrange(1, 40) for n in range(1, 1025, 3)}
+    found = {}
+    for weights in [(1.0, 0.0, 0.0), packing.WEIGHTS]:
+        placements, used = packing.vector_best_fit(histogram, weights=weights)
+        found[weights] = sorted((p.length, p.rank, p.count, p.sequence, p.offset) for p in placements), used
+    (plain, few), (vector, same) = found.values()
+    assert all(w > 0 for w in packing.WEIGHTS) and plain != vector and same <= few + 1
+
+
 def test_best_fit_on_a_histogram_is_best_fit_on_pieces():
     rng = random.Random(3)
     for _ in range(30):
