@@ -2,7 +2,8 @@
 
 The sketch keeps every shingle hash below a fixed share of the hash range, so sketches of any two
 documents, however unequal, can be compared and merged: which hashes stay does not depend on the
-document. The least hash always stays, so that a short text has a sketch too.
+document. The least hash always stays, so that a short text has a sketch too; but a longer
+document need not have kept it, so it tells equal texts, not contained ones.
 """
 
 import math
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 SHINGLE = 5
-KEEP = "4"  # hashes, as hex, below this: a quarter of them
+KEEP = "1"  # hashes, as hex, below this: a sixteenth of them
 DIGITS = 16  # hex digits kept of a hash
 # Fixed value: a word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,11 +38,15 @@ def shingles(text: Column, size: int = SHINGLE) -> Column:
     )[0]
 
 
+def hashes(text: Column, size: int = SHINGLE) -> Column:
+    """The hashes of all shingles of a text, as hex."""
+    return F.transform(shingles(text, size), lambda s: F.substring(F.md5(s.cast("binary")), 1, DIGITS))
+
+
 def sketch(text: Column, keep: str = KEEP, size: int = SHINGLE) -> Column:
     """Sorted array of the distinct hashes below `keep`, and of the least hash; empty without words."""
-    hashed = F.transform(shingles(text, size), lambda s: F.substring(F.md5(s.cast("binary")), 1, DIGITS))
     return F.transform(
-        F.array(hashed),
+        F.array(hashes(text, size)),
         lambda h: F.array_sort(
             F.array_distinct(
                 F.concat(
@@ -59,26 +64,46 @@ def merge(one: Column, other: Column, keep: str = KEEP) -> Column:
     return F.filter(both, lambda x, i: (x < keep) | (i == 0))
 
 
-def containment(one: Column, other: Column) -> Column:
-    """Share of the smaller sketch that is in the other, 0 to 1; two empty ones are alike, one is not.
+def comparable(one: Column, other: Column, keep: str = KEEP) -> Column:
+    """The hashes `(one, other)` by which two sketches can be compared: those that both would have kept.
+
+    Null if a sketch that is not empty has none of these: its document is so short that the other's
+    sketch cannot tell whether it holds it. `comparable_texts` can.
+    """
+    below = lambda sketch_: F.filter(sketch_, lambda x: x < keep)
+    pair = F.struct(below(one).alias("one"), below(other).alias("other"))
+    told = F.transform(F.array(pair), lambda p: F.when((F.size(p["one"]) > 0) & (F.size(p["other"]) > 0), p))[0]
+    empty = (F.size(one) == 0) | (F.size(other) == 0)
+    return F.when(empty, F.struct(one.alias("one"), other.alias("other"))).otherwise(told)
+
+
+def comparable_texts(one: Column, other: Column, size: int = SHINGLE) -> Column:
+    """All hashes of two texts, for those that `comparable` does not tell."""
+    return F.struct(F.array_distinct(hashes(one, size)).alias("one"), F.array_distinct(hashes(other, size)).alias("other"))
 
-    Only hashes that both would have kept count: without a least hash above the threshold on
-    either side this estimates how much of the smaller document is in the larger.
+
+def containment(pair: Column) -> Column:
+    """Share of the fewer of two documents' comparable hashes that the other has, 0 to 1.
+
+    It estimates how much of the smaller document is in the larger. Two empty documents are alike,
+    an empty one is in no other; null for a null pair.
     """
+    one, other = pair["one"], pair["other"]
     least = F.least(F.size(one), F.size(other))
-    shared = F.size(F.array_intersect(one, other))
     return (
-        F.when((F.size(one) == 0) & (F.size(other) == 0), 1.0)
+        F.when(F.size(one) + F.size(other) == 0, 1.0)
         .when(least == 0, 0.0)
-        .otherwise(shared / least)
+        .when(pair.isNotNull(), F.size(F.array_intersect(one, other)) / least)
         .cast("double")
     )
 
 
-def resemblance(one: Column, other: Column) -> Column:
-    """Jaccard likeness of two sketches, 0 to 1; two empty ones are alike."""
-    union = F.size(F.array_union(one, other))
-    return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(one, other)) / union).cast("double")
+def resemblance(pair: Column) -> Column:
+    """Jaccard likeness of two documents' comparable hashes, 0 to 1; two empty ones are alike; null for a null pair."""
+    one, other = pair["one"], pair["other"]
+    both = F.size(one) + F.size(other)
+    shared = F.size(F.array_intersect(one, other))
+    return F.when(both == 0, 1.0).when(pair.isNotNull(), shared / (both - shared)).cast("double")
 
 
 def add_fingerprint(documents: DataFrame, name: str = "fingerprint") -> DataFrame:
@@ -166,15 +191,23 @@ def edited_likeness(documents: DataFrame) -> DataFrame:
         F.substr("text", F.lit(1), F.col("_n") - third), F.substr("next_text", F.lit(1), third)
     )
     done = rows.select(
-        "doc_id", F.col("_n").cast("long").alias("n_chars"), edited.alias("_edited"),
+        "doc_id", F.col("_n").cast("long").alias("n_chars"), "text", "next_text", edited.alias("_edited"),
         sketch(F.col("text")).alias("print"), sketch(F.col("next_text")).alias("next_print"),
     ).withColumn("edited_print", sketch(F.col("_edited")))
-    return done.select(
-        "doc_id", "n_chars", F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"),
+    # Of a very short text the sketch may hold nothing to compare; then, and only then, the texts are.
+    pair = lambda name, text: F.coalesce(
+        comparable(F.col("print"), F.col(name)), comparable_texts(F.col("text"), F.col(text))
+    )
+    compared = done.select(
+        "doc_id", "n_chars", F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"), "print", "edited_print",
+        pair("edited_print", "_edited").alias("_edit"), pair("next_print", "next_text").alias("_after"),
+    )
+    return compared.select(
+        "doc_id", "n_chars", "edited_sha256",
         F.array_join("print", "").alias("fingerprint"),
         F.array_join("edited_print", "").alias("edited_fingerprint"),
-        containment(F.col("print"), F.col("edited_print")).alias("near_edited"),
-        containment(F.col("print"), F.col("next_print")).alias("near_next"),
-        resemblance(F.col("print"), F.col("edited_print")).alias("resembles_edited"),
-        resemblance(F.col("print"), F.col("next_print")).alias("resembles_next"),
+        containment(F.col("_edit")).alias("near_edited"),
+        containment(F.col("_after")).alias("near_next"),
+        resemblance(F.col("_edit")).alias("resembles_edited"),
+        resemblance(F.col("_after")).alias("resembles_next"),
     )

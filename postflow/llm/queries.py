@@ -217,6 +217,18 @@ ORACLE = {
         {_walk('x', f'w{_SOURCE_LEVELS}', 'b', 'g', 's', _TOP_LEVELS)}
         select doc_id, leaf, subroot, d as root, sha256(proof) as proof_sha256, folded as folded_root, folded = d as verified
         from x{_TOP_LEVELS} cross join b{_TOP_LEVELS}""",
+    "op4_ngram_jaccard": f"""
+        with recursive words as (select doc_id, {_SHINGLES.format("coalesce(text, '')")} as w from documents),
+        sets as materialized (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) <= 5 then [array_to_string(w, ' ')]
+            else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s from words),
+        shingles as materialized (select doc_id, unnest(s) as x from sets),
+        shared as (select a.doc_id as a, b.doc_id as b, count(*) as n from shingles a join shingles b on a.x = b.x and a.doc_id < b.doc_id group by all),
+        links as materialized (select a, b from shared join sets p on p.doc_id = a join sets q on q.doc_id = b
+            where 100 * n >= 80 * (len(p.s) + len(q.s) - n)),
+        both_ways as materialized (select a, b from links union all select b, a from links),
+        reached(doc_id, root) as (select doc_id, doc_id from sets union select b, root from reached join both_ways on a = doc_id)
+        select doc_id, len(s)::bigint as n_shingles, component_id
+        from sets join (select doc_id, min(root) as component_id from reached group by doc_id) using (doc_id)""",
     "op12_suffix_dedup": """
         with docs as materialized (select row_number() over () as row, doc_id, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, '')) as n from documents),
         places as (select row, h, unnest(range(0, n - 199)) as p from docs where n >= 200),
@@ -264,20 +276,16 @@ ORACLE = {
         shingled as (select doc_id, n, changed, part, case when len(w) = 0 then [] when len(w) <= 5 then [array_to_string(w, ' ')]
             else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end as s from split),
         hashed as (select * exclude (s), list_transform(s, lambda x: substring(md5(x), 1, 16)) as h from shingled),
-        kept as (select * exclude (h), coalesce(list_sort(list_distinct(list_concat(list_filter(h, lambda x: x < '4'),
-            case when len(h) > 0 then [list_min(h)] else [] end))), []) as f from hashed),
-        wide as (select doc_id, any_value(n) as n, any_value(changed) as changed, any_value(f) filter (part = 1) as a,
-            any_value(f) filter (part = 2) as b, any_value(f) filter (part = 3) as c from kept group by doc_id),
-        met as (select *, len(list_intersect(a, b)) as ab, len(list_intersect(a, c)) as ac from wide)
-        select doc_id, n as n_chars, sha256(changed) as edited_sha256, array_to_string(a, '') as fingerprint,
-            array_to_string(b, '') as edited_fingerprint,
-            case when len(a) + len(b) = 0 then 1.0 when least(len(a), len(b)) = 0 then 0.0
-                else ab / least(len(a), len(b)) end::double as near_edited,
-            case when len(a) + len(c) = 0 then 1.0 when least(len(a), len(c)) = 0 then 0.0
-                else ac / least(len(a), len(c)) end::double as near_next,
-            case when len(a) + len(b) = 0 then 1.0 else ab / (len(a) + len(b) - ab) end::double as resembles_edited,
-            case when len(a) + len(c) = 0 then 1.0 else ac / (len(a) + len(c) - ac) end::double as resembles_next
-        from met""",
+        kept as (select * exclude (h), list_distinct(h) as h, list_filter(list_distinct(h), lambda x: x < '{fingerprint.KEEP}') as f, list_min(h) as least from hashed),
+        wide as (select doc_id, any_value(n) as n, any_value(changed) as changed,
+            {', '.join(f"any_value({c}) filter (part = {i}) as {c}{i}" for c in ('h', 'f', 'least') for i in (1, 2, 3))} from kept group by doc_id),
+        met as (select *, {', '.join(f"case when len(f1) > 0 and len(f{i}) > 0 then f1 else h1 end as x{i}, case when len(f1) > 0 and len(f{i}) > 0 then f{i} else h{i} end as y{i}" for i in (2, 3))} from wide),
+        counted as (select *, {', '.join(f"len(list_intersect(x{i}, y{i})) as z{i}" for i in (2, 3))} from met)
+        select doc_id, n as n_chars, sha256(changed) as edited_sha256,
+            {', '.join(f"coalesce(array_to_string(list_sort(list_distinct(list_concat(f{i}, case when least{i} is null then [] else [least{i}] end))), ''), '') as {c}" for i, c in ((1, 'fingerprint'), (2, 'edited_fingerprint')))},
+            {', '.join(f"case when len(x{i}) + len(y{i}) = 0 then 1.0 when least(len(x{i}), len(y{i})) = 0 then 0.0 else z{i} / least(len(x{i}), len(y{i})) end::double as near_{c}" for i, c in ((2, 'edited'), (3, 'next')))},
+            {', '.join(f"case when len(x{i}) + len(y{i}) = 0 then 1.0 else z{i} / (len(x{i}) + len(y{i}) - z{i}) end::double as resembles_{c}" for i, c in ((2, 'edited'), (3, 'next')))}
+        from counted""",
     "op6_source_mix": f"""
         with docs as (select doc_id, {DOMAIN} as domain, lang, source, coalesce(ceil(strlen(text) / 4), 0)::bigint as tokens from documents),
         leaf as (select domain, lang, source, sum(tokens)::bigint as available, {DOMAIN_WEIGHT} as dw, {LANG_WEIGHT} as lw, 1.0 as sw
