@@ -128,7 +128,7 @@ def _label_by_row(posts: DataFrame, polarity: Callable[[Column], Column], bias:
     return (
         posts.withColumn(terms, F.array_distinct(tokens(F.col("cleaned_text"))))
         .withColumn(held, total)
-        .withColumn("sentiment_result", _label(F.col(held)))
+        .withColumn("sentiment_result", label_of(F.col(held)))
         .drop(terms, held)
     )
 
@@ -168,7 +168,7 @@ def label_by_join(
     scored = split_join(
         posts.withColumn(own, digest), sums.drop("_copies"), own, hot_texts(sums, own, at_least=hot_rows), "left", hot_bytes
     )
-    return scored.withColumn("sentiment_result", _label(F.col(held))).drop(own, held).select(
+    return scored.withColumn("sentiment_result", label_of(F.col(held))).drop(own, held).select(
         *posts.columns, "sentiment_result"
     )
 
@@ -203,7 +203,7 @@ def hot_texts(sums: DataFrame, digest: str, share: float = 0.001, at_least: int
     return [r[0] for r in sums.where(F.col("_copies") >= least).select(digest).collect()]
 
 
-def _label(total: Column) -> Column:
+def label_of(total: Column) -> Column:
     return F.when(
         total.isNotNull(),
         F.array(F.when(total > 0, "pos").when(total < 0, "neg").otherwise("neutral")),

@@ -5,6 +5,8 @@ same number, in the schema of a raw post. Each query returns plain columns (numb
 epoch seconds) so that results compare by value.
 """
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from postflow.functions.envelope import accepted, decode, encode, rejected, restore_time
@@ -18,12 +20,13 @@ from postflow.operators.dense_index import dense_index as add_dense_index
 from postflow.operators.joins import enrich_join as lookup, replay_join as replay
 from postflow.operators.lexicon import derive_lexicon, labeller, normal_lexicon, with_polarity
 from postflow.operators.model import fit_naive_bayes
+from postflow.operators.phrases import derive_phrases, label_by_phrases
 from postflow.operators.positions import PositionIndex, position_postings, read_positions, write_positions
 from postflow.operators.text_index import TextIndex, doc_counts, postings, ranked_search as rank, read_index, write_index
 from postflow.plans.posts import annotation_labels as unpack_annotations, compat_columns as five_columns, enrich, process
 from postflow.sources.layout import compact, read_layout, write_layout
 from postflow.sources.readers import malformed_lines, read_envelopes, read_posts, stream_posts
-from postflow.sources.sinks import envelope_files, read_batches
+from postflow.sources.sinks import envelope_files, read_batches, write_envelopes
 from postflow.staging import mark, new_folder, stage
 from postflow.streaming.flows import read_histogram, run_histogram, run_ingest, run_process, run_replay
 from postflow.streaming.tiles import Pyramid, run_tiles
@@ -32,6 +35,7 @@ from postflow.streaming.windows import read_windows, run_windows, sessions, spli
 ANY_TERMS = ["worthless", "trash", "idiot"]
 ALL_TERMS = ["the", "and", "trash"]
 RANK_TERMS = ["the", "trash", "stupid", "clown"]
+NEGATORS = ["is", "of"]  # the texts are invented, so are their negations
 PHRASE = "the and attion"
 NEAR_TERMS, WITHIN = ["the", "and", "is"], 6
 FROM, TO = "2024-01-01T06:00:00", "2024-01-02T18:30:00"
@@ -296,6 +300,12 @@ def sentiment_lexicon(spark, sf_dir):
     return _labels(stored_labeller(spark, sf_dir)(posts))
 
 
+def sentiment_phrases(spark, sf_dir):
+    """Labels from words and pairs of words, turned around behind a negator."""
+    entries = derive_phrases(labelled_posts(spark, sf_dir))
+    return _labels(label_by_phrases(enriched_posts(spark, sf_dir).select("id", "cleaned_text"), entries, NEGATORS))
+
+
 def sentiment_lexicon_joined(spark, sf_dir):
     """As for a lexicon that is too large to be broadcast."""
     posts = enriched_posts(spark, sf_dir).select("id", "cleaned_text")
@@ -526,6 +536,24 @@ def stream_replay(spark, sf_dir):
     return decoded.select("id", epoch(), "cleaned_text")
 
 
+def topic_start(spark, sf_dir):
+    """A topic of files read from its beginning and from the time at which half of it was there."""
+    folder = new_folder(spark, "topic-start")
+    values = encode(enriched_posts(spark, sf_dir).select("id", "created_at"))
+    odd = F.get_json_object("value", "$.id").cast("bigint") % 2 == 1
+    values.where(~odd).write.text(f"{folder}/values")
+    half = spark.read.text(f"{folder}/values").agg(F.max("_metadata.file_modification_time")).first()[0]
+    values.where(odd).write.mode("append").text(f"{folder}/values")
+    found = None
+    for start, position in (("earliest", "earliest"), ("half", half.astimezone(dt.timezone.utc))):
+        read = read_envelopes(spark, "text", path=f"{folder}/values", start=position, maxFilesPerTrigger=BATCH_FILES)
+        _finish(write_envelopes(read, "text", f"{folder}/checkpoint-{start}", NOW, path=f"{folder}/{start}"))
+        posts = restore_time(decode(read_envelopes(spark, "text", stream=False, path=f"{folder}/{start}")))
+        posts = posts.select(F.lit(start).alias("start"), "id", epoch())
+        found = posts if found is None else found.unionByName(posts)
+    return found
+
+
 def stream_time_histogram(spark, sf_dir):
     """Posts arrive in files of any order, a few per micro-batch; none is late."""
     source = new_folder(spark, "histogram-input")
@@ -595,6 +623,7 @@ QUERIES = {
     "lexicon_terms": lexicon,
     "sentiment_lexicon": sentiment_lexicon,
     "sentiment_lexicon_joined": sentiment_lexicon_joined,
+    "sentiment_phrases": sentiment_phrases,
     "annotation_labels": annotation_labels,
     "sentiment_score": sentiment_score_query,
     "sentiment_model": sentiment_model,
@@ -629,6 +658,7 @@ QUERIES = {
     "stream_replay": stream_replay,
     "stream_processed_posts": stream_processed_posts,
     "stream_time_histogram": stream_time_histogram,
+    "topic_start": topic_start,
     "tile_counts": tile_counts,
     "trending_hashtags": trending_hashtags,
     "stream_sessions": stream_sessions,

@@ -1,7 +1,7 @@
 """DuckDB SQL for the registered queries, written independently of the Spark code."""
 
 from postflow.plans.catalog import (
-    ALL_TERMS, ANY_TERMS, BOX, CELL, CENTER, DATELINE_BOX, FROM, NEAR_TERMS, NEAREST, PHRASE, RADIUS_KM, RANK_TERMS, SHARE, TAG, TALL_BOX, TO, WITHIN,
+    ALL_TERMS, ANY_TERMS, BOX, CELL, CENTER, DATELINE_BOX, FROM, NEAR_TERMS, NEAREST, NEGATORS, PHRASE, RADIUS_KM, RANK_TERMS, SHARE, TAG, TALL_BOX, TO, WITHIN,
 )
 from postflow.functions.geo import EARTH_KM
 
@@ -156,6 +156,21 @@ ORACLE = {
         """select id, case sentiment_score when 1 then 'pos' when -1 then 'neg' else 'neutral' end as label
         from processed"""
     ),
+    "sentiment_phrases": _with(
+        """select e.id, case when t.total > 0 then 'pos' when t.total < 0 then 'neg' else 'neutral' end as label
+        from enriched e left join (select id, sum(polarity * sign) as total from starts join entries using (phrase) group by id) t on t.id = e.id""",
+        PLACES,
+        f"""signed as (
+          select *, case when max(case when term in {_terms(NEGATORS)} then p end)
+            over (partition by id order by p rows between 3 preceding and 1 preceding) is null then 1 else -1 end as sign,
+            lead(term) over (partition by id order by p) as after from places)""",
+        """starts as (
+          select id, term as phrase, sign from signed union all select id, term || ' ' || after, sign from signed where after is not null)""",
+        """entries as (
+          select phrase, sign(sum(vote)) as polarity
+          from (select distinct s.id, s.phrase, case when l.toxic = 1 then -7 else 1 end as vote from starts s join labels l on l.doc_id = s.id)
+          group by phrase having count(*) >= 3 and sum(vote) <> 0)""",
+    ),
     "sentiment_score": _with(
         """select e.id, cast(sum(coalesce(x.polarity, 0)) as bigint) as score
         from enriched e left join words w on w.id = e.id left join lexicon x on x.term = w.term group by e.id""",
@@ -266,6 +281,10 @@ ORACLE = {
         where posts >= {SHARE} * uses""",
         TAGS,
     ),
+    "topic_start": _with(
+        """select 'earliest' as start, id, created_epoch from enriched
+        union all select 'half', id, created_epoch from enriched where id % 2 = 1"""
+    ),
     "stream_sessions": _scored(
         """select hashtag, min(created_epoch) as start_epoch, max(created_epoch) + 1800 as end_epoch, count(*) as posts,
           round(avg(sentiment_score), 6) as mean_score

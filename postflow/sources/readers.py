@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from postflow.functions.times import instant, instant_literal
 from postflow.schema import POST
 
 
@@ -59,13 +60,22 @@ def stream_ticks(spark: SparkSession, rows_per_second: int = 1, format: str = "r
     return spark.readStream.format(format).options(**options).load()
 
 
-def read_envelopes(spark: SparkSession, format: str, stream: bool = True, **options) -> DataFrame:
+def read_envelopes(spark: SparkSession, format: str, stream: bool = True, start="earliest", **options) -> DataFrame:
     """The `value` column of a topic: `format="kafka"` with its package, or `"text"` files.
 
-    Kafka starts from the earliest offset unless told otherwise, so posts written before the
-    reader starts are not missed.
+    `start` is where a reader without a checkpoint begins: `earliest`, the default, so that posts
+    written before it starts are not missed, or a time (text with a zone, or in UTC, or a datetime),
+    which leaves out what the topic had by then. Kafka also knows `latest`; for files that would mean another set
+    after each restart, so a time is wanted instead. Options of the format go before it.
     """
+    later = None
     if format == "kafka":
-        options = {"startingOffsets": "earliest", **options}
+        given = {"startingOffsets": start} if start in ("earliest", "latest") else {"startingTimestamp": str(int(instant(start).timestamp() * 1000))}
+        options = {**given, **options}
+    elif start == "latest":
+        raise ValueError("files have no latest position, give the time to start from")
+    elif start != "earliest":
+        later = F.col("_metadata.file_modification_time") > instant_literal(start)
     reader = spark.readStream if stream else spark.read
-    return reader.format(format).options(**options).load().select(F.col("value"))
+    found = reader.format(format).options(**options).load()
+    return (found if later is None else found.where(later)).select(F.col("value"))

@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from postflow.schema import PROCESSED
@@ -38,8 +38,27 @@ def envelope_files(path: str) -> Callable[[DataFrame, int], None]:
 
 
 def envelope_topic(format: str, **options) -> Callable[[DataFrame, int], None]:
-    """A writer of micro-batches of envelopes to a topic, with its settings from the caller."""
-    return lambda values, batch_id: values.write.format(format).options(**options).save()
+    """A writer of micro-batches of envelopes to a topic, with its settings from the caller.
+
+    A topic can only be appended to, so a micro-batch that is replayed after a crash arrives again:
+    at least once. Every record has a `key` of its query, its batch and its content, the same in a
+    replay, by which `without_replays` or the topic's own compaction leaves out the second copy.
+    """
+
+    def write(values: DataFrame, batch_id: int) -> None:
+        key = F.concat_ws("/", F.lit(query_id(values)), F.lit(str(batch_id)), F.sha2(F.col("value").cast("binary"), 256))
+        values.select(key.alias("key"), "value").write.format(format).mode("append").options(**options).save()
+
+    return write
+
+
+def without_replays(records: DataFrame) -> DataFrame:
+    """The `value` of each `(key, value)` record of a topic once, however often its micro-batch was replayed.
+
+    Equal envelopes of one micro-batch are one post and count once, too. On a stream, set a watermark
+    ahead: keys are kept as long as it allows.
+    """
+    return records.dropDuplicates(["key"]).select("value")
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:

@@ -1,0 +1,64 @@
+"""Labels from phrases with negation, against a plain scan."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from postflow.operators.phrases import derive_phrases, label_by_phrases, phrase_trie
+from test_indexes import words
+
+ENTRIES = [
+    ("good", 1), ("very good", 2), ("good river", -1), ("very good river", -3), ("bad", -1), ("Bad,  WEATHER", 2), ("river", 1), ("river", -1),
+    ("the the", 1), ("", 5), ("--", 5), (None, 5), ("über bad", 1), ("very", 0), ("good good good good", 4),
+]
+NEGATORS = ["not", "Never"]
+
+
+def scan(text, negators, scope):
+    entries = {}
+    for phrase, polarity in ENTRIES:
+        key = tuple(words(phrase)) if phrase and phrase.strip("-") else ()
+        if key:
+            entries[key] = entries.get(key, 0) + polarity
+    w = words(text)
+    total = 0
+    for i in range(len(w)):
+        for entry, polarity in entries.items():
+            if tuple(w[i:i + len(entry)]) == entry:
+                total += -polarity if set(w[max(0, i - scope):i]) & set(negators) else polarity
+    return "pos" if total > 0 else "neg" if total < 0 else "neutral"
+
+
+def texts(n=300, seed=2):
+    rng = random.Random(seed)
+    known = ["good", "very", "river", "bad", "weather", "the", "not", "never", "über", "x"]
+    out = [" ".join(rng.choice(known) for _ in range(rng.randrange(14))) for _ in range(n)]
+    return [t.upper() if rng.random() < 0.1 else t for t in out] + ["", None, "good", "not good", "not a b good", "not a b c good", "very good river"]
+
+
+@pytest.mark.parametrize("negators, scope", [((), 3), (NEGATORS, 3), (NEGATORS, 1), (NEGATORS, 0)])
+@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": -1}, {"hot_rows": 0}])
+def test_labels_equal_a_plain_scan(spark, negators, scope, options):
+    rows = [(i % 250 if i % 9 else None, t) for i, t in enumerate(texts())]
+    df = spark.createDataFrame(rows, "id long, cleaned_text string").withColumn("digest", F.lit("mine"))
+    entries = spark.createDataFrame(ENTRIES, "phrase string, polarity int")
+    labelled = label_by_phrases(df, entries, negators, scope, **options)
+    assert labelled.columns == ["id", "cleaned_text", "digest", "sentiment_result"]
+    got = sorted((repr(r.id), repr(r.cleaned_text), r.sentiment_result and r.sentiment_result[0]) for r in labelled.collect())
+    want = sorted((repr(i), repr(t), None if t is None else scan(t, [n.lower() for n in negators], scope)) for i, t in rows)
+    assert [(a, b, str(c)) for a, b, c in got] == [(a, b, str(c)) for a, b, c in want]
+
+
+def test_an_empty_lexicon(spark):
+    entries = spark.createDataFrame([], "phrase string, polarity int")
+    assert phrase_trie(entries)[1] == 0
+    df = spark.createDataFrame([(1, "good"), (2, None)], "id long, cleaned_text string")
+    got = {r.id: r.sentiment_result for r in label_by_phrases(df, entries, NEGATORS).collect()}
+    assert got == {1: ["neutral"], 2: None}
+
+
+def test_derived_phrases(spark):
+    rows = [("a b c", 0)] * 3 + [("b c", 1), ("b c", 0), ("c", 1), ("", 0), ("a", 0)]
+    found = derive_phrases(spark.createDataFrame(rows, "cleaned_text string, toxic int"))
+    assert {r.phrase: r.polarity for r in found.collect()} == {"a": 1, "b": -1, "c": -1, "a b": 1, "b c": -1}

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import plan_of
@@ -15,7 +16,7 @@ from postflow.schema import PROCESSED
 from postflow.sources.readers import (
     malformed_lines, read_envelopes, read_malformed, read_posts, stream_lines, stream_posts, stream_ticks,
 )
-from postflow.sources.sinks import envelope_files, read_batches, write_batch, write_batch_to_store
+from postflow.sources.sinks import envelope_files, read_batches, write_batch, write_batch_to_store, write_envelopes
 from postflow.staging import stage
 from postflow.streaming.flows import read_histogram, run_histogram, run_ingest, run_process, run_replay
 from test_posts import post, write_json
@@ -102,6 +103,40 @@ def test_topics_start_at_the_earliest_offset(monkeypatch):
     assert read_envelopes(Session, "kafka", subscribe="t").seen == {"format": "kafka", "startingOffsets": "earliest", "subscribe": "t"}
     assert read_envelopes(Session, "kafka", startingOffsets="latest").seen["startingOffsets"] == "latest"
     assert "startingOffsets" not in read_envelopes(Session, "text", stream=False, path="p").seen
+    assert read_envelopes(Session, "kafka", start="latest").seen["startingOffsets"] == "latest"
+    assert read_envelopes(Session, "kafka", start="2024-01-01T00:00:00").seen["startingTimestamp"] == "1704067200000"
+    with pytest.raises(ValueError):
+        read_envelopes(Session, "text", start="latest")
+
+
+def test_a_replay_to_a_topic_arrives_twice_and_can_be_told(spark, tmp_path):
+    from postflow.sources.sinks import envelope_topic, without_replays
+
+    path = str(tmp_path / "topic")
+    write = envelope_topic("json", path=path)
+    batches = [["a", "b"], ["a", "c", "c"]]
+    for number, values in [(0, batches[0]), (1, batches[1]), (1, batches[1])]:  # the second is replayed
+        write(spark.createDataFrame([(v,) for v in values], "value string"), number)
+    records = spark.read.schema("key string, value string").json(path)
+    assert records.count() == 8
+    assert sorted(r.value for r in without_replays(records).collect()) == ["a", "a", "b", "c"]
+
+
+def test_files_are_read_from_a_time_on(spark, tmp_path):
+    import os
+
+    folder = tmp_path / "topic"
+    folder.mkdir()
+    for hour, name in ((1, "old"), (3, "new")):
+        (folder / f"{name}.txt").write_text(f"{name}\n")
+        at = dt.datetime(2024, 1, 1, hour, tzinfo=dt.timezone.utc).timestamp()
+        os.utime(folder / f"{name}.txt", (at, at))
+    read = lambda **how: sorted(r.value for r in read_envelopes(spark, "text", stream=False, path=str(folder), **how).collect())
+    assert read() == ["new", "old"] and read(start="2024-01-01T02:00:00") == ["new"] and read(start="2024-01-01T03:00:00") == []
+    values = read_envelopes(spark, "text", path=str(folder), start="2024-01-01T02:00:00")
+    for _ in range(2):  # a restart reads nothing twice
+        write_envelopes(values, "text", str(tmp_path / "checkpoint"), {"availableNow": True}, path=str(tmp_path / "out")).awaitTermination()
+    assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == ["new"]
 
 
 def test_new_files_and_restarts_add_only_what_is_new(spark, tmp_path):
