@@ -15,6 +15,7 @@ from postflow.functions.score import sentiment_score
 from postflow.functions.text import clean_text, tokens
 from postflow.functions.times import parse_post_time
 from postflow.operators import nearest, reports, search, trends
+from postflow.operators.bitmaps import BitmapIndex, read_bitmaps, write_bitmaps
 from postflow.operators.block_index import BlockIndex, read_blocks, write_blocks
 from postflow.operators.dense_index import dense_index as add_dense_index
 from postflow.operators.joins import enrich_join as lookup, replay_join as replay
@@ -175,10 +176,17 @@ def curve_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_layout(spark, _built_once(spark, sf_dir, "curve", write))
 
 
+def bitmap_index(spark: SparkSession, sf_dir: str) -> BitmapIndex:
+    """The processed posts in order of their bitmaps' numbers."""
+    columns = ["id", "created_at", "lat", "lon", "hashtags", "text", "sentiment_score"]
+    write = lambda path: write_bitmaps(processed_table(spark, sf_dir).select(*columns), path)
+    return read_bitmaps(spark, _built_once(spark, sf_dir, "bitmaps", write))
+
+
 # What searches and reports read, built once; the bench times the building by itself.
 BUILDS = {
     "processed table": processed_table, "text index": text_index, "positional index": position_index,
-    "block index": block_index, "curve table": curve_table,
+    "block index": block_index, "curve table": curve_table, "bitmap index": bitmap_index,
 }
 
 
@@ -426,6 +434,10 @@ def combined_search_indexed(spark, sf_dir):
     return flat(found)
 
 
+def combined_search_bitmap(spark, sf_dir):
+    return flat(bitmap_index(spark, sf_dir).combined_search(ALL_TERMS[:2], "all", (FROM, TO), BOX))
+
+
 # --- reports, on the processed table ------------------------------------------------------
 
 
@@ -654,6 +666,7 @@ QUERIES = {
     "sentiment_by_cell": sentiment_by_cell,
     "combined_search": combined_search,
     "combined_search_indexed": combined_search_indexed,
+    "combined_search_bitmap": combined_search_bitmap,
     "layout_search": layout_search,
     "stream_replay": stream_replay,
     "stream_processed_posts": stream_processed_posts,

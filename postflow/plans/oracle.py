@@ -260,6 +260,10 @@ ORACLE = {
         f"""select {FLAT_COLUMNS} from processed
         where {_between(FROM, TO)} and {_box(*BOX)} and list_has_all({_token_list()}, {_list(ALL_TERMS[:2])})"""
     ),
+    "combined_search_bitmap": _scored(
+        f"""select {FLAT_COLUMNS} from processed
+        where {_between(FROM, TO)} and {_box(*BOX)} and list_has_all({_token_list()}, {_list(ALL_TERMS[:2])})"""
+    ),
     "layout_search": _scored(
         f"select {FLAT_COLUMNS} from processed where {_between(FROM, TO)} and {_box(*DATELINE_BOX)}"
     ),
