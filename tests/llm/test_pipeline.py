@@ -18,7 +18,7 @@ NATIVE = ["op1_chat_format", "op5_fingerprints", "op6_source_mix"]
 
 
 def test_all_are_registered():
-    assert [q.split("_")[0] for q in QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [q.split("_")[0] for q in QUERIES] == [f"op{n}" for n in range(1, 14)]
     assert set(QUERIES) | {"pipeline"} <= set(contract.queries()) and set(ORACLE) <= set(contract.oracle_sql())
 
 
