@@ -73,14 +73,15 @@ def mix_copies(
     max_epochs: int = 1,
     seed: int = 0,
     key: str = "doc_id",
+    name: str = "copies",
 ) -> DataFrame:
-    """All rows and columns of `documents` plus `copies`, how often the mixture has the row.
+    """All rows and columns of `documents` plus `copies`, or another `name`, how often the mixture has the row.
 
     `levels` names the tree's levels, from the root down, and gives their columns; `weights` see
     those names. The budget is `share` of all tokens. `tokens` null counts as 0; documents of no
     tokens cost nothing. The order within an epoch is a hash of seed, epoch and `key`; rows of
     one leaf with the same key are in or out together. Null names are nodes of their own. An empty
-    table stays empty. A column named `copies` is replaced.
+    table stays empty. A column of that name is replaced.
 
     Only keys, names and token counts are shuffled, never texts. A hot leaf's order is cut into
     hash ranges, whose sums are added up first; only the range that the budget ends in is sorted.
@@ -136,8 +137,8 @@ def mix_copies(
     )
     # The table's own columns are apart from those of the plan, whatever their names are.
     row, = unused(documents, "row")
-    rows = documents.drop("copies")
+    rows = documents.drop(name)
     paths = [c.alias(n) for n, c in named.items()]
     packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias(row), F.col(key).alias("_key"), *paths)
     copies = F.col("_epochs") + F.when(place(F.col("_key")) <= F.col("_last"), 1).otherwise(0)
-    return packed.join(decided, names).select(f"{row}.*", copies.cast("long").alias("copies"))
+    return packed.join(decided, names).select(f"{row}.*", copies.cast("long").alias(name))

@@ -61,7 +61,7 @@ DOMAIN_WEIGHT = "case domain when 'web' then 3.0 when 'books' then 2.0 else 1.0
 LANG_WEIGHT = "case lang when 'en' then 4.0 else 2.0 end"
 
 
-def mixture(documents: DataFrame, share: float, max_epochs: int) -> DataFrame:
+def mixture(documents: DataFrame, share: float, max_epochs: int, name: str = "copies") -> DataFrame:
     return mixing.mix_copies(
         documents,
         levels={"domain": F.expr(DOMAIN), "lang": F.col("lang"), "source": F.col("source")},
@@ -70,6 +70,7 @@ def mixture(documents: DataFrame, share: float, max_epochs: int) -> DataFrame:
         share=share,
         max_epochs=max_epochs,
         seed=17,
+        name=name,
     )
 
 
