@@ -184,14 +184,15 @@ def with_polarity(
     """Left join on `term`: broadcast where the lexicon's measured size allows, else shuffled.
 
     In the shuffle every term is salted by the column `salt` and the task it comes from, as common
-    words fill a large share of the rows; the lexicon is repeated once per salt.
+    words fill a large share of the rows; the lexicon is repeated once per salt. The planner, which
+    knows the size of the files but not of the repeats, is kept from broadcasting these.
     """
     if (lexicon_bytes(lexicon) if size is None else size) <= broadcast_bytes:
         return occurrences.join(F.broadcast(lexicon), "term", "left")
     number = F.pmod(F.xxhash64(salt, F.spark_partition_id()), F.lit(TERM_SALTS)).cast("int")
     salted = occurrences.withColumn("_salt", number)
     salts = F.explode(F.sequence(F.lit(0), F.lit(TERM_SALTS - 1)))
-    return salted.join(lexicon.withColumn("_salt", salts), ["term", "_salt"], "left")
+    return salted.join(lexicon.withColumn("_salt", salts).hint("merge"), ["term", "_salt"], "left")
 
 
 def hot_texts(sums: DataFrame, digest: str, share: float = 0.001, at_least: int = HOT_ROWS) -> list[str]:

@@ -63,6 +63,16 @@ def test_labels_do_not_depend_on_the_route(spark, terms, want, kind):
         labeller(stored, "guess")
 
 
+def test_a_large_lexicon_is_never_broadcast(spark):
+    """Its files are small enough for the planner, its repeats are not."""
+    stored = stage(spark.range(0, 5000).select(F.concat(F.lit("w"), "id").alias("term"), F.lit(1).cast("bigint").alias("polarity")), "lexicon")
+    words = spark.range(0, 20_000).select(F.col("id").alias("_digest"), F.concat(F.lit("w"), F.col("id") % 6000).alias("term"))
+    labelled = with_polarity(words, stored, broadcast_bytes=0)
+    assert labelled.where("polarity = 1").count() == sum(n % 6000 < 5000 for n in range(20_000))
+    plan = labelled._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
 def test_bias(spark):
     df = spark.createDataFrame([(1, "good"), (2, "none"), (3, "good good"), (3, "good good")], "id long, cleaned_text string")
     for route in ("inline", "join"):
