@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from postflow.functions.text import normal_terms
-from postflow.operators.text_index import BUCKETS, best_posts, idf, term_bucket
+from postflow.operators.text_index import BUCKETS, best_posts, by_range, idf, term_bucket
 from postflow.staging import stage
 
 POSTS_A_BLOCK = 256
@@ -14,22 +14,23 @@ FIRST, GROWTH, MOST = 16, 4, 1_024  # blocks of the first round, and how many mo
 ROUNDING = 1e-6
 
 
-def write_blocks(posting_rows: DataFrame, posts: int, path: str, buckets: int = BUCKETS, posts_a_block: int = POSTS_A_BLOCK) -> None:
+def write_blocks(
+    posting_rows: DataFrame, posts: int, path: str, buckets: int = BUCKETS, posts_a_block: int = POSTS_A_BLOCK, tasks: int | None = None
+) -> None:
     """Store postings `(term, id, tf)` cut into blocks of posts, and the largest count of each term in each block.
 
     The blocks are the same for all terms, dealt by a hash of the id, so the largest counts of a
     block's terms bound the score of all its posts. A term's postings lie block by block, in
     pages of about a block of a frequent term, which a reader of few blocks skips. Range-partitioned,
-    so a frequent term is written by many tasks. `posts` is the number of indexed posts.
+    so a frequent term is written by many of the `tasks`. `posts` is the number of indexed posts.
     """
     spark = posting_rows.sparkSession
     blocks = max(1, -(-posts // posts_a_block))
     order = ["bucket", "term", "block", "id"]
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    keyed = posting_rows.select("term", "id", "tf", term_bucket(F.col("term"), buckets).alias("bucket"), block.alias("block"))
     (
-        posting_rows.select("term", "id", "tf", term_bucket(F.col("term"), buckets).alias("bucket"), block.alias("block"))
-        .repartitionByRange(*order)
-        .sortWithinPartitions(*order)
+        by_range(keyed, order, tasks)
         .write.partitionBy("bucket")
         .option("parquet.page.row.count.limit", str(posts_a_block))
         .mode("overwrite")

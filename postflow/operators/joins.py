@@ -4,7 +4,7 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-from postflow.staging import stage
+from postflow.staging import stage, unused
 
 HOT_SHARE = 0.001  # a key with at least this share of the rows is hot, so at most 1,000 are
 HOT_ROWS = 100_000  # and this many rows
@@ -52,6 +52,20 @@ def require_unique(df: DataFrame, key: str) -> None:
         raise ValueError(f"{key} {found[0][0]!r} occurs more than once in the dimension")
 
 
+def split_repeated(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """The rows whose `key` no other row has, and the others, None if there are none. Null is a key.
+
+    Only keys are shuffled, and those that repeat are written once.
+    """
+    other, = unused(df, "repeated")
+    counted = df.groupBy(F.col(key).alias(other)).agg(F.count("*").alias("rows"))
+    found = stage(counted.where("rows > 1").select(other), "repeated-keys")
+    if found.isEmpty():
+        return df, None
+    same = F.col(key).eqNullSafe(F.col(other))
+    return df.join(found, same, "left_anti"), df.join(found, same, "left_semi")
+
+
 def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, at_least: int = 100_000) -> list:
     """Keys with at least `share` of the non-null rows, and `at_least` rows.
 

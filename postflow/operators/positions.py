@@ -4,27 +4,35 @@ import functools
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from postflow.functions.text import normal_terms, tokens
-from postflow.operators.text_index import BUCKETS, term_bucket
+from postflow.functions.text import normal_terms, word_places
+from postflow.operators.joins import split_repeated
+from postflow.operators.text_index import BUCKETS, by_range, term_bucket
 
 SPAN = 256  # words of a post in a block; also the longest phrase and the widest search
 
 
 def position_postings(df: DataFrame, text: str = "text", span: int = SPAN) -> DataFrame:
-    """Rows `(term, id, block, gaps)`: where a term stands in a post, counted in words from 0.
+    """Rows `(term, id, block, gaps, first)`: where a term stands in a post, counted in words from 0.
 
     A block covers `span` words of the post, so a row has at most that many positions. They are
     sorted and delta-coded: the first gap counts from the block's beginning, each other one from
-    the position before. All words of a post are in one task, so blocks are whole before the
-    shuffle. Rows of one id are one post; a null text has no rows.
+    the position before. `first` marks a term's first block in the post. Blocks are made in the
+    post's row, without a shuffle. Rows of one id are one post, and only where an id repeats their
+    blocks meet in a shuffle; a null text has no rows.
     """
-    words = df.select("id", F.posexplode(tokens(F.col(text))).alias("pos", "term"))
-    block = F.floor(F.col("pos") / span).cast("int")
-    held = words.groupBy("term", "id", block.alias("block")).agg(F.sort_array(F.collect_set("pos")).alias("places"))
+    placed = lambda rows: rows.select("id", F.inline(word_places(F.col(text), span)))
+    columns = ["term", "id", "block", "gaps", "first"]
+    once, repeated = split_repeated(df.select("id", text), "id")
+    if repeated is None:
+        return placed(once).select(columns)
+    words = placed(repeated).select("term", "id", "block", F.explode(places(span)).alias("pos"))
+    held = words.groupBy("term", "id", "block").agg(F.sort_array(F.collect_set("pos")).alias("places"))
     before = F.concat(F.array(F.col("block") * span), F.slice("places", F.lit(1), F.size("places") - 1))
-    return held.select("term", "id", "block", F.zip_with("places", before, lambda p, b: p - b).alias("gaps"))
+    first = F.col("block") == F.min("block").over(Window.partitionBy("term", "id"))
+    gaps = F.zip_with("places", before, lambda p, b: p - b).alias("gaps")
+    return placed(once).select(columns).unionByName(held.select("term", "id", "block", gaps, first.alias("first")))
 
 
 def places(span: int) -> Column:
@@ -36,33 +44,30 @@ def places(span: int) -> Column:
     return F.aggregate("gaps", start, step, lambda done: done["places"])
 
 
-def write_positions(posting_rows: DataFrame, path: str, buckets: int = BUCKETS, span: int = SPAN) -> None:
+def write_positions(posting_rows: DataFrame, path: str, buckets: int = BUCKETS, span: int = SPAN, tasks: int | None = None) -> None:
     """Store position postings in folders by term bucket, and the number of posts of each term likewise.
 
     Range-partitioned on `(bucket, term, id, block)`, so a term that fills a third of the index is
-    written by a third of the tasks. What reading needs is written last: an index without it is
-    unfinished. `span` is the one the rows were made with.
+    written by a third of the tasks, `tasks` or Spark's own number of them. What reading needs is
+    written last: an index without it is unfinished. `span` is the one the rows were made with.
     """
     spark = posting_rows.sparkSession
     order = ["bucket", "term", "id", "block"]
     (
-        posting_rows.withColumn("bucket", term_bucket(F.col("term"), buckets))
-        .repartitionByRange(*order)
-        .sortWithinPartitions(*order)
+        by_range(posting_rows.withColumn("bucket", term_bucket(F.col("term"), buckets)), order, tasks)
         .write.partitionBy("bucket")
         .mode("overwrite")
         .parquet(f"{path}/positions")
     )
     stored = spark.read.schema(_POSITIONS).parquet(f"{path}/positions")
-    # A post's blocks of a term lie together, so its first one stands for it.
-    firsts = stored.groupBy("bucket", "term", "id").agg(F.lit(1).alias("one"))
-    counts = firsts.groupBy("bucket", "term").agg(F.count("*").alias("df"))
+    # Each post counts by its first block of a term.
+    counts = stored.groupBy("bucket", "term").agg(F.count_if("first").alias("df"))
     counts.repartitionByRange("bucket", "term").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/counts")
     about = spark.createDataFrame([(buckets, span)], "buckets int, span int")
     about.coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
 
 
-_POSITIONS = "term string, id bigint, block int, gaps array<int>, bucket int"
+_POSITIONS = "term string, id bigint, block int, gaps array<int>, first boolean, bucket int"
 
 
 @dataclass(frozen=True)

@@ -7,22 +7,26 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from postflow.functions.text import has_terms, normal_terms, tokens
+from postflow.functions.text import has_terms, normal_terms, tokens, word_counts
+from postflow.operators.joins import split_repeated
 from postflow.staging import stage
 
 BUCKETS = 256
+TASK_BYTES = 8 << 20  # text whose postings one task sorts, some 200 MB of rows with positions
 
 
 def postings(df: DataFrame, text: str = "text") -> DataFrame:
     """One row `(term, id, tf)` per term of each post.
 
-    Repeats inside a post are combined before the shuffle; no term is ever gathered in one row.
+    Repeats inside a post are combined in its row, so what a task holds is bounded by its longest
+    post and nothing is shuffled. Only rows whose id repeats meet in a shuffle, as they are one
+    post; no term is ever gathered in one row.
     """
-    return (
-        df.select("id", F.explode(tokens(F.col(text))).alias("term"))
-        .groupBy("term", "id")
-        .agg(F.count("*").alias("tf"))
-    )
+    counted = lambda rows: rows.select("id", F.inline(word_counts(F.col(text)))).select("term", "id", "tf")
+    once, repeated = split_repeated(df.select("id", text), "id")
+    if repeated is None:
+        return counted(once)
+    return counted(once).unionByName(counted(repeated).groupBy("term", "id").agg(F.sum("tf").alias("tf")))
 
 
 def doc_counts(posting_rows: DataFrame) -> DataFrame:
@@ -30,19 +34,31 @@ def doc_counts(posting_rows: DataFrame) -> DataFrame:
     return posting_rows.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def write_index(posting_rows: DataFrame, posts: int, path: str, buckets: int = BUCKETS) -> None:
+def index_tasks(texts: DataFrame, text: str = "text") -> int | None:
+    """How many tasks sort the postings of `texts`, so that each one sorts those of `TASK_BYTES` of text; None for Spark's own number if that is enough."""
+    size = texts.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    tasks = -(-size // TASK_BYTES)
+    return tasks if tasks > int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def by_range(df: DataFrame, order: list[str], tasks: int | None = None) -> DataFrame:
+    """Range-partitioned on `order` and sorted inside the partitions."""
+    dealt = df.repartitionByRange(tasks, *order) if tasks else df.repartitionByRange(*order)
+    return dealt.sortWithinPartitions(*order)
+
+
+def write_index(posting_rows: DataFrame, posts: int, path: str, buckets: int = BUCKETS, tasks: int | None = None) -> None:
     """Store postings in folders by term bucket, the document counts likewise, and what reading needs.
 
     The rows are range-partitioned on `(bucket, term, id)`, so a term that fills a third of the
-    index is written by a third of the tasks. `posts` is the number of indexed posts. The bucket
-    count and it are written last: an index without them is unfinished.
+    index is written by a third of the tasks, of which `index_tasks` has a number that grows with
+    the texts. `posts` is the number of indexed posts. The bucket count and it are written last: an
+    index without them is unfinished.
     """
     spark = posting_rows.sparkSession
     order = ["bucket", "term", "id"]
     (
-        posting_rows.withColumn("bucket", term_bucket(F.col("term"), buckets))
-        .repartitionByRange(*order)
-        .sortWithinPartitions(*order)
+        by_range(posting_rows.withColumn("bucket", term_bucket(F.col("term"), buckets)), order, tasks)
         .write.partitionBy("bucket")
         .mode("overwrite")
         .parquet(f"{path}/postings")

@@ -23,7 +23,7 @@ from postflow.operators.lexicon import derive_lexicon, labeller, normal_lexicon,
 from postflow.operators.model import fit_naive_bayes
 from postflow.operators.phrases import derive_phrases, label_by_phrases
 from postflow.operators.positions import PositionIndex, position_postings, read_positions, write_positions
-from postflow.operators.text_index import TextIndex, doc_counts, postings, ranked_search as rank, read_index, write_index
+from postflow.operators.text_index import TextIndex, doc_counts, index_tasks, postings, ranked_search as rank, read_index, write_index
 from postflow.plans.posts import annotation_labels as unpack_annotations, compat_columns as five_columns, enrich, process
 from postflow.sources.layout import compact, read_layout, write_layout
 from postflow.sources.readers import malformed_lines, read_envelopes, read_posts, stream_posts
@@ -149,15 +149,19 @@ def text_index(spark: SparkSession, sf_dir: str) -> TextIndex:
     """The stored inverted index."""
 
     def write(path: str) -> None:
-        posts = table(spark, sf_dir, "documents").count()
-        write_index(inverted_index(spark, sf_dir), posts, path)
+        documents = table(spark, sf_dir, "documents")
+        write_index(inverted_index(spark, sf_dir), documents.count(), path, tasks=index_tasks(documents))
 
     return read_index(spark, _built_once(spark, sf_dir, "text-index", write))
 
 
 def position_index(spark: SparkSession, sf_dir: str) -> PositionIndex:
     """The stored positional index."""
-    write = lambda path: write_positions(position_postings(enriched_posts(spark, sf_dir), "cleaned_text"), path)
+
+    def write(path: str) -> None:
+        tasks = index_tasks(table(spark, sf_dir, "documents"))
+        write_positions(position_postings(enriched_posts(spark, sf_dir), "cleaned_text"), path, tasks=tasks)
+
     return read_positions(spark, _built_once(spark, sf_dir, "positions", write))
 
 
@@ -165,7 +169,8 @@ def block_index(spark: SparkSession, sf_dir: str) -> BlockIndex:
     """The stored postings in blocks."""
 
     def write(path: str) -> None:
-        write_blocks(inverted_index(spark, sf_dir), table(spark, sf_dir, "documents").count(), path)
+        documents = table(spark, sf_dir, "documents")
+        write_blocks(inverted_index(spark, sf_dir), documents.count(), path, tasks=index_tasks(documents))
 
     return read_blocks(spark, _built_once(spark, sf_dir, "blocks", write))
 

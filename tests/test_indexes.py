@@ -139,3 +139,43 @@ def test_blocks_of_a_stop_word_are_skipped(spark, tmp_path, monkeypatch):
     assert ranked(found.best) == ranked(ranked_search(df, ["the", "flood", "x"], 5))
     assert found.blocks == 300 and found.read < 60
     assert index.ranked_search(["absent"], 5).read == 0
+
+
+REPEATED = [(1, "rain rain the"), (1, "the river"), (None, "rain"), (None, "rain 42 rain"), (2, "the rain"), (3, None), (4, ""), (5, "ÜBER über x")]
+
+
+def test_repeated_ids_are_one_post(spark):
+    rows = spark.createDataFrame(REPEATED, "id long, text string").repartition(4)
+    want = collections.Counter((w, i) for i, text in REPEATED for w in words(text))
+    assert {(r.term, r.id): r.tf for r in postings(rows).collect()} == want
+    places = collections.defaultdict(set)
+    for i, text in REPEATED:
+        for p, w in enumerate(words(text)):
+            places[w, i].add(p)
+    got = position_postings(rows, span=2).withColumn("at", positions.places(2)).collect()
+    found = collections.defaultdict(set)
+    for r in got:
+        assert not found[r.term, r.id] & set(r.at) and all(p // 2 == r.block for p in r.at)
+        found[r.term, r.id] |= set(r.at)
+    assert found == places
+    assert collections.Counter((r.term, r.id) for r in got if r.first) == dict.fromkeys(places, 1)
+
+
+@pytest.mark.parametrize("made", [postings, position_postings])
+def test_postings_are_made_without_a_shuffle(spark, made):
+    plan = made(spark.createDataFrame(TEXTS, "id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
+
+
+def test_tasks_that_sort_an_index_grow_with_the_texts(spark, df, conf, monkeypatch, tmp_path):
+    from postflow.operators import text_index
+
+    assert text_index.index_tasks(df) is None
+    size = sum(len(t.encode()) for _, t in TEXTS if t)
+    monkeypatch.setattr(text_index, "TASK_BYTES", size // 20)
+    tasks = text_index.index_tasks(df)
+    assert tasks in (20, 21) and text_index.by_range(postings(df), ["term"], tasks).rdd.getNumPartitions() == tasks
+    write_positions(position_postings(df), str(tmp_path), buckets=8, tasks=tasks)
+    stored = read_positions(spark, str(tmp_path))
+    want = sum("the" in words(t) for _, t in TEXTS)
+    assert stored.counts(["the"]).collect()[0]["df"] == want
