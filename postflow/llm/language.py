@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -22,11 +23,13 @@ START = 0  # stands before a text's first byte
 # The limit on a language's bits a byte: so many times what this share of its texts stays below,
 # and bits that any text may cost beyond it (about what an e-mail address and a key take).
 MARGIN, USUAL, SPARE = 2.6, 0.75, 256
+STEP = 1 / 4096  # bits a byte that rates are rounded to before they are counted
+HELD_RUNS = 2 << 20  # different runs that a counting task holds
 
 
 @dataclass(frozen=True)
 class Bounds:
-    """How much the model is fitted on: whole texts, chosen by a hash of their key.
+    """A smaller fit, if asked for: whole texts, chosen by a hash of their key. Without, all texts are learned.
 
     Every labelled language is learned. It has `texts` texts, or an equal share of `all_texts`
     (one at least) if there are many languages, each of at most `text_bytes` UTF-8 bytes; a
@@ -119,31 +122,34 @@ def _find(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def fit_languages(
-    documents: DataFrame, learn: Column | None = None, bounds: Bounds = Bounds(), key: str = "doc_id"
+    documents: DataFrame, learn: Column | None = None, bounds: Bounds | None = None, key: str = "doc_id"
 ) -> ContextModel:
-    """Fit on the rows of `documents` that `learn` allows and whose `text` and `lang` are not null.
+    """Fit on the rows of `documents` that `learn` allows and whose `text` and `lang` are not null; on all, unless `bounds` are given.
 
-    The chosen texts are counted where they are; only the counts of byte runs reach the driver,
-    and there are no more of them than bytes in the chosen texts.
+    Texts are counted where they are; only the counts of different runs of four bytes reach the
+    driver, which grow with the alphabets and not with the number of texts.
     """
-    return _model(_counted(_chosen(documents, learn, bounds, key), "lang").toPandas())
+    return _model(_all_sizes(_counted(_chosen(documents, learn, bounds, key), "lang").toArrow().to_pandas(), "lang"))
 
 
 def fit_limits(
-    documents: DataFrame, learn: Column | None = None, bounds: Bounds = Bounds(), key: str = "doc_id"
+    documents: DataFrame, learn: Column | None = None, bounds: Bounds | None = None, key: str = "doc_id"
 ) -> tuple[ContextModel, dict[str, float]]:
     """The model of `fit_languages`, and for each language the bits a byte that its texts stay below by far.
 
-    The chosen texts are dealt into two halves by their hash, so that copies stay together, and
-    each half is measured by a model of the other in the language of its label: `MARGIN` times
-    what `USUAL` of them need at most. A language with texts in one half only has no limit.
+    The learned texts, all unless `bounds` are given, are dealt into two halves by their hash, so
+    that copies stay together, and each half is measured by a model of the other in the language of
+    its label: `MARGIN` times what `USUAL` of them need at most, by steps of `STEP` bits. A
+    language with texts in one half only has no limit.
     """
     half = F.pmod(F.xxhash64(F.lit(11), "text"), F.lit(2)).cast("int")
-    texts = settle(_chosen(documents, learn, bounds, key).withColumn("_half", half), "language-texts")
-    counts = _counted(texts, "_half", "lang").toPandas()
+    texts = _chosen(documents, learn, bounds, key).withColumn("_half", half)
+    texts = texts if bounds is None else settle(texts, "language-texts")
+    counts = _all_sizes(_counted(texts, "_half", "lang").toArrow().to_pandas(), "_half", "lang")
     whole = _model(counts.groupby(["lang", "size", "run"], as_index=False)["n"].sum())
     halves = [_model(counts[counts["_half"] != h].drop(columns="_half")) for h in (0, 1)]
-    shared = documents.sparkSession.sparkContext.broadcast(halves)  # bounded by `Bounds`
+    del counts
+    shared = documents.sparkSession.sparkContext.broadcast(halves)  # as large as there are different runs
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,7 +167,9 @@ def fit_limits(
 
     lettered = texts.where(F.col("text").rlike(r"\p{L}"))
     rates = lettered.select("lang", "_half", F.lower("text").alias("text")).mapInArrow(measure, "lang string, rate double")
-    usual = rates.where(F.col("rate").isNotNull()).groupBy("lang").agg(F.percentile("rate", F.lit(USUAL)).alias("rate"))
+    # Counts of rounded rates, so that a language's group holds some ten thousand numbers for any number of texts.
+    steps = rates.where(F.col("rate").isNotNull()).groupBy("lang", (F.round(F.col("rate") / STEP) * STEP).alias("rate")).agg(F.count("*").alias("texts"))
+    usual = steps.groupBy("lang").agg(F.percentile("rate", F.lit(USUAL), F.col("texts")).alias("rate"))
     return whole, {r["lang"]: MARGIN * r["rate"] for r in usual.collect()}
 
 
@@ -174,11 +182,13 @@ def keeps_limit(found: Column, text: Column, limits: dict[str, float]) -> Column
     return found["bits_per_byte"] <= limit + F.lit(float(SPARE)) / size
 
 
-def _chosen(documents: DataFrame, learn: Column | None, bounds: Bounds, key: str) -> DataFrame:
-    """`(lang, text)` of the rows to learn from. Rows without a key are not learned."""
+def _chosen(documents: DataFrame, learn: Column | None, bounds: Bounds | None, key: str) -> DataFrame:
+    """`(lang, text)` of the rows to learn from: all that are allowed, or those that `bounds` choose by their key."""
     allowed = F.coalesce(learn, F.lit(False)) if learn is not None else F.lit(True)
     rows = documents.where(allowed).select(F.col(key).alias("_key"), "lang", F.col("text").cast("string").alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    if bounds is None:
+        return rows.select("lang", "text")
     # Chosen from narrow rows; the texts of the chosen ones are read afterwards. Of a frequent
     # language only the rows with the least hashes, four times as many as are wanted, are ranked.
     size = F.octet_length("text")
@@ -199,31 +209,76 @@ def _chosen(documents: DataFrame, learn: Column | None, bounds: Bounds, key: str
 
 
 def _counted(texts: DataFrame, *by: str) -> DataFrame:
-    """How often each byte run of each size occurs in the texts of each language, or of each half and language."""
+    """How often each run of four bytes occurs in the texts of each language, or of each half and language."""
     kinds = dict(texts.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in by)
     return (
         texts.select(*by, F.lower("text").alias("text"))
-        .mapInArrow(_count_runs, f"{schema}, size int, run long, n long")
-        .groupBy(*by, "size", "run").agg(F.sum("n").alias("n"))
+        .mapInArrow(_count_runs, f"{schema}, run long, n long")
+        .groupBy(*by, "run").agg(F.sum("n").alias("n"))
     )
 
 
+def _all_sizes(counts, *by: str):
+    """Counts of four-byte runs, and those of the shorter runs that they end in: each byte ends one run of each size."""
+    counts["size"] = ORDER
+    sizes = [counts]
+    for size in range(ORDER - 1, -1, -1):
+        shorter = sizes[-1].assign(run=sizes[-1]["run"] & ((1 << 8 * (size + 1)) - 1), size=size)
+        sizes.append(shorter.groupby([*by, "size", "run"], as_index=False)["n"].sum())
+    return pd.concat(sizes, ignore_index=True)
+
+
 def _count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs are counted slice by slice; a task gives its counts away whenever it holds too many."""
+    by, fields, groups = [], [], {}
+    held, pending = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), []
     for batch in batches:
         by = [name for name in batch.schema.names if name != "text"]
-        groups = list(zip(*(batch.column(name).to_pylist() for name in by)))
+        fields = [batch.schema.field(name).type for name in by]
+        keys = zip(*(batch.column(name).to_pylist() for name in by))
+        of = np.array([groups.setdefault(key, len(groups)) for key in keys], np.uint64)
         data, starts = text_bytes(batch.column("text"))
-        for group in sorted(set(groups)):
-            parts = [data[starts[i]:starts[i + 1]] for i, g in enumerate(groups) if g == group]
-            edges = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-            for size, runs in enumerate(_runs(np.concatenate(parts), edges)):
-                values, counts = np.unique(runs, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([value] * len(values), batch.schema.field(name).type) for name, value in zip(by, group)]
-                    + [pa.array(np.full(len(values), size, np.int32)), pa.array(values.astype(np.int64)), pa.array(counts.astype(np.int64))],
-                    names=[*by, "size", "run", "n"],
-                )
+        for part, edges, texts, lead in _pieces(data, starts):
+            runs = _runs(part, edges)[ORDER].astype(np.uint64)
+            group = np.repeat(of[texts], np.diff(edges))
+            pending.append(np.unique(((group << np.uint64(32)) | runs)[lead:], return_counts=True))
+            if sum(len(values) for values, _ in pending) > HELD_RUNS:
+                held, pending = _merged([held, *pending]), []
+                if len(held[0]) > HELD_RUNS:
+                    yield _run_rows(held, groups, by, fields)
+                    held = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    held = _merged([held, *pending])
+    if len(held[0]):
+        yield _run_rows(held, groups, by, fields)
+
+
+def _pieces(data: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, slice, int]]:
+    """Slices of whole texts: bytes, where each text begins, which texts, and how many bytes are there for context only. A long text comes in pieces."""
+    for a, b in slices(starts):
+        if b - a > 1 or starts[b] - starts[a] <= 1 << 20:
+            yield data[starts[a]:starts[b]], starts[a:b + 1] - starts[a], slice(a, b), 0
+            continue
+        for at in range(int(starts[a]), int(starts[b]), 1 << 20):
+            end = min(at + (1 << 20), int(starts[b]))
+            lead = min(ORDER, at - int(starts[a]))
+            yield data[at - lead:end], np.array([0, end - at + lead]), slice(a, b), lead
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    values, of = np.unique(np.concatenate([v for v, _ in parts]), return_inverse=True)
+    total = np.zeros(len(values), np.int64)
+    np.add.at(total, of, np.concatenate([n for _, n in parts]))
+    return values, total
+
+
+def _run_rows(held: tuple[np.ndarray, np.ndarray], groups: dict, by: list[str], fields: list) -> pa.RecordBatch:
+    values, counts = held
+    names = list(groups)
+    of = pa.array((values >> np.uint64(32)).astype(np.int64))
+    columns = [pa.array([name[i] for name in names], kind).take(of) for i, kind in enumerate(fields)]
+    runs = (values & np.uint64((1 << 32) - 1)).astype(np.int64)
+    return pa.RecordBatch.from_arrays([*columns, pa.array(runs), pa.array(counts)], names=[*by, "run", "n"])
 
 
 def _model(counts) -> ContextModel:
@@ -273,7 +328,7 @@ def language_of(spark: SparkSession, model: ContextModel) -> Callable[[Column],
     beforehand. Null, empty and letterless texts, and every text if nothing was learned, are
     `und` with score 0 and null bits.
     """
-    shared = spark.sparkContext.broadcast(model)  # bounded by `Bounds`
+    shared = spark.sparkContext.broadcast(model)  # as large as there are different runs
 
     @F.arrow_udf("lang_pred string, score double, bits_per_byte double")
     def identify(texts: pa.Array, letters: pa.Array) -> pa.Array:

@@ -88,6 +88,20 @@ def test_fit_is_bounded(spark, documents):
     assert {r["lang"]: r["count"] for r in chosen} == {"en": 4, "fr": 4}
 
 
+def test_all_texts_are_learned(spark, documents):
+    """More than any sample: each text's own word is known, one cut across pieces and rows without a key too."""
+    rows = [(i if i % 2 else None, f"w{i:04}x", "en") for i in range(1000)] + [(5000, "ab" * (1 << 20) + "q!", "xx")]
+    model = language.fit_languages(documents(rows))
+    runs = lambda n: sum(language._find(model.codes[3], np.array([int.from_bytes(f"{i:04}".encode()) for i in range(n)], np.uint32))[1])
+    assert runs(1000) == 1000
+    one = language.fit_limits(documents(rows))[0]
+    assert all((a == b).all() for a, b in zip(one.codes, model.codes))
+    counts = language._all_sizes(language._counted(documents(rows), "lang").toArrow().to_pandas(), "lang")
+    total = counts[counts["lang"] == "xx"].groupby("size")["n"].sum()
+    assert list(total) == [(2 << 20) + 2] * 4
+    assert counts[(counts["lang"] == "xx") & (counts["size"] == 3)].set_index("run")["n"][int.from_bytes(b"abab")] == (1 << 20) - 1
+
+
 def test_every_language_is_learned(spark, documents):
     """Seventy languages that share the budget of texts, one of them with long texts only."""
     rng = np.random.default_rng(3)
