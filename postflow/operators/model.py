@@ -15,7 +15,7 @@ SCALE = 1_000_000  # log-odds are kept as whole millionths, so that sums do not
 
 
 def fit_naive_bayes(labelled: DataFrame, smoothing: int = 100, min_posts: int = 3) -> tuple[DataFrame, int]:
-    """`(term, polarity)` and a bias for `labeller`, from posts with `cleaned_text` and a label `toxic`, 0 or 1.
+    """`(term, polarity, posts)` and a bias for `labeller`, from posts with `cleaned_text` and a label `toxic`, 0 or 1.
 
     Naive Bayes over the presence of terms, in closed form: a term's polarity is the log-odds that
     a post with it is not toxic, after `smoothing` posts with the term's overall share were added to
@@ -32,7 +32,7 @@ def fit_naive_bayes(labelled: DataFrame, smoothing: int = 100, min_posts: int =
         .groupBy("term")
         .agg(F.count_if(F.col("toxic") == 0).alias("_good"), F.count_if(F.col("toxic") == 1).alias("_bad"))
         .where(good + bad >= min_posts)
-        .select("term", F.round(odds * SCALE).cast("bigint").alias("polarity"))
+        .select("term", F.round(odds * SCALE).cast("bigint").alias("polarity"), (good + bad).alias("posts"))
     )
     return terms, round(math.log((other + 1) / (toxic + 1)) * SCALE)
 

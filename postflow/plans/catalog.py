@@ -308,6 +308,10 @@ def _labels(labelled):
     return labelled.select("id", F.array_join("sentiment_result", ",").alias("label"))
 
 
+def lexicon_terms(spark, sf_dir):
+    return lexicon(spark, sf_dir).select("term", "polarity")
+
+
 def sentiment_lexicon(spark, sf_dir):
     posts = enriched_posts(spark, sf_dir).select("id", "cleaned_text")
     return _labels(stored_labeller(spark, sf_dir)(posts))
@@ -637,7 +641,7 @@ QUERIES = {
     "enrich_join": enrich_join,
     "envelope_roundtrip": envelope_roundtrip,
     "envelope_rejects": envelope_rejects,
-    "lexicon_terms": lexicon,
+    "lexicon_terms": lexicon_terms,
     "sentiment_lexicon": sentiment_lexicon,
     "sentiment_lexicon_joined": sentiment_lexicon_joined,
     "sentiment_phrases": sentiment_phrases,

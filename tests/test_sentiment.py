@@ -1,6 +1,7 @@
 """Lexicon and learned labels."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,6 +74,30 @@ def test_a_large_lexicon_is_never_broadcast(spark):
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
 
 
+def test_only_rare_words_of_a_large_lexicon_are_shuffled(spark, monkeypatch):
+    """The most frequent terms that fit are broadcast; the salted shuffle of all words is left to a lexicon without counts."""
+    from postflow.operators import lexicon as module
+
+    rows = [(f"w{i}", 1 if i % 3 else -1, 2000 // (i + 1)) for i in range(300)] + [("odd", -1, None), ("w7", 3, None)]
+    stored = spark.createDataFrame(rows, "term string, polarity int, posts bigint")
+    rng = random.Random(4)
+    texts = [" ".join(f"w{min(int(rng.paretovariate(0.4)), 400)}" for _ in range(rng.randrange(12))) for _ in range(500)] + ["odd", "", "odd w299 w299", None]
+    df = spark.createDataFrame([(t,) for t in texts + texts[:90]], "cleaned_text string")
+    want = sorted(str((r[0], r[1])) for r in labeller(stored)(df).collect())
+    seen = []
+    real = module.with_polarity
+    monkeypatch.setattr(module, "with_polarity", lambda *args, **options: seen.append(1) or real(*args, **options))
+    limit = 20 * (module.ENTRY_BYTES + 3)
+    terms = module.normal_lexicon(stored)
+    least = module.least_posts(terms, module.lexicon_bytes(terms), limit)
+    held = [r.term for r in terms.where(F.col("posts") >= least).collect()]
+    assert 10 <= len(held) <= 20 and "w0" in held
+    assert sorted(str((r[0], r[1])) for r in labeller(stored, broadcast_bytes=limit)(df).collect()) == want
+    assert not seen
+    assert sorted(str((r[0], r[1])) for r in labeller(stored.drop("posts"), broadcast_bytes=limit)(df).collect()) == want
+    assert seen
+
+
 def test_bias(spark):
     df = spark.createDataFrame([(1, "good"), (2, "none"), (3, "good good"), (3, "good good")], "id long, cleaned_text string")
     for route in ("inline", "join"):
