@@ -177,7 +177,7 @@ def block_index(spark: SparkSession, sf_dir: str) -> BlockIndex:
 
 def curve_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The processed posts in the layout along the curve."""
-    write = lambda path: write_layout(processed_table(spark, sf_dir), path, cluster="curve")
+    write = lambda path: write_layout(processed_table(spark, sf_dir), path, cluster="curve", stored=True)
     return read_layout(spark, _built_once(spark, sf_dir, "curve", write))
 
 

@@ -15,6 +15,7 @@ from postflow.operators import search
 from postflow.operators.nearest import nearest_posts
 from postflow.schema import PROCESSED
 from postflow.sources.layout import read_layout, write_layout
+from test_search import make_rows
 
 UTC = dt.timezone.utc
 BOXES = {
@@ -172,3 +173,18 @@ def test_no_cross_join(spark):
     df = frame(spark, [(i, *p) for i, p in enumerate(points(50, 5)[:50])])
     plan = plan_of(nearest_posts(df, df, 3))
     assert not any(word in plan for word in ("NestedLoop", "Cartesian", "Python"))
+
+
+def test_stored_posts_are_not_written_again(spark, tmp_path, monkeypatch):
+    """The curve's layout is made straight from the stored processed posts, with the same rows."""
+    from postflow.sources import layout
+
+    posts = spark.createDataFrame(list(make_rows(300, 4)), PROCESSED)
+    write_layout(posts, str(tmp_path / "cell"))
+    stored = read_layout(spark, str(tmp_path / "cell"))
+    made = []
+    real = layout.new_folder
+    monkeypatch.setattr(layout, "new_folder", lambda *args: made.append(args) or real(*args))
+    write_layout(stored, str(tmp_path / "curve"), cluster="curve", stored=True)
+    rows = lambda df: sorted(map(str, df.select(*PROCESSED.fieldNames()).collect()))
+    assert not made and rows(read_layout(spark, str(tmp_path / "curve"))) == rows(posts)
