@@ -4,8 +4,11 @@ import datetime as dt
 import functools
 import math
 import operator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from postflow.functions.geo import cell
@@ -18,40 +21,76 @@ from postflow.staging import discard, new_folder, stage
 
 TERM_BUCKETS = 4_096
 CELL_DEGREES = 10.0
+PART = 32_768  # posts of a bitmap, as Spark's bitmap functions have them
 GRANULE = 1_024  # ordinals that are read together
 RANGES = 500  # ranges of granules that a scan is told of; with more it is told their ends only
 
 
-def write_bitmaps(posts: DataFrame, path: str, term_buckets: int = TERM_BUCKETS, degrees: float = CELL_DEGREES) -> None:
+def write_bitmaps(
+    posts: DataFrame, path: str, term_buckets: int = TERM_BUCKETS, degrees: float = CELL_DEGREES, stored: bool = False
+) -> None:
     """Store posts `(id, created_at, lat, lon, text, ...)` in order of day and cell, numbered, and bitmaps of the numbers.
 
     There is a bitmap per bucket of terms, per day and per cell, for every 32,768 posts that it has
-    any of. They are combined before the shuffle. What reading needs is written last.
+    any of. They are combined before the shuffle; those of terms, of which a post has many, as the
+    posts are read in the order of their numbers, so that no row per word is made or sorted. What
+    reading needs is written last. Posts of `stored` files that stay are not written ahead.
     """
     spark = posts.sparkSession
     lat_cell, lon_cell = cell(F.col("lat"), F.col("lon"), degrees)
     keyed = posts.select("*", utc_date(F.col("created_at")).alias("_day"), lat_cell.alias("_lat"), lon_cell.alias("_lon"))
     slots = new_folder(spark, "bitmap-input")
-    numbered = dense_index(keyed, ["_day", "_lat", "_lon", "id"], "ordinal", path=slots)
+    numbered = dense_index(keyed, ["_day", "_lat", "_lon", "id"], "ordinal", path=slots, stored=stored)
     numbered.drop("_day", "_lat", "_lon").write.mode("overwrite").parquet(f"{path}/posts")
     # Bit positions count from 1.
     kinds = [
         F.struct(F.lit("day").alias("kind"), F.col("_day").cast("string").alias("value")),
         F.struct(F.lit("cell").alias("kind"), F.concat_ws("_", "_lat", "_lon").alias("value")),
     ]
-    words = F.transform(F.array_distinct(F.transform(tokens(F.col("text")), lambda t: term_bucket(t, term_buckets))), lambda b: F.struct(
-        F.lit("term").alias("kind"), b.cast("string").alias("value")))
-    all_ = F.concat(F.coalesce(words, F.array().cast("array<struct<kind:string,value:string>>")), F.array(*kinds))
-    marks = numbered.select((F.col("ordinal") + 1).alias("at"), F.inline(all_)).where(F.col("value").isNotNull() & (F.col("value") != ""))
-    maps = marks.groupBy("kind", "value", F.bitmap_bucket_number("at").alias("part")).agg(
+    marks = numbered.select((F.col("ordinal") + 1).alias("at"), F.inline(F.array(*kinds))).where(F.col("value").isNotNull() & (F.col("value") != ""))
+    few = marks.groupBy("kind", "value", F.bitmap_bucket_number("at").alias("part")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")
     )
+    buckets = F.array_distinct(F.transform(tokens(F.col("text")), lambda t: term_bucket(t, term_buckets)))
+    words = numbered.where(F.col("text").isNotNull()).select("ordinal", buckets.cast("array<int>").alias("buckets"))
+    made = words.mapInArrow(functools.partial(term_bitmaps, term_buckets), "value string, part bigint, bits binary")
+    terms = made.groupBy("value", "part").agg(F.bitmap_or_agg("bits").alias("bits"))
+    maps = few.unionByName(terms.withColumn("kind", F.lit("term")))
     maps.repartitionByRange("kind", "value", "part").sortWithinPartitions("kind", "value", "part").write.partitionBy("kind").mode("overwrite").parquet(f"{path}/bitmaps")
     discard(spark, slots)
     about = spark.createDataFrame([(term_buckets, degrees)], "term_buckets int, degrees double")
     about.coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
 
 
+def term_bitmaps(term_buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """`(value, part, bits)` of posts `(ordinal, buckets)`, each with a bucket once; a part is held as one table of bits until another begins."""
+    held, bits = None, np.zeros((term_buckets, PART // 8), np.uint8)
+
+    def done() -> Iterator[pa.RecordBatch]:
+        some = np.flatnonzero(bits.any(axis=1))
+        for at in range(0, len(some), 1_024):
+            rows = some[at:at + 1_024]
+            yield pa.RecordBatch.from_pydict({
+                "value": [str(b) for b in rows], "part": pa.array(np.full(len(rows), held + 1)), "bits": [bits[b].tobytes() for b in rows]
+            })
+
+    for batch in batches:
+        lists = batch.column("buckets")
+        ordinals = np.repeat(batch.column("ordinal").to_numpy(), lists.value_lengths().to_numpy())
+        buckets = lists.flatten().to_numpy()
+        parts = ordinals // PART
+        for part in np.unique(parts):
+            if part != held:
+                if held is not None:
+                    yield from done()
+                held = part
+                bits[:] = 0
+            at, bucket = ordinals[parts == part] % PART, buckets[parts == part]
+            np.bitwise_or.at(bits, (bucket, at // 8), (1 << (at % 8)).astype(np.uint8))
+    if held is not None:
+        yield from done()
+
+
 _BITMAPS = "value string, part bigint, bits binary, kind string"
 
 

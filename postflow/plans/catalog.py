@@ -184,7 +184,7 @@ def curve_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bitmap_index(spark: SparkSession, sf_dir: str) -> BitmapIndex:
     """The processed posts in order of their bitmaps' numbers."""
     columns = ["id", "created_at", "lat", "lon", "hashtags", "text", "sentiment_score"]
-    write = lambda path: write_bitmaps(processed_table(spark, sf_dir).select(*columns), path)
+    write = lambda path: write_bitmaps(processed_table(spark, sf_dir).select(*columns), path, stored=True)
     return read_bitmaps(spark, _built_once(spark, sf_dir, "bitmaps", write))
 
 

@@ -2,6 +2,7 @@
 
 import glob
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -84,3 +85,28 @@ def test_many_hits_are_one_range(spark, monkeypatch):
     many = spark.range(0, 20_000, 3_000).withColumnRenamed("id", "ordinal")
     assert hit_ranges(many) == [(0, 18 * 1024 - 1)] and hit_ranges(many.where("ordinal > 15000")) == [(17 * 1024, 18 * 1024 - 1)]
     assert hit_ranges(many.where("false")) == []
+
+
+def test_bits_of_words_are_set_post_by_post():
+    """No row per word: a task holds one table of bits, also where numbers go back to an earlier part."""
+    posts = [(5, [0, 3]), (32_767, [3]), (32_768, [1]), (70_000, []), (70_001, [3, 2]), (6, [3])]
+    batches = [pa.RecordBatch.from_pydict({
+        "ordinal": pa.array([n for n, _ in some], pa.int64()), "buckets": pa.array([b for _, b in some], pa.list_(pa.int32()))
+    }) for some in (posts[:3], posts[3:])]
+    found = set()
+    for made in bitmaps.term_bitmaps(4, iter(batches)):
+        for row in made.to_pylist():
+            assert len(row["bits"]) == 4_096
+            found |= {((row["part"] - 1) * 32_768 + at * 8 + bit, int(row["value"]))
+                      for at, byte in enumerate(row["bits"]) for bit in range(8) if byte >> bit & 1}
+    assert found == {(n, b) for n, some in posts for b in some}
+
+
+def test_words_over_several_parts(spark, tmp_path):
+    text = F.concat(F.lit("the w"), F.col("id") % 7, F.when(F.col("id") % 40_000 == 9, " zebra").otherwise(""))
+    posts = spark.range(0, 70_000, 1, 3).select("id", F.timestamp_seconds(F.col("id")).alias("created_at"), F.lit(1.0).alias("lat"), F.lit(2.0).alias("lon"), text.alias("text"))
+    write_bitmaps(posts, str(tmp_path / "bitmaps"))
+    index = read_bitmaps(spark, str(tmp_path / "bitmaps"))
+    hits = index.posts().join(index.candidates(terms=["zebra", "the"], mode="all"), "ordinal")
+    assert ids(hits) == [9, 40_009]
+    assert index.candidates(terms=["w3"]).count() == 10_000
