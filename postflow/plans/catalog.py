@@ -28,7 +28,7 @@ from postflow.plans.posts import annotation_labels as unpack_annotations, compat
 from postflow.sources.layout import compact, read_layout, write_layout
 from postflow.sources.readers import malformed_lines, read_envelopes, read_posts, stream_posts
 from postflow.sources.sinks import envelope_files, read_batches, write_envelopes
-from postflow.staging import mark, new_folder, stage
+from postflow.staging import mark, matching, new_folder, stage
 from postflow.streaming.flows import read_histogram, run_histogram, run_ingest, run_process, run_replay
 from postflow.streaming.tiles import Pyramid, run_tiles
 from postflow.streaming.windows import read_windows, run_windows, sessions, split_late, stream_in_time
@@ -490,6 +490,15 @@ def _finish(query):
 
 STREAM_FILES = 6  # each stream's input, of which a micro-batch takes
 BATCH_FILES = 2
+STREAM_BYTES = 16 << 20  # of stored texts that make a file of a larger input
+BATCHES = 3  # of an input that tasks wrote, however many files they made
+BATCH_BYTES = 2 << 30  # but no micro-batch takes more
+
+
+def batch_files(spark, path) -> int:
+    """How many files of a folder a micro-batch takes, so that neither more tasks nor more posts make more micro-batches up to `BATCH_BYTES` each."""
+    files, (size, *_) = len(matching(spark, f"{path}/part-*")), mark(spark, path)
+    return max(BATCH_FILES, min(-(-files // BATCHES), files * BATCH_BYTES // max(size, 1)))
 
 
 def json_posts(spark, sf_dir, files: int | None = None) -> str:
@@ -521,11 +530,12 @@ def ingested(spark, raw) -> str:
 
 def processed_batches(spark, sf_dir) -> str:
     """Posts through both streams, in several micro-batches each, into stored ones."""
-    source = stream_posts(spark, json_posts(spark, sf_dir, STREAM_FILES), maxFilesPerTrigger=BATCH_FILES)
-    values = ingested(spark, source)
+    files = max(STREAM_FILES, mark(spark, f"{sf_dir}/documents.parquet")[0] // STREAM_BYTES)
+    raw = json_posts(spark, sf_dir, files)
+    values = ingested(spark, stream_posts(spark, raw, maxFilesPerTrigger=batch_files(spark, raw)))
     folder = new_folder(spark, "batches")
     _finish(run_process(
-        read_envelopes(spark, "text", path=values, maxFilesPerTrigger=BATCH_FILES), stored_labeller(spark, sf_dir),
+        read_envelopes(spark, "text", path=values, maxFilesPerTrigger=batch_files(spark, values)), stored_labeller(spark, sf_dir),
         f"{folder}/posts", f"{folder}/rejects", f"{folder}/checkpoint", NOW,
     ))
     return f"{folder}/posts"
@@ -567,7 +577,8 @@ def topic_start(spark, sf_dir):
     values.where(odd).write.mode("append").text(f"{folder}/values")
     found = None
     for start, position in (("earliest", "earliest"), ("half", half.astimezone(dt.timezone.utc))):
-        read = read_envelopes(spark, "text", path=f"{folder}/values", start=position, maxFilesPerTrigger=BATCH_FILES)
+        files = batch_files(spark, f"{folder}/values")
+        read = read_envelopes(spark, "text", path=f"{folder}/values", start=position, maxFilesPerTrigger=files)
         _finish(write_envelopes(read, "text", f"{folder}/checkpoint-{start}", NOW, path=f"{folder}/{start}"))
         posts = restore_time(decode(read_envelopes(spark, "text", stream=False, path=f"{folder}/{start}")))
         posts = posts.select(F.lit(start).alias("start"), "id", epoch())

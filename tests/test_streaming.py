@@ -11,12 +11,13 @@ from postflow.operators.dense_index import dense_index
 from postflow.operators.joins import replay_join
 from postflow.operators.lexicon import label_posts
 from postflow.operators.reports import time_histogram
+from postflow.plans import catalog
 from postflow.plans.posts import enrich, process
 from postflow.schema import PROCESSED
 from postflow.sources.readers import (
     malformed_lines, read_envelopes, read_malformed, read_posts, stream_lines, stream_posts, stream_ticks,
 )
-from postflow.sources.sinks import envelope_files, read_batches, write_batch, write_batch_to_store, write_envelopes
+from postflow.sources.sinks import committed, envelope_files, read_batches, write_batch, write_batch_to_store, write_envelopes
 from postflow.staging import stage
 from postflow.streaming.flows import read_histogram, run_histogram, run_ingest, run_process, run_replay
 from test_posts import post, write_json
@@ -245,3 +246,22 @@ def test_write_batch_of_nothing(spark, tmp_path):
     empty = process(enrich(spark.createDataFrame([post(1)], read_posts(spark, source(tmp_path / "in")).schema).where("false")), label)
     write_batch(empty, path, 0)
     assert read_batches(spark, path).count() == 0
+
+
+def test_more_files_do_not_make_more_micro_batches(spark, conf, tmp_path):
+    """Tasks wrote 24 files of envelopes, of which a micro-batch takes a third; a large one is cut by its bytes."""
+    path = str(tmp_path / "values")
+    spark.range(0, 2400, 1, 24).select(F.concat(F.lit("envelope"), "id")).write.text(path)
+    assert catalog.batch_files(spark, path) == 8
+    conf("spark.sql.files.maxPartitionBytes", "8k")  # so that several tasks read a file of posts
+    conf("spark.sql.files.openCostInBytes", "1k")
+    assert len(committed(spark, catalog.processed_batches(spark, "/root/testdata/sf0.001"))) == 3
+
+
+def test_a_micro_batch_is_cut_by_its_bytes(spark, monkeypatch, tmp_path):
+    path = str(tmp_path / "values")
+    spark.range(0, 2400, 1, 24).select(F.concat(F.lit("envelope"), "id")).write.text(path)
+    monkeypatch.setattr(catalog, "BATCH_BYTES", 5_000)
+    size = sum(f.stat().st_size for f in (tmp_path / "values").glob("part-*"))
+    files = catalog.batch_files(spark, path)
+    assert 2 <= files < 8 and files * size / 24 <= 5_000
