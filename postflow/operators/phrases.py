@@ -1,56 +1,110 @@
 """Sentiment labels from a lexicon of words and phrases, with negation."""
 
+import functools
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from postflow.functions.text import tokens
 from postflow.operators.joins import split_join
-from postflow.operators.lexicon import BROADCAST_BYTES, HOT_BYTES, HOT_ROWS, hot_texts, label_of, lexicon_bytes
+from postflow.operators.lexicon import BROADCAST_BYTES, HOT_BYTES, HOT_ROWS, hot_texts, label_of, least_posts, lexicon_bytes
 from postflow.staging import stage, unused
 
 SCOPE = 3  # words that a negation reaches
+HASHES, HASH_BYTES = 16, 12  # hashes of beginnings that are kept together, and what one takes in a broadcast, about
 
 
 def phrase_trie(entries: DataFrame) -> tuple[DataFrame, int]:
-    """`(depth, prefix, polarity)` of all beginnings of the `entries` `(phrase, polarity)`, and the greatest depth.
+    """`(depth, prefix, polarity, posts)` of all beginnings of the `entries` `(phrase, polarity)`, and the greatest depth.
 
     Phrases are split as texts are. Entries of the same words add up; those without words or with
     polarity 0 in the end count for nothing. A beginning that is no entry has a null polarity.
+    `posts` is how frequent its most frequent entry is, if the entries tell.
     """
-    words = entries.select(tokens(F.col("phrase")).alias("words"), F.col("polarity").cast("bigint").alias("polarity"))
-    summed = words.where(F.size("words") > 0).groupBy("words").agg(F.sum("polarity").alias("polarity")).where("polarity <> 0")
+    posts = F.col("posts").cast("bigint") if "posts" in entries.columns else F.lit(None).cast("bigint")
+    words = entries.select(tokens(F.col("phrase")).alias("words"), F.col("polarity").cast("bigint").alias("polarity"), posts.alias("posts"))
+    summed = words.where(F.size("words") > 0).groupBy("words").agg(
+        F.sum("polarity").alias("polarity"), F.max("posts").alias("posts")
+    ).where("polarity <> 0")
     depths = F.sequence(F.lit(1), F.size("words"))
-    nodes = summed.select("words", "polarity", F.explode(depths).alias("depth")).select(
+    nodes = summed.select("words", "polarity", "posts", F.explode(depths).alias("depth")).select(
         "depth", F.array_join(F.slice("words", F.lit(1), F.col("depth")), " ").alias("prefix"),
-        F.when(F.col("depth") == F.size("words"), F.col("polarity")).alias("polarity"),
+        F.when(F.col("depth") == F.size("words"), F.col("polarity")).alias("polarity"), "posts",
     )
-    trie = stage(nodes.groupBy("depth", "prefix").agg(F.max("polarity").alias("polarity")), "trie")
+    trie = stage(nodes.groupBy("depth", "prefix").agg(F.max("polarity").alias("polarity"), F.max("posts").alias("posts")), "trie")
     return trie, trie.agg(F.max("depth")).first()[0] or 0
 
 
 def matches(texts: DataFrame, trie: DataFrame, longest: int, negators, scope: int, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """`(digest, polarity)` per occurrence of an entry in `texts` `(digest, words)`, overlapping ones included.
+    """`(digest, polarity)` that add up to all occurrences of entries in `texts` `(digest, words)`, overlapping ones included.
 
-    Every word begins a walk down the trie. Each step joins the beginnings of one more word, so
+    Every word begins a walk down the trie. Each step looks up the beginnings of one more word, so
     only words that began an entry so far go on. The polarity is turned around if one of the
     `negators` is among the `scope` words ahead of the occurrence.
+
+    Beginnings of a length that are too large to be broadcast together are looked up in two steps:
+    the most frequent in a broadcast, and of the walks that these do not hold only those whose
+    hash is that of another beginning are combined by text and shuffled.
     """
-    denied = lambda i: F.exists(F.slice("words", F.greatest(F.lit(1), i + 1 - scope), F.least(i, F.lit(scope))), lambda w: w.isin(*negators))
-    sign: Column = F.lit(1)
+    held = texts.withColumn("turns", F.transform("words", lambda w: w.isin(*negators))) if negators and scope else texts
+    denied = lambda i: functools.reduce(Column.__or__, [F.coalesce(F.get("turns", i - n), F.lit(False)) for n in range(1, scope + 1)])
     starts = F.transform("words", lambda w, i: F.struct(
         F.slice("words", i + 1, F.lit(longest)).alias("ahead"),
-        (F.when(denied(i), -1).otherwise(1) if negators and scope else sign).alias("sign"),
+        (F.when(denied(i), -1).otherwise(1) if negators and scope else F.lit(1)).alias("sign"),
     ))
-    walk = texts.select("digest", F.inline(starts))
-    found = None
+    walk = held.select("digest", F.inline(starts)).withColumns({"n": F.lit(1).cast("bigint"), "total": F.lit(0).cast("bigint")})
+    own = (F.col("total") * F.col("sign")).alias("polarity")
+    done = []
     for depth in range(1, longest + 1):
-        level = trie.where(F.col("depth") == depth).select("prefix", "polarity")
-        if lexicon_bytes(level.withColumnRenamed("prefix", "term")) <= broadcast_bytes:
-            level = F.broadcast(level)
-        long = walk.drop("polarity").where(F.size("ahead") >= depth)
-        walk = long.withColumn("prefix", F.array_join(F.slice("ahead", 1, depth), " ")).join(level, "prefix").drop("prefix")
-        own = walk.where(F.col("polarity").isNotNull()).select("digest", (F.col("polarity") * F.col("sign")).alias("polarity"))
-        found = own if found is None else found.unionByName(own)
-    return found
+        level = trie.where(F.col("depth") == depth).select(F.col("prefix").alias("term"), "polarity", "posts")
+        prefix = F.when(F.size("ahead") >= depth, F.array_join(F.slice("ahead", 1, depth), " "))
+        walk = walk.withColumn("prefix", F.col("ahead")[0] if depth == 1 else prefix)
+        size = lexicon_bytes(level)
+        if size <= broadcast_bytes:
+            # No word that begins no entry goes on, and later steps find nothing where an earlier one did not.
+            walk = _looked_up(walk, level, "inner" if depth == 1 else "left").drop("held")
+            continue
+        least = least_posts(level, size, broadcast_bytes)
+        often = F.coalesce(F.col("posts") >= least, F.lit(False)) if least is not None else F.lit(False)
+        if least is not None:
+            walk = _looked_up(walk, level.where(often), "left")
+        else:
+            walk = walk.withColumn("held", F.lit(False))
+        other = stage(level.where(~often).select("term", "polarity"), "trie-level")
+        walk = _may_be_among(walk, other, broadcast_bytes)
+        goes_on = F.col("held") & F.lit(depth < longest)
+        asks = ~F.col("held") & F.col("prefix").isNotNull() & F.col("may_be")
+        state = F.when(asks, "asks").when(goes_on, "on").otherwise("done").alias("state")
+        kept = F.when(asks | goes_on, F.col("ahead")).alias("ahead")
+        combined = stage(walk.groupBy("digest", "sign", state, kept).agg(F.sum("n").alias("n"), F.sum("total").alias("total")), "phrase-walk")
+        done.append(combined.select("digest", own))
+        rest = combined.select("digest", "sign", "state", "ahead", "n", F.lit(0).cast("bigint").alias("total"))
+        asked = rest.where("state = 'asks'").withColumn("prefix", F.array_join(F.slice("ahead", 1, depth), " "))
+        found = asked.join(other.hint("merge"), F.col("prefix") == F.col("term")).withColumn("total", F.coalesce(F.col("polarity"), F.lit(0)) * F.col("n"))
+        columns = ["digest", "sign", "ahead", "n", "total"]
+        walk = found.select(columns)
+        if depth < longest:
+            walk = rest.where("state = 'on'").select(columns).unionByName(walk)
+    done.append(walk.select("digest", own))
+    return functools.reduce(DataFrame.unionByName, done)
+
+
+def _looked_up(walk: DataFrame, level: DataFrame, how: str) -> DataFrame:
+    """Walks with the polarity of their `prefix` added, and whether it is one of `level`, which is broadcast."""
+    found = walk.join(F.broadcast(level.select("term", "polarity")), F.col("prefix") == F.col("term"), how)
+    added = F.col("total") + F.coalesce(F.col("polarity"), F.lit(0)) * F.col("n")
+    return found.withColumns({"total": added, "held": F.col("term").isNotNull()}).drop("term", "polarity")
+
+
+def _may_be_among(walk: DataFrame, terms: DataFrame, broadcast_bytes: int) -> DataFrame:
+    """Walks with `may_be`: false only if `prefix` is none of the `terms`. Their hashes are broadcast, unless these are too many; then it is true."""
+    some = terms.count()
+    if some * HASH_BYTES > broadcast_bytes:
+        return walk.withColumn("may_be", F.lit(True))
+    own, buckets = F.xxhash64("prefix"), F.lit(max(1, some // HASHES))
+    hashed = terms.select(F.xxhash64("term").alias("hash"))
+    table = hashed.groupBy(F.pmod("hash", buckets).alias("bucket")).agg(F.collect_list("hash").alias("hashes"))
+    found = walk.join(F.broadcast(table), F.pmod(own, buckets) == F.col("bucket"), "left")
+    return found.withColumn("may_be", F.coalesce(F.array_contains("hashes", own), F.lit(False))).drop("bucket", "hashes")
 
 
 def label_by_phrases(
@@ -82,7 +136,7 @@ def label_by_phrases(
 
 
 def derive_phrases(labelled: DataFrame, toxic_weight: int = 7, min_posts: int = 3) -> DataFrame:
-    """`(phrase, polarity)` of one and two words from posts with `cleaned_text` and a label `toxic`, 0 or 1, as `derive_lexicon` has words."""
+    """`(phrase, polarity, posts)` of one and two words from posts with `cleaned_text` and a label `toxic`, 0 or 1, as `derive_lexicon` has words."""
     words = labelled.select(F.when(F.col("toxic") == 1, -toxic_weight).otherwise(1).alias("vote"), tokens(F.col("cleaned_text")).alias("words"))
     pairs = F.transform(
         F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.concat_ws(" ", F.get("words", i - 1), F.get("words", i))
@@ -93,5 +147,5 @@ def derive_phrases(labelled: DataFrame, toxic_weight: int = 7, min_posts: int =
         .groupBy("phrase")
         .agg(F.sum("vote").alias("net"), F.count("*").alias("posts"))
         .where((F.col("posts") >= min_posts) & (F.col("net") != 0))
-        .select("phrase", F.signum("net").cast("int").alias("polarity"))
+        .select("phrase", F.signum("net").cast("int").alias("polarity"), "posts")
     )

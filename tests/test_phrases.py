@@ -62,3 +62,28 @@ def test_derived_phrases(spark):
     rows = [("a b c", 0)] * 3 + [("b c", 1), ("b c", 0), ("c", 1), ("", 0), ("a", 0)]
     found = derive_phrases(spark.createDataFrame(rows, "cleaned_text string, toxic int"))
     assert {r.phrase: r.polarity for r in found.collect()} == {"a": 1, "b": -1, "c": -1, "a b": 1, "b c": -1}
+
+
+@pytest.mark.parametrize("counted", [True, False])
+def test_only_rare_phrases_of_a_large_lexicon_are_shuffled(spark, monkeypatch, counted):
+    """The frequent beginnings that fit are broadcast, and walks that cannot be among the others do not go on."""
+    from postflow.operators import phrases as module
+
+    asked = []
+    real = module._may_be_among
+
+    def seen(walk, terms, limit):
+        found = real(walk, terms, limit)
+        asked.append((terms.count(), sorted({r.prefix for r in found.where("may_be and not held and prefix is not null").collect()})))
+        return found
+
+    monkeypatch.setattr(module, "_may_be_among", seen)
+    rows = [(i, t) for i, t in enumerate(texts(200, 5))]
+    df = spark.createDataFrame(rows, "id long, cleaned_text string")
+    some = [(phrase, polarity, len(ENTRIES) - i) for i, (phrase, polarity) in enumerate(ENTRIES)]
+    entries = spark.createDataFrame(some, "phrase string, polarity int, posts long")
+    labelled = label_by_phrases(df, entries if counted else entries.drop("posts"), NEGATORS, broadcast_bytes=150)
+    got = {r.id: r.sentiment_result and r.sentiment_result[0] for r in labelled.collect()}
+    assert got == {i: None if t is None else scan(t, [n.lower() for n in NEGATORS], 3) for i, t in rows}
+    levels = [3, 4] if counted else [5, 6]  # of 5 and 6
+    assert [n for n, _ in asked[:2]] == levels and all(len(held) <= n for n, held in asked)
