@@ -42,8 +42,8 @@ def matches(texts: DataFrame, trie: DataFrame, longest: int, negators, scope: in
     `negators` is among the `scope` words ahead of the occurrence.
 
     Beginnings of a length that are too large to be broadcast together are looked up in two steps:
-    the most frequent in a broadcast, and of the walks that these do not hold only those whose
-    hash is that of another beginning are combined by text and shuffled.
+    the most frequent in a broadcast, and the others, of all such lengths together, in a shuffle of
+    only those walks whose hash is that of one of them, combined by text before.
     """
     held = texts.withColumn("turns", F.transform("words", lambda w: w.isin(*negators))) if negators and scope else texts
     denied = lambda i: functools.reduce(Column.__or__, [F.coalesce(F.get("turns", i - n), F.lit(False)) for n in range(1, scope + 1)])
@@ -51,47 +51,47 @@ def matches(texts: DataFrame, trie: DataFrame, longest: int, negators, scope: in
         F.slice("words", i + 1, F.lit(longest)).alias("ahead"),
         (F.when(denied(i), -1).otherwise(1) if negators and scope else F.lit(1)).alias("sign"),
     ))
-    walk = held.select("digest", F.inline(starts)).withColumns({"n": F.lit(1).cast("bigint"), "total": F.lit(0).cast("bigint")})
-    own = (F.col("total") * F.col("sign")).alias("polarity")
-    done = []
+    walk = held.select("digest", F.inline(starts)).withColumn("total", F.lit(0).cast("bigint"))
+    others, asked = None, []
     for depth in range(1, longest + 1):
         level = trie.where(F.col("depth") == depth).select(F.col("prefix").alias("term"), "polarity", "posts")
-        prefix = F.when(F.size("ahead") >= depth, F.array_join(F.slice("ahead", 1, depth), " "))
+        # A walk without a beginning of one word less has none of this length either.
+        prefix = F.when(F.col("on") & (F.size("ahead") >= depth), F.array_join(F.slice("ahead", 1, depth), " "))
         walk = walk.withColumn("prefix", F.col("ahead")[0] if depth == 1 else prefix)
         size = lexicon_bytes(level)
         if size <= broadcast_bytes:
-            # No word that begins no entry goes on, and later steps find nothing where an earlier one did not.
-            walk = _looked_up(walk, level, "inner" if depth == 1 else "left").drop("held")
+            # At first no word goes on that begins no entry.
+            walk = _looked_up(walk, level, "inner" if depth == 1 else "left").withColumn("on", F.col("held")).drop("held")
             continue
         least = least_posts(level, size, broadcast_bytes)
         often = F.coalesce(F.col("posts") >= least, F.lit(False)) if least is not None else F.lit(False)
-        if least is not None:
-            walk = _looked_up(walk, level.where(often), "left")
-        else:
-            walk = walk.withColumn("held", F.lit(False))
+        walk = walk.withColumn("held", F.lit(False)) if least is None else _looked_up(walk, level.where(often), "left")
         other = stage(level.where(~often).select("term", "polarity"), "trie-level")
-        walk = _may_be_among(walk, other, broadcast_bytes)
-        goes_on = F.col("held") & F.lit(depth < longest)
-        asks = ~F.col("held") & F.col("prefix").isNotNull() & F.col("may_be")
-        state = F.when(asks, "asks").when(goes_on, "on").otherwise("done").alias("state")
-        kept = F.when(asks | goes_on, F.col("ahead")).alias("ahead")
-        combined = stage(walk.groupBy("digest", "sign", state, kept).agg(F.sum("n").alias("n"), F.sum("total").alias("total")), "phrase-walk")
-        done.append(combined.select("digest", own))
-        rest = combined.select("digest", "sign", "state", "ahead", "n", F.lit(0).cast("bigint").alias("total"))
-        asked = rest.where("state = 'asks'").withColumn("prefix", F.array_join(F.slice("ahead", 1, depth), " "))
-        found = asked.join(other.hint("merge"), F.col("prefix") == F.col("term")).withColumn("total", F.coalesce(F.col("polarity"), F.lit(0)) * F.col("n"))
-        columns = ["digest", "sign", "ahead", "n", "total"]
-        walk = found.select(columns)
-        if depth < longest:
-            walk = rest.where("state = 'on'").select(columns).unionByName(walk)
-    done.append(walk.select("digest", own))
-    return functools.reduce(DataFrame.unionByName, done)
+        others = other if others is None else others.unionByName(other)
+        asks = F.coalesce(~F.col("held") & F.col("may_be") & F.col("prefix").isNotNull(), F.lit(False))
+        name = f"asked_{depth}"
+        walk = _may_be_among(walk, other, broadcast_bytes).withColumn(name, F.when(asks, F.col("prefix")))
+        walk = walk.withColumn("on", F.col("held") | F.col(name).isNotNull()).drop("held", "may_be")
+        asked.append(name)
+    total = (F.col("total") * F.col("sign")).alias("polarity")
+    if others is None:
+        return walk.select("digest", total)
+    # Beginnings of different lengths differ, so one table and one shuffle have them all.
+    none = F.lit(0).cast("bigint").alias("polarity")
+    rows = [F.struct(F.lit(None).cast("string").alias("asked"), total), *[F.struct(F.col(c).alias("asked"), none) for c in asked]]
+    each = walk.select("digest", "sign", F.inline(F.array(*rows))).where(F.col("asked").isNotNull() | (F.col("polarity") != 0))
+    combined = stage(each.groupBy("digest", "asked").agg(F.sum("sign").alias("n"), F.sum("polarity").alias("polarity")), "phrase-walks")
+    found = combined.where(F.col("asked").isNotNull() & (F.col("n") != 0)).select("digest", "asked", "n")
+    found = found.join(others.hint("merge"), F.col("asked") == F.col("term")).where(F.col("polarity").isNotNull())
+    return combined.where(F.col("asked").isNull()).select("digest", "polarity").unionByName(
+        found.select("digest", (F.col("polarity") * F.col("n")).alias("polarity"))
+    )
 
 
 def _looked_up(walk: DataFrame, level: DataFrame, how: str) -> DataFrame:
     """Walks with the polarity of their `prefix` added, and whether it is one of `level`, which is broadcast."""
     found = walk.join(F.broadcast(level.select("term", "polarity")), F.col("prefix") == F.col("term"), how)
-    added = F.col("total") + F.coalesce(F.col("polarity"), F.lit(0)) * F.col("n")
+    added = F.col("total") + F.coalesce(F.col("polarity"), F.lit(0))
     return found.withColumns({"total": added, "held": F.col("term").isNotNull()}).drop("term", "polarity")
 
 
