@@ -371,7 +371,8 @@ def _with_leaders(alive: DataFrame, turn: int) -> DataFrame:
     met = alive.join(leaders, "sig").where(F.col("component") != F.col("leader.component"))
     support = met.groupBy("node", F.col("leader.node").alias("leader")).agg(F.count("*").alias("n"))
     best = support.groupBy("node").agg(F.max(F.struct("n", F.col("leader"))).alias("best"))
-    return _pairs(best.select(F.col("node").alias("a"), F.col("best.leader").alias("b")))
+    # A leader comes before its members in the round's order, so no pair comes from both of its ends.
+    return best.select(F.least("node", "best.leader").alias("a"), F.greatest("node", "best.leader").alias("b"))
 
 
 def _across(alive: DataFrame, candidates: DataFrame, percent: int, size: int) -> tuple[DataFrame, DataFrame]:

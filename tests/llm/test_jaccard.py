@@ -4,9 +4,9 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from postflow.llm import jaccard
+from postflow.llm import components as components_module, jaccard
 from postflow.llm.components import components
-from postflow.llm.support import read, shingle_sets
+from postflow.llm.support import read, settle, shingle_sets
 import pyarrow as pa
 from llm_fixtures import documents, odd_documents, importable  # noqa: F401
 
@@ -153,6 +153,33 @@ def test_no_links(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_stars_take_one_step_of_few_shuffles(spark, conf, monkeypatch):
+    """The driver keeps records of each task, so that steps and shuffles are its memory."""
+    conf("spark.sql.adaptive.enabled", "false")
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    shuffles = []
+
+    def counted(df, label):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        shuffles.append((label, plan.count("Exchange hashpartitioning") - plan.count("ReusedExchange")))
+        return settle(df, label)
+
+    monkeypatch.setattr(components_module, "settle", counted)
+    edges = [(1, i) for i in range(2, 40)] * 2 + [(100, i) for i in range(101, 120)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 1 for i in range(1, 40)}, **{i: 100 for i in range(100, 120)}}
+    assert shuffles == [("links", 0), ("stars", 4)]
+
+
+@pytest.mark.parametrize("turn", range(3))
+def test_a_pair_has_one_leader(spark, turn):
+    rng = np.random.default_rng(turn)
+    rows = [(int(sig), int(node), int(node)) for sig, node in rng.integers(0, 40, (400, 2))]
+    alive = spark.createDataFrame(rows, "sig long, node long, component long")
+    pairs = [(r["a"], r["b"]) for r in jaccard._with_leaders(alive, turn).collect()]
+    assert pairs and len(pairs) == len(set(pairs)) and all(a < b for a, b in pairs)
+
+
 @pytest.mark.parametrize("rounds", [0, 2])
 def test_crowded_signatures_are_settled_in_blocks(documents, monkeypatch, rounds):
     monkeypatch.setattr(jaccard, "FEW", 2)
