@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from postflow.llm.components import components
-from postflow.llm.support import mix, settle, shingle_sets
+from postflow.llm.support import mix, settle, shingle_sets, shingle_slices
 
 SHINGLE = 5
 PERCENT = 80
@@ -58,8 +58,10 @@ def bands(percent: int = PERCENT, upto: int = 1 << 40) -> list[Band]:
 
 
 @lru_cache(maxsize=4)
-def _limits(percent: int) -> np.ndarray:
-    return np.array([b.most for b in bands(percent)])
+def _limits(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The largest size, the differences and the tag of each band."""
+    every = bands(percent)
+    return np.array([b.most for b in every]), np.array([b.k for b in every]), np.array([_tag(b, 99) for b in every])
 
 
 def signatures(shingles: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -71,10 +73,30 @@ def signatures(shingles: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     _check(percent)
     if not len(shingles):
         return np.zeros(0, np.uint64)
-    own = int(np.searchsorted(_limits(percent), len(shingles)))
-    mixed = mix(shingles)
-    out = [_in_band(shingles, mixed, band) for band in bands(percent)[own:own + 2] if band.k]
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    return signatures_of(shingles, mix(shingles), np.array([0, len(shingles)]), percent)[0]
+
+
+def signatures_of(
+    shingles: np.ndarray, mixed: np.ndarray, starts: np.ndarray, percent: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of sets that lie in a row, none of them empty, and the number of the set of each."""
+    most, differences, _ = _limits(percent)
+    sizes = np.diff(starts)
+    found, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for step in range(2):
+        number = np.searchsorted(most, sizes) + step
+        in_it = np.flatnonzero(differences[number] > 0)
+        if not len(in_it):
+            continue
+        if len(in_it) == len(sizes):
+            sigs, owner = _in_bands(shingles, mixed, starts, number, percent)
+        else:
+            its = np.repeat(differences[number] > 0, sizes)
+            cut = np.concatenate([[0], np.cumsum(sizes[in_it])])
+            sigs, owner = _in_bands(shingles[its], mixed[its], cut, number[in_it], percent)
+        found.append(sigs)
+        owners.append(in_it[owner])
+    return np.concatenate(found), np.concatenate(owners)
 
 
 def _check(percent: int) -> None:
@@ -85,24 +107,36 @@ def _check(percent: int) -> None:
 _LEFT, _RIGHT = np.array([0, 0, 1]), np.array([1, 2, 2])
 
 
-def _in_band(shingles: np.ndarray, mixed: np.ndarray, band: Band) -> np.ndarray:
+def _in_bands(
+    shingles: np.ndarray, mixed: np.ndarray, starts: np.ndarray, number: np.ndarray, percent: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of each set in the band of its `number`, and the number of the set of each."""
     # Groups of 3 parts: with more than k / 2 groups, one has at most 1 part that differs, so
     # the other 2 agree. Subsets without any shingle would join strangers and are left out; the
     # groups beyond k / 2 make up for those that may be empty, and where they are too few, single
     # parts are added.
-    groups = band.k // 2 + 1 + band.k // 40 + 1
-    sums, filled = _parts(shingles, mixed, groups * 3)
-    dense, has = np.zeros(groups * 3, np.uint64), np.zeros(groups * 3, bool)
+    _, differences, tags = _limits(percent)
+    k = differences[number]
+    groups = k // 2 + 1 + k // 40 + 1
+    first = np.concatenate([[0], np.cumsum(groups)])  # group of each set
+    sums, filled = _parts(shingles, mixed, np.diff(starts), groups * 3)
+    dense, has = np.zeros(first[-1] * 3, np.uint64), np.zeros(first[-1] * 3, bool)
     dense[filled], has[filled] = sums, True
     dense, has = dense.reshape(-1, 3), has.reshape(-1, 3)
-    place = np.arange(groups * 3, dtype=np.uint64).reshape(-1, 3) + _tag(band, 99)
     with np.errstate(over="ignore"):
-        left, right = dense[:, _LEFT], dense[:, _RIGHT]
-        subsets = mix((left ^ (right * np.uint64(0xD6E8FEB86659FD93) + (right >> np.uint64(32)))) + place * np.uint64(0xA0761D6478BD642F))
-    out = subsets[has[:, _LEFT] | has[:, _RIGHT]]
-    if int((has.sum(axis=1) >= 2).sum()) <= band.k // 2:
-        return np.concatenate([out, _single_parts(shingles, mixed, band)])
-    return out
+        before = tags[number] - (first[:-1] * 3).astype(np.uint64)
+        place = np.arange(first[-1] * 3, dtype=np.uint64).reshape(-1, 3) + np.repeat(before, groups)[:, None]
+        right = dense * np.uint64(0xD6E8FEB86659FD93) + (dense >> np.uint64(32))
+        subsets = mix((dense[:, _LEFT] ^ right[:, _RIGHT]) + place * np.uint64(0xA0761D6478BD642F))
+    some = has[:, _LEFT] | has[:, _RIGHT]
+    owner = np.repeat(np.arange(len(k)), groups)
+    out, owners = [subsets[some]], [np.repeat(owner, some.sum(axis=1))]
+    enough = np.add.reduceat((has.sum(axis=1) >= 2).astype(np.int64), first[:-1])
+    for i in np.flatnonzero(enough <= k // 2):
+        its = slice(starts[i], starts[i + 1])
+        out.append(_single_parts(shingles[its], mixed[its], bands(percent)[number[i]]))
+        owners.append(np.full(len(out[-1]), i))
+    return np.concatenate(out), np.concatenate(owners)
 
 
 def _single_parts(shingles: np.ndarray, mixed: np.ndarray, band: Band) -> np.ndarray:
@@ -113,7 +147,7 @@ def _single_parts(shingles: np.ndarray, mixed: np.ndarray, band: Band) -> np.nda
     """
     out, level, parts = [], 0, band.k + band.k // 3 + 3
     while True:
-        sums, filled = _parts(shingles, mixed, parts)
+        sums, filled = _parts(shingles, mixed, np.array([len(shingles)]), np.array([parts]))
         with np.errstate(over="ignore"):
             out.append(mix(sums + mix(filled.astype(np.uint64) + _tag(band, level))))
         if len(filled) > band.k or len(filled) == len(shingles):
@@ -125,30 +159,40 @@ def _tag(band: Band, level: int) -> np.uint64:
     return np.uint64((band.number * 128 + level + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
 
 
-def _parts(shingles: np.ndarray, mixed: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sums over the shingles in each filled part, and which parts those are. Sorted hashes lie in order of parts."""
-    part = ((shingles >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+def _parts(
+    shingles: np.ndarray, mixed: np.ndarray, sizes: np.ndarray, parts: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over the shingles in each filled part, and which parts those are, the parts of all sets counted in a row.
+
+    Sorted hashes lie in order of parts.
+    """
+    before = np.cumsum(parts) - parts
+    part = ((shingles >> np.uint64(32)) * np.repeat(parts.astype(np.uint64), sizes)) >> np.uint64(32)
+    part = part.astype(np.int64) + np.repeat(before, sizes)
     heads = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1])
-    return np.add.reduceat(mixed, heads), part[heads].astype(np.int64)
+    return np.add.reduceat(mixed, heads), part[heads]
 
 
-def digests(shingles: np.ndarray) -> tuple[int, int]:
-    """Two 63-bit digests of a set; 0 for the empty one. The first names the class in signatures."""
-    if not len(shingles):
-        return 0, 0
-    with np.errstate(over="ignore"):
-        mixed = mix(shingles)
-        sums = np.array([mixed.sum(dtype=np.uint64), (mixed * (mixed >> np.uint64(7))).sum(dtype=np.uint64)])
-        first, second = mix(sums + np.uint64(len(shingles)))
-    return int(first >> np.uint64(1)) | 1, int(second >> np.uint64(1))
+def digests_of(mixed: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Two 63-bit digests of each set, from its mixed hashes; 0 for an empty one. The first names the class in signatures."""
+    sizes = np.diff(starts)
+    out = np.zeros((len(sizes), 2), np.int64)
+    some = np.flatnonzero(sizes)
+    if len(some):
+        with np.errstate(over="ignore"):
+            sums = [np.add.reduceat(x, starts[some]) for x in (mixed, mixed * (mixed >> np.uint64(7)))]
+            first, second = (mix(s + sizes[some].astype(np.uint64)) for s in sums)
+        out[some, 0] = ((first >> np.uint64(1)) | np.uint64(1)).astype(np.int64)
+        out[some, 1] = (second >> np.uint64(1)).astype(np.int64)
+    return out
 
 
 CLASS_MASK = np.uint64((1 << 48) - 1)
 
 
-def class_of(first: int) -> int:
+def class_of(first: np.ndarray) -> np.ndarray:
     """The 48 bits of the digest that travel with signatures; different sets rarely share them, and are told apart later."""
-    return first & ((1 << 48) - 1)
+    return first.astype(np.uint64) & CLASS_MASK
 
 
 def document_sets(documents: DataFrame, size: int = SHINGLE, key: str = "doc_id") -> DataFrame:
@@ -156,8 +200,10 @@ def document_sets(documents: DataFrame, size: int = SHINGLE, key: str = "doc_id"
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [(len(s), *digests(s)) for s in shingle_sets(batch.column("text"), size)]
-            columns = np.array(sets, np.int64).reshape(-1, 3).T
+            sets = [np.zeros((0, 3), np.int64)]
+            for shingles, starts in shingle_slices(batch.column("text"), size):
+                sets.append(np.column_stack([np.diff(starts), digests_of(mix(shingles), starts)]))
+            columns = np.concatenate(sets).T
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), *[pa.array(c) for c in columns]], names=["id", "n_shingles", "d1", "d2"]
             )
@@ -191,79 +237,103 @@ def shared_signatures(documents: DataFrame, parts: int, percent: int, size: int,
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recent: dict[int, None] = {}
-        held, count = [], 0
-
-        def flush():
-            sigs = np.concatenate([s for s, _ in held])
-            classes = np.concatenate([np.full(len(s), c, np.uint64) for s, c in held])
-            part = ((sigs >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            sigs, classes, part = sigs[order], classes[order], part[order]
-            heads = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            edges = [*heads, len(part)]
-            blocks = [_pack(sigs[a:b], classes[a:b]) for a, b in zip(edges, edges[1:])]
-            return pa.RecordBatch.from_arrays([pa.array(part[heads]), pa.array(blocks, pa.binary())], names=["part", "block"])
-
-        for batch in batches:
-            for s in shingle_sets(batch.column("text"), size):
-                name = class_of(digests(s)[0])
-                # Copies within a task need no second copy of their signatures.
-                if not len(s) or name in recent:
-                    continue
-                recent[name] = None
-                if len(recent) > RECENT:
-                    recent.pop(next(iter(recent)))
-                found = signatures(s, percent)
-                if len(found):
-                    held.append((found, name))
-                    count += len(found)
-                if count >= FLUSH:
-                    yield flush()
-                    held, count = [], 0
-        if held:
-            yield flush()
-
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Rows: part, signature, class, and whether the class was passed on.
-        kept, held, count = np.zeros((0, 4), np.uint64), [], 0
-
-        def compact():
-            nonlocal kept
-            rows = np.concatenate([kept, *held])
-            rows = rows[np.lexsort((rows[:, 2], 1 - rows[:, 3], rows[:, 1], rows[:, 0]))]
-            same = (rows[1:, :2] == rows[:-1, :2]).all(axis=1)
-            head = np.concatenate([[True], ~same])
-            start = np.flatnonzero(head)
-            first = np.repeat(start, np.diff(np.append(start, len(rows))))
-            other = (rows[:, 2] != rows[first, 2])
-            crowded = np.add.reduceat(other.astype(np.int64), start)[np.cumsum(head) - 1] > 0 if len(rows) else other
-            out = (other | (head & crowded)) & (rows[:, 3] == 0)
-            passed = rows[out]
-            kept = rows[head].copy()
-            kept[:, 3] |= (out | (rows[:, 3] > 0))[head].astype(np.uint64)
-            return passed
-
-        def table(rows: np.ndarray) -> pa.RecordBatch:
-            sig = mix((rows[:, 0] << np.uint64(48)) ^ rows[:, 1]).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(rows[:, 2].astype(np.int64))], names=["sig", "cls"])
-
-        for batch in batches:
-            for part, block in zip(batch.column("part").to_pylist(), batch.column("block")):
-                two = _unpack(block.as_py())
-                fresh = np.zeros((len(two), 4), np.uint64)
-                fresh[:, 0], fresh[:, 1:3] = part, two
-                held.append(fresh)
-                count += len(fresh)
-                if count > max(2 * FLUSH, len(kept)):
-                    yield table(compact())
-                    held, count = [], 0
-        if held:
-            yield table(compact())
+        return signature_blocks(batches, parts, percent, size)
 
     blocks = _texts(documents, key).mapInArrow(emit, "part long, block binary")
     dealt = blocks.repartition(parts, "part")
-    return dealt.mapInArrow(match, "sig long, cls long")
+    return dealt.mapInArrow(match_blocks, "sig long, cls long")
+
+
+def signature_blocks(
+    batches: Iterator[pa.RecordBatch], parts: int, percent: int, size: int
+) -> Iterator[pa.RecordBatch]:
+    """`(part, block)`: the signatures of the sets of `text`, with their classes, by range of the signature."""
+    recent: dict[int, None] = {}
+    held, count = [], 0
+
+    def flush():
+        sigs = np.concatenate([s for s, _ in held])
+        classes = np.concatenate([c for _, c in held])
+        part = ((sigs >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        # Numbers of 16 bits are sorted by digits, in a seventh of the time.
+        order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
+        sigs, classes, part = sigs[order], classes[order], part[order]
+        heads = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        edges = [*heads, len(part)]
+        blocks = [_pack(sigs[a:b], classes[a:b]) for a, b in zip(edges, edges[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(part[heads]), pa.array(blocks, pa.binary())], names=["part", "block"])
+
+    for batch in batches:
+        for shingles, starts in shingle_slices(batch.column("text"), size):
+            mixed, sizes = mix(shingles), np.diff(starts)
+            names = class_of(digests_of(mixed, starts)[:, 0])
+            fresh = np.zeros(len(sizes), bool)
+            for i in np.flatnonzero(sizes):
+                # Copies within a task need no second copy of their signatures.
+                name = int(names[i])
+                if name not in recent:
+                    fresh[i], recent[name] = True, None
+                    if len(recent) > RECENT:
+                        recent.pop(next(iter(recent)))
+            its = np.repeat(fresh, sizes)
+            cut = np.concatenate([[0], np.cumsum(sizes[fresh])])
+            sigs, owner = signatures_of(shingles[its], mixed[its], cut, percent)
+            if len(sigs):
+                held.append((sigs, names[fresh][owner]))
+                count += len(sigs)
+            if count >= FLUSH:
+                yield flush()
+                held, count = [], 0
+    if held:
+        yield flush()
+
+
+def match_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """`(sig, cls)` of the signatures in blocks `(part, block)` that at least two classes have; rows may repeat."""
+    # Of each signature one class, and whether that was passed on.
+    keys, classes, told = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
+    held, count = [], 0
+
+    def compact():
+        nonlocal keys, classes, told
+        key = np.concatenate([keys, *[k for k, _ in held]])
+        cls = np.concatenate([classes, *[c for _, c in held]])
+        was = np.concatenate([told, np.zeros(len(key) - len(told), bool)])
+        order = np.argsort(key)
+        key, cls, was = key[order], cls[order], was[order]
+        # Most signatures are alone, so only the others are put in order by class.
+        same = key[1:] == key[:-1]
+        met = np.zeros(len(key), bool)
+        met[1:] = same
+        met[:-1] |= same
+        alone = ~met
+        keys, classes, told = key[alone], cls[alone], was[alone]
+        key, cls, was = key[met], cls[met], was[met]
+        order = np.lexsort((cls, ~was, key))
+        key, cls, was = key[order], cls[order], was[order]
+        head = np.ones(len(key), bool)
+        head[1:] = key[1:] != key[:-1]
+        group = np.cumsum(head) - 1
+        other = cls != cls[head][group]
+        crowded = np.bincount(group[other], minlength=int(head.sum())) > 0
+        out = (other | (head & crowded[group])) & ~was
+        keys = np.concatenate([keys, key[head]])
+        classes = np.concatenate([classes, cls[head]])
+        told = np.concatenate([told, was[head] | crowded])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(mix(key[out]).view(np.int64)), pa.array(cls[out].astype(np.int64))], names=["sig", "cls"]
+        )
+
+    for batch in batches:
+        for part, block in zip(batch.column("part").to_pylist(), batch.column("block")):
+            two = _unpack(block.as_py())
+            held.append(((np.uint64(part) << np.uint64(48)) ^ two[:, 0], two[:, 1]))
+            count += len(two)
+            if count > max(2 * FLUSH, len(keys)):
+                yield compact()
+                held, count = [], 0
+    if held:
+        yield compact()
 
 
 def jaccard_components(
@@ -313,10 +383,12 @@ def _candidates(documents: DataFrame, classes: DataFrame, buckets: DataFrame, si
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, profiles = [], []
-            for s in shingle_sets(batch.column("text"), size):
-                n.append(len(s))
-                counts = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=PROFILE)
-                profiles.append(np.minimum(counts, 255).astype(np.uint8).tobytes())
+            for shingles, starts in shingle_slices(batch.column("text"), size):
+                sizes = np.diff(starts)
+                place = np.repeat(np.arange(len(sizes)) * PROFILE, sizes) + (shingles >> np.uint64(56)).astype(np.int64)
+                counts = np.bincount(place, minlength=len(sizes) * PROFILE).reshape(-1, PROFILE)
+                n.extend(sizes.tolist())
+                profiles.extend(row.tobytes() for row in np.minimum(counts, 255).astype(np.uint8))
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in ("cls", "rep", "text")], pa.array(n, pa.int64()), pa.array(profiles, pa.binary())],
                 names=["cls", "rep", "text", "n", "profile"],

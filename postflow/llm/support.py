@@ -126,18 +126,34 @@ def shingle_sets(texts: pa.Array, size: int = 5) -> Iterator[np.ndarray]:
 
     A text with fewer words has its whole sequence as its one run, and none without words.
     """
+    for shingles, starts in shingle_slices(texts, size):
+        yield from (shingles[a:b] for a, b in zip(starts, starts[1:]))
+
+
+def shingle_slices(texts: pa.Array, size: int = 5) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The sets of `shingle_sets` in a row, slice by slice of the texts, and where each begins (one entry more)."""
     data, starts = text_bytes(texts)
     for a, b in slices(starts):
         part = LOWER[data[starts[a]:starts[b]]]
         _, _, owner, hashes = words_of(part, starts[a:b + 1] - starts[a])
         cuts = np.searchsorted(owner, np.arange(b - a + 1))
         runs = _runs(hashes, size)
-        for i in range(b - a):
-            first, last = cuts[i], cuts[i + 1]
+        sets = []
+        for first, last in zip(cuts, cuts[1:]):
             if last - first >= size:
-                yield np.unique(runs[first:last - size + 1])
+                sets.append(runs[first:last - size + 1])
+                sets[-1].sort()
             else:
-                yield _runs(hashes[first:last], last - first)
+                sets.append(_runs(hashes[first:last], last - first))
+        yield _distinct(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))
+
+
+def _distinct(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`values` without those that repeat the one before in their sorted run, and where the runs then begin."""
+    first = np.ones(len(values), bool)
+    first[1:] = values[1:] != values[:-1]
+    first[starts[:-1][starts[:-1] < len(values)]] = True
+    return values[first], np.concatenate([[0], np.cumsum(first)])[starts]
 
 
 def _runs(hashes: np.ndarray, size: int) -> np.ndarray:

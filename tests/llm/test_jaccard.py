@@ -6,7 +6,7 @@ import pytest
 
 from postflow.llm import components as components_module, jaccard
 from postflow.llm.components import components
-from postflow.llm.support import read, settle, shingle_sets
+from postflow.llm.support import mix, read, settle, shingle_sets
 import pyarrow as pa
 from llm_fixtures import documents, odd_documents, importable  # noqa: F401
 
@@ -233,3 +233,64 @@ def test_limits_that_signatures_cannot_hold_are_refused():
 
 def test_no_set_is_too_large_for_a_band():
     assert jaccard.bands()[-1].most > 1 << 40
+
+
+@pytest.fixture
+def steps(monkeypatch):
+    """What the tasks of `shared_signatures` run, with seven ranges: making blocks and matching them."""
+    found = []
+
+    class Table:
+        def mapInArrow(self, step, schema):
+            found.append(step)
+            return self
+
+        def repartition(self, *by):
+            return self
+
+    monkeypatch.setattr(jaccard, "_texts", lambda documents, key: Table())
+    jaccard.shared_signatures(None, 7, 80, 5, "doc_id")
+    return found
+
+
+def test_sets_of_a_slice_are_worked_on_together(steps, monkeypatch):
+    """Calls for every text cost more than the work on its hashes."""
+    calls = []
+    monkeypatch.setattr(jaccard, "mix", lambda x: calls.append(len(x)) or mix(x))
+    texts = [" ".join(f"w{i * 300 + j}" for j in range(300)) for i in range(90)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    blocks = list(steps[0](iter([batch])))
+    assert sum(len(b.as_py()) for block in blocks for b in block.column("block")) > 90 * 290 * 12
+    # Five for the slice, and two for a set whose groups of parts are too empty.
+    assert len(calls) < 2 * len(texts)
+
+
+def test_only_signatures_that_meet_are_ordered_by_class(steps, monkeypatch):
+    """Also where a range is compacted several times, and where a class has a signature twice."""
+    monkeypatch.setattr(jaccard, "FLUSH", 500)
+    ordered, lexsort = [], np.lexsort
+    monkeypatch.setattr(jaccard.np, "lexsort", lambda keys: ordered.append(len(keys[0])) or lexsort(keys))
+    rng = np.random.default_rng(12)
+    rows = [(int(sig), int(cls)) for sig, cls in zip(rng.integers(1 << 20, 1 << 47, 20_000), rng.integers(0, 1 << 47, 20_000))]
+    rows += [(int(sig), int(cls)) for sig, cls in rng.integers(0, 40, (400, 2))]
+    rows += [(sig, sig) for sig in range(100, 120) for _ in range(3)]
+    rows = np.array(rows, np.uint64)[rng.permutation(len(rows))]
+    blocks = [jaccard._pack(part[:, 0], part[:, 1]) for part in np.array_split(rows, 60)]
+    batch = pa.RecordBatch.from_arrays([pa.array([5] * 60), pa.array(blocks, pa.binary())], names=["part", "block"])
+    out = pa.Table.from_batches(steps[1](iter([batch]))).to_pandas()
+    want = pd.DataFrame(rows, columns=["sig", "cls"]).drop_duplicates()
+    want = want[want.groupby("sig")["cls"].transform("size") > 1]
+    groups = lambda df: sorted(sorted(g.tolist()) for _, g in df.groupby("sig")["cls"])
+    assert groups(out.drop_duplicates()) == groups(want)
+    assert len(out) <= 460 and sum(ordered) < 2_000
+
+
+@pytest.mark.parametrize("percent", [66, 80, 90])
+def test_signatures_of_sets_in_a_row_are_those_of_each(percent):
+    rng = np.random.default_rng(percent)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in [*rng.permutation(np.arange(1, 60)), 3000, 1, 200]]
+    starts = np.cumsum([0, *map(len, sets)])
+    flat = np.concatenate(sets)
+    sigs, owner = jaccard.signatures_of(flat, mix(flat), starts, percent)
+    for i, its in enumerate(sets):
+        assert np.array_equal(np.sort(sigs[owner == i]), np.sort(jaccard.signatures(its, percent))), len(its)
