@@ -10,7 +10,10 @@ from postflow.operators.lexicon import BROADCAST_BYTES, HOT_BYTES, HOT_ROWS, hot
 from postflow.staging import stage, unused
 
 SCOPE = 3  # words that a negation reaches
-HASHES, HASH_BYTES = 16, 12  # hashes of beginnings that are kept together, and what one takes in a broadcast, about
+HELD_BYTES = 2 * BROADCAST_BYTES  # of a length, by `lexicon_bytes`; packed, its entries take less than that in a broadcast
+TERMS = 8  # beginnings that are packed into one row
+FILTER_WORDS, FILTER_BITS, PROBES = 16, 8, 3  # longs of a block of the filter, its bits for a beginning, and those a beginning sets
+BLOCK_BYTES = 8 * FILTER_WORDS + 64  # of the filter, in a broadcast
 
 
 def phrase_trie(entries: DataFrame) -> tuple[DataFrame, int]:
@@ -34,7 +37,7 @@ def phrase_trie(entries: DataFrame) -> tuple[DataFrame, int]:
     return trie, trie.agg(F.max("depth")).first()[0] or 0
 
 
-def matches(texts: DataFrame, trie: DataFrame, longest: int, negators, scope: int, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def matches(texts: DataFrame, trie: DataFrame, longest: int, negators, scope: int, broadcast_bytes: int = HELD_BYTES) -> DataFrame:
     """`(digest, polarity)` that add up to all occurrences of entries in `texts` `(digest, words)`, overlapping ones included.
 
     Every word begins a walk down the trie. Each step looks up the beginnings of one more word, so
@@ -42,22 +45,28 @@ def matches(texts: DataFrame, trie: DataFrame, longest: int, negators, scope: in
     `negators` is among the `scope` words ahead of the occurrence.
 
     Beginnings of a length that are too large to be broadcast together are looked up in two steps:
-    the most frequent in a broadcast, and the others, of all such lengths together, in a shuffle of
-    only those walks whose hash is that of one of them, combined by text before.
+    the most frequent in a broadcast, and the others, of all such lengths together, in one shuffle of
+    only those walks that a Bloom filter of them lets through. Walks are made twice then, which
+    writes less than to keep them.
     """
-    held = texts.withColumn("turns", F.transform("words", lambda w: w.isin(*negators))) if negators and scope else texts
-    denied = lambda i: functools.reduce(Column.__or__, [F.coalesce(F.get("turns", i - n), F.lit(False)) for n in range(1, scope + 1)])
-    starts = F.transform("words", lambda w, i: F.struct(
-        F.slice("words", i + 1, F.lit(longest)).alias("ahead"),
-        (F.when(denied(i), -1).otherwise(1) if negators and scope else F.lit(1)).alias("sign"),
-    ))
-    walk = held.select("digest", F.inline(starts)).withColumn("total", F.lit(0).cast("bigint"))
+    # A row per word, with the words ahead of it and whether those before it are negators; built-in functions throughout, as there is one for every word.
+    ahead = [f"word_{n}" for n in range(longest)]
+    columns = [F.col("words") if n == 0 else F.slice("words", n + 1, F.size("words")) for n in range(longest)]
+    before, held = [], texts
+    if negators and scope:
+        before, held = [f"turn_{n}" for n in range(scope)], texts.withColumn("turns", F.transform("words", lambda w: w.isin(*negators)))
+        columns += [F.concat(F.array_repeat(F.lit(False), n + 1), "turns") for n in range(scope)]
+    denied = functools.reduce(Column.__or__, [F.coalesce(n, F.lit(False)) for n in before], F.lit(False))
+    starts = F.arrays_zip(*[c.alias(n) for c, n in zip(columns, [*ahead, *before])])
+    walk = held.select("digest", F.inline(starts)).where(F.col(ahead[0]).isNotNull()).select(
+        "digest", *ahead, F.when(denied, -1).otherwise(1).alias("sign"), F.lit(0).cast("bigint").alias("total")
+    )
     others, asked = None, []
     for depth in range(1, longest + 1):
         level = trie.where(F.col("depth") == depth).select(F.col("prefix").alias("term"), "polarity", "posts")
-        # A walk without a beginning of one word less has none of this length either.
-        prefix = F.when(F.col("on") & (F.size("ahead") >= depth), F.array_join(F.slice("ahead", 1, depth), " "))
-        walk = walk.withColumn("prefix", F.col("ahead")[0] if depth == 1 else prefix)
+        # A walk without a beginning of one word less has none of this length either, nor has one that is at its text's end.
+        word = F.col(ahead[depth - 1])
+        walk = walk.withColumn("prefix", word if depth == 1 else F.when(F.col("on"), F.concat("prefix", F.lit(" "), word)))
         size = lexicon_bytes(level)
         if size <= broadcast_bytes:
             # At first no word goes on that begins no entry.
@@ -76,40 +85,76 @@ def matches(texts: DataFrame, trie: DataFrame, longest: int, negators, scope: in
     total = (F.col("total") * F.col("sign")).alias("polarity")
     if others is None:
         return walk.select("digest", total)
-    # Beginnings of different lengths differ, so one table and one shuffle have them all.
-    none = F.lit(0).cast("bigint").alias("polarity")
-    rows = [F.struct(F.lit(None).cast("string").alias("asked"), total), *[F.struct(F.col(c).alias("asked"), none) for c in asked]]
-    each = walk.select("digest", "sign", F.inline(F.array(*rows))).where(F.col("asked").isNotNull() | (F.col("polarity") != 0))
-    combined = stage(each.groupBy("digest", "asked").agg(F.sum("sign").alias("n"), F.sum("polarity").alias("polarity")), "phrase-walks")
-    found = combined.where(F.col("asked").isNotNull() & (F.col("n") != 0)).select("digest", "asked", "n")
-    found = found.join(others.hint("merge"), F.col("asked") == F.col("term")).where(F.col("polarity").isNotNull())
-    return combined.where(F.col("asked").isNull()).select("digest", "polarity").unionByName(
-        found.select("digest", (F.col("polarity") * F.col("n")).alias("polarity"))
-    )
+    # Beginnings of different lengths differ, so one table and one shuffle have them all. The side that is hashed has a term once.
+    each = walk.select("digest", "sign", F.explode(F.array(*asked)).alias("asked")).where(F.col("asked").isNotNull())
+    entries = others.where(F.col("polarity").isNotNull()).hint("shuffle_hash")
+    found = each.join(entries, F.col("asked") == F.col("term")).select("digest", (F.col("polarity") * F.col("sign")).alias("polarity"))
+    return walk.select("digest", total).where("polarity <> 0").unionByName(found)
 
 
 def _looked_up(walk: DataFrame, level: DataFrame, how: str) -> DataFrame:
-    """Walks with the polarity of their `prefix` added, and whether it is one of `level`, which is broadcast."""
-    found = walk.join(F.broadcast(level.select("term", "polarity")), F.col("prefix") == F.col("term"), how)
-    added = F.col("total") + F.coalesce(F.col("polarity"), F.lit(0))
-    return found.withColumns({"total": added, "held": F.col("term").isNotNull()}).drop("term", "polarity")
+    """Walks with the polarity of their `prefix` added, and whether it is one of `level`, which is broadcast.
+
+    Some terms with their polarities are one row there, as a row for each would take several times the memory.
+    """
+    buckets = F.lit(max(1, level.count() // TERMS))
+    packed = level.groupBy(F.pmod(F.xxhash64("term"), buckets).alias("bucket")).agg(F.collect_list(F.struct("term", F.coalesce("polarity", F.lit(0)).alias("polarity"))).alias("listed"))
+    packed = packed.select("bucket", F.col("listed.term").alias("terms"), F.col("listed.polarity").alias("polarities"))
+    found = walk.join(F.broadcast(packed), F.pmod(F.xxhash64("prefix"), buckets) == F.col("bucket"), how)
+    found = found.withColumn("at", F.coalesce(F.array_position("terms", F.col("prefix")), F.lit(0)).cast("int"))
+    added = F.col("total") + F.when(F.col("at") > 0, F.get("polarities", F.col("at") - 1)).otherwise(0)
+    found = found.withColumns({"total": added, "held": F.col("at") > 0}).drop("bucket", "terms", "polarities", "at")
+    return found.where("held") if how == "inner" else found
 
 
 def _may_be_among(walk: DataFrame, terms: DataFrame, broadcast_bytes: int) -> DataFrame:
-    """Walks with `may_be`: false only if `prefix` is none of the `terms`. Their hashes are broadcast, unless these are too many; then it is true."""
-    some = terms.count()
-    if some * HASH_BYTES > broadcast_bytes:
-        return walk.withColumn("may_be", F.lit(True))
-    own, buckets = F.xxhash64("prefix"), F.lit(max(1, some // HASHES))
-    hashed = terms.select(F.xxhash64("term").alias("hash"))
-    table = hashed.groupBy(F.pmod("hash", buckets).alias("bucket")).agg(F.collect_list("hash").alias("hashes"))
-    found = walk.join(F.broadcast(table), F.pmod(own, buckets) == F.col("bucket"), "left")
-    return found.withColumn("may_be", F.coalesce(F.array_contains("hashes", own), F.lit(False))).drop("bucket", "hashes")
+    """Walks with `may_be`: false only if `prefix` is none of the `terms`, whose Bloom filter is broadcast.
+
+    The filter has `FILTER_BITS` a term, or fewer if it would be too large, and then lets more through.
+    """
+    block_bits = 64 * FILTER_WORDS
+    most = min(broadcast_bytes, BROADCAST_BYTES) // BLOCK_BYTES
+    blocks = F.lit(max(1, min(-(-terms.count() * FILTER_BITS // block_bits), most)))
+    block = lambda c: F.pmod(F.xxhash64(c), blocks)
+    bits = lambda c: F.xxhash64(F.lit(1), c)
+    bit = [F.shiftright("bits", 10 * n).bitwiseAND(F.lit(block_bits - 1)).cast("int") for n in range(PROBES)]
+    mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit").bitwiseAND(F.lit(63)))
+    own = lambda n: F.when(F.shiftright("bit", 6) == n, mask).otherwise(F.lit(0).cast("bigint"))
+    # Hashes are dealt by block before they are combined, as every task would make all of the filter.
+    hashed = terms.select(block("term").alias("block"), bits("term").alias("bits")).repartition("block")
+    table = hashed.select("block", F.explode(F.array(*bit)).alias("bit")).groupBy("block").agg(
+        F.array(*[F.bit_or(own(n)) for n in range(FILTER_WORDS)]).alias("words")
+    )
+    found = walk.withColumn("bits", bits("prefix")).join(F.broadcast(table), block("prefix") == F.col("block"), "left")
+    is_set = [
+        F.call_function("shiftright", F.get("words", F.shiftright(b, 6)), b.bitwiseAND(F.lit(63))).bitwiseAND(F.lit(1).cast("bigint")) == 1 for b in bit
+    ]
+    all_set = functools.reduce(Column.__and__, is_set)
+    return found.withColumn("may_be", F.coalesce(all_set, F.lit(False))).drop("block", "bits", "words")
+
+
+def text_digests(posts: DataFrame) -> tuple[Column, DataFrame]:
+    """What tells texts apart, null for none, and `(digest, _copies)` of all texts: 64 bits of hash, or MD5 if two texts have the same."""
+    text = F.col("cleaned_text")
+    for digest in (_short_digest(text), F.md5(text)):
+        digest, other = F.when(text.isNotNull(), digest), F.xxhash64(F.lit(1), text)
+        counted = posts.groupBy(digest.alias("digest")).agg(
+            F.count("*").alias("_copies"), F.min(other).alias("least"), F.max(other).alias("most")
+        )
+        # Left out only here: a condition on the text would be tested ahead, where the text is made anew.
+        copies = stage(counted, "text-copies").where(F.col("digest").isNotNull())
+        if copies.where("least <> most").isEmpty():
+            break
+    return digest, copies.select("digest", "_copies")
+
+
+def _short_digest(text: Column) -> Column:
+    return F.xxhash64(text)
 
 
 def label_by_phrases(
     posts: DataFrame, entries: DataFrame, negators=(), scope: int = SCOPE, hot_rows: int = HOT_ROWS, hot_bytes: int = HOT_BYTES,
-    broadcast_bytes: int = BROADCAST_BYTES,
+    broadcast_bytes: int = HELD_BYTES,
 ) -> DataFrame:
     """`posts` with `sentiment_result`, an array of one label, from a lexicon `(phrase, polarity)` of any size.
 
@@ -119,9 +164,8 @@ def label_by_phrases(
     """
     trie, longest = phrase_trie(entries)
     own, held = unused(posts, "digest", "polarity")
-    digest = F.md5("cleaned_text")
-    texts = posts.where(F.col("cleaned_text").isNotNull()).select(digest.alias("digest"), tokens(F.col("cleaned_text")).alias("words"))
-    copies = texts.groupBy("digest").agg(F.count("*").alias("_copies"))
+    digest, copies = text_digests(posts)
+    texts = posts.select(digest.alias("digest"), tokens(F.col("cleaned_text")).alias("words"))
     if longest:
         found = matches(texts, trie, longest, [n.lower() for n in negators], scope, broadcast_bytes)
         summed = copies.join(found.groupBy("digest").agg(F.sum("polarity").alias("sum")), "digest", "left")

@@ -19,7 +19,7 @@ from postflow.operators.bitmaps import BitmapIndex, read_bitmaps, write_bitmaps
 from postflow.operators.block_index import BlockIndex, read_blocks, write_blocks
 from postflow.operators.dense_index import dense_index as add_dense_index
 from postflow.operators.joins import enrich_join as lookup, replay_join as replay
-from postflow.operators.lexicon import derive_lexicon, labeller, normal_lexicon, with_polarity
+from postflow.operators.lexicon import BROADCAST_BYTES, ENTRY_BYTES, derive_lexicon, labeller, normal_lexicon, with_polarity
 from postflow.operators.model import fit_naive_bayes
 from postflow.operators.phrases import derive_phrases, label_by_phrases
 from postflow.operators.positions import PositionIndex, position_postings, read_positions, write_positions
@@ -77,9 +77,7 @@ def raw_posts(spark: SparkSession, sf_dir: str, ids: DataFrame | None = None) ->
     return docs.join(events.hint("merge"), F.col("event_id") == n, "left").select(
         n.alias("id"),
         F.date_format("ts", "EEE MMM dd HH:mm:ss '+0000' yyyy").alias("created_at"),
-        F.concat(
-            F.col("text"), F.lit(" http://t.co/"), n, F.lit(" @u"), n % 97, F.lit(" #tag"), n % 13
-        ).alias("text"),
+        _post_text(n).alias("text"),
         F.col("user_id").alias("retweet_count"),
         F.when(
             n % 5 != 0,
@@ -93,6 +91,23 @@ def raw_posts(spark: SparkSession, sf_dir: str, ids: DataFrame | None = None) ->
     )
 
 
+def _post_text(n):
+    return F.concat(F.col("text"), F.lit(" http://t.co/"), n, F.lit(" @u"), n % 97, F.lit(" #tag"), n % 13)
+
+
+def post_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`(id, cleaned_text)` of all posts, as `enriched_posts` has them. Events only count here where
+    several have one number, so their numbers are shuffled and not the texts."""
+    n = F.col("doc_id")
+    posts = table(spark, sf_dir, "documents").select(n.alias("id"), clean_text(_post_text(n)).alias("cleaned_text"))
+    counted = table(spark, sf_dir, "events").where("event_id is not null").groupBy("event_id").agg(F.count("*").alias("times"))
+    repeated = stage(counted.where("times > 1"), "repeated-events")
+    if repeated.isEmpty():
+        return posts
+    found = posts.join(repeated, F.col("event_id") == F.col("id"), "left")
+    return found.withColumn("time", F.explode(F.sequence(F.lit(1), F.coalesce("times", F.lit(1))))).select("id", "cleaned_text")
+
+
 def enriched_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich(raw_posts(spark, sf_dir))
 
@@ -319,8 +334,11 @@ def sentiment_lexicon(spark, sf_dir):
 
 def sentiment_phrases(spark, sf_dir):
     """Labels from words and pairs of words, turned around behind a negator."""
-    entries = derive_phrases(labelled_posts(spark, sf_dir))
-    return _labels(label_by_phrases(enriched_posts(spark, sf_dir).select("id", "cleaned_text"), entries, NEGATORS))
+    posts, labels = post_texts(spark, sf_dir), post_labels(spark, sf_dir)
+    # Labels are small beside the texts, which would else be shuffled to meet them.
+    few = labels.count() * ENTRY_BYTES <= BROADCAST_BYTES
+    entries = derive_phrases(posts.join(F.broadcast(labels) if few else labels, "id"))
+    return _labels(label_by_phrases(posts, entries, NEGATORS))
 
 
 def sentiment_lexicon_joined(spark, sf_dir):

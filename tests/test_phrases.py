@@ -1,11 +1,14 @@
 """Labels from phrases with negation, against a plain scan."""
 
+import datetime as dt
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import plan_of
 from postflow.operators.phrases import derive_phrases, label_by_phrases, phrase_trie
+from postflow.plans import catalog
 from test_indexes import words
 
 ENTRIES = [
@@ -87,3 +90,47 @@ def test_only_rare_phrases_of_a_large_lexicon_are_shuffled(spark, monkeypatch, c
     assert got == {i: None if t is None else scan(t, [n.lower() for n in NEGATORS], 3) for i, t in rows}
     levels = [3, 4] if counted else [5, 6]  # of 5 and 6
     assert [n for n, _ in asked[:2]] == levels and all(len(held) <= n for n, held in asked)
+
+
+def test_the_filter_of_many_rare_phrases_has_no_limit(spark):
+    """A filter that may not have eight bits a term has fewer: all terms pass it, and of other walks still few."""
+    from postflow.operators.phrases import _may_be_among
+
+    terms = spark.range(4000).select(F.concat(F.lit("a "), "id").alias("term"), F.lit(1).alias("polarity"))
+    walk = spark.range(8000).select(F.concat(F.lit("a "), "id").alias("prefix")).unionByName(spark.createDataFrame([(None,)], "prefix string"))
+    passed = _may_be_among(walk, terms, 3000)
+    assert sorted(passed.columns) == ["may_be", "prefix"]
+    passed = [r.prefix for r in passed.where("may_be").collect()]
+    own = {f"a {i}" for i in range(4000)}
+    assert own <= set(passed) and len(passed) < 4000 + 2000
+
+
+@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 150}])
+def test_texts_of_one_hash_stay_apart(spark, monkeypatch, options):
+    from postflow.operators import phrases as module
+
+    monkeypatch.setattr(module, "_short_digest", lambda text: F.length(text).cast("bigint"))
+    rows = [(i, t) for i, t in enumerate(texts(100, 3))] * 2
+    entries = spark.createDataFrame(ENTRIES, "phrase string, polarity int")
+    labelled = label_by_phrases(spark.createDataFrame(rows, "id long, cleaned_text string"), entries, NEGATORS, **options)
+    got = sorted((r.id, str(r.sentiment_result and r.sentiment_result[0])) for r in labelled.collect())
+    assert got == sorted((i, str(None if t is None else scan(t, [n.lower() for n in NEGATORS], 3))) for i, t in rows)
+
+
+def test_texts_are_not_shuffled_to_meet_their_events(spark, tmp_path):
+    """Posts are those of `enriched_posts`, also where numbers of events repeat; if none does, no text is moved."""
+    docs = [(i if i != 4 else None, f"good text {i} @u http://x very bad", "en", "s", 1) for i in range(12)] + [(3, "again", "en", "s", 1), (5, None, "en", "s", 1)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2) for i in range(9)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    numbers = {"once": [1, 2, 3, 50, None, None], "again": [1, 2, 2, 2, 3, 3, None, None]}
+    for name, found in numbers.items():
+        folder = tmp_path / name
+        folder.mkdir()
+        for table in ("documents", "labels"):
+            (folder / f"{table}.parquet").symlink_to(tmp_path / f"{table}.parquet")
+        events = spark.createDataFrame([(n, dt.datetime(2024, 1, 1), 7) for n in found], "event_id long, ts timestamp, user_id long")
+        events.write.parquet(f"{folder}/events.parquet")
+        pairs = lambda df: sorted((repr(r.id), repr(r.cleaned_text)) for r in df.collect())
+        assert pairs(catalog.post_texts(spark, str(folder))) == pairs(catalog.enriched_posts(spark, str(folder)))
+        assert len(catalog.sentiment_phrases(spark, str(folder)).collect()) == (14 if name == "once" else 18)
+        assert ("event_id" in plan_of(catalog.sentiment_phrases(spark, str(folder)))) == (name == "again")
