@@ -2,7 +2,7 @@
 
 import functools
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from postflow.functions.text import tokens
 from postflow.operators.joins import split_join
@@ -20,20 +20,20 @@ def phrase_trie(entries: DataFrame) -> tuple[DataFrame, int]:
     """`(depth, prefix, polarity, posts)` of all beginnings of the `entries` `(phrase, polarity)`, and the greatest depth.
 
     Phrases are split as texts are. Entries of the same words add up; those without words or with
-    polarity 0 in the end count for nothing. A beginning that is no entry has a null polarity.
-    `posts` is how frequent its most frequent entry is, if the entries tell.
+    polarity 0 in the end count for nothing. A beginning that is no entry has no polarity, null or 0.
+    `posts` is how frequent its most frequent entry is, if the entries tell. Entries are shuffled once, with their beginnings.
     """
     posts = F.col("posts").cast("bigint") if "posts" in entries.columns else F.lit(None).cast("bigint")
     words = entries.select(tokens(F.col("phrase")).alias("words"), F.col("polarity").cast("bigint").alias("polarity"), posts.alias("posts"))
-    summed = words.where(F.size("words") > 0).groupBy("words").agg(
-        F.sum("polarity").alias("polarity"), F.max("posts").alias("posts")
-    ).where("polarity <> 0")
     depths = F.sequence(F.lit(1), F.size("words"))
-    nodes = summed.select("words", "polarity", "posts", F.explode(depths).alias("depth")).select(
-        "depth", F.array_join(F.slice("words", F.lit(1), F.col("depth")), " ").alias("prefix"),
+    nodes = words.where((F.size("words") > 0) & (F.col("polarity") != 0)).select("words", "polarity", "posts", F.explode(depths).alias("depth")).select(
+        F.array_join(F.slice("words", F.lit(1), F.col("depth")), " ").alias("prefix"), "depth",
         F.when(F.col("depth") == F.size("words"), F.col("polarity")).alias("polarity"), "posts",
     )
-    trie = stage(nodes.groupBy("depth", "prefix").agg(F.max("polarity").alias("polarity"), F.max("posts").alias("posts")), "trie")
+    summed = nodes.groupBy("depth", "prefix").agg(
+        F.sum("polarity").alias("polarity"), F.max("posts").alias("posts"), F.count_if(F.col("polarity").isNull()).alias("longer")
+    ).where("polarity <> 0 or longer > 0")
+    trie = stage(summed.select("depth", "prefix", "polarity", "posts"), "trie")
     return trie, trie.agg(F.max("depth")).first()[0] or 0
 
 
@@ -87,7 +87,7 @@ def matches(texts: DataFrame, trie: DataFrame, longest: int, negators, scope: in
         return walk.select("digest", total)
     # Beginnings of different lengths differ, so one table and one shuffle have them all. The side that is hashed has a term once.
     each = walk.select("digest", "sign", F.explode(F.array(*asked)).alias("asked")).where(F.col("asked").isNotNull())
-    entries = others.where(F.col("polarity").isNotNull()).hint("shuffle_hash")
+    entries = others.where("polarity <> 0").hint("shuffle_hash")
     found = each.join(entries, F.col("asked") == F.col("term")).select("digest", (F.col("polarity") * F.col("sign")).alias("polarity"))
     return walk.select("digest", total).where("polarity <> 0").unionByName(found)
 
@@ -163,7 +163,7 @@ def label_by_phrases(
     repeat or be null, and texts of very many posts are split on the way back.
     """
     trie, longest = phrase_trie(entries)
-    own, held = unused(posts, "digest", "polarity")
+    own, held, known = unused(posts, "digest", "polarity", "known")
     digest, copies = text_digests(posts)
     texts = posts.select(digest.alias("digest"), tokens(F.col("cleaned_text")).alias("words"))
     if longest:
@@ -175,8 +175,12 @@ def label_by_phrases(
     total = (F.coalesce("sum", F.lit(0)) / F.col("_copies")).cast("bigint")
     sums = stage(summed.select(F.col("digest").alias(own), total.alias(held), "_copies"), "text-polarity")
     hot = hot_texts(sums, own, at_least=hot_rows)
-    scored = split_join(posts.withColumn(own, digest), sums.drop("_copies"), own, hot, "left", hot_bytes)
-    return scored.withColumn("sentiment_result", label_of(F.col(held))).select(*posts.columns, "sentiment_result")
+    # Null texts are dealt by the rest of their rows, so that no scan of all posts is for them alone; what they may find there counts for nothing.
+    dealt = [F.col(f"`{f.name}`") for f in posts.schema if f.name != "cleaned_text" and isinstance(f.dataType, (T.NumericType, T.StringType, T.DatetimeType))]
+    key = F.coalesce(digest, F.xxhash64(F.lit(0), *dealt).cast(sums.schema[own].dataType))
+    keyed = posts.withColumns({own: key, known: F.col("cleaned_text").isNotNull()})
+    scored = split_join(keyed, sums.drop("_copies"), own, hot, "left", hot_bytes)
+    return scored.withColumn("sentiment_result", F.when(F.col(known), label_of(F.col(held)))).select(*posts.columns, "sentiment_result")
 
 
 def derive_phrases(labelled: DataFrame, toxic_weight: int = 7, min_posts: int = 3) -> DataFrame:

@@ -134,3 +134,15 @@ def test_texts_are_not_shuffled_to_meet_their_events(spark, tmp_path):
         assert pairs(catalog.post_texts(spark, str(folder))) == pairs(catalog.enriched_posts(spark, str(folder)))
         assert len(catalog.sentiment_phrases(spark, str(folder)).collect()) == (14 if name == "once" else 18)
         assert ("event_id" in plan_of(catalog.sentiment_phrases(spark, str(folder)))) == (name == "again")
+
+
+def test_null_texts_need_no_scan_of_their_own(spark, tmp_path):
+    rows = [(i, None if i % 3 else "very good river") for i in range(90)]
+    spark.createDataFrame(rows, "id long, cleaned_text string").write.parquet(str(tmp_path / "posts"))
+    posts = spark.read.parquet(str(tmp_path / "posts"))
+    labelled = label_by_phrases(posts, spark.createDataFrame(ENTRIES, "phrase string, polarity int"))
+    assert sorted((r.id, r.sentiment_result) for r in labelled.collect()) == [(i, t and ["neg"]) for i, t in rows]
+    scans = labelled._jdf.queryExecution().optimizedPlan().collectLeaves()
+    assert scans.size() == 2  # the posts, and what their texts add up to
+    alone = label_by_phrases(posts.select("cleaned_text"), spark.createDataFrame(ENTRIES, "phrase string, polarity int"))
+    assert sorted(str(r.sentiment_result) for r in alone.collect()) == sorted(str(t and ["neg"]) for _, t in rows)
